@@ -169,18 +169,34 @@ def _att_from_cells(cells: DataFrame, spec: PanelSpec, options: EffectOptions) -
     )
 
 
+def _all_bases(cells: DataFrame, spec: PanelSpec, options: EffectOptions) -> DataFrame:
+    """Base period of every cohort at every time of its panel, observed for that cohort or not."""
+    by = list(spec.by)
+    times = F.array_sort(F.collect_set("time"))  # few: `times_of` has checked them
+    cohorts = cells.where(F.col("cohort").isNotNull()).select(*by, "cohort").distinct()
+    if by:
+        cohorts = cohorts.join(cells.groupBy(*by).agg(times.alias("times")), by)
+    else:
+        cohorts = cohorts.withColumn("times", cells.agg(times).scalar())
+    every = cohorts.select(*by, "cohort", "times", F.explode("times").alias("time"))
+    limit = F.col("cohort")
+    if options.base_period == "varying":
+        limit = F.least("time", "cohort")
+    base = F.array_max(F.filter("times", lambda x: x < limit))
+    return (
+        every.withColumn("base_period", base)
+        .where(F.col("base_period").isNotNull())
+        .drop("times")
+    )
+
+
 def _pairwise(
     panel: DataFrame, cells: DataFrame, spec: PanelSpec, options: EffectOptions
 ) -> DataFrame:
     """Effects of an unbalanced panel, from the units seen at both times of each difference."""
     by = list(spec.by)
     moments = freeze(pair_moments(panel, cells, spec), "moments")
-    bases = (
-        cells.where(F.col("cohort").isNotNull())
-        .withColumn("_base", _before(F.col("time"), F.col("n"), F.col("cohort"), spec, options))
-        .where(F.col("_base").isNotNull())
-        .select(*by, "cohort", "time", F.col("_base.time").alias("base_period"))
-    )
+    bases = _all_bases(cells, spec, options)
     sizes = panel.where(none_if_nan(F.col(spec.target)).isNotNull()).groupBy(
         *by, F.col(spec.cohort).cast("bigint").alias("cohort")
     ).agg(F.count_distinct(spec.unit).alias("n"))

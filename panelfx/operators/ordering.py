@@ -43,31 +43,28 @@ def running_total(
     spark = df.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     split = freeze(
-        df.repartitionByRange(ranges, *order_by).withColumn("_range", F.spark_partition_id()),
+        df.repartitionByRange(ranges, *order_by).withColumn("_rt_range", F.spark_partition_id()),
         "ranges",
     )
-    sums = split.groupBy("_range").agg(F.sum(weight).cast("bigint").alias("_sum")).collect()
+    sums = split.groupBy("_rt_range").agg(F.sum(weight).cast("bigint").alias("_rt_sum")).collect()
     offsets, total = [], 0
-    for row in sorted(sums, key=lambda r: r["_range"]):
-        offsets.append((row["_range"], total))
-        total += row["_sum"] or 0
-    starts = spark.createDataFrame(offsets, "_range int, _start bigint")
+    for row in sorted(sums, key=lambda r: r["_rt_range"]):
+        offsets.append((row["_rt_range"], total))
+        total += row["_rt_sum"] or 0
+    starts = spark.createDataFrame(offsets, "_rt_range int, _rt_start bigint")
     before = (
-        W.partitionBy("_range").orderBy(*order_by).rowsBetween(W.unboundedPreceding, -1)
+        W.partitionBy("_rt_range").orderBy(*order_by).rowsBetween(W.unboundedPreceding, -1)
     )
     placed = (
-        split.join(F.broadcast(starts), "_range")  # one row per range
-        .withColumn(name, F.col("_start") + F.coalesce(F.sum(weight).over(before), F.lit(0)))
-        .drop("_start", "_range")
+        split.join(F.broadcast(starts), "_rt_range")  # one row per range
+        .withColumn(name, F.col("_rt_start") + F.coalesce(F.sum(weight).over(before), F.lit(0)))
+        .drop("_rt_start", "_rt_range")
     )
     if not within:
         return placed
-    firsts = placed.groupBy(*within).agg(F.min(name).alias("_first"))
-    same = [placed[c].eqNullSafe(firsts[c]) for c in within]
-    return (
-        placed.join(firsts, same)
-        .select(
-            *[placed[c] for c in placed.columns if c != name],
-            (placed[name] - firsts["_first"]).alias(name),
-        )
+    firsts = placed.groupBy(*[F.col(c).alias(f"_rt_{c}") for c in within]).agg(
+        F.min(name).alias("_rt_first")
     )
+    same = [F.col(c).eqNullSafe(F.col(f"_rt_{c}")) for c in within]
+    since_first = F.col(name) - F.col("_rt_first")
+    return placed.join(firsts, same).withColumn(name, since_first).select(*placed.columns)

@@ -81,11 +81,22 @@ def missing_units(df: DataFrame, reference: DataFrame, unit: str = "seq_idx") ->
     return reference.select(unit).distinct().join(df.select(unit), unit, "left_anti")
 
 
-def require_units(df: DataFrame, reference: DataFrame, unit: str = "seq_idx") -> None:
-    """Raise, naming some, if a reference unit is missing."""
-    absent = [r[0] for r in missing_units(df, reference, unit).limit(5).collect()]
-    if absent:
-        raise ValueError(f"units of the reference set are missing, e.g. {absent}")
+def require_units(
+    df: DataFrame, reference: DataFrame, unit: str = "seq_idx", by: Sequence[str] = ()
+) -> None:
+    """Raise if a reference unit is missing, anywhere or in one of the panels that `by` separates."""
+    if not by:
+        absent = [r[0] for r in missing_units(df, reference, unit).limit(5).collect()]
+        if absent:
+            raise ValueError(f"units of the reference set are missing, e.g. {absent}")
+        return
+    wanted = reference.agg(F.count_distinct(unit)).scalar()
+    counts = restrict_units(df, reference, unit).groupBy(*by).agg(
+        F.count_distinct(unit).alias("n_units")
+    )
+    short = counts.where(F.col("n_units") != wanted).limit(5).collect()
+    if short:
+        raise ValueError(f"units of the reference set are missing in {short}")
 
 
 def assign_cohorts(
