@@ -22,7 +22,7 @@ def quarter_index(date: Column) -> Column:
 
 
 def orders_panel(spark: SparkSession, sf_dir: str, segments: bool = False) -> DataFrame:
-    """Customer x quarter spend in thousands; cohort = quarter of the first urgent order.
+    """Customer x quarter spend in 7,000s (sevenths keep rounding free of ties); cohort = quarter of the first urgent order.
 
     Orders are added up per customer and quarter before anything is gathered per customer, so a
     customer's group has at most one entry per quarter.
@@ -34,7 +34,7 @@ def orders_panel(spark: SparkSession, sf_dir: str, segments: bool = False) -> Da
         (F.col("o_orderpriority") == "1-URGENT").alias("urgent"),
     )
     spend = orders.groupBy("unit", "t").agg(
-        (F.sum("p").cast("double") / 1000).alias("y"), F.bool_or("urgent").alias("urgent")
+        (F.sum("p").cast("double") / 7000).alias("y"), F.bool_or("urgent").alias("urgent")
     )
     units = spend.groupBy("unit").agg(
         F.map_from_entries(F.collect_list(F.struct("t", "y"))).alias("ys"),

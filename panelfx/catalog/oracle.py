@@ -17,7 +17,7 @@ o AS (
   FROM orders),
 tm AS (SELECT CAST(unnest(generate_series(1, (SELECT max(t) FROM o))) AS BIGINT) AS t),
 un AS (SELECT unit, min(CASE WHEN urgent THEN t END) AS g FROM o GROUP BY unit),
-yy AS (SELECT unit, t, CAST(sum(p) AS DOUBLE) / 1000 AS y FROM o GROUP BY unit, t)"""
+yy AS (SELECT unit, t, CAST(sum(p) AS DOUBLE) / 7000 AS y FROM o GROUP BY unit, t)"""
 
 _ORDERS = (
     _ORDERS_ROWS

@@ -54,7 +54,11 @@ def tokenize(
     A word outside the vocabulary becomes `unknown_id`, or an error where that is not given.
     """
     if tokenizer is not None:
-        as_ids = F.pandas_udf(tokenizer, "array<int>")
+
+        def batched(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            yield from tokenizer(texts)
+
+        as_ids = F.pandas_udf(batched, "array<int>")
         return docs.select(doc_id, as_ids(text).alias("input_ids"))
     if vocab is None:
         raise ValueError("give a vocabulary or a tokenizer")
