@@ -13,7 +13,8 @@ from panelfx.operators.ordering import running_total, small_side
 
 PACKED_LENGTH = 2049  # fixed value: 2048 predicted positions and the first token
 FIRST_PACKED_ID = -100  # fixed value: packed rows are numbered -100, -101, ...
-HEAD_WORDS = 100_000
+# Bounds of the broadcast part of a vocabulary, about 100 MB at the very most.
+HEAD_WORDS = 400_000
 HEAD_WORD_CHARS = 64
 
 
@@ -78,7 +79,7 @@ def tokenize(
         rare = words.join(head, "token", "left_anti").join(tail, "token", "left")
         found = common.unionByName(rare)
     per_doc = found.groupBy(doc_id).agg(
-        F.array_sort(
+        F.sort_array(
             F.collect_list(F.struct("pos", F.coalesce("token_id", outside).alias("id")))
         ).alias("t")
     )
@@ -117,7 +118,7 @@ def pack_sequences(
     # Cut inside the row, so that exploding copies pieces and not the whole document per piece.
     pieces = placed.select(F.inline(F.transform(F.sequence(first_row, last_row), piece)))
     rows = pieces.groupBy("row").agg(
-        F.array_sort(F.collect_list(F.struct("begin", "tokens"))).alias("p")
+        F.sort_array(F.collect_list(F.struct("begin", "tokens"))).alias("p")
     )
     return rows.select(
         (F.lit(FIRST_PACKED_ID) - F.col("row")).cast("bigint").alias("seq_idx"),

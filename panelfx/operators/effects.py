@@ -72,7 +72,7 @@ def cells_of(panel: DataFrame, spec: PanelSpec) -> DataFrame:
         F.col(spec.cohort).cast("bigint").alias("cohort"),
         F.col(spec.time).cast("bigint").alias("time"),
         none_if_nan(F.col(spec.target)).alias("_y"),
-        F.xxhash64(F.col(spec.unit).cast("string")).alias("_h"),
+        F.xxhash64(spec.unit).alias("_h"),
     ).where(F.col("_y").isNotNull())
     return y.groupBy(*spec.by, "cohort", "time").agg(
         F.count("*").alias("n"),
@@ -172,7 +172,7 @@ def _att_from_cells(cells: DataFrame, spec: PanelSpec, options: EffectOptions) -
 def _all_bases(cells: DataFrame, spec: PanelSpec, options: EffectOptions) -> DataFrame:
     """Base period of every cohort at every time of its panel, observed for that cohort or not."""
     by = list(spec.by)
-    times = F.array_sort(F.collect_set("time"))  # few: `times_of` has checked them
+    times = F.sort_array(F.collect_set("time"))  # few: `times_of` has checked them
     cohorts = cells.where(F.col("cohort").isNotNull()).select(*by, "cohort").distinct()
     if by:
         cohorts = cohorts.join(cells.groupBy(*by).agg(times.alias("times")), by)
@@ -392,7 +392,7 @@ def _boot_view(cells: DataFrame, view: str, spec: PanelSpec) -> DataFrame:
         summed.groupBy(*by, "_key")
         .agg(
             F.max("ATT").alias("ATT"),
-            F.array_sort(F.collect_list(F.struct("b", "d"))).alias("bd"),
+            F.sort_array(F.collect_list(F.struct("b", "d"))).alias("bd"),
         )
         .select(*by, F.col("_key").alias(_KEYS[view]), "ATT", F.col("bd.d").alias("draws"))
     )
@@ -412,7 +412,7 @@ def _boot_band(estimates: DataFrame, spec: PanelSpec, options: EffectOptions) ->
     by, size = list(spec.by), options.boot_iterations
     normal = NormalDist()
     unit_iqr = normal.inv_cdf(0.75) - normal.inv_cdf(0.25)
-    ordered = estimates.withColumn("_sorted", F.array_sort("draws"))
+    ordered = estimates.withColumn("_sorted", F.sort_array("draws"))
     iqr = _quantile(F.col("_sorted"), 0.75, size) - _quantile(F.col("_sorted"), 0.25, size)
     with_se = ordered.withColumn("std_error", iqr / unit_iqr).drop("_sorted")
     if options.band == "pointwise":

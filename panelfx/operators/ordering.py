@@ -35,15 +35,18 @@ def running_total(
 ) -> DataFrame:
     """Add `name`: the sum of `weight` over all rows before this one in the order `order_by`.
 
-    The order has to be total (unique keys). Rows are split into ranges of the order and the split
-    is written down, because range bounds are sampled anew on every run; only one number per range
-    then travels to the driver. No task sees more than one range. With `within`, which must lead
-    the order, totals restart for every value of these columns.
+    The order has to be total (unique keys), and `df` narrow. It is written down first, as sampling
+    the range bounds would evaluate it a second time; then it is split into ranges of the order, and
+    the split is written down too, because bounds are sampled anew on every run. One number per
+    range travels to the driver, and no task sees more than one range. With `within`, which must
+    lead the order, totals restart for every value of these columns.
     """
     spark = df.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     split = freeze(
-        df.repartitionByRange(ranges, *order_by).withColumn("_rt_range", F.spark_partition_id()),
+        freeze(df, "unsplit")
+        .repartitionByRange(ranges, *order_by)
+        .withColumn("_rt_range", F.spark_partition_id()),
         "ranges",
     )
     sums = split.groupBy("_rt_range").agg(F.sum(weight).cast("bigint").alias("_rt_sum")).collect()

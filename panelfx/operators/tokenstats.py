@@ -81,7 +81,7 @@ def sequence_surprisal(tokens: DataFrame, unit: str = "seq_idx") -> DataFrame:
 
 def sequence_statistics(tokens: DataFrame, unit: str = "seq_idx", pos: str = "pos") -> DataFrame:
     """Token rows gathered into one row of lists per sequence, in position order."""
-    ordered = F.array_sort(F.collect_list(F.struct(pos, "sup", "rank", "entropy")))
+    ordered = F.sort_array(F.collect_list(F.struct(pos, "sup", "rank", "entropy")))
     return (
         tokens.groupBy(unit)
         .agg(ordered.alias("t"))
@@ -97,7 +97,7 @@ def sequence_statistics(tokens: DataFrame, unit: str = "seq_idx", pos: str = "po
 def nest_batches(stats: DataFrame, batch_size: int, unit: str = "seq_idx") -> DataFrame:
     """Batch objects whose columns are lists over the sequences of a batch."""
     batch = F.floor(F.col(unit) / batch_size).cast("bigint")
-    ordered = F.array_sort(F.collect_list(F.struct(unit, "sup", "rank", "entropy")))
+    ordered = F.sort_array(F.collect_list(F.struct(unit, "sup", "rank", "entropy")))
     return (
         stats.groupBy(batch.alias("batch"))
         .agg(ordered.alias("b"))

@@ -41,7 +41,7 @@ def unit_rows(panel: DataFrame, cells: DataFrame, spec: PanelSpec) -> DataFrame:
     y = panel.select(
         *spec.by,
         F.col(spec.cohort).cast("bigint").alias("cohort"),
-        F.col(spec.unit).cast("string").alias("unit"),
+        F.col(spec.unit).alias("unit"),
         F.col(spec.time).cast("bigint").alias("time"),
         none_if_nan(F.col(spec.target)).alias("y"),
     ).where(F.col("y").isNotNull())
@@ -57,15 +57,15 @@ def unit_rows(panel: DataFrame, cells: DataFrame, spec: PanelSpec) -> DataFrame:
     salted = y.join(large, on, "left").select(*y.columns, salt.alias("salt"))
     # The two groupings below are already satisfied by this one exchange.
     once = F.when(F.count("*") == 1, F.max("y")).otherwise(
-        F.raise_error(F.concat(F.lit("several rows for one unit and time, unit "), F.col("unit")))
+        F.raise_error(F.concat(F.lit("several rows for one unit and time, unit "), F.col("unit").cast("string")))
     )
     return (
         salted.repartition(*keys, "salt")
         .groupBy(*keys, "salt", "unit", "time")
         .agg(once.alias("y"))
         .groupBy(*keys, "salt", "unit")
-        .agg(F.array_sort(F.collect_list(F.struct("time", "y"))).alias("obs"))
-        .select(*keys, "unit", F.col("obs.time").alias("times"), F.col("obs.y").alias("ys"))
+        .agg(F.sort_array(F.collect_list(F.struct("time", "y"))).alias("obs"))
+        .select(*keys, F.col("unit").cast("string").alias("unit"), F.col("obs.time").alias("times"), F.col("obs.y").alias("ys"))
     )
 
 
@@ -262,7 +262,7 @@ def bootstrap_sums(
     added = slots.groupBy(*keys, "time", "b").agg(
         F.sum("sw.s").alias("s"), F.sum("sw.w").alias("w"), F.sum("total").alias("total")
     )
-    ordered = F.array_sort(F.collect_list(F.struct("b", "s", "w")))
+    ordered = F.sort_array(F.collect_list(F.struct("b", "s", "w")))
     return (
         added.groupBy(*keys, "time")
         .agg(ordered.alias("sw"), F.max("total").alias("total"))

@@ -41,7 +41,7 @@ def write_nested_stats(
     line = F.floor(F.col(batch) / write_interval)
     (
         nested.groupBy(line.alias("line"))
-        .agg(F.array_sort(F.collect_list(F.struct(F.col(batch).alias("k"), objects.alias("o")))).alias("a"))
+        .agg(F.sort_array(F.collect_list(F.struct(F.col(batch).alias("k"), objects.alias("o")))).alias("a"))
         .select(F.to_json("a.o").alias("value"))
         .write.mode("append")
         .text(path)
