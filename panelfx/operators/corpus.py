@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelfx.functions import inputs_of, labels_of
 from panelfx.operators.ordering import running_total, small_side
@@ -38,6 +42,50 @@ def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
     return ranked.select("token", F.col("token_id").cast("int").alias("token_id"), "count")
 
 
+def _look_up_head(words: DataFrame, head: pa.Table, doc_id: str) -> DataFrame:
+    """(doc_id, ids, pos, token): ids NULL where a word is not in `head`; these words in the lists.
+
+    A hash lookup of whole Arrow batches against the broadcast head; a document's words stay
+    together, so nothing is exploded and nothing is shuffled.
+    """
+    shared = words.sparkSession.sparkContext.broadcast(
+        (head["token"].combine_chunks(), head["token_id"].combine_chunks())
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, known_ids = shared.value
+        for batch in batches:
+            lists = batch.column("words")
+            offsets = lists.offsets.to_numpy()
+            ends = pa.array(offsets - offsets[0])
+            flat = lists.flatten()
+            ids = known_ids.take(pc.index_in(flat, value_set=known))
+            missed = np.flatnonzero(ids.is_null().to_numpy(zero_copy_only=False))
+            missed_ends = np.searchsorted(missed, offsets - offsets[0]).astype(np.int32)
+            own_start = np.repeat(offsets[:-1] - offsets[0], np.diff(missed_ends))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(doc_id),
+                    pa.ListArray.from_arrays(ends, ids),
+                    pa.ListArray.from_arrays(
+                        pa.array(missed_ends), pa.array((missed - own_start).astype(np.int32))
+                    ),
+                    pa.ListArray.from_arrays(pa.array(missed_ends), flat.take(pa.array(missed))),
+                ],
+                names=[doc_id, "ids", "pos", "token"],
+            )
+
+    schema = T.StructType(
+        [
+            words.schema[doc_id],
+            T.StructField("ids", T.ArrayType(T.IntegerType())),
+            T.StructField("pos", T.ArrayType(T.IntegerType())),
+            T.StructField("token", T.ArrayType(T.StringType())),
+        ]
+    )
+    return words.mapInArrow(run, schema)
+
+
 def tokenize(
     docs: DataFrame,
     vocab: DataFrame | None = None,
@@ -48,11 +96,11 @@ def tokenize(
 ) -> DataFrame:
     """(doc_id, input_ids) from text.
 
-    With `tokenizer`, a function over batches of texts, nothing is shuffled. Otherwise words are
-    looked up in `vocab`. Its ids are frequency ranks, so the first `HEAD_WORDS` of them (short words
-    only, which bounds the bytes as well) cover nearly all words and are broadcast; the rare rest is
-    shuffled by word.
-    A word outside the vocabulary becomes `unknown_id`, or an error where that is not given.
+    With `tokenizer`, a function over batches of texts, or with a vocabulary of at most `HEAD_WORDS`
+    short words, nothing is shuffled. Of a larger vocabulary that many of the lowest ids, which are
+    the most frequent words, are broadcast; only words that are not among them are shuffled, to be
+    joined with the rest. A word outside the vocabulary becomes `unknown_id`, or an error where that
+    is not given.
     """
     if tokenizer is not None:
 
@@ -63,29 +111,43 @@ def tokenize(
         return docs.select(doc_id, as_ids(text).alias("input_ids"))
     if vocab is None:
         raise ValueError("give a vocabulary or a tokenizer")
-    words = docs.select(doc_id, F.posexplode(words_of(F.col(text))).alias("pos", "token"))
-    ids = vocab.select("token", "token_id")
+    ids = vocab.select("token", F.col("token_id").cast("int").alias("token_id"))
     in_head = (F.col("token_id") < HEAD_WORDS) & (F.length("token") <= HEAD_WORD_CHARS)
-    head, tail = F.broadcast(ids.where(in_head)), ids.where(~in_head)
+    head, tail = ids.where(in_head).toArrow(), ids.where(~in_head)
+    words = docs.select(doc_id, F.coalesce(words_of(F.col(text)), F.array()).alias("words"))
+    coded = _look_up_head(words, head, doc_id)
+    if tail.isEmpty():
+        fallback = (
+            F.lit(unknown_id).cast("int")
+            if unknown_id is not None
+            else F.raise_error(
+                F.concat(F.lit("word outside the vocabulary: "), F.col("token")[0])
+            ).cast("int")
+        )
+        filled = F.transform("ids", lambda i: F.coalesce(i, fallback))
+        complete = F.when(F.size("pos") == 0, F.col("ids")).otherwise(filled)
+        return coded.select(doc_id, complete.alias("input_ids"))
+    rare = coded.select(doc_id, F.inline(F.arrays_zip("pos", "token"))).join(tail, "token", "left")
     outside = (
         F.lit(unknown_id).cast("int")
         if unknown_id is not None
         else F.raise_error(F.concat(F.lit("word outside the vocabulary: "), F.col("token")))
     )
-    if tail.isEmpty():
-        found = words.join(head, "token", "left")
-    else:
-        common = words.join(head, "token")
-        rare = words.join(head, "token", "left_anti").join(tail, "token", "left")
-        found = common.unionByName(rare)
-    per_doc = found.groupBy(doc_id).agg(
-        F.sort_array(
-            F.collect_list(F.struct("pos", F.coalesce("token_id", outside).alias("id")))
-        ).alias("t")
+    found = rare.groupBy(doc_id).agg(
+        F.collect_list(F.struct("pos", F.coalesce("token_id", outside).alias("id"))).alias("found")
     )
-    no_words = F.array().cast("array<int>")
-    return docs.select(doc_id).join(per_doc, doc_id, "left").select(
-        doc_id, F.coalesce(F.col("t.id"), no_words).alias("input_ids")
+    placed = F.transform("ids", lambda i, at: F.struct(at.alias("pos"), i.alias("id")))
+    common = F.filter(placed, lambda p: p["id"].isNotNull())
+    merged = F.sort_array(F.concat(common, "found"))
+    return (
+        coded.select(doc_id, "ids")
+        .join(found, doc_id, "left")
+        .select(
+            doc_id,
+            F.when(F.col("found").isNull(), F.col("ids"))
+            .otherwise(F.transform(merged, lambda p: p["id"]))
+            .alias("input_ids"),
+        )
     )
 
 

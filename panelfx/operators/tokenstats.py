@@ -74,19 +74,21 @@ def token_statistics(
     return narrow.mapInArrow(run, schema)
 
 
-def sequence_surprisal(tokens: DataFrame, unit: str = "seq_idx") -> DataFrame:
+def sequence_surprisal(tokens: DataFrame, keys: Sequence[str] = ("seq_idx",)) -> DataFrame:
     """Mean surprisal per sequence from token rows."""
-    return tokens.groupBy(unit).agg(F.avg("sup").alias("sup_seq"))
+    return tokens.groupBy(*keys).agg(F.avg("sup").alias("sup_seq"))
 
 
-def sequence_statistics(tokens: DataFrame, unit: str = "seq_idx", pos: str = "pos") -> DataFrame:
+def sequence_statistics(
+    tokens: DataFrame, keys: Sequence[str] = ("seq_idx",), pos: str = "pos"
+) -> DataFrame:
     """Token rows gathered into one row of lists per sequence, in position order."""
     ordered = F.sort_array(F.collect_list(F.struct(pos, "sup", "rank", "entropy")))
     return (
-        tokens.groupBy(unit)
+        tokens.groupBy(*keys)
         .agg(ordered.alias("t"))
         .select(
-            unit,
+            *keys,
             F.col("t.sup").alias("sup"),
             F.col("t.rank").alias("rank"),
             F.col("t.entropy").alias("entropy"),

@@ -22,8 +22,8 @@ from panelfx.operators.ordering import small_side
 from panelfx.operators.panel import PanelSpec
 
 ROWS_PER_SALT = 500_000
-MAX_TIMES = 4_000
-_OPEN_GROUPS = 32
+MAX_TIMES = 2_000
+_OPEN_BYTES = 256 << 20
 _BLOCK_UNITS = 2_048
 
 
@@ -124,16 +124,21 @@ def _summed(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_groups: dict[tuple, list[np.ndarray]] = {}
+        held_bytes = 0
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             for group, ids, block in _dense_blocks(batch, keys, grid):
                 new = sums_of(ids, block)
                 held = open_groups.get(group)
-                open_groups[group] = new if held is None else [a + b for a, b in zip(held, new)]
-                if len(open_groups) > _OPEN_GROUPS:
+                if held is not None:
+                    open_groups[group] = [a + b for a, b in zip(held, new)]
+                    continue
+                open_groups[group] = new
+                held_bytes += sum(a.nbytes for a in new)
+                if held_bytes > _OPEN_BYTES:
                     yield from emit(open_groups)
-                    open_groups = {}
+                    open_groups, held_bytes = {}, 0
         yield from emit(open_groups)
 
     arrow_types = {f.name: _arrow_type(f.dataType) for f in schema.fields}
