@@ -87,7 +87,10 @@ def raw_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    """The corpus. A file with fewer row groups than cores is spread, larger ones are left alone."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from panelfx.session import freeze
 
 SMALL_ROWS = 100_000
+# A range of a running total: small enough for one task, large enough to be worth one.
+RANGE_ROWS = 2_000_000
+FEWEST_RANGE_ROWS = 20_000
 
 
 def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
@@ -42,10 +45,12 @@ def running_total(
     lead the order, totals restart for every value of these columns.
     """
     spark = df.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    narrow = freeze(df, "unsplit")
+    rows = narrow.count()
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(min(wanted, rows // FEWEST_RANGE_ROWS), rows // RANGE_ROWS, 1)
     split = freeze(
-        freeze(df, "unsplit")
-        .repartitionByRange(ranges, *order_by)
+        narrow.repartitionByRange(ranges, *order_by)
         .withColumn("_rt_range", F.spark_partition_id()),
         "ranges",
     )

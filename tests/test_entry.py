@@ -1,4 +1,4 @@
-"""Every registered query against its SQL counterpart, on the smallest tables."""
+"""Every registered query against its SQL counterpart, on the driver's tables."""
 
 import math
 import os
@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry_module
 
-SF_DIR = "/root/testdata/sf0.001"
+SF_DIR = "/root/testdata/sf0.01"
 TABLES = "customer orders events documents embeddings benchmark"
 duckdb = pytest.importorskip("duckdb")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")

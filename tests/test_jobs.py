@@ -98,7 +98,9 @@ def test_streamed_counts_equal_batch(spark, tmp_path):
     assert {r["token"]: r["count"] for r in spark.read.parquet(sink).collect()} == wanted
 
 
-def test_running_total_in_one_hot_range(spark):
+@pytest.mark.parametrize("range_rows", [7, 2_000_000])
+def test_running_total_restarts_within_groups(spark, monkeypatch, range_rows):
+    monkeypatch.setattr("panelfx.operators.ordering.RANGE_ROWS", range_rows)
     rows = [(g, i, i % 3) for g in ("a", "b") for i in range(200)]
     df = spark.createDataFrame(rows, "g string, i bigint, w bigint").repartition(6)
     got = {(r["g"], r["i"]): r["before"] for r in running_total(df, ["g", "i"], F.col("w"), "before", ["g"]).collect()}

@@ -94,7 +94,8 @@ def table():
 
 
 @pytest.mark.parametrize("method", ["pearson", "spearman", "kendall"])
-def test_correlations_match_pandas(spark, table, method):
+def test_correlations_match_pandas(spark, monkeypatch, table, method):
+    monkeypatch.setattr("panelfx.operators.ordering.RANGE_ROWS", 50)
     order = ("70M", "160M", "410M")
     df = spark.createDataFrame(table, "model_size string, cohort bigint, time bigint, memorisation double")
     got = profile_correlation(df, method, order).collect()
