@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from panelfx.functions import none_if_nan
 from panelfx.operators.panel import PanelSpec
-from panelfx.operators.unitblocks import bootstrap_sums, pair_moments
+from panelfx.operators.unitblocks import bootstrap_sums, pair_moments, sum_lists
 from panelfx.session import freeze
 
 VIEWS = ("all", "cohort", "time", "event")
@@ -379,22 +379,16 @@ def _boot_view(cells: DataFrame, view: str, spec: PanelSpec) -> DataFrame:
     weighted = _weights(cells, view, spec)
     w = F.col("_w")
     tilt = F.lit(0.0) if view == "cohort" else (F.col("ATT") - F.col("_theta")) / F.col("_n_used")
-    slots = weighted.select(
+    draws = weighted.select(
         *by,
         "_key",
-        "_theta",
-        F.posexplode(F.zip_with("draws", "w", lambda d, v: w * d + tilt * v)).alias("b", "d"),
-    )
-    summed = slots.groupBy(*by, "_key", "b").agg(
-        F.sum("d").alias("d"), F.max("_theta").alias("ATT")
+        F.zip_with("draws", "w", lambda d, v: w * d + tilt * v).alias("draws"),
     )
+    points = weighted.groupBy(*by, "_key").agg(F.max("_theta").alias("ATT"))
     return (
-        summed.groupBy(*by, "_key")
-        .agg(
-            F.max("ATT").alias("ATT"),
-            F.sort_array(F.collect_list(F.struct("b", "d"))).alias("bd"),
-        )
-        .select(*by, F.col("_key").alias(_KEYS[view]), "ATT", F.col("bd.d").alias("draws"))
+        sum_lists(draws, [*by, "_key"], ["draws"])
+        .join(points, [*by, "_key"])
+        .select(*by, F.col("_key").alias(_KEYS[view]), "ATT", "draws")
     )
 
 
@@ -484,7 +478,8 @@ def compute_effects(
             finish(points.withColumn("std_error", no_error), view, z)
         return out
     if options.se == "analytic":
-        effects = freeze(effects, "effects")
+        if len(views) > 1:
+            effects = freeze(effects, "effects")
         moments = freeze(pair_moments(panel, cells, spec), "moments")
         for view in views:
             if view == "all":

@@ -171,34 +171,25 @@ def pair_moments(panel: DataFrame, cells: DataFrame, spec: PanelSpec) -> DataFra
         return [both, first - first.T, square + square.T - 2 * cross]
 
     def rows_of(grid: np.ndarray, sums: list[np.ndarray]) -> dict[str, np.ndarray | list]:
-        t, s = np.nonzero(np.tril(np.ones((len(grid), len(grid))), -1))
-        t, s = t[sums[0][t, s] > 0], s[sums[0][t, s] > 0]
-        return {
-            "t": grid[t],
-            "s": grid[s],
-            "n": sums[0][t, s].astype(np.int64),
-            "sum_d": sums[1][t, s],
-            "sum_dd": sums[2][t, s],
-        }
+        return {"t": grid, "n": list(sums[0]), "sum_d": list(sums[1]), "sum_dd": list(sums[2])}
 
+    lists = ["n", "sum_d", "sum_dd"]
     fields = [
         T.StructField("t", T.LongType()),
-        T.StructField("s", T.LongType()),
-        T.StructField("n", T.LongType()),
-        T.StructField("sum_d", T.DoubleType()),
-        T.StructField("sum_dd", T.DoubleType()),
+        *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in lists],
     ]
     partial = _summed(unit_rows(panel, cells, spec), keys, times, sums_of, rows_of, fields)
-    half = partial.groupBy(*keys, "t", "s").agg(
-        F.sum("n").alias("n"), F.sum("sum_d").alias("sum_d"), F.sum("sum_dd").alias("sum_dd")
+    # one row per (group, t) with lists over s; opened up only after everything is added
+    added = sum_lists(partial, [*keys, "t"], lists)
+    over_s = F.arrays_zip(F.lit(times).cast("array<bigint>").alias("s"), *lists)
+    rows = added.select(*keys, "t", F.inline(over_s)).where(
+        (F.col("s") != F.col("t")) & (F.col("n") > 0)
     )
     mean = F.col("sum_d") / F.col("n")
     var = F.greatest(F.col("sum_dd") / F.col("n") - mean * mean, F.lit(0.0))
-    both_ways = F.array(
-        F.struct(F.col("t"), F.col("s"), mean.alias("mean_d")),
-        F.struct(F.col("s").alias("t"), F.col("t").alias("s"), (-mean).alias("mean_d")),
+    return rows.select(
+        *keys, "t", "s", F.col("n").cast("bigint").alias("n"), mean.alias("mean_d"), var.alias("var_d")
     )
-    return half.select(*keys, "n", var.alias("var_d"), F.inline(both_ways))
 
 
 def unit_signs(ids: list[str], seed: int, draws: int) -> np.ndarray:
@@ -259,17 +250,54 @@ def bootstrap_sums(
         T.StructField("total", T.DoubleType()),
     ]
     partial = _summed(unit_rows(panel, cells, spec), keys, times, sums_of, rows_of, fields)
-    # Summed element by element, so that no task gathers all partial lists of a large group; the
-    # list rebuilt afterwards has `draws` elements.
-    slots = partial.select(
-        *keys, "time", "total", F.posexplode(F.arrays_zip("s", "w")).alias("b", "sw")
-    )
-    added = slots.groupBy(*keys, "time", "b").agg(
-        F.sum("sw.s").alias("s"), F.sum("sw.w").alias("w"), F.sum("total").alias("total")
-    )
-    ordered = F.sort_array(F.collect_list(F.struct("b", "s", "w")))
-    return (
-        added.groupBy(*keys, "time")
-        .agg(ordered.alias("sw"), F.max("total").alias("total"))
-        .select(*keys, "time", "total", F.col("sw.s").alias("s"), F.col("sw.w").alias("w"))
-    )
+    return sum_lists(partial, [*keys, "time"], ["s", "w"], ["total"])
+
+
+def sum_lists(
+    df: DataFrame, keys: list[str], lists: list[str], numbers: list[str] | None = None
+) -> DataFrame:
+    """Element-wise sums of equally long list columns (and sums of number columns) per key.
+
+    Rows meet sorted by key, so a task adds them up as they stream by and holds one sum; a key with
+    very many rows is never gathered. Exploding the lists would shuffle a row per element instead.
+    """
+    numbers = numbers or []
+    columns = [*keys, *lists, *numbers]
+    narrow = df.select(*columns)
+    schema = narrow.schema
+    arrow_types = {f.name: _arrow_type(f.dataType) for f in schema.fields}
+
+    def emit(runs: list[tuple[tuple, list[np.ndarray]]]) -> pa.RecordBatch:
+        arrays = [
+            pa.array([key[i] for key, _ in runs], type=arrow_types[k]) for i, k in enumerate(keys)
+        ]
+        for i, name in enumerate(lists):
+            arrays.append(pa.array([sums[i] for _, sums in runs], type=arrow_types[name]))
+        for i, name in enumerate(numbers):
+            values = [float(sums[len(lists) + i][0]) for _, sums in runs]
+            arrays.append(pa.array(values, type=arrow_types[name]))
+        return pa.RecordBatch.from_arrays(arrays, names=columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[tuple, list[np.ndarray]] | None = None
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            row_keys = list(zip(*[batch.column(k).to_pylist() for k in keys]))
+            starts = [0] + [i for i in range(1, n) if row_keys[i] != row_keys[i - 1]]
+            values = [batch.column(c).flatten().to_numpy().reshape(n, -1) for c in lists]
+            values += [batch.column(c).to_numpy().reshape(n, 1) for c in numbers]
+            sums = [np.add.reduceat(v, starts, axis=0) for v in values]
+            runs = [(row_keys[at], [s[j] for s in sums]) for j, at in enumerate(starts)]
+            if held is not None and held[0] == runs[0][0]:
+                runs[0] = (held[0], [a + b for a, b in zip(held[1], runs[0][1])])
+            elif held is not None:
+                runs.insert(0, held)
+            held = runs.pop()
+            if runs:
+                yield emit(runs)
+        if held is not None:
+            yield emit([held])
+
+    return narrow.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
