@@ -269,15 +269,15 @@ SELECT seq_idx, CAST(count(*) AS INTEGER) AS n, round(sum(sup), 4) + 0.0 AS sup_
 FROM tok GROUP BY seq_idx"""
 
 
-def _export(steps: str) -> str:
+def _export(steps: str, extra: str = "", more: str = "") -> str:
     return f"""WITH {_TOKENS},
 p AS (
   SELECT seq_idx, avg(sup) AS s, avg(entropy) AS e,
          count(*) FILTER (WHERE rank = 0) / nullif(count(*), 0) AS a, avg(rank) AS r
   FROM tok GROUP BY seq_idx)
 SELECT seq_idx, CAST(step AS INTEGER) AS step, round(s, 4) + 0.0 AS sup_seq,
-       round(e, 4) + 0.0 AS entr_seq, round(a, 4) + 0.0 AS acc_seq, round(r, 4) + 0.0 AS avg_rank
-FROM p CROSS JOIN (VALUES {steps}) s(step)"""
+       round(e, 4) + 0.0 AS entr_seq, round(a, 4) + 0.0 AS acc_seq, round(r, 4) + 0.0 AS avg_rank{extra}
+FROM p CROSS JOIN (VALUES {steps}) s(step){more}"""
 
 
 # --- corpus --------------------------------------------------------------------------------------
@@ -482,6 +482,12 @@ AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 480000)"
 WHERE x NOT IN (SELECT dayofmonth(ts) FROM events)""",
         "scan_with_step": "SELECT event_id, value, CAST(dayofmonth(ts) AS INTEGER) AS step FROM events",
         "panel_export": _export("(0)"),
+        "panel_store": _export(
+            "(0)",
+            ", model_size",
+            " CROSS JOIN (VALUES ('a'), ('b')) z(model_size) WHERE seq_idx % 2 = 0",
+        ),
+        "read_corpus": "SELECT doc_id, CAST(length(text) AS INTEGER) AS n_chars FROM documents",
         "append_runs": _export("(0), (1000)"),
         "flatten_stats": _STATS_TEXT,
         "stream_flatten_stats": _STATS_TEXT,

@@ -67,8 +67,15 @@ from panelfx.operators.tokenstats import (
 )
 from panelfx.schemas import STATS_SHORT
 from panelfx.session import freeze, scratch_path
-from panelfx.sources.corpora import CORRUPT, read_json_permissive, read_splits, write_splits
+from panelfx.sources.corpora import (
+    CORRUPT,
+    read_corpus,
+    read_json_permissive,
+    read_splits,
+    write_splits,
+)
 from panelfx.sources.effects import read_effects, write_effects
+from panelfx.sources.panels import read_panel, read_units, write_panel
 from panelfx.sources.stats import (
     append_stats,
     read_nested_stats,
@@ -318,6 +325,17 @@ def append_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(panel_export(cast_stats(spark.read.schema(schema).parquet(path))))
 
 
+@query("panel_store")
+def stored_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A panel of two model sizes written, read back, and kept to the units of the first size."""
+    path = scratch_path(spark, "panel")
+    panel = panel_export(cast_stats(raw_stats(spark, sf_dir).withColumn("step", F.lit(0))))
+    write_panel(panel.where(F.col("seq_idx") % 2 == 0).withColumn("model_size", F.lit("a")), path)
+    write_panel(panel.withColumn("model_size", F.lit("b")), path)
+    units = read_units(spark, f"{path}/model_size=a")
+    return rounded(restrict_units(read_panel(spark, path), units))
+
+
 # --- token statistics ----------------------------------------------------------------------------
 
 
@@ -469,6 +487,14 @@ def read_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+@query("read_corpus")
+def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as JSON lines, read back with a fixed schema."""
+    path = scratch_path(spark, "corpus")
+    documents(spark, sf_dir).write.json(path)
+    return read_corpus(spark, path).select("doc_id", F.length("text").alias("n_chars"))
+
+
 # --- profiles ------------------------------------------------------------------------------------
 
 

@@ -39,7 +39,7 @@ def annotate_effects(
     listed = F.upper(F.col("model_size"))
     df = effects
     if exclude:
-        df = df.where(~F.col("model_size").isin(*exclude))
+        df = df.where(F.coalesce(~F.col("model_size").isin(*exclude), F.lit(True)))
     df = df.withColumn("model_size", F.when(size_rank(listed, order).isNotNull(), listed))
     df = df.withColumn("size_rank", size_rank(F.col("model_size"), order))
     if target == "sup_seq":
