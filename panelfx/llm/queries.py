@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from panelfx.llm.byte_bpe import read_ranks, token_digests
+from panelfx.llm.jaccard_join import JaccardOptions, jaccard_groups
+from panelfx.llm.toxicity import toxicity_scores
 from panelfx.llm.url_filter import filter_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,8 +35,39 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def fold(n: int) -> Column:
+    """Fold of a document: crc32 of its id as text, modulo n."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels of three folds of four."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(fold(4) != 2)
+    scored = toxicity_scores(docs, labels)
+    return scored.select(
+        "doc_id", (fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+def jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose three-word shingles agree in nine tenths."""
+    return jaccard_groups(table(spark, sf_dir, "documents"), JaccardOptions(90, 100, 3))
+
+
+def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and the text they decode to, as digests."""
+    tokens = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return token_digests(table(spark, sf_dir, "documents"), tokens, public_tokenizers.PATTERN)
+
+
 def llm_queries() -> dict[str, Query]:
-    return {"op1_url_filter": url_filter}
+    return {
+        "op1_url_filter": url_filter,
+        "op4_toxicity": toxicity,
+        "op6_jaccard_join": jaccard,
+        "op9_byte_bpe": byte_bpe,
+    }
 
 
 URL_SQL = """
