@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from panelfx.llm.byte_bpe import read_ranks, token_digests
 from panelfx.llm.jaccard_join import JaccardOptions, jaccard_groups
+from panelfx.llm.mixing import MixOptions, planned_copies
+from panelfx.llm.near_vectors import near_groups
+from panelfx.llm.secrets import secret_spans, spelled
 from panelfx.llm.toxicity import toxicity_scores
 from panelfx.llm.url_filter import filter_urls
 
@@ -35,6 +38,11 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of all vectors at a cosine of 0.95."""
+    return near_groups(table(spark, sf_dir, "embeddings"))
+
+
 def fold(n: int) -> Column:
     """Fold of a document: crc32 of its id as text, modulo n."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
@@ -50,6 +58,29 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document occurs in a mixture of as many tokens at nine tenths of the largest entropy."""
+    plan = planned_copies(table(spark, sf_dir, "documents"), MixOptions())
+    return plan.select("doc_id", "source", "n_tokens", "source_tokens", "weight", "budget", "copies")
+
+
+def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: the base patterns' and those the Markov models add."""
+    found = secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
+
+    return found.select(
+        "doc_id",
+        count(1).alias("n_assign"),
+        count(2).alias("n_access"),
+        count(3).alias("n_hex"),
+        F.sha2(spelled(F.col("base")), 256).alias("base_sha256"),
+        spelled(F.col("spans")).alias("spans"),
+    )
+
+
 def jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose three-word shingles agree in nine tenths."""
     return jaccard_groups(table(spark, sf_dir, "documents"), JaccardOptions(90, 100, 3))
@@ -64,9 +95,12 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_url_filter": url_filter,
+        "op2_near_vectors": near_vectors,
+        "op3_mixing": mixing,
         "op4_toxicity": toxicity,
         "op6_jaccard_join": jaccard,
         "op9_byte_bpe": byte_bpe,
+        "op10_secrets": secrets,
     }
 
 

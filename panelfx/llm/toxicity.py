@@ -10,25 +10,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelfx.llm.texts import hash_runs, letter_gap_table, mix, slices, split_words
+from panelfx.llm.texts import letter_gap_table, mix, slices, split_words
+from panelfx.session import freeze
 
 
 @dataclass(frozen=True)
 class FtrlOptions:
-    """Parameters of the model and of its training.
-
-    max_train_docs bounds the labelled sample, shards the number of models trained side by side on
-    parts of it, which are averaged after every round and go on from the average.
-    """
+    """Parameters of the model and of its training; max_train_docs bounds the labelled sample."""
 
     bits: int = 20
-    alpha: float = 0.05
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 2.0
-    l2: float = 1.0
+    l1: float = 8.0
+    l2: float = 0.0
     rounds: int = 3
-    shards: int = 6
-    max_train_docs: int = 30_000
+    max_train_docs: int = 12_000
 
 
 def features(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -40,13 +36,12 @@ def features(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
     words = split_words(texts, letter_gap_table())
     one = words.hashes()
     owner = np.repeat(np.arange(len(words.counts)), words.counts)
-    pair = hash_runs(one, 2)
-    skip = hash_runs(one, 1)[:-2] if len(one) > 2 else one[:0]
-    skip = mix(skip + np.uint64(0x632BE59BD9B4E019) * one[2:]) if len(one) > 2 else skip
-    parts = [one, pair[owner[1:] == owner[:-1]] if len(one) > 1 else pair, skip[owner[2:] == owner[:-2]] if len(one) > 2 else skip]
-    owners = [owner, owner[:-1][owner[1:] == owner[:-1]] if len(one) > 1 else owner[:0], owner[:-2][owner[2:] == owner[:-2]] if len(one) > 2 else owner[:0]]
-    index = (np.concatenate(parts) >> np.uint64(64 - bits)).astype(np.int64)
-    return index, np.concatenate(owners)
+    found, owners = [one], [owner]
+    for gap, tag in ((1, 0x632BE59BD9B4E019), (2, 0x9FB21C651E98DF25)):
+        same = owner[gap:] == owner[:-gap]
+        found.append(mix(one[:-gap] * np.uint64(tag) + one[gap:])[same])
+        owners.append(owner[:-gap][same])
+    return (np.concatenate(found) >> np.uint64(64 - bits)).astype(np.int64), np.concatenate(owners)
 
 
 def sigmoid(x):
@@ -111,67 +106,48 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, options: Ftr
 
 
 def train(sample: DataFrame, options: FtrlOptions) -> SparseWeights:
-    """Fit on (text, _label, _key): every round trains each shard in its own task and averages them.
+    """Fit on (text, _label, _key), which labelled_sample has bounded.
 
-    The average of a round is bounded by 2**bits coordinates and is broadcast to the next round. In a
-    shard, documents come in the order of their key. Without documents the score is 0.5 everywhere.
+    FTRL is sequential: averaging models trained on parts shrinks them below the L1 threshold. So the
+    sample is written once and every round streams through it in one task, batch by batch, in a
+    hashed order of its own. Between rounds the state (2**bits coordinates at most, those that
+    moved) passes through the driver. Without documents the score is 0.5 everywhere.
     """
     spark = sample.sparkSession
     size = (1 << options.bits) + 1
     z, n = np.zeros(size), np.zeros(size)
-    dealt = sample.withColumn("_shard", F.pmod(F.xxhash64("_key"), F.lit(options.shards)).cast("int"))
+    sample = freeze(sample, "labelled")
     for turn in range(options.rounds):
         state = spark.sparkContext.broadcast((z, n))
 
-        def fit(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start = state.value
-            model, seen = Ftrl(options, start[0].copy(), start[1].copy()), 0
+            model = Ftrl(options, start[0].copy(), start[1].copy())
             for batch in batches:
                 for part in slices(batch, "text"):
                     at, owner = features(part.column("text"), options.bits)
-                    bounds = np.searchsorted(owner_sorted := np.sort(owner, kind="stable"), np.arange(part.num_rows + 1))
-                    at = at[np.argsort(owner, kind="stable")]
-                    del owner_sorted
+                    order = np.argsort(owner, kind="stable")
+                    bounds = np.searchsorted(owner[order], np.arange(part.num_rows + 1))
+                    at = at[order]
                     for row, label in enumerate(part.column("_label").to_pylist()):
                         model.update(np.unique(at[bounds[row] : bounds[row + 1]]), label)
-                        seen += 1
-            moved = np.flatnonzero((model.n != start[1]) | (model.z != start[0]))
+            moved = np.flatnonzero(model.n != start[1])
             for k in range(0, len(moved), 50_000):
                 i = moved[k : k + 50_000]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(i, pa.int64()), pa.array(model.z[i] - start[0][i]), pa.array(model.n[i] - start[1][i])],
-                    ["i", "dz", "dn"],
+                    [pa.array(i, pa.int64()), pa.array(model.z[i]), pa.array(model.n[i])], ["i", "z", "n"]
                 )
 
-        changes = (
-            dealt.repartition(options.shards, "_shard")
-            .groupBy("_shard")
-            .applyInArrow(sorted_by_key(fit, turn), "i bigint, dz double, dn double")
-            .groupBy("i")
-            .agg(F.sum("dz").alias("dz"), F.sum("dn").alias("dn"))
-            .toArrow()
-        )
-        i = changes["i"].to_numpy()
-        z[i] += changes["dz"].to_numpy() / options.shards
-        n[i] += changes["dn"].to_numpy() / options.shards
+        ordered = sample.repartition(1).sortWithinPartitions(F.xxhash64(F.lit(turn), "_key"), "_key", "text")
+        moved = ordered.mapInArrow(fit, "i bigint, z double, n double").toArrow()
+        at = moved["i"].to_numpy()
+        z[at], n[at] = moved["z"].to_numpy(), moved["n"].to_numpy()
         state.unpersist()
-    model = Ftrl(options, z, n)
-    weights = model.weights(np.arange(size))
+    weights = Ftrl(options, z, n).weights(np.arange(size))
     index = np.flatnonzero(weights[:-1])
     return SparseWeights(options.bits, index, weights[index], float(weights[-1]))
 
 
-def sorted_by_key(fit, turn: int):
-    """Rows of a shard in the order of a key that differs from round to round."""
-
-    def ordered(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = pa.Table.from_batches(list(batches))
-        order = mix(whole["_key"].to_numpy().astype(np.int64).view(np.uint64) + np.uint64(turn))
-        yield from fit(key, whole.take(np.argsort(order, kind="stable")).combine_chunks().to_batches())
-
-    return ordered
-
-
 def score_texts(docs: DataFrame, weights: SparseWeights, name: str = "score") -> DataFrame:
     """`docs` with the probability of label 1 of each whole text (null: as empty, the bias alone).
 
