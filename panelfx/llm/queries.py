@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelfx.llm.byte_bpe import read_ranks, token_digests
+from panelfx.llm.iblt import version_fingerprints
 from panelfx.llm.jaccard_join import JaccardOptions, jaccard_groups
 from panelfx.llm.mixing import MixOptions, planned_copies
 from panelfx.llm.near_vectors import near_groups
@@ -58,6 +59,11 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and their likeness."""
+    return version_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each document occurs in a mixture of as many tokens at nine tenths of the largest entropy."""
     plan = planned_copies(table(spark, sf_dir, "documents"), MixOptions())
@@ -98,6 +104,7 @@ def llm_queries() -> dict[str, Query]:
         "op2_near_vectors": near_vectors,
         "op3_mixing": mixing,
         "op4_toxicity": toxicity,
+        "op5_fingerprints": fingerprints,
         "op6_jaccard_join": jaccard,
         "op9_byte_bpe": byte_bpe,
         "op10_secrets": secrets,
