@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelfx.llm.byte_bpe import read_ranks, token_digests
+from panelfx.llm.html_text import extract_text
 from panelfx.llm.iblt import version_fingerprints
 from panelfx.llm.jaccard_join import JaccardOptions, jaccard_groups
 from panelfx.llm.mixing import MixOptions, planned_copies
@@ -92,6 +93,11 @@ def jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"), JaccardOptions(90, 100, 3))
 
 
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and the text they decode to, as digests."""
     tokens = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -106,6 +112,7 @@ def llm_queries() -> dict[str, Query]:
         "op4_toxicity": toxicity,
         "op5_fingerprints": fingerprints,
         "op6_jaccard_join": jaccard,
+        "op7_html_text": html_text,
         "op9_byte_bpe": byte_bpe,
         "op10_secrets": secrets,
     }
