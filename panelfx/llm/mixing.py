@@ -26,7 +26,7 @@ class MixOptions:
     the size of a block, about.
     """
 
-    entropy: float | None = 0.9
+    entropy: float | None = 0.95
     repeats: float | None = 4.0
     budget: int | None = None
     block_tokens: int = 65_536

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from panelfx.llm.byte_bpe import read_ranks, token_digests
 from panelfx.llm.html_text import extract_text
 from panelfx.llm.iblt import version_fingerprints
 from panelfx.llm.jaccard_join import JaccardOptions, jaccard_groups
+from panelfx.llm.lattice_lm import lattice_scores
 from panelfx.llm.mixing import MixOptions, planned_copies
 from panelfx.llm.near_vectors import near_groups
 from panelfx.llm.secrets import secret_spans, spelled
@@ -66,7 +68,7 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each document occurs in a mixture of as many tokens at nine tenths of the largest entropy."""
+    """How often each document occurs in a mixture of as many tokens at 0.95 of the largest entropy."""
     plan = planned_copies(table(spark, sf_dir, "documents"), MixOptions())
     return plan.select("doc_id", "source", "n_tokens", "source_tokens", "weight", "budget", "copies")
 
@@ -98,6 +100,16 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of every document, learnt from four folds of five."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    scored = lattice_scores(docs.where(fold(5) != 1), docs, pieces)
+    return scored.select(
+        "doc_id", (fold(5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and the text they decode to, as digests."""
     tokens = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -113,8 +125,10 @@ def llm_queries() -> dict[str, Query]:
         "op5_fingerprints": fingerprints,
         "op6_jaccard_join": jaccard,
         "op7_html_text": html_text,
+        "op8_lattice_lm": lattice_lm,
         "op9_byte_bpe": byte_bpe,
         "op10_secrets": secrets,
+        "pipeline": corpus_pipeline.run,
     }
 
 

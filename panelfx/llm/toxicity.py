@@ -175,7 +175,11 @@ def score_texts(docs: DataFrame, weights: SparseWeights, name: str = "score") ->
 
 
 def toxicity_scores(
-    docs: DataFrame, labels: DataFrame, label: str = "toxic", options: FtrlOptions = FtrlOptions()
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str = "toxic",
+    options: FtrlOptions = FtrlOptions(),
+    name: str = "score",
 ) -> DataFrame:
-    """Train on the labelled documents and score all of them (column score)."""
-    return score_texts(docs, train(labelled_sample(docs, labels, label, options), options))
+    """Train on the labelled documents and score all of them (column `name`)."""
+    return score_texts(docs, train(labelled_sample(docs, labels, label, options), options), name)
