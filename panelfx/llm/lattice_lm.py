@@ -319,7 +319,7 @@ def lattice_scores(train: DataFrame, docs: DataFrame, pieces: list[bytes], optio
                 owner = np.repeat(np.arange(n), words.counts)
                 counted = in_head[place]
                 logs = np.log10(c + 0.5)
-                base = np.bincount(owner[counted], logs[place][counted], minlength=n)
+                base = np.bincount(owner[counted], logs[place][counted], minlength=n).astype(float)
                 base += math.log10(ends + 0.5) - (words.counts + 1) * divisor
                 known = np.bincount(owner[counted], minlength=n) + has_end
                 total = np.bincount(owner, marginal[place] + word_share, minlength=n) + math.log(end_share)
