@@ -22,7 +22,7 @@ def quarter_index(date: Column) -> Column:
 
 
 def orders_panel(spark: SparkSession, sf_dir: str, segments: bool = False) -> DataFrame:
-    """Customer x quarter spend in 7,000s (sevenths keep rounding free of ties); cohort = quarter of the first urgent order.
+    """Customer x quarter spend in 7,919s (a large prime keeps rounding free of ties); cohort = quarter of the first urgent order.
 
     Orders are added up per customer and quarter before anything is gathered per customer, so a
     customer's group has at most one entry per quarter.
@@ -34,7 +34,7 @@ def orders_panel(spark: SparkSession, sf_dir: str, segments: bool = False) -> Da
         (F.col("o_orderpriority") == "1-URGENT").alias("urgent"),
     )
     spend = orders.groupBy("unit", "t").agg(
-        (F.sum("p").cast("double") / 7000).alias("y"), F.bool_or("urgent").alias("urgent")
+        (F.sum("p").cast("double") / 7919).alias("y"), F.bool_or("urgent").alias("urgent")
     )
     units = spend.groupBy("unit").agg(
         F.map_from_entries(F.collect_list(F.struct("t", "y"))).alias("ys"),
@@ -53,7 +53,7 @@ def orders_panel(spark: SparkSession, sf_dir: str, segments: bool = False) -> Da
 
 
 def events_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User x day summed values in sevenths, days without events left out: an unbalanced panel.
+    """User x day summed values in parts of a large prime, days without events left out: an unbalanced panel.
 
     Cohort = day of the user's first purchase above 100, if any.
     """
@@ -66,7 +66,7 @@ def events_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
             ((F.col("event_type") == "purchase") & (F.col("value") > 100)).alias("bought"),
         )
         .groupBy("unit", "t")
-        .agg((F.sum("v").cast("double") / 7).alias("y"), F.bool_or("bought").alias("bought"))
+        .agg((F.sum("v").cast("double") * 1000 / 7919).alias("y"), F.bool_or("bought").alias("bought"))
     )
     first = daily.groupBy("unit").agg(F.min(F.when(F.col("bought"), F.col("t"))).alias("g"))
     return daily.join(first, "unit").select("unit", "t", "g", "y")
@@ -87,10 +87,8 @@ def raw_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus. A file with fewer row groups than cores is spread, larger ones are left alone."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    cores = spark.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+    """The corpus."""
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:

@@ -17,7 +17,7 @@ o AS (
   FROM orders),
 tm AS (SELECT CAST(unnest(generate_series(1, (SELECT max(t) FROM o))) AS BIGINT) AS t),
 un AS (SELECT unit, min(CASE WHEN urgent THEN t END) AS g FROM o GROUP BY unit),
-yy AS (SELECT unit, t, CAST(sum(p) AS DOUBLE) / 7000 AS y FROM o GROUP BY unit, t)"""
+yy AS (SELECT unit, t, CAST(sum(p) AS DOUBLE) / 7919 AS y FROM o GROUP BY unit, t)"""
 
 _ORDERS = (
     _ORDERS_ROWS
@@ -39,7 +39,7 @@ panel AS (
 _EVENTS = """
 d AS (
   SELECT user_id AS unit, CAST(dayofmonth(ts) AS BIGINT) AS t,
-         CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / 7 AS y,
+         CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) * 1000 / 7919 AS y,
          bool_or(event_type = 'purchase' AND value > 100) AS bought
   FROM events GROUP BY 1, 2),
 f AS (SELECT unit, min(CASE WHEN bought THEN t END) AS g FROM d GROUP BY unit),
@@ -319,7 +319,7 @@ def _two_stage(ids: str, batch: int, cohort: int, batches: int, rows: int) -> st
     return f"""
 i AS ({ids}),
 fb AS (
-  SELECT id // {batch} AS b FROM i GROUP BY id // {batch} HAVING count(*) = {batch}),
+  SELECT DISTINCT id // {batch} AS b FROM i WHERE id // {batch} < (SELECT (max(id) + 1) // {batch} FROM i)),
 kb AS (
   SELECT b, b // {cohort} AS c,
     row_number() OVER (PARTITION BY b // {cohort} ORDER BY md5('1994:' || CAST(b AS VARCHAR)), b) AS k
@@ -493,6 +493,11 @@ WHERE x NOT IN (SELECT dayofmonth(ts) FROM events)""",
         "stream_flatten_stats": _STATS_TEXT,
         "token_statistics": _TOKEN_STATS,
         "token_statistics_arrow": _TOKEN_STATS,
+        "token_statistics_edges": f"""WITH {_TOKENS}
+SELECT t.seq_idx, t.pos, CASE WHEN vec_id % 3 <> 0 THEN round(sup, 4) + 0.0 END AS sup,
+       CASE WHEN vec_id % 3 <> 0 THEN rank END AS rank,
+       CASE WHEN vec_id % 3 <> 0 THEN round(entropy, 4) + 0.0 END AS entropy
+FROM tok t JOIN embeddings e ON t.seq_idx = e.vec_id // 10 AND t.pos = e.vec_id % 10""",
         "sequence_surprisal": f"""WITH {_TOKENS}
 SELECT seq_idx, round(avg(sup), 4) + 0.0 AS sup_seq FROM tok GROUP BY seq_idx""",
         "vocabulary": f"WITH {_VOCAB} SELECT token, token_id, count FROM vocab",

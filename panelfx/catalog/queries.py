@@ -346,6 +346,20 @@ def _token_query(method: str) -> Query:
     return run
 
 
+@query("token_statistics_edges")
+def token_statistics_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two thirds of the tokens have a target or logits, in turn NULL or empty otherwise."""
+    tokens = scored_tokens(spark, sf_dir)
+    token = F.col("seq_idx") * 10 + F.col("pos")
+    edged = tokens.withColumns(
+        {
+            "target": F.when(token % 6 != 0, F.col("target")),
+            "logits": F.when(token % 6 == 3, F.slice("logits", 1, 0)).otherwise(F.col("logits")),
+        }
+    )
+    return rounded(token_statistics(edged))
+
+
 _QUERIES["token_statistics"] = _token_query("native")
 _QUERIES["token_statistics_arrow"] = _token_query("arrow")
 

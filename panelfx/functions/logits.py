@@ -22,15 +22,22 @@ def log_sum_exp(logits: Column) -> Column:
     return top + F.ln(_shifted_sum(logits, top, F.exp))
 
 
+def _logit_of(logits: Column, target: Column) -> Column:
+    """The target's logit; NULL without target or logits, an error for a target outside the list."""
+    inside = (target >= 0) & (target < F.size(logits))
+    message = F.concat(F.lit("target outside the vocabulary: "), target.cast("string"))
+    return F.when(target.isNull() | logits.isNull() | (F.size(logits) < 1), None).when(inside, F.get(logits, target)).otherwise(F.raise_error(message))
+
+
 def surprisal_of(logits: Column, target: Column) -> Column:
-    """-log p(target); `target` is a 0-based vocabulary position."""
-    return log_sum_exp(logits) - F.get(logits, target).cast("double")
+    """-log p(target); `target` is a 0-based vocabulary position. NULL without target or logits."""
+    return log_sum_exp(logits) - _logit_of(logits, target).cast("double")
 
 
 def target_rank(logits: Column, target: Column) -> Column:
-    """Vocabulary entries with strictly larger logit than the target's (0 = top)."""
-    chosen = F.get(logits, target)
-    return F.size(F.filter(logits, lambda x: x > chosen))
+    """Vocabulary entries with strictly larger logit than the target's (0 = top); NULL without either."""
+    chosen = _logit_of(logits, target)
+    return F.when(chosen.isNotNull(), F.size(F.filter(logits, lambda x: x > chosen)))
 
 
 def entropy_of(logits: Column) -> Column:

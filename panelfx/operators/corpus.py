@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from panelfx.functions import inputs_of, labels_of
 from panelfx.operators.ordering import running_total, small_side
+from panelfx.session import freeze
 
 PACKED_LENGTH = 2049  # fixed value: 2048 predicted positions and the first token
 FIRST_PACKED_ID = -100  # fixed value: packed rows are numbered -100, -101, ...
@@ -99,8 +100,8 @@ def tokenize(
     With `tokenizer`, a function over batches of texts, or with a vocabulary of at most `HEAD_WORDS`
     short words, nothing is shuffled. Of a larger vocabulary that many of the lowest ids, which are
     the most frequent words, are broadcast; only words that are not among them are shuffled, to be
-    joined with the rest. A word outside the vocabulary becomes `unknown_id`, or an error where that
-    is not given.
+    joined with the rest. A word outside the vocabulary, or without an id in it, becomes `unknown_id`,
+    or an error where that is not given. Every row of `docs` gives one row, whatever its id.
     """
     if tokenizer is not None:
 
@@ -111,7 +112,7 @@ def tokenize(
         return docs.select(doc_id, as_ids(text).alias("input_ids"))
     if vocab is None:
         raise ValueError("give a vocabulary or a tokenizer")
-    ids = vocab.select("token", F.col("token_id").cast("int").alias("token_id"))
+    ids = vocab.select("token", F.col("token_id").cast("int").alias("token_id")).where("token_id IS NOT NULL")
     in_head = (F.col("token_id") < HEAD_WORDS) & (F.length("token") <= HEAD_WORD_CHARS)
     head, tail = ids.where(in_head).toArrow(), ids.where(~in_head)
     words = docs.select(doc_id, F.coalesce(words_of(F.col(text)), F.array()).alias("words"))
@@ -127,21 +128,23 @@ def tokenize(
         filled = F.transform("ids", lambda i: F.coalesce(i, fallback))
         complete = F.when(F.size("pos") == 0, F.col("ids")).otherwise(filled)
         return coded.select(doc_id, complete.alias("input_ids"))
-    rare = coded.select(doc_id, F.inline(F.arrays_zip("pos", "token"))).join(tail, "token", "left")
+    # rows meet their rare words again by a number, written down with them: ids may repeat or be NULL
+    coded = freeze(coded.withColumn("_row", F.monotonically_increasing_id()), "coded")
+    rare = coded.select("_row", F.inline(F.arrays_zip("pos", "token"))).join(tail, "token", "left")
     outside = (
         F.lit(unknown_id).cast("int")
         if unknown_id is not None
         else F.raise_error(F.concat(F.lit("word outside the vocabulary: "), F.col("token")))
     )
-    found = rare.groupBy(doc_id).agg(
+    found = rare.groupBy("_row").agg(
         F.collect_list(F.struct("pos", F.coalesce("token_id", outside).alias("id"))).alias("found")
     )
     placed = F.transform("ids", lambda i, at: F.struct(at.alias("pos"), i.alias("id")))
     common = F.filter(placed, lambda p: p["id"].isNotNull())
     merged = F.sort_array(F.concat(common, "found"))
     return (
-        coded.select(doc_id, "ids")
-        .join(found, doc_id, "left")
+        coded.select(doc_id, "_row", "ids")
+        .join(found, "_row", "left")
         .select(
             doc_id,
             F.when(F.col("found").isNull(), F.col("ids"))
@@ -156,12 +159,17 @@ def pack_sequences(
 ) -> DataFrame:
     """Join all token lists in document order and cut them into rows of `length`.
 
-    Nothing is put between documents; the incomplete last row is left out. The position of each
+    Ids must be there and unique, or this raises. Nothing is put between documents; the incomplete
+    last row is left out. The position of each
     document comes from a distributed running total over (doc_id, number of tokens). Each document
     is then cut at row borders, and only these pieces are shuffled: a row gathers at most `length`
     tokens.
     """
-    sizes = tokenized.select(doc_id, F.size("input_ids").alias("_n"))
+    sizes = tokenized.groupBy(doc_id).agg(
+        F.when(F.col(doc_id).isNotNull() & (F.count("*") == 1), F.max(F.size("input_ids")))
+        .otherwise(F.raise_error(F.concat(F.lit("NULL or repeated id: "), F.coalesce(F.col(doc_id).cast("string"), F.lit("NULL")))))
+        .alias("_n")
+    )
     starts = running_total(sizes, [doc_id], F.col("_n"), "_start").where(F.col("_n") > 0)
     placed = tokenized.select(doc_id, "input_ids").join(starts, doc_id)
     first_row = F.floor(F.col("_start") / length)

@@ -77,7 +77,7 @@ def cells_of(panel: DataFrame, spec: PanelSpec) -> DataFrame:
     return y.groupBy(*spec.by, "cohort", "time").agg(
         F.count("*").alias("n"),
         F.avg("_y").alias("mean"),
-        # Two sums over unit hashes; equal ones at two times mean the same units were seen.
+        # Sums over unit hashes; equal ones at two times mean the same units were seen as often.
         F.bit_xor("_h").alias("units_xor"),
         F.sum(F.shiftright("_h", 32)).alias("units_sum"),
     )
@@ -131,7 +131,8 @@ def _require_balance(cells: DataFrame, spec: PanelSpec) -> DataFrame:
 
     marked = cells.withColumns(
         {
-            "_steady": steady("n") & steady("units_xor") & steady("units_sum"),
+            # doubled rows cancel in the xor, and n and sum are then as steady as before
+            "_steady": steady("n") & steady("units_xor") & steady("units_sum") & (F.col("units_xor") != 0),
             "_times": F.count("*").over(of_cohort),
         }
     ).withColumn(
@@ -143,7 +144,7 @@ def _require_balance(cells: DataFrame, spec: PanelSpec) -> DataFrame:
         F.coalesce(F.col("cohort").cast("string"), F.lit("never treated")),
         F.lit(", time "),
         F.col("time").cast("string"),
-        F.lit("; unbalanced_units lists the units"),
+        F.lit("; unbalanced_units lists the units, also those with repeated rows"),
     )
     return marked.withColumn(
         "mean", F.when(fine, F.col("mean")).otherwise(F.raise_error(message))
@@ -172,7 +173,7 @@ def _att_from_cells(cells: DataFrame, spec: PanelSpec, options: EffectOptions) -
 def _all_bases(cells: DataFrame, spec: PanelSpec, options: EffectOptions) -> DataFrame:
     """Base period of every cohort at every time of its panel, observed for that cohort or not."""
     by = list(spec.by)
-    times = F.sort_array(F.collect_set("time"))  # few: `times_of` has checked them
+    times = F.sort_array(F.collect_set("time"))
     cohorts = cells.where(F.col("cohort").isNotNull()).select(*by, "cohort").distinct()
     if by:
         cohorts = cohorts.join(cells.groupBy(*by).agg(times.alias("times")), by)

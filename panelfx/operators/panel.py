@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelfx.functions import batch_of, cohort_of, list_mean, share_equal
+from panelfx.functions import batch_of, cohort_of, list_mean, none_if_nan, share_equal
 from panelfx.functions.ids import BATCH_SIZE, COHORT_SIZE, NO_COHORT
 
 LAST_SINGLE_EPOCH_STEP = 95_000  # fixed value: later steps see the data a second time
@@ -34,15 +34,15 @@ class PanelSpec:
 def flatten_stats(nested: DataFrame, keep_empty: bool = False) -> DataFrame:
     """One row per sequence from batch objects whose columns are lists over the batch.
 
-    Lists of one batch must be equally long. A batch without sequences vanishes unless
+    Lists of one batch must be there and equally long. A batch without sequences vanishes unless
     `keep_empty`, which leaves one all-NULL row for it.
     """
     first, *rest = nested.columns
     even = F.lit(True)
     for other in rest:
         even = even & F.size(first).eqNullSafe(F.size(other))
-    rows = F.when(even, F.arrays_zip(*nested.columns)).otherwise(
-        F.raise_error(F.lit("columns of one batch differ in length"))
+    rows = F.when(even & F.col(first).isNotNull(), F.arrays_zip(*nested.columns)).otherwise(
+        F.raise_error(F.lit("columns of one batch differ in length or are NULL"))
     )
     explode = F.inline_outer if keep_empty else F.inline
     return nested.select(explode(rows))
@@ -148,8 +148,8 @@ def require_steps(found: DataFrame, start: int = 0, stop: int = 144_000, by: int
 
 
 def unbalanced_units(panel: DataFrame, spec: PanelSpec) -> DataFrame:
-    """Units not observed exactly once at every time of their panel."""
-    seen = panel.where(F.col(spec.target).isNotNull())
+    """Units not observed exactly once at every time of their panel; NaN outcomes are missing."""
+    seen = panel.where(none_if_nan(F.col(spec.target)).isNotNull())
     by = list(spec.by)
     times = seen.select(*by, spec.time).distinct().groupBy(*by).agg(F.count("*").alias("_times"))
     units = seen.groupBy(*by, spec.unit).agg(

@@ -28,26 +28,26 @@ def sample_two_stage(
 ) -> DataFrame:
     """(cohort, batch_idx, seq_idx): `n_batches` per cohort, then `n_sequences` per batch.
 
-    Ids count from 0 without gaps; a batch with fewer than `batch_size` rows does not take part.
-    The corpus is read once, and only its id column. Both rankings run within a cohort's batches
-    and a batch's rows, whose numbers are bounded by `cohort_size` and `batch_size`.
+    Ids count from 0; the last batch does not take part unless its last id is there. An absent id does
+    not keep the rest of its batch out, a repeated one counts once, and only ids of the table are
+    drawn. Only the id column is read. Both rankings run within a cohort's batches and a batch's
+    rows, whose numbers are bounded by `cohort_size` and `batch_size`.
     """
+    batch_of = F.floor(F.col(unit) / batch_size).cast("bigint")
+    ids = sequences.select(unit, batch_of.alias("batch_idx")).where(F.col(unit) >= 0).distinct()
+    complete = sequences.agg(F.floor((F.max(unit) + 1) / batch_size)).scalar()
     full = (
-        sequences.select(F.floor(F.col(unit) / batch_size).cast("bigint").alias("batch_idx"))
-        .groupBy("batch_idx")
-        .agg(F.count("*").alias("_rows"))
-        .where(F.col("_rows") == batch_size)
+        ids.select("batch_idx")
+        .distinct()
+        .where(F.col("batch_idx") < complete)
         .select(F.floor(F.col("batch_idx") / cohort_size).cast("bigint").alias("cohort"), "batch_idx")
     )
     in_cohort = W.partitionBy("cohort").orderBy(hash_key(seed, F.col("batch_idx")), "batch_idx")
     batches = full.withColumn("_k", F.row_number().over(in_cohort)).where(F.col("_k") <= n_batches)
-    first = F.col("batch_idx") * batch_size
-    ids = batches.select(
-        "cohort", "batch_idx", F.explode(F.sequence(first, first + (batch_size - 1))).alias(unit)
-    )
     in_batch = W.partitionBy("batch_idx").orderBy(hash_key(seed, F.col(unit)), unit)
     return (
-        ids.withColumn("_k", F.row_number().over(in_batch))
+        ids.join(batches.select("cohort", "batch_idx"), "batch_idx")
+        .withColumn("_k", F.row_number().over(in_batch))
         .where(F.col("_k") <= n_sequences)
         .select("cohort", "batch_idx", unit)
     )

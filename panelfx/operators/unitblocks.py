@@ -22,17 +22,15 @@ from panelfx.operators.ordering import small_side
 from panelfx.operators.panel import PanelSpec
 
 ROWS_PER_SALT = 500_000
-MAX_TIMES = 2_000
+# Times whose products with all times are held together.
+TIMES_TOGETHER = 512
 _OPEN_BYTES = 256 << 20
 _BLOCK_UNITS = 2_048
 
 
 def times_of(cells: DataFrame) -> list[int]:
-    """The distinct times, which have to be few: the sums kept per group are times x times."""
-    rows = cells.select("time").distinct().limit(MAX_TIMES + 1).collect()
-    if len(rows) > MAX_TIMES:
-        raise ValueError(f"more than {MAX_TIMES} distinct times; coarsen the time column")
-    return sorted(r["time"] for r in rows)
+    """The distinct times of the panel."""
+    return sorted(r["time"] for r in cells.select("time").distinct().collect())
 
 
 def unit_rows(panel: DataFrame, cells: DataFrame, spec: PanelSpec) -> DataFrame:
@@ -103,8 +101,8 @@ def _summed(
     units: DataFrame,
     keys: list[str],
     times: list[int],
-    sums_of: Callable[[list[str], np.ndarray], list[np.ndarray]],
-    rows_of: Callable[[np.ndarray, list[np.ndarray]], dict[str, np.ndarray | list]],
+    sums_of: Callable[[tuple, list[str], np.ndarray], list[np.ndarray]],
+    rows_of: Callable[[tuple, np.ndarray, list[np.ndarray]], dict[str, np.ndarray | list]],
     fields: list[T.StructField],
 ) -> DataFrame:
     """Add up `sums_of` over the blocks of a group within a task; `rows_of` lays the sums out."""
@@ -115,7 +113,7 @@ def _summed(
 
     def emit(open_groups: dict[tuple, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         for group, sums in open_groups.items():
-            out = rows_of(grid, sums)
+            out = rows_of(group, grid, sums)
             length = len(next(iter(out.values())))
             arrays = [
                 pa.array([value] * length, type=arrow_types[k]) for k, value in zip(keys, group)
@@ -129,7 +127,7 @@ def _summed(
             if batch.num_rows == 0:
                 continue
             for group, ids, block in _dense_blocks(batch, keys, grid):
-                new = sums_of(ids, block)
+                new = sums_of(group, ids, block)
                 held = open_groups.get(group)
                 if held is not None:
                     open_groups[group] = [a + b for a, b in zip(held, new)]
@@ -155,30 +153,44 @@ def pair_moments(panel: DataFrame, cells: DataFrame, spec: PanelSpec) -> DataFra
     """Count, mean and population variance of `y(t) - y(s)` over a group's units, for all t != s.
 
     Differences ignore any per-unit constant, so every unit is centred first, which keeps the
-    products small. Output: by..., cohort, t, s, n, mean_d, var_d.
+    products small. Of many times, TIMES_TOGETHER at a time are set against all of them, each such
+    tile for itself, so what a task holds grows with the number of times and not with its square.
+    Output: by..., cohort, t, s, n, mean_d, var_d.
     """
     keys = [*spec.by, "cohort"]
     times = times_of(cells)
+    tiles = -(-len(times) // TIMES_TOGETHER)
 
-    def sums_of(_ids: list[str], block: np.ndarray) -> list[np.ndarray]:
+    def tile_of(group: tuple) -> slice:
+        return slice(group[-1] * TIMES_TOGETHER, (group[-1] + 1) * TIMES_TOGETHER)
+
+    def sums_of(group: tuple, _ids: list[str], block: np.ndarray) -> list[np.ndarray]:
+        own = tile_of(group)
         seen = ~np.isnan(block)
         y = np.where(seen, block - np.nanmean(block, axis=1, keepdims=True), 0.0)
         mask = seen.astype(float)
-        both = mask.T @ mask
-        first = y.T @ mask  # sum of y(t) over units seen at t and s
-        square = (y * y).T @ mask
-        cross = y.T @ y
-        return [both, first - first.T, square + square.T - 2 * cross]
+        both = mask[:, own].T @ mask
+        # sum of y(t) - y(s) over units seen at t and s
+        first = y[:, own].T @ mask - mask[:, own].T @ y
+        square = (y * y)[:, own].T @ mask + mask[:, own].T @ (y * y)
+        cross = y[:, own].T @ y
+        return [both, first, square - 2 * cross]
 
-    def rows_of(grid: np.ndarray, sums: list[np.ndarray]) -> dict[str, np.ndarray | list]:
-        return {"t": grid, "n": list(sums[0]), "sum_d": list(sums[1]), "sum_dd": list(sums[2])}
+    def rows_of(group: tuple, grid: np.ndarray, sums: list[np.ndarray]) -> dict[str, np.ndarray | list]:
+        return {"t": grid[tile_of(group)], "n": list(sums[0]), "sum_d": list(sums[1]), "sum_dd": list(sums[2])}
 
     lists = ["n", "sum_d", "sum_dd"]
     fields = [
         T.StructField("t", T.LongType()),
         *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in lists],
     ]
-    partial = _summed(unit_rows(panel, cells, spec), keys, times, sums_of, rows_of, fields)
+    units = unit_rows(panel, cells, spec)
+    if tiles > 1:
+        tile = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
+        units = units.withColumn("_tile", tile).repartition(*keys, "_tile", F.pmod(F.xxhash64("unit"), F.lit(tiles)))
+    else:
+        units = units.withColumn("_tile", F.lit(0))
+    partial = _summed(units, [*keys, "_tile"], times, sums_of, rows_of, fields)
     # one row per (group, t) with lists over s; opened up only after everything is added
     added = sum_lists(partial, [*keys, "t"], lists)
     over_s = F.arrays_zip(F.lit(times).cast("array<bigint>").alias("s"), *lists)
@@ -229,13 +241,13 @@ def bootstrap_sums(
     times = times_of(cells)
     weights = {"rademacher": unit_signs, "mammen": unit_mammen}[multiplier]
 
-    def sums_of(ids: list[str], block: np.ndarray) -> list[np.ndarray]:
+    def sums_of(_group: tuple, ids: list[str], block: np.ndarray) -> list[np.ndarray]:
         v = weights(ids, seed, draws)
         # Unit constants cancel in every difference over time, so centred outcomes will do.
         y = block - np.nanmean(block, axis=1, keepdims=True)
         return [np.nan_to_num(y).T @ v, v.sum(axis=0), np.nan_to_num(y).sum(axis=0)]
 
-    def rows_of(grid: np.ndarray, sums: list[np.ndarray]) -> dict[str, np.ndarray | list]:
+    def rows_of(_group: tuple, grid: np.ndarray, sums: list[np.ndarray]) -> dict[str, np.ndarray | list]:
         return {
             "time": grid,
             "s": list(sums[0]),

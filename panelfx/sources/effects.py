@@ -28,10 +28,14 @@ def variant_name(remove_dups: bool = False, bootstrap: bool = False) -> str:
 def write_effects(
     effects: DataFrame, root: str, estimator: str, target: str, view: str, variant: str = "plain"
 ) -> None:
-    """Append one view; `model_size` is a column of `effects`, so all sizes go in one job."""
+    """Write one view; `model_size` is a column of `effects`, so all sizes go in one job.
+
+    Writing again replaces the partitions written and leaves all others as they are.
+    """
     labels = dict(estimator=estimator, target=target, view=view, variant=variant)
     labelled = effects.withColumns({k: F.lit(v) for k, v in labels.items()})
-    labelled.write.mode("append").partitionBy(*_PARTITIONS).parquet(f"{root}/{estimator}-{view}")
+    writer = labelled.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*_PARTITIONS).parquet(f"{root}/{estimator}-{view}")
 
 
 def read_effects(

@@ -8,9 +8,12 @@ from pyspark.sql import types as T
 from panelfx.schemas import PANEL
 
 
-def write_panel(panel: DataFrame, path: str, mode: str = "append") -> None:
-    """Parquet with zstd; partitioned by `model_size` when the panel has that column."""
-    writer = panel.write.mode(mode).option("compression", "zstd")
+def write_panel(panel: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Parquet with zstd; partitioned by `model_size` when the panel has that column.
+
+    Writing again replaces the sizes written, and leaves other sizes as they are.
+    """
+    writer = panel.write.mode(mode).option("compression", "zstd").option("partitionOverwriteMode", "dynamic")
     if "model_size" in panel.columns:
         writer = writer.partitionBy("model_size")
     writer.parquet(path)

@@ -14,10 +14,11 @@ from panelfx.schemas import STATS_NESTED, TOKENIZED
 def stream_flatten_stats(
     spark: SparkSession, source: str, sink: str, checkpoint: str, files_per_batch: int = 1000
 ) -> StreamingQuery:
-    """Flatten nested statistics files as they arrive and append them to a Parquet table."""
+    """Flatten nested statistics files as they arrive and append them to a Parquet table; a bad line is an error."""
     nested = (
         spark.readStream.schema(STATS_NESTED)
         .option("maxFilesPerTrigger", files_per_batch)
+        .option("mode", "FAILFAST")
         .json(source)
     )
     return (

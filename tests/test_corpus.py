@@ -154,3 +154,28 @@ def test_json_sources(spark, tmp_path):
 
     rows = read_json_permissive(spark, str(bad), CORPUS).cache().collect()
     assert {r[CORRUPT] for r in rows} == {None, '{"doc_id": '}
+
+
+def test_absent_and_repeated_ids_keep_their_batches(spark):
+    ids = [i for i in range(64) if i not in (5, 20)] + [9, 9, 64, 65]
+    rows = sample_two_stage(spark.createDataFrame([(i,) for i in ids], "seq_idx bigint"), 9, 8, seed=1, batch_size=8, cohort_size=4)
+    got = sorted(r.seq_idx for r in rows.collect())
+    assert got == [i for i in range(64) if i not in (5, 20)]
+
+
+@pytest.mark.parametrize("head", [400_000, 1])
+def test_rows_that_share_an_id_are_tokenised_apart(spark, monkeypatch, head):
+    import panelfx.operators.corpus as corpus
+
+    monkeypatch.setattr(corpus, "HEAD_WORDS", head)
+    docs = spark.createDataFrame([(1, "a b"), (1, "a c"), (None, "c"), (2, "x a")], "doc_id bigint, text string")
+    vocab = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2), ("x", None)], "token string, token_id int")
+    got = sorted((r.doc_id or 0, r.input_ids) for r in corpus.tokenize(docs, vocab, unknown_id=9).collect())
+    assert got == [(0, [2]), (1, [0, 1]), (1, [0, 2]), (2, [9, 0])]
+
+
+@pytest.mark.parametrize("ids", [(1, 1, 2), (1, None, 2)])
+def test_packing_refuses_ids_that_lose_tokens(spark, ids):
+    rows = spark.createDataFrame([(i, [1, 2, 3]) for i in ids], "doc_id bigint, input_ids array<int>")
+    with pytest.raises(Exception, match="NULL or repeated id"):
+        pack_sequences(rows, 2).collect()

@@ -302,3 +302,24 @@ def test_demean_with_many_times_takes_the_shuffle_join(spark, random_panel, monk
     monkeypatch.setattr(dm, "small_side", lambda df: small_side(df, 2))
     large = {(r["u"], r["t"]): r["y"] for r in demean_two_way(panel, SPEC).collect()}
     assert plain == pytest.approx(large)
+
+
+def test_doubled_rows_are_no_balanced_panel(golden):
+    with pytest.raises(Exception, match="unbalanced panel"):
+        att_gt(golden.unionByName(golden), SPEC).collect()
+    assert unbalanced_units(golden.unionByName(golden), SPEC).count() == len(GOLDEN)
+
+
+def test_nan_outcomes_are_listed(spark, golden):
+    holes = golden.withColumn("y", F.when((F.col("u") == 2) & (F.col("t") == 2), float("nan")).otherwise(F.col("y")))
+    assert [r["u"] for r in unbalanced_units(holes, SPEC).collect()] == [2]
+
+
+def test_tiles_of_times_give_the_same_errors(spark, random_panel, monkeypatch):
+    panel = frame(spark, random_panel)
+    whole = by_cell(compute_effects(panel, SPEC)["all"])
+    monkeypatch.setattr("panelfx.operators.unitblocks.TIMES_TOGETHER", 4)
+    tiled = by_cell(compute_effects(panel, SPEC)["all"])
+    assert whole.keys() == tiled.keys()
+    for cell, row in whole.items():
+        assert tiled[cell]["std_error"] == pytest.approx(row["std_error"])

@@ -77,7 +77,7 @@ def test_projections_do_not_shuffle(stored):
     for df in (
         panel_export(cast_stats(stored(STATS).selectExpr("*", "1 as step"))),
         flatten_stats(stored(STATS_NESTED).drop("note")),
-        token_statistics(tokens),
+        token_statistics(tokens, method="native"),
         token_statistics(tokens, method="arrow"),
         next_token_pairs(stored(SEQUENCES)),
     ):

@@ -43,7 +43,7 @@ def test_methods_agree_and_stay_in_range(spark):
     rng = np.random.default_rng(1)
     rows = [(i // 10, i % 10, int(rng.integers(50)), [float(x) for x in rng.normal(size=50) * 3]) for i in range(200)]
     scored = spark.createDataFrame(rows, SCHEMA)
-    native = token_statistics(scored).toPandas().sort_values(["seq_idx", "pos"])
+    native = token_statistics(scored, method="native").toPandas().sort_values(["seq_idx", "pos"])
     arrow = token_statistics(scored, method="arrow").toPandas().sort_values(["seq_idx", "pos"])
     for c in ("sup", "rank", "entropy"):
         assert np.allclose(native[c], arrow[c])
@@ -75,3 +75,21 @@ def test_scorer(spark):
     rows = spark.createDataFrame([(1, [5, 6]), (2, [7])], SEQUENCES)
     scored = score_sequences(rows, scorer)
     assert {r["seq_idx"]: r["n"] for r in scored.select("seq_idx", F.size("sup").alias("n")).collect()} == {1: 2, 2: 1}
+
+
+@pytest.mark.parametrize("method", ["native", "arrow"])
+def test_missing_targets_and_logits(spark, method):
+    rows = [(1, 0, 1, [0.0, 1.0]), (1, 1, None, [0.0, 1.0]), (1, 2, 0, []), (1, 3, 0, None), (1, 4, 0, [2.0])]
+    got = {r.pos: (r.sup, r.rank, r.entropy) for r in token_statistics(spark.createDataFrame(rows, SCHEMA), method=method).collect()}
+    assert got[1] == got[2] == got[3] == (None, None, None)
+    assert got[0][1] == 0 and got[0][0] == pytest.approx(0.3132617) and got[4] == (0.0, 0, 0.0)
+    none = token_statistics(spark.createDataFrame(rows[1:4], SCHEMA), method=method).collect()
+    assert all(r.sup is r.rank is r.entropy is None for r in none)
+
+
+@pytest.mark.parametrize("method", ["native", "arrow"])
+@pytest.mark.parametrize("target", [-1, -100, 2])
+def test_targets_outside_the_vocabulary(spark, method, target):
+    rows = [(1, 0, 1, [0.0, 1.0]), (1, 1, target, [0.0, 1.0]), (1, 2, 0, [0.0, 1.0])]
+    with pytest.raises(Exception, match="outside the vocabulary"):
+        token_statistics(spark.createDataFrame(rows, SCHEMA), method=method).collect()
