@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,7 @@ from panelfx.operators.profiles import (
     profile_restricted,
 )
 from panelfx.operators.sampling import VALIDATION_ROWS, sample_two_stage, sample_uniform
+from panelfx.session import owned_scratch
 from panelfx.sources.corpora import read_corpus, write_splits
 from panelfx.sources.effects import read_effects, variant_name, write_effects
 from panelfx.sources.panels import read_panel, read_units, write_panel
@@ -41,11 +43,12 @@ def pack_corpus(
     spark: SparkSession, jsonl: str, out: str, vocab: DataFrame | None = None, **packing
 ) -> None:
     """Text corpus -> token ids -> rows of fixed length."""
-    docs = read_corpus(spark, jsonl)
-    tokenized = tokenize(docs, vocabulary(docs) if vocab is None else vocab)
-    tokenized.write.mode("overwrite").parquet(f"{out}/tokenized")
-    packed = pack_sequences(spark.read.schema(tokenized.schema).parquet(f"{out}/tokenized"), **packing)
-    packed.write.mode("overwrite").parquet(f"{out}/packed")
+    with owned_scratch(spark):
+        docs = read_corpus(spark, jsonl)
+        tokenized = tokenize(docs, vocabulary(docs) if vocab is None else vocab)
+        tokenized.write.mode("overwrite").parquet(f"{out}/tokenized")
+        packed = pack_sequences(spark.read.schema(tokenized.schema).parquet(f"{out}/tokenized"), **packing)
+        packed.write.mode("overwrite").parquet(f"{out}/packed")
 
 
 def build_subset(
@@ -72,13 +75,15 @@ def export_panel(
     check: bool = True,
     **steps: int,
 ) -> None:
-    """Raw statistics of every size below `runs/{size}` -> one panel table."""
+    """Raw statistics of every size below `runs/{size}` -> one panel table, written by one job."""
+    panels = []
     for size in sizes:
         stats = read_with_step(spark, f"{runs}/{size}", pattern=pattern)
         if check:
             require_steps(stats.select("step"), **steps)
-        panel = panel_export(cast_stats(stats)).withColumn("model_size", F.lit(size))
-        write_panel(panel, out)
+        panels.append(panel_export(cast_stats(stats)).withColumn("model_size", F.lit(size)))
+    if panels:
+        write_panel(reduce(DataFrame.unionByName, panels), out)
 
 
 def load_panel(
@@ -103,11 +108,12 @@ def estimate(
     """Effects of every model size at once, written view by view, and the simple difference."""
     spec = PanelSpec(target=target, by=("model_size",))
     boot = options.se == "bootstrap"
-    if not only_simple_diff:
-        for view, effects in compute_effects(panel, spec, options, VIEWS).items():
-            write_effects(effects, out, "cs", target, view, variant_name(deduplicated, boot))
-    diff = simple_diff(panel, spec).withColumn("step", F.col("step").cast("bigint"))
-    write_effects(diff, out, "diff", target, "all", variant_name(deduplicated))
+    with owned_scratch(panel.sparkSession):
+        if not only_simple_diff:
+            for view, effects in compute_effects(panel, spec, options, VIEWS).items():
+                write_effects(effects, out, "cs", target, view, variant_name(deduplicated, boot))
+        diff = simple_diff(panel, spec).withColumn("step", F.col("step").cast("bigint"))
+        write_effects(diff, out, "diff", target, "all", variant_name(deduplicated))
 
 
 def profiles(

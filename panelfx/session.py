@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,9 +46,30 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+# Paths made since each of the open owned_scratch blocks began.
+_owners: list[list[str]] = []
+
+
+@contextmanager
+def owned_scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end what `freeze` and `scratch_path` made within; results have to be written by then."""
+    made: list[str] = []
+    _owners.append(made)
+    try:
+        yield
+    finally:
+        _owners.remove(made)
+        for path in made:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the scratch folder."""
-    return os.path.join(scratch_root(spark), f"panelfx-{label}-{uuid.uuid4().hex}")
+    """A fresh path below the scratch folder, owned by the innermost `owned_scratch` if there is one."""
+    path = os.path.join(scratch_root(spark), f"panelfx-{label}-{uuid.uuid4().hex}")
+    if _owners:
+        _owners[-1].append(path)
+    return path
 
 
 def freeze(df: DataFrame, label: str = "frozen") -> DataFrame:

@@ -109,3 +109,30 @@ def test_running_total_restarts_within_groups(spark, monkeypatch, range_rows):
         for i in range(200):
             assert got[(g, i)] == total
             total += i % 3
+
+
+def test_jobs_can_run_twice_and_clean_up(spark, runs, tmp_path):
+    import os
+
+    from panelfx.session import scratch_root
+
+    panel_path, out = str(tmp_path / "panel"), str(tmp_path / "effects")
+    before = set(os.listdir(scratch_root(spark)))
+    counts = []
+    for _ in range(2):
+        export_panel(spark, runs, panel_path, ["70m", "12b"], stop=5000)
+        estimate(load_panel(spark, panel_path, "70m"), out, "sup_seq", EffectOptions(se="analytic"))
+        counts.append((read_panel(spark, panel_path).count(), read_effects(spark, out, "all", "sup_seq", "plain").count()))
+    assert counts[0] == counts[1] and counts[0][0] == 2 * 5 * 12
+    export_panel(spark, runs, panel_path, ["70m"], stop=5000)
+    assert read_panel(spark, panel_path).count() == counts[0][0]
+    assert set(os.listdir(scratch_root(spark))) == before
+
+
+def test_a_bad_line_stops_the_stream(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    good = json.dumps({"seq_idx": [1], "sup": [[0.5]], "rank": [[1]], "entropy": [[0.1]]})
+    (source / "a.json").write_text(good + "\n" + good[:20] + "\n")
+    with pytest.raises(Exception, match="FAILED_READ_FILE|MALFORMED"):
+        stream_flatten_stats(spark, str(source), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
