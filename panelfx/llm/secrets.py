@@ -193,7 +193,9 @@ def redact(docs: DataFrame, mark: str = "[secret]", options: MarkovOptions = Mar
     n_chars, if there, becomes the new length of a changed text. Rows without spans do not change.
     """
     names = docs.columns
-    found = secret_spans(docs, options)
+    # columns of the operator's own names are put aside
+    aside = {c: f"_aside_{c}" for c in ("base", "spans") if c in names}
+    found = secret_spans(docs.withColumnsRenamed(aside), options)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def replace(state: Column, span: Column) -> Column:
@@ -210,4 +212,4 @@ def redact(docs: DataFrame, mark: str = "[secret]", options: MarkovOptions = Mar
     if "n_chars" in names:
         kind = docs.schema["n_chars"].dataType
         columns["n_chars"] = F.when(changed, F.length("_clean").cast(kind)).otherwise(F.col("n_chars"))
-    return cleaned.withColumns(columns).select(*names)
+    return cleaned.withColumns(columns).select(*[F.col(aside.get(c, c)).alias(c) for c in names])

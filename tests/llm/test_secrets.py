@@ -62,6 +62,7 @@ def test_redaction(spark):
     docs = table(spark, TEXTS)
     rows = {r.doc_id: r for r in redact(docs).collect()}
     assert redact(docs).columns == docs.columns and len(rows) == len(TEXTS)
+    assert {r.base for r in rows.values()} == {"mine"}
     assert rows[4].text == 'x[secret]" [secret]\'' and rows[4].n_chars == len(rows[4].text)
     assert rows[10].text == "[secret]"
     assert rows[12].text is None and rows[11].text == "" and rows[13].text == TEXTS[13]
