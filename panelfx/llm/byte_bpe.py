@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -17,6 +18,8 @@ from panelfx.llm.texts import slices
 # Bounds of what one task remembers between texts; beyond them it starts anew.
 MAX_STATES = 400_000
 MAX_MATCHES = 400_000
+# Above every rank.
+NEVER = 1 << 62
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -33,8 +36,8 @@ def merge_plain(text: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The definition: merge the neighbouring pair of lowest rank (the leftmost of them) until none is left."""
     parts = [text[i : i + 1] for i in range(len(text))]
     while len(parts) > 1:
-        best = min((ranks.get(a + b, len(ranks)), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-        if best[0] == len(ranks):
+        best = min((ranks.get(a + b, NEVER), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+        if best[0] == NEVER:
             break
         parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
     return [ranks[p] for p in parts]
@@ -71,21 +74,57 @@ class Transducer:
         self.tokens = tokens
         self.ranks = {text: rank for rank, text in enumerate(tokens)}
         self.prefixes = {text[:n] for text in tokens for n in range(len(text) + 1)}
+        self.halves: dict[int, tuple[int, int]] = {}
         self.neighbours: dict[tuple[int, int], bool] = {}
         self.restart()
 
     def restart(self) -> None:
+        # States live until the next restart: looking for garbage among them every 2,000 objects is in vain.
+        gc.set_threshold(200_000, 50, 50)
         self.start = State(b"", ((0, -1, ()),))
         self.states: dict[tuple, State] = {}
         self.neighbours.clear()
 
+    def split(self, token: int) -> tuple[int, int]:
+        """The two tokens whose merge makes this one (of two bytes or more)."""
+        known = self.halves.get(token)
+        if known is None:
+            text = self.tokens[token]
+            inner = (text[i:j] for i in range(len(text)) for j in range(i + 1, len(text) + 1) if j - i < len(text))
+            parts = merge_plain(text, {t: self.ranks[t] for t in inner if t in self.ranks})
+            if len(parts) != 2:
+                raise ValueError(f"token {token} can't be made by one merge")
+            known = self.halves[token] = parts[0], parts[1]
+        return known
+
     def may_follow(self, left: int, right: int) -> bool:
+        """Whether `left`, `right` is the encoding of their joined bytes.
+
+        It is unless some merge crosses their border first. The pieces at the border are looked at from
+        the last pair of them back to single bytes: a pair stands until one of its pieces is merged
+        into the larger one (of rank `over`), and it merges if its own rank comes before that.
+        """
         if left < 0:
             return True
         pair = left, right
         known = self.neighbours.get(pair)
         if known is None:
-            known = self.neighbours[pair] = merge_plain(self.tokens[left] + self.tokens[right], self.ranks) == [left, right]
+            tokens = self.tokens
+            over_left = over_right = NEVER
+            while True:
+                rank = self.ranks.get(tokens[left] + tokens[right], NEVER)
+                if rank < over_left and rank <= over_right and rank < NEVER:
+                    known = False
+                    break
+                one, two = len(tokens[left]) > 1, len(tokens[right]) > 1
+                if one and (left > right or not two):
+                    over_left, left = left, self.split(left)[1]
+                elif two:
+                    over_right, right = right, self.split(right)[0]
+                else:
+                    known = True
+                    break
+            self.neighbours[pair] = known
         return known
 
     def step(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
@@ -102,12 +141,13 @@ class Transducer:
         suffix = next(read[i:] for i in range(len(read) + 1) if read[i:] in self.prefixes)
         live = [(back + 1, last, waiting) for back, last, waiting in state.live if back + 1 <= len(suffix)]
         live.append(end)
-        agreed = 0
-        shortest = min(len(waiting) for _, _, waiting in live)
-        while agreed < shortest and len({waiting[agreed] for _, _, waiting in live}) == 1:
-            agreed += 1
-        out = live[-1][2][:agreed]
-        key = suffix, tuple((back, last, waiting[agreed:]) for back, last, waiting in live)
+        first = live[0][2]
+        agreed = len(first)
+        for _, _, waiting in live:
+            while waiting[:agreed] != first[:agreed]:
+                agreed -= 1
+        out = first[:agreed]
+        key = suffix, tuple(live) if not agreed else tuple((back, last, waiting[agreed:]) for back, last, waiting in live)
         target = self.states.get(key)
         if target is None:
             target = self.states[key] = State(*key)
