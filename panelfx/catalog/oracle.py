@@ -487,7 +487,7 @@ WHERE x NOT IN (SELECT dayofmonth(ts) FROM events)""",
             ", model_size",
             " CROSS JOIN (VALUES ('a'), ('b')) z(model_size) WHERE seq_idx % 2 = 0",
         ),
-        "read_corpus": "SELECT doc_id, CAST(length(text) AS INTEGER) AS n_chars FROM documents",
+        "read_corpus": "SELECT doc_id, CAST(length(text) AS INTEGER) AS n_chars, md5(text) AS md5 FROM documents",
         "append_runs": _export("(0), (1000)"),
         "flatten_stats": _STATS_TEXT,
         "stream_flatten_stats": _STATS_TEXT,
@@ -539,6 +539,8 @@ FROM events GROUP BY 1, 2""",
         "profile_correlation_kendall": _KENDALL,
         "lr_schedule": _LR,
         "effect_store": _STORE,
+        "effect_files": _STORE,
+        "token_count_store": _FREQUENCY,
         "score_sequences": f"""WITH {_WORDS}
 SELECT doc_id AS seq_idx, round(len(ws) / 100.0, 4) + 0.0 AS sup_seq FROM w0""",
     }

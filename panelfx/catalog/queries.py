@@ -72,9 +72,11 @@ from panelfx.sources.corpora import (
     read_corpus,
     read_json_permissive,
     read_splits,
+    read_token_counts,
     write_splits,
+    write_token_counts,
 )
-from panelfx.sources.effects import read_effects, write_effects
+from panelfx.sources.effects import read_effect_files, read_effects, write_effect_files, write_effects
 from panelfx.sources.panels import read_panel, read_units, write_panel
 from panelfx.sources.stats import (
     append_stats,
@@ -414,6 +416,14 @@ def frequency_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+@query("token_count_store")
+def token_count_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word counts written and read back."""
+    path = scratch_path(spark, "counts")
+    write_token_counts(frequency_of_words(spark, sf_dir), path)
+    return read_token_counts(spark, path, "string")
+
+
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = documents(spark, sf_dir).select("doc_id", words_of(F.col("text")).alias("input_ids"))
     return pack_sequences(words, PACK)
@@ -506,7 +516,7 @@ def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as JSON lines, read back with a fixed schema."""
     path = scratch_path(spark, "corpus")
     documents(spark, sf_dir).write.json(path)
-    return read_corpus(spark, path).select("doc_id", F.length("text").alias("n_chars"))
+    return read_corpus(spark, path).select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("md5"))
 
 
 # --- profiles ------------------------------------------------------------------------------------
@@ -594,6 +604,14 @@ def effect_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(read_effects(spark, root, "event", "spend"))
 
 
+@query("effect_files")
+def effect_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Effects of all segments as a file each, read back with the size from the file's name."""
+    root = scratch_path(spark, "effect-files")
+    write_effect_files(freeze(_segment_effects(spark, sf_dir, "event")), root, "spend", "event")
+    return rounded(read_effect_files(spark, root, "event", "spend"))
+
+
 # --- incremental and user code -------------------------------------------------------------------
 
 

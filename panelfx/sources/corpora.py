@@ -41,4 +41,10 @@ def read_splits(spark: SparkSession, path: str, *names: str, schema: T.StructTyp
 
 
 def write_token_counts(counts: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Counts per token as one table."""
     counts.write.mode(mode).parquet(path)
+
+
+def read_token_counts(spark: SparkSession, path: str, token: str = "int") -> DataFrame:
+    """Counts per token, of the given token type."""
+    return spark.read.schema(f"token {token}, count bigint").parquet(path)

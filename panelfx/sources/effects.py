@@ -49,6 +49,25 @@ def read_effects(
     return table.where(wanted).drop("estimator", "target", "view", "variant")
 
 
+def write_effect_files(effects: DataFrame, root: str, target: str, view: str, suffix: str = "_boot") -> None:
+    """Effects as one file per model size, `cs_{size}-{target}-{view}{suffix}.parquet`; sizes come to the driver.
+
+    An estimator's table of one size is small. A file of the same name is replaced.
+    """
+    spark = effects.sparkSession
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+    for row in effects.select("model_size").distinct().collect():
+        name = f"cs_{row[0]}-{target}-{view}{suffix}"
+        folder, file = jvm_path(f"{root}/_{name}"), jvm_path(f"{root}/{name}.parquet")
+        one = effects.where(F.col("model_size") == row[0]).drop("model_size")
+        one.coalesce(1).write.mode("overwrite").parquet(folder.toString())
+        store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        part = next(s.getPath() for s in store.listStatus(folder) if s.getPath().getName().startswith("part-"))
+        store.delete(file, False)
+        store.rename(part, file)
+        store.delete(folder, True)
+
+
 def read_effect_files(
     spark: SparkSession, root: str, view: str, target: str, suffix: str = "_boot"
 ) -> DataFrame:
