@@ -24,6 +24,8 @@ WORDS_OF_BITS = 8
 COUNTED_TOGETHER = 2_000_000
 REPEATS = 4
 MOST_HEAVY = 65_536
+# One more indexed shingle, and one more that linked sets must share, for so many in a set.
+PER_SHARED = 64
 
 
 @dataclass(frozen=True)
@@ -37,9 +39,13 @@ class JaccardOptions:
     def least_overlap(self, a: int, b: int) -> int:
         return -(-self.num * (a + b) // (self.num + self.den))
 
-    def prefix(self, n):
-        """How many shingles of a set of n have to be indexed: any partner shares one of them."""
-        return n - -(-self.num * n // self.den) + 1
+    def shared(self, n: int) -> int:
+        """How many indexed shingles a set of n and any partner of at least its size share."""
+        return 1 + n // PER_SHARED
+
+    def prefix(self, n: int) -> int:
+        """How many shingles of a set of n are indexed, so that a partner has `shared` of them too."""
+        return min(n - -(-self.num * n // self.den) + self.shared(n), n)
 
     def partner_classes(self, n: int) -> list[tuple[int, int]]:
         """Size pairs (a, b), a <= b, that a set of n can be one side of."""
@@ -163,14 +169,14 @@ def subset_tokens(small: DataFrame, options: JaccardOptions) -> DataFrame:
     return small.select("key", "small").mapInArrow(read, "token bigint, key bigint")
 
 
-def choose_boundary(sigs: DataFrame, postings: DataFrame, options: JaccardOptions) -> int:
+def choose_boundary(sigs: DataFrame, elements: DataFrame, lists: DataFrame, options: JaccardOptions) -> int:
     """Largest size that goes to the subset side, so that subsets made plus list entries visited are fewest.
 
-    Both costs are summed per size over all sets (at most MOST_SMALL rows come to the driver).
+    Both costs are summed per size over all sets (at most MOST_SMALL rows come to the driver). `lists`
+    has the lengths of the lists with more than one entry.
     """
-    lengths = postings.groupBy("token").agg(F.count("*").alias("length"))
-    few = postings.where(F.col("n") <= MOST_SMALL)
-    visits = few.join(lengths, "token").groupBy("n").agg(F.sum("length").alias("visits"))
+    few = elements.where(F.col("n") <= MOST_SMALL).join(lists, "token", "left")
+    visits = few.groupBy("n").agg(F.sum(F.coalesce("length", F.lit(1))).alias("visits"))
     sizes = sigs.where(F.col("n") <= MOST_SMALL).groupBy("n").agg(F.count("*").alias("sets"))
     table = {r["n"]: (r["sets"], r["visits"] or 0) for r in sizes.join(visits, "n", "left").collect()}
     costs = [sum(visits for _, visits in table.values())]
@@ -180,6 +186,11 @@ def choose_boundary(sigs: DataFrame, postings: DataFrame, options: JaccardOption
     return int(np.argmin(costs))
 
 
+def shared_lists(postings: DataFrame) -> DataFrame:
+    """(token, length, pivot) of the lists with more than one entry; the pivot is one of the entries."""
+    return postings.groupBy("token").agg(F.count("*").alias("length"), F.min("key").alias("pivot")).where("length > 1")
+
+
 def bits_apart(suffix: str) -> Column:
     return sum(F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"b{k}{suffix}"))) for k in range(WORDS_OF_BITS))
 
@@ -192,8 +203,15 @@ def may_link(options: JaccardOptions, other: str) -> Column:
     return sizes & (bits_apart(other) <= n + m - 2 * need)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, options: JaccardOptions) -> DataFrame:
+def sharing_enough(found: DataFrame) -> DataFrame:
+    """The pairs (a, b) among (a, b, n), one row per list they meet in, that meet in as many lists as linked sets do."""
+    met = found.groupBy("a", "b").agg(F.count("*").alias("_lists"), F.min("n").alias("n"))
+    return met.where(F.expr(f"_lists >= 1 + n div {PER_SHARED}")).select("a", "b")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, members: DataFrame, options: JaccardOptions) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the threshold."""
+    sets = freeze(candidate_sets(texts, members, pairs, options), "candidates")
     one = sets.select(F.col("key").alias("a"), F.col("shingles").alias("_one"))
     two = sets.select(F.col("key").alias("b"), F.col("shingles").alias("_two"))
     both = F.size(F.array_intersect("_one", "_two"))
@@ -214,8 +232,9 @@ def jaccard_groups(docs: DataFrame, options: JaccardOptions = JaccardOptions())
     size chosen by cost meet by subsets of the size that a partner must share, larger ones by the
     lists of their rarest shingles. A list of many classes is not expanded into pairs: each class is
     first compared with one class of the list; only classes of a list that are then still in different
-    components are compared with each other, if their parities allow a link. All candidates are
-    confirmed on the whole sets, so the order of shingles and the parities cost no link.
+    components are compared with each other, if they meet in as many lists as linked sets must and their
+    parities allow a link. All candidates are confirmed on the whole sets, so the order of shingles and
+    the parities cost no link.
     """
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
@@ -237,14 +256,13 @@ def jaccard_groups(docs: DataFrame, options: JaccardOptions = JaccardOptions())
         signatures(texts, (common[order], weight[order]), options).dropDuplicates(["key"]), "signatures"
     )
     elements = sigs.select("key", "n", F.explode("prefix").alias("token"))
-    boundary = choose_boundary(sigs, elements, options)
+    lists = freeze(shared_lists(elements), "lists")
+    boundary = choose_boundary(sigs, elements, lists, options)
     reach = -(-options.num * (boundary + 1) // options.den)
-    postings = elements.where(F.col("n") >= reach).select("token", "key").unionByName(
-        subset_tokens(sigs.where(F.col("n") <= boundary), options)
-    )
-    lists = postings.groupBy("token").agg(F.count("*").alias("_length"), F.min("key").alias("pivot")).where("_length > 1")
-    parities = sigs.drop("prefix", "small")
-    live = freeze(postings.join(lists.select("token", "pivot"), "token").join(parities, "key"), "lists")
+    subsets = subset_tokens(sigs.where(F.col("n") <= boundary), options)
+    entries = elements.where(F.col("n") >= reach).select("token", "key").join(lists.select("token", "pivot"), "token")
+    entries = entries.unionByName(subsets.join(shared_lists(subsets).select("token", "pivot"), "token"))
+    live = freeze(entries.join(sigs.drop("prefix", "small"), "key"), "entries")
 
     pivots = live.where("key = pivot").drop("pivot")
     pivots = pivots.select("token", *[F.col(c).alias(f"{c}_p") for c in pivots.columns if c != "token"]).distinct()
@@ -252,13 +270,11 @@ def jaccard_groups(docs: DataFrame, options: JaccardOptions = JaccardOptions())
         live.where("key <> pivot")
         .join(pivots, "token")
         .where(may_link(options, "_p"))
-        .select(F.greatest("key", "key_p").alias("a"), F.least("key", "key_p").alias("b"))
-        .distinct(),
+        .select(F.greatest("key", "key_p").alias("a"), F.least("key", "key_p").alias("b"), F.least("n", "n_p").alias("n"))
+        .transform(sharing_enough),
         "pairs",
     )
-    sets = freeze(candidate_sets(texts, members, live, options), "candidates")
-    links = freeze(confirmed(first, sets, options), "links")
-    groups = freeze(connected_components(links), "groups")
+    groups = freeze(connected_components(confirmed(first, texts, members, options)), "groups")
 
     placed = live.drop("pivot").join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn(
         "component", F.coalesce("component", "key")
@@ -274,11 +290,11 @@ def jaccard_groups(docs: DataFrame, options: JaccardOptions = JaccardOptions())
     apart = (F.col("key") > F.col("key_p")) & (F.col("component") != F.col("component_p"))
     second = (
         open_lists.join(other, (open_lists["token"] == other["token"]) & apart & may_link(options, "_p"))
-        .select(F.col("key").alias("a"), F.col("key_p").alias("b"))
-        .distinct()
+        .select(F.col("key").alias("a"), F.col("key_p").alias("b"), F.least("n", "n_p").alias("n"))
+        .transform(sharing_enough)
         .join(first, ["a", "b"], "left_anti")
     )
-    more = confirmed(freeze(second, "pairs"), sets, options)
+    more = confirmed(freeze(second, "pairs"), texts, members, options)
     merged = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     classes = members.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("_least"))
@@ -295,9 +311,9 @@ def jaccard_groups(docs: DataFrame, options: JaccardOptions = JaccardOptions())
     )
 
 
-def candidate_sets(texts: DataFrame, members: DataFrame, live: DataFrame, options: JaccardOptions) -> DataFrame:
-    """(key, shingles) of the classes that share a list: one document of each is read again."""
-    wanted = live.select("key").distinct()
+def candidate_sets(texts: DataFrame, members: DataFrame, pairs: DataFrame, options: JaccardOptions) -> DataFrame:
+    """(key, shingles) of the classes in pairs: one document of each is read again."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     chosen = members.where("n > 0").join(wanted, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("_doc"))
     found = freeze(chosen.select("_doc").distinct(), "chosen")
     again = texts.join(found, texts["doc_id"].eqNullSafe(found["_doc"]), "left_semi").select("text")
@@ -322,9 +338,13 @@ def keep_one(docs: DataFrame, options: JaccardOptions = JaccardOptions()) -> Dat
     that repeat only the id all stay, and so do all rows of a group without any id.
     """
     groups = freeze(jaccard_groups(docs, options), "groups")
-    away = groups.where("n_shingles > 0 AND doc_id <> component_id").select("doc_id").distinct()
+    # written down, so that short lists are joined without moving the texts
+    away = freeze(groups.where("n_shingles > 0 AND doc_id <> component_id").select("doc_id").distinct(), "away")
     repeated = groups.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    repeated = freeze(repeated.where("doc_id IS NOT NULL"), "repeated")
     kept = docs.join(away, "doc_id", "left_anti").select(docs.columns)
+    if repeated.isEmpty():
+        return kept
     single = kept.join(repeated, "doc_id", "left_anti").select(docs.columns)
     return single.unionByName(
         kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
