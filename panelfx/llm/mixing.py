@@ -13,6 +13,7 @@ from panelfx.operators.ordering import running_total
 from panelfx.session import freeze
 
 UNKNOWN = "(none)"
+SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -135,7 +136,10 @@ def planned_copies(docs: DataFrame, options: MixOptions = MixOptions(), extra: t
     )
     budgets, _ = source_budgets(narrow, options)
     block = F.pmod(F.xxhash64("_order"), F.greatest("_blocks", F.lit(1)))
-    dealt = narrow.join(budgets, "_source").withColumn("_block", block)
+    # a source may hold a third of all rows: the join with its budget is dealt by a salt as well
+    salted = budgets.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64(F.lit(1), "_order"), F.lit(SALTS)).cast("int")
+    dealt = narrow.withColumn("_salt", salt).join(salted, ["_source", "_salt"]).withColumn("_block", block)
     totals = dealt.groupBy("_source", "_block", "_rest").agg(F.sum("_tokens").alias("_size"))
     totals = totals.withColumn("_turn", F.xxhash64(F.lit(options.seed + 1), "_source", "_block"))
     placed = running_total(totals, ["_source", "_turn", "_block"], F.col("_size"), "_before", within=["_source"])
@@ -159,21 +163,25 @@ def planned_copies(docs: DataFrame, options: MixOptions = MixOptions(), extra: t
 def mix(docs: DataFrame, options: MixOptions = MixOptions()) -> DataFrame:
     """`docs` as the mixture has them: every row as often as planned_copies says, columns unchanged.
 
-    Plans meet documents by hashes of id and text, so texts are not shuffled by the planning; rows
-    equal in both share their copies evenly, the rest of the division going to one row.
+    Plans meet documents by hashes of id and text, so planning does not shuffle texts. Rows equal in id,
+    text and source count as one with all their copies.
     """
     key = F.xxhash64(F.lit(options.seed), F.xxhash64("doc_id", "text"))
     plan = planned_copies(docs, options).groupBy("_order", F.col("source").alias("_named")).agg(
         F.sum("copies").alias("_copies"), F.count("*").alias("_rows")
     )
-    odd = plan.where("_rows > 1")
+    plan = freeze(plan, "plan")
+    odd = freeze(plan.where("_rows > 1 AND _copies > 0"), "odd")
     names = docs.columns
     keyed = docs.withColumn("_order", key)
     same = keyed["source"].eqNullSafe(plan["_named"]) & (keyed["_order"] == plan["_order"])
     single = keyed.join(plan.where("_rows = 1 AND _copies > 0"), same).select(
         *[keyed[c] for c in names], F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")
     )
-    first = keyed.join(odd.where("_copies > 0"), same).select(*[keyed[c] for c in names], keyed["_order"], "_copies", "_rows")
+    if odd.isEmpty():
+        return single.select(*names)
+    same = keyed["source"].eqNullSafe(odd["_named"]) & (keyed["_order"] == odd["_order"])
+    first = keyed.join(odd, same).select(*[keyed[c] for c in names], keyed["_order"], "_copies", "_rows")
     several = first.dropDuplicates(["_order", "source"]).select(
         *names, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")
     )
