@@ -19,6 +19,7 @@ from panelfx.session import freeze
 # Sets up to this size may go to the subset side; beyond it the number of subsets explodes.
 MOST_SMALL = 40
 WORDS_OF_BITS = 8
+SHORT_WORDS = 2
 # Shingles counted together in a task; those seen fewer than REPEATS times within that many are dropped
 # from the counts, which only decide in which order a set's shingles are indexed.
 COUNTED_TOGETHER = 2_000_000
@@ -145,7 +146,7 @@ def signatures(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], options: J
 
 
 def subset_tokens(small: DataFrame, options: JaccardOptions) -> DataFrame:
-    """(token, key) for every subset of every size class of small sets.
+    """(token, key, n) for every subset of every size class of small sets.
 
     A subset's token is the sum of its hashes, made from the sum of all by taking away what is left
     out, together with the pair of sizes it is for.
@@ -164,9 +165,10 @@ def subset_tokens(small: DataFrame, options: JaccardOptions) -> DataFrame:
                     sums = whole - s[picks].sum(axis=1, dtype=np.uint64)
                     tokens.append(mix(sums + mix(np.array([a * 1_000_003 + b], np.uint64))))
                 tokens = np.concatenate(tokens).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.full(len(tokens), key))], ["token", "key"])
+                columns = [tokens, np.full(len(tokens), key), np.full(len(tokens), n, np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "key", "n"])
 
-    return small.select("key", "small").mapInArrow(read, "token bigint, key bigint")
+    return small.select("key", "small").mapInArrow(read, "token bigint, key bigint, n int")
 
 
 def choose_boundary(sigs: DataFrame, elements: DataFrame, lists: DataFrame, options: JaccardOptions) -> int:
@@ -191,20 +193,43 @@ def shared_lists(postings: DataFrame) -> DataFrame:
     return postings.groupBy("token").agg(F.count("*").alias("length"), F.min("key").alias("pivot")).where("length > 1")
 
 
-def bits_apart(suffix: str) -> Column:
-    return sum(F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"b{k}{suffix}"))) for k in range(WORDS_OF_BITS))
+def bits_apart(suffix: str, words: int) -> Column:
+    return sum(F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"b{k}{suffix}"))) for k in range(words))
 
 
-def may_link(options: JaccardOptions, other: str) -> Column:
+def folded(sigs: DataFrame) -> DataFrame:
+    """(key, b0, b1): parities of 128 buckets, each the union of four."""
+
+    def fold(k: int) -> Column:
+        out = F.col(f"b{k}")
+        for other in range(k + SHORT_WORDS, WORDS_OF_BITS, SHORT_WORDS):
+            out = out.bitwiseXOR(F.col(f"b{other}"))
+        return out.alias(f"b{k}")
+
+    return sigs.select("key", *[fold(k) for k in range(SHORT_WORDS)])
+
+
+def plausible(pairs: DataFrame, sigs: DataFrame, options: JaccardOptions) -> DataFrame:
+    """The pairs (a, b) whose sizes and full parities allow a link."""
+    columns = ["n", *[f"b{k}" for k in range(WORDS_OF_BITS)]]
+    one = sigs.select(F.col("key").alias("a"), *columns)
+    two = sigs.select(F.col("key").alias("b"), *[F.col(c).alias(f"{c}_p") for c in columns])
+    return pairs.join(one, "a").join(two, "b").where(may_link(options, "_p", WORDS_OF_BITS)).select("a", "b")
+
+
+def may_link(options: JaccardOptions, other: str, words: int) -> Column:
     """Sizes are close enough and the parities differ in no more bits than linked sets can."""
     n, m = F.col("n"), F.col(f"n{other}")
     need = F.expr(f"({options.num} * (n + n{other}) + {options.num + options.den - 1}) div {options.num + options.den}")
     sizes = options.den * F.least(n, m) >= options.num * F.greatest(n, m)
-    return sizes & (bits_apart(other) <= n + m - 2 * need)
+    return sizes & (bits_apart(other, words) <= n + m - 2 * need)
 
 
 def sharing_enough(found: DataFrame) -> DataFrame:
-    """The pairs (a, b) among (a, b, n), one row per list they meet in, that meet in as many lists as linked sets do."""
+    """The pairs (a, b) among (a, b, n), one row per list they meet in, that meet in as many lists as linked sets do.
+
+    n is the size of either set, of the smaller one where all lists of the pair are there.
+    """
     met = found.groupBy("a", "b").agg(F.count("*").alias("_lists"), F.min("n").alias("n"))
     return met.where(F.expr(f"_lists >= 1 + n div {PER_SHARED}")).select("a", "b")
 
@@ -260,20 +285,11 @@ def jaccard_groups(docs: DataFrame, options: JaccardOptions = JaccardOptions())
     boundary = choose_boundary(sigs, elements, lists, options)
     reach = -(-options.num * (boundary + 1) // options.den)
     subsets = subset_tokens(sigs.where(F.col("n") <= boundary), options)
-    entries = elements.where(F.col("n") >= reach).select("token", "key").join(lists.select("token", "pivot"), "token")
-    entries = entries.unionByName(subsets.join(shared_lists(subsets).select("token", "pivot"), "token"))
-    live = freeze(entries.join(sigs.drop("prefix", "small"), "key"), "entries")
-
-    pivots = live.where("key = pivot").drop("pivot")
-    pivots = pivots.select("token", *[F.col(c).alias(f"{c}_p") for c in pivots.columns if c != "token"]).distinct()
-    first = freeze(
-        live.where("key <> pivot")
-        .join(pivots, "token")
-        .where(may_link(options, "_p"))
-        .select(F.greatest("key", "key_p").alias("a"), F.least("key", "key_p").alias("b"), F.least("n", "n_p").alias("n"))
-        .transform(sharing_enough),
-        "pairs",
-    )
+    entries = elements.where(F.col("n") >= reach).select("token", "key", "n").join(lists.select("token", "pivot"), "token")
+    live = freeze(entries.unionByName(subsets.join(shared_lists(subsets).select("token", "pivot"), "token")), "entries")
+
+    met = live.where("key <> pivot").select(F.greatest("key", "pivot").alias("a"), F.least("key", "pivot").alias("b"), "n")
+    first = freeze(plausible(sharing_enough(met), sigs, options), "pairs")
     groups = freeze(connected_components(confirmed(first, texts, members, options)), "groups")
 
     placed = live.drop("pivot").join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn(
@@ -285,15 +301,16 @@ def jaccard_groups(docs: DataFrame, options: JaccardOptions = JaccardOptions())
         .where("_least <> _most")
         .select("token")
     )
-    open_lists = freeze(placed.join(mixed, "token"), "open")
+    open_lists = freeze(placed.join(mixed, "token"), "open").join(folded(sigs), "key")
     other = open_lists.select("token", *[F.col(c).alias(f"{c}_p") for c in open_lists.columns if c != "token"])
     apart = (F.col("key") > F.col("key_p")) & (F.col("component") != F.col("component_p"))
     second = (
-        open_lists.join(other, (open_lists["token"] == other["token"]) & apart & may_link(options, "_p"))
+        open_lists.join(other, (open_lists["token"] == other["token"]) & apart & may_link(options, "_p", SHORT_WORDS))
         .select(F.col("key").alias("a"), F.col("key_p").alias("b"), F.least("n", "n_p").alias("n"))
         .transform(sharing_enough)
         .join(first, ["a", "b"], "left_anti")
     )
+    second = plausible(second, sigs, options)
     more = confirmed(freeze(second, "pairs"), texts, members, options)
     merged = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
