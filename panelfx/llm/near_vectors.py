@@ -98,8 +98,12 @@ def stacked(raw: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
 
 
-def ordered_by_signs(points: DataFrame, options: DescentOptions, search: int) -> DataFrame:
-    """Each vector once per tree, with the signs of its random projections as a sortable number."""
+def ordered_by_signs(points: DataFrame, options: DescentOptions, search: int, kind: type = np.float32) -> DataFrame:
+    """Each vector once per tree, with the signs of its random projections as a sortable number.
+
+    Where `points` has a label, it takes the place of the key in the result; the order does not depend on it.
+    """
+    label = "label" if "label" in points.columns else "key"
     first = search * options.trees
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,15 +121,15 @@ def ordered_by_signs(points: DataFrame, options: DescentOptions, search: int) ->
                     signs = (x @ planes[dim, tree] > 0).astype(np.int64) @ (np.int64(1) << np.arange(SIGN_BITS, dtype=np.int64)[::-1])
                     keys = part.column("key").to_numpy()
                     salt = mix(keys.view(np.uint64) + np.uint64(tree)).view(np.int64)
-                    small = [u.astype(np.float32).tobytes() for u in x]
+                    small = [u.astype(kind).tobytes() for u in x]
                     n = len(rows)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, tree, np.int32)), pa.array(signs),
-                         pa.array(salt), pa.array(keys), pa.array(small, pa.binary())],
+                         pa.array(salt), part.column(label), pa.array(small, pa.binary())],
                         ["dim", "tree", "signs", "salt", "key", "unit"],
                     )
 
-    spread = points.select("key", "unit").mapInArrow(
+    spread = points.select(*dict.fromkeys(["key", label, "unit"])).mapInArrow(
         project, "dim int, tree int, signs bigint, salt bigint, key bigint, unit binary"
     )
     parts = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), spread.sparkSession.sparkContext.defaultParallelism)
@@ -155,8 +159,11 @@ def first_graph(points: DataFrame, options: DescentOptions, search: int) -> Data
     """Edges (a, b, sim) between vectors that are close in some order, both ways.
 
     A task walks its part of an order in blocks and compares each block with itself and the one before,
-    so a region of any density costs the same per vector.
+    so a region of any density costs the same per vector. Where `points` has a label, edges are links
+    in double precision between different labels, and a and b are labels.
     """
+    labelled = "label" in points.columns
+    kind, floor = (np.float64, options.threshold) if labelled else (np.float32, options.floor)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, tag = None, None
@@ -172,17 +179,17 @@ def first_graph(points: DataFrame, options: DescentOptions, search: int) -> Data
                     part = batch.slice(at, min(WINDOW, stop - at))
                     keys = part.column("key").to_numpy()
                     raw = part.column("unit").to_pylist()
-                    x = np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1)
-                    found = [best_pairs(keys, keys, x @ x.T, options.lists, options.floor)]
+                    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1)
+                    found = [best_pairs(keys, keys, x @ x.T, options.lists, floor)]
                     if before is not None:
                         old_keys, old = before
                         sims = x @ old.T
-                        found.append(best_pairs(keys, old_keys, sims, options.lists, options.floor))
-                        found.append(best_pairs(old_keys, keys, sims.T, options.lists, options.floor))
+                        found.append(best_pairs(keys, old_keys, sims, options.lists, floor))
+                        found.append(best_pairs(old_keys, keys, sims.T, options.lists, floor))
                     before = keys, x
                     yield edge_batch(found)
 
-    return ordered_by_signs(points, options, search).mapInArrow(walk, "a bigint, b bigint, sim double")
+    return ordered_by_signs(points, options, search, kind).mapInArrow(walk, "a bigint, b bigint, sim double")
 
 
 def trimmed(edges: DataFrame, options: DescentOptions, most: int) -> DataFrame:
@@ -228,6 +235,32 @@ def sure_links(graph: DataFrame, points: DataFrame, options: DescentOptions) ->
     return clear.unionByName(both.select("a", "b", "_one", "_two").mapInArrow(check, "a bigint, b bigint"))
 
 
+def labelled_points(points: DataFrame, groups: DataFrame) -> DataFrame:
+    """`points` with their component as label; a vector without links is its own."""
+    named = points.join(groups.withColumnRenamed("node", "key"), "key", "left")
+    return named.withColumn("label", F.coalesce("component", "key")).drop("component")
+
+
+def joined_groups(groups: DataFrame, graph: DataFrame, points: DataFrame, options: DescentOptions, search: int) -> DataFrame:
+    """`groups` joined by the links between them that full lists had no room for.
+
+    A link seen in an order is only dropped if the lists of both ends are full of links, so only such
+    vectors are walked again, without the pairs within a group. That is repeated until no link between
+    two groups is left in the orders; each group that has one is joined, so rounds are logarithmic.
+    """
+    full = graph.where(F.col("sim") >= options.threshold - DOUBT).groupBy(F.col("a").alias("key")).agg(F.count("*").alias("_n"))
+    full = freeze(points.select("key", "unit").join(full.where(F.col("_n") >= options.lists).select("key"), "key"), "full")
+    while True:
+        labelled = labelled_points(full, groups)
+        if labelled.select("label").distinct().limit(2).count() < 2:
+            return groups
+        links = freeze(first_graph(labelled, options, search).select("a", "b").distinct(), "between")
+        if links.isEmpty():
+            return groups
+        known = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        groups = freeze(connected_components(known.unionByName(links)), "groups")
+
+
 def counted_links(groups: DataFrame, points: DataFrame, options: DescentOptions) -> DataFrame:
     """(key, links): for each vector of a group the number of vectors linked with it, copies included.
 
@@ -323,6 +356,7 @@ def near_groups(
         rows.where("key IS NOT NULL").groupBy("key").agg(F.first("unit").alias("unit"), F.count("*").alias("copies")), "points"
     )
     graph = points.sparkSession.createDataFrame([], "a bigint, b bigint, sim double")
+    known = graph.select("a", "b")
     for search in range(options.searches):
         found = graph.unionByName(first_graph(points, options, search))
         graph = freeze(trimmed(found, options, options.lists), "graph")
@@ -331,7 +365,11 @@ def near_groups(
             most = min(2 * most, options.longest)
             found = graph.unionByName(neighbours_of_neighbours(graph, points, options))
             graph = freeze(trimmed(found, options, most), "graph")
-        groups = freeze(connected_components(sure_links(graph, points, options)), "groups")
+        links = sure_links(graph, points, options).unionByName(known)
+        groups = freeze(connected_components(links), "groups")
+        groups = joined_groups(groups, graph, points, options, search)
+        # lists are cut again in the next search, what they joined stays
+        known = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
         counts = freeze(counted_links(groups, points, options), "counts")
         reached = audit(points, counts, options, search)
         if reached >= options.recall:

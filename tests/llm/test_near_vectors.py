@@ -73,3 +73,22 @@ def test_unusable_vectors(spark):
 def test_empty_and_single(spark):
     assert found(spark, []) == []
     assert found(spark, [(5, [1.0, 2.0])]) == [(5, 0, 5, True)]
+
+
+def near(rng, axis, cosine):
+    """A unit vector at this cosine of `axis`."""
+    side = rng.standard_normal(len(axis))
+    side -= (side @ axis) * axis
+    return cosine * axis + math.sqrt(1 - cosine**2) * side / np.linalg.norm(side)
+
+
+def test_touching_groups_of_full_lists_are_one(spark):
+    rng = np.random.default_rng(3)
+    one = np.eye(32)[0]
+    two = near(rng, one, 0.97)
+    rows = [near(rng, axis, 0.995) for axis in (one, two) for _ in range(200)]
+    rows = [(k, as_float32(v.tolist())) for k, v in enumerate(rows)]
+    wanted = brute(rows)
+    assert {r[2] for r in wanted} == {0}
+    assert found(spark, rows) == wanted
+    assert found(spark, rows, DescentOptions(searches=1)) == wanted
