@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,7 +31,8 @@ class DescentOptions:
     `lists` is the length of neighbour lists; a list that is full of links is doubled up to `longest`,
     and counts beyond it come from comparing whole groups. `trees` random orders give the first graph,
     `rounds` is the number of refinements. `audit` vectors are compared with all others; as long as less
-    than `recall` of their links was found, the search goes on with new orders, `searches` times at most.
+    than `recall` of their links was found, the search goes on with new orders and audits further vectors,
+    at the latest until all were audited. With `searches`, more of them raise.
     """
 
     threshold: float = 0.95
@@ -40,7 +42,7 @@ class DescentOptions:
     rounds: int = 2
     audit: int = 512
     recall: float = 0.999
-    searches: int = 4
+    searches: int | None = None
     seed: int = 0
 
     @property
@@ -305,37 +307,58 @@ def counted_links(groups: DataFrame, points: DataFrame, options: DescentOptions)
     return blocks.groupBy("key").agg(F.sum("links").alias("links"))
 
 
-def audit(points: DataFrame, counts: DataFrame, options: DescentOptions, search: int) -> float:
-    """Share of the links of a hashed sample of vectors that was found; 1 where it has no links.
+def audit_sample(labelled: DataFrame, audited: DataFrame, options: DescentOptions, search: int) -> DataFrame:
+    """(key, label, unit) of options.audit vectors that were not audited yet, about as many of each size of group.
 
-    The sample is bounded by options.audit and is compared with all vectors block by block.
+    Sizes are classes of a factor of two; a large group is one of some tens, so it doesn't crowd out the small ones.
     """
-    key = F.xxhash64(F.lit(options.seed + search), "key")
-    sample = points.orderBy(key, "key").limit(options.audit).select("key", "unit").toArrow()
-    if not sample.num_rows:
-        return 1.0
-    keys = sample["key"].to_numpy()
-    shared = points.sparkSession.sparkContext.broadcast((keys, sample["unit"].to_pylist()))
+    open_ = labelled.select("key", "label").join(audited, "key", "left_anti")
+    sizes = labelled.groupBy("label").agg(F.floor(F.log2(F.count("*") + 0.5)).alias("_size"))
+    sized = freeze(open_.join(sizes, "label"), "sized")
+    classes = F.broadcast(sized.groupBy("_size").agg(F.count("*").alias("_many")))
+    uniform = (F.pmod(F.xxhash64(F.lit(options.seed + search), "key"), F.lit(1 << 52)) + 1) / F.lit(float(1 << 52))
+    drawn = sized.join(classes, "_size").orderBy(-F.log(uniform) * F.col("_many"), "key").limit(options.audit)
+    return freeze(drawn.select("key", "label").join(labelled.select("key", "unit"), "key"), "sample")
+
+
+def audit(labelled: DataFrame, sample: DataFrame, options: DescentOptions) -> tuple[float, DataFrame]:
+    """Mean share of its links found, over the sampled vectors that have any, and the links (a, b) between labels missed.
+
+    The sample is compared with all vectors block by block. A link within a group counts as found, as
+    counted_links compares all of a group. Each vector counts once, whatever the number of its links or copies.
+    """
+    drawn = sample.toArrow()
+    if not drawn.num_rows:
+        return 1.0, sample.selectExpr("key AS a", "label AS b")
+    columns = drawn["key"].to_numpy(), drawn["label"].to_numpy(), drawn["unit"].to_pylist()
+    shared = labelled.sparkSession.sparkContext.broadcast(columns)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, raw = shared.value
-        sums = np.zeros(len(keys), np.int64)
+        keys, labels, raw = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 2_048):
                 part = batch.slice(at, 2_048)
                 units = part.column("unit").to_pylist()
                 for dim in {len(u) for u in units}:
-                    mine = [k for k, u in enumerate(raw) if len(u) == dim]
-                    rows = [k for k, u in enumerate(units) if len(u) == dim]
-                    if mine:
-                        x = stacked([raw[k] for k in mine]) @ stacked([units[k] for k in rows]).T
-                        other = keys[mine][:, None] != part.column("key").to_numpy()[rows][None, :]
-                        sums[mine] += ((x >= options.threshold) & other) @ part.column("copies").to_numpy()[rows]
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums)], ["key", "links"])
+                    mine = np.array([k for k, u in enumerate(raw) if len(u) == dim], np.int64)
+                    rows = np.array([k for k, u in enumerate(units) if len(u) == dim], np.int64)
+                    if not len(mine):
+                        continue
+                    linked = stacked([raw[k] for k in mine]) @ stacked([units[k] for k in rows]).T >= options.threshold
+                    linked &= keys[mine][:, None] != part.column("key").to_numpy()[rows][None, :]
+                    one, two = np.nonzero(linked)
+                    pairs = np.stack([mine[one], part.column("label").to_numpy()[rows[two]]])
+                    pairs, many = np.unique(pairs, axis=1, return_counts=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys[pairs[0]]), pa.array(labels[pairs[0]]), pa.array(pairs[1]), pa.array(many.astype(np.int64))],
+                        ["key", "a", "b", "links"],
+                    )
 
-    true = points.select("key", "unit", "copies").mapInArrow(compare, "key bigint, links bigint").groupBy("key").agg(F.sum("links").alias("_true"))
-    both = true.join(counts, "key", "left").agg(F.sum("_true"), F.sum(F.coalesce("links", F.lit(0)))).first()
-    return 1.0 if not both[0] else both[1] / both[0]
+    seen = labelled.select("key", "label", "unit").mapInArrow(compare, "key bigint, a bigint, b bigint, links bigint")
+    seen = freeze(seen.groupBy("key", "a", "b").agg(F.sum("links").alias("links")), "audit")
+    found = F.sum(F.when(F.col("a") == F.col("b"), F.col("links")).otherwise(0)) / F.sum("links")
+    share = seen.groupBy("key").agg(found.alias("_share")).agg(F.avg("_share")).first()[0]
+    return 1.0 if share is None else share, seen.where("a <> b").select("a", "b").distinct()
 
 
 def near_groups(
@@ -348,8 +371,8 @@ def near_groups(
     never do. Equal vectors are one point with a number of copies, so copies are not paired; each
     copy counts as linked with the others. component_id is the smallest vec_id reachable by links (for
     a null id: of the others in its group, if any), kept tells whether it is the row's own. Every row
-    gives one row, repeated ids too; an empty table gives none. recall is the audited share of links
-    found (see DescentOptions); it is the same in all rows.
+    gives one row, repeated ids too; an empty table gives none. recall is the mean share of their
+    links found over the audited vectors that have any (see audit); it is the same in all rows.
     """
     rows = freeze(keyed_vectors(vectors, vec_id, embedding), "vectors")
     points = freeze(
@@ -357,7 +380,8 @@ def near_groups(
     )
     graph = points.sparkSession.createDataFrame([], "a bigint, b bigint, sim double")
     known = graph.select("a", "b")
-    for search in range(options.searches):
+    audited = points.select("key").limit(0)
+    for search in itertools.count():
         found = graph.unionByName(first_graph(points, options, search))
         graph = freeze(trimmed(found, options, options.lists), "graph")
         most = options.lists
@@ -368,12 +392,17 @@ def near_groups(
         links = sure_links(graph, points, options).unionByName(known)
         groups = freeze(connected_components(links), "groups")
         groups = joined_groups(groups, graph, points, options, search)
-        # lists are cut again in the next search, what they joined stays
-        known = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        counts = freeze(counted_links(groups, points, options), "counts")
-        reached = audit(points, counts, options, search)
+        labelled = labelled_points(points, groups)
+        sample = audit_sample(labelled, audited, options, search)
+        reached, missed = audit(labelled, sample, options)
         if reached >= options.recall:
             break
+        if search + 1 == options.searches:
+            raise RuntimeError(f"{search + 1} searches found {reached:.4f} of the audited links, less than {options.recall}")
+        # lists are cut again in the next search, what they joined stays
+        known = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(missed)
+        audited = audited.unionByName(sample.select("key"))
+    counts = freeze(counted_links(groups, points, options), "counts")
     named = rows.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn(
         "component", F.coalesce("component", "key")
     )

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from panelfx.llm.near_vectors import DescentOptions, near_groups
 
@@ -92,3 +93,24 @@ def test_touching_groups_of_full_lists_are_one(spark):
     assert {r[2] for r in wanted} == {0}
     assert found(spark, rows) == wanted
     assert found(spark, rows, DescentOptions(searches=1)) == wanted
+
+
+def hot_and_pairs(seed=5, hot=900, pairs=200, dim=32):
+    """One large group and pairs apart from it."""
+    rng = np.random.default_rng(seed)
+    axis = np.eye(dim)[0]
+    rows = [near(rng, axis, 0.995) for _ in range(hot)]
+    for _ in range(pairs):
+        one = rng.standard_normal(dim)
+        one /= np.linalg.norm(one)
+        rows += [one, near(rng, one, 0.955)]
+    return [(k, as_float32(v.tolist())) for k, v in enumerate(rows)]
+
+
+def test_audit_sees_small_groups_beside_a_large_one(spark, monkeypatch):
+    monkeypatch.setattr("panelfx.llm.near_vectors.WINDOW", 4)
+    rows = hot_and_pairs()
+    options = DescentOptions(trees=1, rounds=0)
+    assert found(spark, rows, options) == brute(rows)
+    with pytest.raises(RuntimeError, match="searches found"):
+        found(spark, rows, DescentOptions(trees=1, rounds=0, searches=1))
