@@ -33,6 +33,7 @@ NOT_CONTENT_WORDS = frozenset(
     "replies disqus discussion widget toolbar pagination pager login search skip".split()
 )
 CONTENT = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PUNCTUATION = frozenset(".,;:!?…。，、；：！？¿¡«»\"'()")
 # An opening tag of the first kind closes an open element of the second.
 CLOSES = {
@@ -49,6 +50,8 @@ CLOSES_P = frozenset(
     "header hgroup hr main menu nav ol p pre section summary table ul".split()
 )
 TEXT_BLOCKS = frozenset("p li td th pre dd dt h1 h2 h3 h4 h5 h6 blockquote".split())
+# Their ids are anchors made from titles.
+ANCHORS = TEXT_BLOCKS | INLINE | {"section"}
 SCOPES = frozenset("html body table td th ul ol dl div article main section blockquote".split())
 
 TAG = re.compile(
@@ -90,29 +93,46 @@ class Node:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
+    doubts: tuple[int, ...] = ()
 
 
-def marks(attributes: str, within: bool) -> bool:
-    """Whether an element's class, id, role or visibility says that it is not content.
+# What an element's attributes say: nothing, that it is not content unless its text has the ratio of content, or that it is not.
+KEEP, DOUBT, DROP = range(3)
 
-    Within an article, names of page headers do not count.
+
+def marks(tag: str, attributes: str, within: bool) -> int:
+    """What an element's class, id, role or visibility says about it.
+
+    Within an article, names of page headers do not count. There ids of headings, sections, text blocks
+    and inline elements are not looked at and other ids leave a doubt; classes of headings, sections and
+    text blocks have to be a name as a whole, part of one leaves a doubt (on headings, nothing). Ids of
+    headings are not looked at anywhere.
     """
+    said = KEEP
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return DROP
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return DROP
         if name == "role" and value.lower() in NOT_CONTENT_ROLES:
-            return True
+            return DROP
+        if name == "id" and tag in (ANCHORS if within else HEADINGS):
+            continue
         if name in ("class", "id"):
             for one in value.split():
                 parts = [p.lower() for p in NAME_PART.findall(one)]
                 if parts and parts[0] not in LAYOUT:
                     named = NOT_CONTENT_WORDS.intersection([*parts, one.lower()])
-                    if named - PAGE_HEADER if within else named:
-                        return True
-    return False
+                    if within:
+                        named = named - PAGE_HEADER
+                    if not named:
+                        continue
+                    if not within or (name == "class" and (tag not in ANCHORS - INLINE or one.lower() in named)):
+                        return DROP
+                    if tag not in HEADINGS:
+                        said = DOUBT
+    return said
 
 
 def text_nodes(page: str) -> list[Node]:
@@ -122,15 +142,15 @@ def text_nodes(page: str) -> list[Node]:
     (scripts, styles and the like) end at their own end tag and their content is dropped.
     """
     nodes: list[Node] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, not content, within an article
-    block, at, n, lowered = 0, 0, len(page), ""
+    stack: list[tuple[str, bool, bool, tuple[int, ...]]] = []  # element, not content, within an article, doubtful elements
+    block, at, n, lowered, doubtful = 0, 0, len(page), "", 0
 
     def say(text: str) -> None:
         if not text:
             return
         blocked = bool(stack) and stack[-1][1]
         if not nodes or nodes[-1].block != block or nodes[-1].blocked != blocked:
-            nodes.append(Node(tuple(s[0] for s in stack if s[0] not in INLINE), block, blocked))
+            nodes.append(Node(tuple(s[0] for s in stack if s[0] not in INLINE), block, blocked, doubts=stack[-1][3] if stack else ()))
         nodes[-1].parts.append(text)
         if any(s[0] == "a" for s in stack):
             nodes[-1].linked += len(text)
@@ -182,10 +202,13 @@ def text_nodes(page: str) -> list[Node]:
             end = page.find(">", end) if end >= 0 else -1
             at = n if end < 0 else end + 1
             continue
-        above, within = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        above, within, doubts = stack[-1][1:] if stack else (False, False, ())
         boilerplate = tag in BOILERPLATE or (tag == "header" and not within)
-        named = bool(attributes.strip()) and tag not in ("html", "body", "main") and marks(attributes, within)
-        stack.append((tag, above or boilerplate or named, within or tag in CONTENT))
+        named = marks(tag, attributes, within) if attributes.strip() and tag not in ("html", "body", "main") else KEEP
+        if named == DOUBT:
+            doubtful += 1
+            doubts = (*doubts, doubtful)
+        stack.append((tag, above or boilerplate or named == DROP, within or tag in CONTENT, doubts))
     for node in nodes:
         node.text = SPACE.sub(" ", html.unescape("".join(node.parts))).strip()
     return [node for node in nodes if node.text]
@@ -201,6 +224,18 @@ def smooth(values: np.ndarray, radius: int) -> np.ndarray:
     return total / np.convolve(np.ones(len(values)), weight, "full")[radius : radius + len(values)]
 
 
+def low_doubts(nodes: list[Node], cut: float) -> set[int]:
+    """The doubtful elements whose own ratios of length and punctuation, fused, are below `cut`."""
+    own: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
+    for node in nodes:
+        for doubt in node.doubts:
+            entry = own[doubt]
+            entry[0] += max(len(node.text) - node.linked, 0)
+            entry[1] += sum(map(node.text.count, PUNCTUATION))
+            entry[2] += 1
+    return {doubt for doubt, (length, pauses, many) in own.items() if length / many * (1.0 + pauses / many) < cut}
+
+
 def content_nodes(nodes: list[Node], options: RatioOptions) -> list[Node]:
     """The nodes that are content, in page order.
 
@@ -210,7 +245,7 @@ def content_nodes(nodes: list[Node], options: RatioOptions) -> list[Node]:
     part in the scores but are never content. The content element is the article or main element if
     there is one, else the deepest element whose paths hold most of the score. Its paths are content,
     unless they are lists of links below the threshold; a path elsewhere is content if it reaches the
-    threshold and there is no article.
+    threshold and there is no article. A doubtful element goes if its own ratios are below the threshold.
     """
     if not nodes:
         return []
@@ -232,6 +267,7 @@ def content_nodes(nodes: list[Node], options: RatioOptions) -> list[Node]:
             for depth in range(len(node.path) + 1):
                 mass[node.path[:depth]] += value
     cut = options.threshold * float(np.std(fused))
+    low = low_doubts(nodes, cut)
     articles = any(not n.blocked and not CONTENT.isdisjoint(n.path) for n in nodes)
     home: tuple[str, ...] = ()
     for prefix, held in mass.items():
@@ -245,7 +281,7 @@ def content_nodes(nodes: list[Node], options: RatioOptions) -> list[Node]:
             return score[path] >= cut or sums[path][0] > (1.0 - options.links) * sums[path][3]
         return not articles and score[path] >= cut
 
-    return [node for node in nodes if not node.blocked and content(node)]
+    return [node for node in nodes if not node.blocked and low.isdisjoint(node.doubts) and content(node)]
 
 
 def main_text(page: str, options: RatioOptions = RatioOptions()) -> str:

@@ -69,3 +69,20 @@ def test_articles_of_the_small_tables(spark):
         blocks = re.sub(r"</?b>", "", re.sub(r"<br>", " ", re.sub(r"</?(?:p|h1)>", "\0", inner))).split("\0")
         blocks = [re.sub(r"\s+", " ", html.unescape(b)).strip() for b in blocks]
         assert got[row.page_id] == "\n\n".join(b for b in blocks if b)
+
+
+PAPER = """<body><nav>Home</nav><article><h1 id="share">On search</h1><p>Some, words, to begin with, and then more of them.</p>
+<section id="discussion"><h2 id="how-search-works">How search works</h2><p>It looks, and finds, what there is; mostly.</p></section>
+<section class="related-work"><h3 id="related-work">Related work</h3><p>Others, too, have looked, and found, and written.</p></section>
+<div id="social-media"><h2><span id="Social_media">Social media</span></h2><p id="comment-1">A long, long text, about what people say, and why.</p></div>
+<div class="share-buttons">Share, please.</div><div id="related-posts"><ul><li><a href="x">One</a><li><a href="y">Two</a></ul></div>
+<p class="ad">Buy, now.</p></article></body>"""
+
+
+def test_ids_made_from_titles_stay():
+    assert main_text(PAPER).split("\n\n") == [
+        "On search", "Some, words, to begin with, and then more of them.",
+        "How search works", "It looks, and finds, what there is; mostly.",
+        "Related work", "Others, too, have looked, and found, and written.",
+        "Social media", "A long, long text, about what people say, and why.",
+    ]
