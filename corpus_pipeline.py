@@ -16,7 +16,8 @@ from panelfx.llm.toxicity import toxicity_scores
 from panelfx.session import freeze
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-TOXIC_FROM = 0.5
+# As op4_toxicity predicts.
+TOXIC_FROM = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

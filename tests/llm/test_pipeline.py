@@ -61,3 +61,11 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_what_op4_predicts_as_toxic_goes(spark, monkeypatch):
+    scores = [0.1, 0.29, 0.3, 0.4, 0.5, 0.9]
+    docs = spark.createDataFrame(list(enumerate(scores)), "doc_id long, kept double")
+    monkeypatch.setattr(corpus_pipeline, "toxicity_scores", lambda docs, labels, name: docs.withColumn(name, docs["kept"]))
+    left = corpus_pipeline.drop_toxic(spark, docs, SF_DIR)
+    assert sorted(r.doc_id for r in left.collect()) == [0, 1]
