@@ -1,0 +1,158 @@
+import itertools
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+from pyarrow import fs
+from tokenizers import Tokenizer
+
+from panelfx.llm.queries import token_files
+from panelfx.llm.token_files import (
+    EliasFano,
+    LibraryEncoder,
+    TokenFile,
+    TokenFileOptions,
+    TokenWriter,
+    pack,
+    read_token_files,
+    unpack,
+    write_token_files,
+)
+
+SF = "/root/testdata/sf0.001"
+WORDS = TokenFileOptions(by_words=True)
+
+
+@pytest.fixture(scope="module")
+def spec():
+    with open(public_tokenizers.path("word_bpe_49k.json")) as file:
+        return file.read()
+
+
+def library_ids(spec, texts):
+    tokenizer = Tokenizer.from_str(spec)
+    tokenizer.encode_special_tokens = True
+    return [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+
+
+def plain_rows(spec, rows):
+    """(doc_id, start, n_tokens, crc32) of rows in the order they should be written in."""
+    out, start = [], 0
+    for (doc_id, _), ids in zip(rows, library_ids(spec, [t for _, t in rows]), strict=True):
+        out.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    return out
+
+
+@pytest.mark.parametrize("width", [0, 1, 7, 31, 33, 63])
+def test_packed_values_come_back(width):
+    rng = np.random.default_rng(width)
+    values = rng.integers(0, 1 << width, 1000, dtype=np.uint64) if width else np.zeros(1000, np.uint64)
+    raw = pack(values, width)
+    for a, b in [(0, 1000), (0, 0), (17, 18), (999, 1000), (63, 770)]:
+        assert (unpack(raw, width, a, b) == values[a:b]).all()
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 511, 512, 513, 4000])
+@pytest.mark.parametrize("span", [0, 3, 1000, 10**6, 2**62])
+def test_selected_values_are_those_coded(n, span):
+    rng = np.random.default_rng(n)
+    values = np.sort(rng.integers(0, span + 1, n)) - span // 2
+    coded = EliasFano(EliasFano.encode(values))
+    assert (coded.select(0, n) == values).all()
+    for _ in range(20 if n else 0):
+        a = int(rng.integers(0, n))
+        b = int(rng.integers(a, n + 1))
+        assert (coded.select(a, b) == values[a:b]).all() and coded[a] == values[a]
+        assert coded.rank(int(values[a])) == np.searchsorted(values, values[a])
+
+
+def test_extreme_ids_and_gaps_are_coded():
+    values = np.array([-(2**63), -5, -5, 0, 2**63 - 1])
+    coded = EliasFano(EliasFano.encode(values))
+    assert coded.select(0, 5).tolist() == values.tolist()
+    with pytest.raises(ValueError, match="ascending"):
+        EliasFano.encode(np.array([3, 1]))
+    with pytest.raises(IndexError):
+        coded.select(2, 6)
+
+
+def test_boundaries_take_near_the_least_space():
+    sizes = np.random.default_rng(5).integers(1, 900, 100_000)
+    ends = np.cumsum(sizes)
+    bits = len(EliasFano.encode(ends)) * 8 / len(ends)
+    assert bits < 2.2 + np.log2(ends[-1] / len(ends))
+
+
+def test_a_file_gives_its_documents_back(tmp_path):
+    files = fs.LocalFileSystem()
+    docs = [np.arange(k) for k in (3, 0, 70_000, 1)]
+    writer = TokenWriter(files, f"{tmp_path}/a", "<u4")
+    writer.add([None, None], docs[:2])
+    writer.add([4, 9], docs[2:])
+    assert writer.close() == (4, 70_004)
+    file = TokenFile(files, f"{tmp_path}/a")
+    assert file.doc_ids(0, 4) == [None, None, 4, 9] and file.doc_ids(1, 3) == [None, 4]
+    assert all((file.doc(i) == docs[i]).all() for i in range(4))
+    assert len(file.find(4)) == 70_000 and file.find(5) is None
+    narrow = TokenWriter(files, f"{tmp_path}/b", "<u2")
+    with pytest.raises(ValueError, match="fit"):
+        narrow.add([1], [np.array([70_000])])
+    with open(f"{tmp_path}/c", "wb") as out:
+        out.write(b"x" * 100)
+    with pytest.raises(ValueError, match="not a file"):
+        TokenFile(files, f"{tmp_path}/c")
+
+
+def test_words_encode_as_their_texts_do(spec):
+    rng = np.random.default_rng(3)
+    pieces = ["Don't", "é", "é", "́x", "\xa0", "\x85", "\x1c", " ", "12", "ΑΣ", "ΣΣ", "İ", "<|endoftext|>", "...", "ﬁ", "한글", "\x00", "😀", " ", "\t", "\n\n", "\x0b"]
+    texts = ["".join(rng.choice(pieces, rng.integers(0, 14))) for _ in range(2000)] + ["", " ", "x" * 5000]
+    found = LibraryEncoder(spec, 2, True)(texts)
+    assert [f.tolist() for f in found] == library_ids(spec, texts)
+    assert [f.tolist() for f in LibraryEncoder(spec, 2, False)(texts[:300])] == library_ids(spec, texts[:300])
+
+
+def test_every_document_of_the_small_table(spark, spec):
+    rows = pq.read_table(f"{SF}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    expected = plain_rows(spec, sorted(((r["doc_id"], r["text"]) for r in rows), key=lambda r: r[0]))
+    assert sorted(tuple(r) for r in token_files(spark, SF).collect()) == expected
+
+
+def test_nulls_repeats_and_clashing_columns(spark, spec, tmp_path):
+    rows = [(7, "b a", 1), (None, "null id", 2), (7, "b a", 3), (-3, None, 4), (5, "", 5), (None, None, 6), (9, "x " * 60_000, 7)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, file bigint").selectExpr("*", "1 AS _hash", "2 AS base", "3 AS ids")
+    options = TokenFileOptions(by_words=True, least_bytes=1, shard_bytes=50)
+    manifest = write_token_files(docs, f"file:{tmp_path}/out", spec, options)
+    assert manifest.count() > 1
+    found = sorted(((r.start, r.n_tokens, r.doc_id, bytes(r.ids)) for r in read_token_files(manifest, f"{tmp_path}/out").collect()))
+    assert [f[2] for f in found] == [None, None, -3, 5, 7, 7, 9]
+    assert [f[0] for f in found] == [0, *itertools.accumulate(f[1] for f in found[:-1])]
+    expected = {t or "": np.array(i, "<u4").tobytes() for t, i in zip([r[1] for r in rows], library_ids(spec, [r[1] for r in rows]), strict=True)}
+    assert sorted(f[3] for f in found) == sorted(expected[r[1] or ""] for r in rows)
+    assert found[4][3] == found[5][3] == expected["b a"]
+
+
+def test_files_of_attempts_that_were_not_committed_are_not_read(spark, spec, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id bigint, text string")
+    manifest = write_token_files(docs, str(tmp_path), spec, WORDS)
+    (tmp_path / "shard-lost.ids").write_bytes(b"half a file")
+    assert read_token_files(manifest, str(tmp_path)).count() == 50
+
+
+def test_empty_tables(spark, spec, tmp_path):
+    docs = spark.createDataFrame([], "doc_id bigint, text string")
+    manifest = write_token_files(docs, str(tmp_path), spec, WORDS)
+    assert manifest.count() == 0 and read_token_files(manifest, str(tmp_path)).count() == 0
+
+
+def test_blocks_of_a_shard_start_where_the_last_ended(spark, spec, tmp_path):
+    n = 20_000
+    docs = spark.createDataFrame(pa.table({"doc_id": np.arange(n), "text": [f"w{i % 7}" for i in range(n)]}).to_pandas())
+    manifest = write_token_files(docs, str(tmp_path), spec, WORDS)
+    found = sorted((r.doc_id, r.start, r.n_tokens) for r in read_token_files(manifest, str(tmp_path)).drop("ids").collect())
+    assert [f[0] for f in found] == list(range(n))
+    assert [f[1] for f in found] == [0, *itertools.accumulate(f[2] for f in found[:-1])]
