@@ -203,6 +203,70 @@ r AS (
   FROM own JOIN ctl ON ctl.g = own.g AND ctl.t = own.t)
 SELECT g AS cohort, b AS base_period, t AS time, {_measures()} FROM r"""
 
+# Effects of a panel with gaps, each difference over the units seen at both times; n: units of the cohort.
+_GAPS = f"""{_EVENTS},
+un AS (SELECT DISTINCT unit, g FROM panel),
+times AS (SELECT DISTINCT t FROM panel),
+gs AS (SELECT g, count(*) AS n FROM un WHERE g IS NOT NULL GROUP BY g),
+gt AS (SELECT g, n, t, (SELECT max(x.t) FROM times x WHERE x.t < least(times.t, gs.g)) AS b
+       FROM gs CROSS JOIN times),
+own AS (
+  SELECT gt.g, gt.t, gt.b, max(gt.n) AS n, avg(p.y - q.y) AS m, count(*) AS c
+  FROM gt JOIN panel p ON p.g = gt.g AND p.t = gt.t JOIN panel q ON q.unit = p.unit AND q.t = gt.b
+  GROUP BY gt.g, gt.t, gt.b),
+ctl AS (
+  SELECT gt.g, gt.t, avg(p.y - q.y) AS m, count(*) AS c
+  FROM gt JOIN panel p ON p.g IS NULL AND p.t = gt.t JOIN panel q ON q.unit = p.unit AND q.t = gt.b
+  GROUP BY gt.g, gt.t),
+att AS (
+  SELECT 'x' AS z, own.g, own.t, own.b, own.n, own.m - ctl.m AS att, own.m AS dg, ctl.m AS dc,
+         own.c AS cg, ctl.c AS cc
+  FROM own JOIN ctl ON ctl.g = own.g AND ctl.t = own.t),
+dev AS (
+  SELECT a.g, a.t, p.unit, (p.y - q.y - a.dg) / a.cg AS e
+  FROM att a JOIN panel p ON p.g = a.g AND p.t = a.t JOIN panel q ON q.unit = p.unit AND q.t = a.b
+  UNION ALL
+  SELECT a.g, a.t, p.unit, -(p.y - q.y - a.dc) / a.cc AS e
+  FROM att a JOIN panel p ON p.g IS NULL AND p.t = a.t JOIN panel q ON q.unit = p.unit AND q.t = a.b)"""
+
+
+def _gap_influence(view: str) -> str:
+    """Influence of each unit on each estimate: of the cells it is seen in, and of its cohort's share."""
+    tilt = "0.0" if view == "cohort" else "(att - theta) / nn"
+    return (
+        _view_tables(view)
+        + f""",
+inf AS (
+  SELECT k, unit, sum(i) AS i FROM (
+    SELECT wt.k, dev.unit, w * e AS i FROM wt JOIN dev ON dev.g = wt.g AND dev.t = wt.t
+    UNION ALL
+    SELECT wt.k, un.unit, {tilt} AS i FROM wt JOIN un ON un.g = wt.g)
+  GROUP BY k, unit)"""
+    )
+
+
+def _gap_se(view: str) -> str:
+    return f"""WITH {_GAPS}{_gap_influence(view)},
+vse AS (
+  SELECT th.k, th.theta AS att, s.se FROM th
+  JOIN (SELECT k, sqrt(sum(i * i)) AS se FROM inf GROUP BY k) s ON s.k = th.k)
+SELECT k AS {_VIEW[view][0]}, {_measures()} FROM vse"""
+
+
+_GAP_BOOT_CELLS = f"""WITH {_GAPS}{_SIGNS}{_boot(''',
+dr AS (
+  SELECT dev.g, dev.t, v.b, max(att.att) AS att, sum(e * v) AS d
+  FROM dev JOIN v ON v.unit = dev.unit
+  JOIN att ON att.g = dev.g AND att.t = dev.t GROUP BY dev.g, dev.t, v.b)''', 'g, t')}
+SELECT bse.g AS cohort, att.b AS base_period, bse.t AS time, {_measures('bse.att', 'se', 'c')}
+FROM bse JOIN att ON att.g = bse.g AND att.t = bse.t CROSS JOIN crit"""
+
+_GAP_BOOT_EVENT = f"""WITH {_GAPS}{_gap_influence('event')}{_SIGNS}{_boot(''',
+dr AS (
+  SELECT inf.k, v.b, max(theta) AS att, sum(i * v) AS d
+  FROM inf JOIN v ON v.unit = inf.unit JOIN th ON th.k = inf.k GROUP BY inf.k, v.b)''', 'k')}
+SELECT k AS relative_period, {_measures('bse.att', 'se', 'c')} FROM bse CROSS JOIN crit"""
+
 # --- demeaning -----------------------------------------------------------------------------------
 
 _DEMEANED = """,
@@ -463,6 +527,11 @@ SELECT {_CELL_KEYS}, {_measures()} FROM se""",
         "att_gt_bootstrap": _BOOT_CELLS,
         "att_by_event_bootstrap": _BOOT_EVENT,
         "att_gt_pairwise": _PAIRWISE,
+        "att_by_cohort_pairwise_se": _gap_se("cohort"),
+        "att_by_time_pairwise_se": _gap_se("time"),
+        "att_by_event_pairwise_se": _gap_se("event"),
+        "att_gt_pairwise_bootstrap": _GAP_BOOT_CELLS,
+        "att_by_event_pairwise_bootstrap": _GAP_BOOT_EVENT,
         "unbalanced_users": f"""WITH {_EVENTS}
 SELECT unit, count(*) AS n_rows, count(DISTINCT t) AS n_times FROM panel GROUP BY unit
 HAVING count(*) <> (SELECT count(DISTINCT t) FROM panel)""",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import pandas as pd
 import pyarrow as pa
@@ -182,6 +183,20 @@ def att_gt_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(compute_effects(panel, ORDERS, options, views=("all",))["all"])
 
 
+def _gap_query(view: str, options: EffectOptions) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rounded(compute_effects(events_panel(spark, sf_dir), ORDERS, options, views=(view,))[view])
+
+    return run
+
+
+# Users x days with gaps: errors and draws follow each user's own days.
+for _view in ("cohort", "time", "event"):
+    _QUERIES[f"att_by_{_view}_pairwise_se"] = _gap_query(_view, EffectOptions(balance="pairwise"))
+_QUERIES["att_gt_pairwise_bootstrap"] = _gap_query("all", replace(BOOT, balance="pairwise"))
+_QUERIES["att_by_event_pairwise_bootstrap"] = _gap_query("event", replace(BOOT, balance="pairwise"))
+
+
 @query("att_by_segment")
 def att_by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All segments in one run, as model sizes are."""

@@ -4,23 +4,34 @@ Differences-in-differences with never-treated controls and no covariates, where
 estimator is a difference of group means. All of it works on small tables derived from one or two
 passes over the panel:
 
-* `cells`: mean and size per (cohort, time), one hash aggregate;
-* `pair_moments`: variance of `y(t) - y(s)` per cohort, for analytic errors of any contrast;
-* `bootstrap_sums`: weighted sums per (cohort, time), for the multiplier bootstrap.
+* folded units: one row per unit with its outcomes in order of time, the only shuffle of the panel;
+* `cells`: mean and size per (cohort, time);
+* `influence_squares`: squared influence of each unit on each estimate, for analytic errors of all views;
+* `bootstrap_sums`, `bootstrap_pairs`: weighted sums per group, for the multiplier bootstrap.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelfx.functions import none_if_nan
 from panelfx.operators.panel import PanelSpec
-from panelfx.operators.unitblocks import bootstrap_sums, pair_moments, sum_lists
+from panelfx.operators.unitblocks import (
+    bootstrap_pairs,
+    bootstrap_sums,
+    fold_lists,
+    fold_units,
+    influence_squares,
+    largest_draws,
+    pair_sums,
+    times_of,
+    unit_observations,
+)
 from panelfx.session import freeze
 
 VIEWS = ("all", "cohort", "time", "event")
@@ -60,24 +71,15 @@ class EffectOptions:
         for name, values in allowed.items():
             if getattr(self, name) not in values:
                 raise ValueError(f"{name} must be one of {values}, not {getattr(self, name)!r}")
-        if self.balance == "pairwise" and self.se == "bootstrap":
-            raise ValueError("the bootstrap needs a balanced panel")
 
 
-def cells_of(panel: DataFrame, spec: PanelSpec) -> DataFrame:
+def cells_of(units: DataFrame, spec: PanelSpec) -> DataFrame:
     """Mean, size and a fingerprint of the unit set per (cohort, time): by..., cohort, time, ..."""
-    spec.check(panel)
-    y = panel.select(
-        *spec.by,
-        F.col(spec.cohort).cast("bigint").alias("cohort"),
-        F.col(spec.time).cast("bigint").alias("time"),
-        none_if_nan(F.col(spec.target)).alias("_y"),
-        F.xxhash64(spec.unit).alias("_h"),
-    ).where(F.col("_y").isNotNull())
+    y = unit_observations(units, spec).withColumn("_h", F.xxhash64("unit"))
     return y.groupBy(*spec.by, "cohort", "time").agg(
         F.count("*").alias("n"),
-        F.avg("_y").alias("mean"),
-        # Sums over unit hashes; equal ones at two times mean the same units were seen as often.
+        F.avg("y").alias("mean"),
+        # Folded units have one row a time, so equal sums at two times mean the same set of units.
         F.bit_xor("_h").alias("units_xor"),
         F.sum(F.shiftright("_h", 32)).alias("units_sum"),
     )
@@ -131,8 +133,7 @@ def _require_balance(cells: DataFrame, spec: PanelSpec) -> DataFrame:
 
     marked = cells.withColumns(
         {
-            # doubled rows cancel in the xor, and n and sum are then as steady as before
-            "_steady": steady("n") & steady("units_xor") & steady("units_sum") & (F.col("units_xor") != 0),
+            "_steady": steady("n") & steady("units_xor") & steady("units_sum"),
             "_times": F.count("*").over(of_cohort),
         }
     ).withColumn(
@@ -144,7 +145,7 @@ def _require_balance(cells: DataFrame, spec: PanelSpec) -> DataFrame:
         F.coalesce(F.col("cohort").cast("string"), F.lit("never treated")),
         F.lit(", time "),
         F.col("time").cast("string"),
-        F.lit("; unbalanced_units lists the units, also those with repeated rows"),
+        F.lit("; unbalanced_units lists the units"),
     )
     return marked.withColumn(
         "mean", F.when(fine, F.col("mean")).otherwise(F.raise_error(message))
@@ -154,13 +155,18 @@ def _require_balance(cells: DataFrame, spec: PanelSpec) -> DataFrame:
 def att_gt(
     panel: DataFrame, spec: PanelSpec = PanelSpec(), options: EffectOptions = EffectOptions(se="none")
 ) -> DataFrame:
-    """Point estimates: by..., cohort, base_period, time, n (units of the cohort), ATT."""
-    if options.balance == "pairwise":
-        cells = freeze(cells_of(panel, spec), "cells")
-        return _pairwise(panel, cells, spec, options).select(
-            *spec.by, "cohort", "base_period", "time", "n", "ATT"
-        )
-    return _att_from_cells(cells_of(panel, spec), spec, options)
+    """Point estimates: by..., cohort, base_period, time, n (units of the cohort), ATT.
+
+    Several rows of one unit and time raise, whichever the balance.
+    """
+    units = fold_units(panel, spec)
+    if options.balance == "strict":
+        return _att_from_cells(cells_of(units, spec), spec, options)
+    units = freeze(units, "units")
+    cells = freeze(cells_of(units, spec), "cells")
+    bases = freeze(_all_bases(cells, spec, options), "bases")
+    stats = pair_sums(units, _pairs(bases, spec), spec, times_of(cells))
+    return _pairwise(units, bases, stats, spec).select(*spec.by, "cohort", "base_period", "time", "n", "ATT")
 
 
 def _att_from_cells(cells: DataFrame, spec: PanelSpec, options: EffectOptions) -> DataFrame:
@@ -191,38 +197,64 @@ def _all_bases(cells: DataFrame, spec: PanelSpec, options: EffectOptions) -> Dat
     )
 
 
-def _pairwise(
-    panel: DataFrame, cells: DataFrame, spec: PanelSpec, options: EffectOptions
-) -> DataFrame:
-    """Effects of an unbalanced panel, from the units seen at both times of each difference."""
+def _pairs(cells: DataFrame, spec: PanelSpec) -> DataFrame:
+    """by..., cohort, t, s: the differences over time that the cells need, for cohorts and controls."""
     by = list(spec.by)
-    moments = freeze(pair_moments(panel, cells, spec), "moments")
-    bases = _all_bases(cells, spec, options)
-    sizes = panel.where(none_if_nan(F.col(spec.target)).isNotNull()).groupBy(
-        *by, F.col(spec.cohort).cast("bigint").alias("cohort")
-    ).agg(F.count_distinct(spec.unit).alias("n"))
-    own = moments.select(
-        *by,
-        "cohort",
-        F.col("t").alias("time"),
-        F.col("s").alias("base_period"),
-        F.col("mean_d").alias("_own_mean"),
-        (F.col("var_d") / F.col("n")).alias("_own_var"),
-    )
-    control = own.where(F.col("cohort").isNull()).select(
-        *by,
-        "time",
-        "base_period",
-        F.col("_own_mean").alias("_control_mean"),
-        F.col("_own_var").alias("_control_var"),
+    moved = cells.where(F.col("time") != F.col("base_period"))
+    own = moved.select(*by, "cohort", F.col("time").alias("t"), F.col("base_period").alias("s"))
+    control = own.withColumn("cohort", F.lit(None).cast("bigint")).distinct()
+    return own.unionByName(control)
+
+
+def _stats_of_cells(pairs: DataFrame, cells: DataFrame, spec: PanelSpec) -> DataFrame:
+    """`pair_sums` of a balanced panel: by..., cohort, t, s, n, mean from the means of the cells."""
+    by = list(spec.by)
+
+    def at(time: str, out: str) -> DataFrame:
+        return cells.select(
+            *[F.col(c).alias(f"_{out}_{c}") for c in [*by, "cohort"]],
+            F.col("time").alias(f"_{out}_time"),
+            F.col("mean").alias(f"_{out}"),
+            F.col("n").alias(f"_{out}_n"),
+        )
+
+    found = pairs
+    for time, out in (("t", "first"), ("s", "second")):
+        same = [F.col(c).eqNullSafe(F.col(f"_{out}_{c}")) for c in [*by, "cohort"]]
+        found = found.join(at(time, out), [*same, F.col(time) == F.col(f"_{out}_time")])
+    return found.select(
+        *by, "cohort", "t", "s", F.col("_first_n").alias("n"), (F.col("_first") - F.col("_second")).alias("mean")
     )
-    cell = [*by, "cohort", "time", "base_period"]
+
+
+def _control_of(stats: DataFrame, spec: PanelSpec, columns: dict[str, str]) -> DataFrame:
+    """by..., time, base_period and the given columns of the controls' pairs, renamed."""
+    return stats.where(F.col("cohort").isNull()).select(
+        *spec.by, F.col("t").alias("time"), F.col("s").alias("base_period"),
+        *[F.col(c).alias(name) for c, name in columns.items()],
+    )
+
+
+def _own_of(stats: DataFrame, spec: PanelSpec, columns: dict[str, str]) -> DataFrame:
+    return stats.where(F.col("cohort").isNotNull()).select(
+        *spec.by, "cohort", F.col("t").alias("time"), F.col("s").alias("base_period"),
+        *[F.col(c).alias(name) for c, name in columns.items()],
+    )
+
+
+def _pairwise(units: DataFrame, bases: DataFrame, stats: DataFrame, spec: PanelSpec) -> DataFrame:
+    """Effects of an unbalanced panel, from the units seen at both times of each difference.
+
+    `n` counts the cohort's units, whenever they are seen: cohort shares do not depend on the cell.
+    """
+    by = list(spec.by)
+    sizes = units.groupBy(*by, "cohort").agg(F.count("*").alias("n"))
     return (
-        bases.join(own, cell)
-        .join(control, [*by, "time", "base_period"])
+        bases.join(_own_of(stats, spec, {"mean": "_own_mean"}), [*by, "cohort", "time", "base_period"])
+        .join(_control_of(stats, spec, {"mean": "_control_mean"}), [*by, "time", "base_period"])
         .join(sizes, [*by, "cohort"])
         .withColumn("ATT", F.col("_own_mean") - F.col("_control_mean"))
-        .withColumn("std_error", F.sqrt(F.col("_own_var") + F.col("_control_var")))
+        .drop("_own_mean", "_control_mean")
     )
 
 
@@ -259,36 +291,63 @@ def aggregate_effects(effects: DataFrame, view: str, spec: PanelSpec = PanelSpec
     )
 
 
-def _analytic_all(effects: DataFrame, moments: DataFrame, spec: PanelSpec) -> DataFrame:
+def _contrast_rows(effects: DataFrame, stats: DataFrame, views: tuple[str, ...], spec: PanelSpec) -> DataFrame:
+    """The estimates of the views as sums of group differences: by..., cohort, view, _k0, _k1, _k2, t, s, w, mean.
+
+    View "all" has one entry per pair of times and group, as cells share the controls' differences; the
+    key is then (group, t, s). In the other views the key is `_k1`, and the controls' weights of equal times
+    are added up first, so a view never has more entries than there are cells, for each side.
+    """
     by = list(spec.by)
-    own = moments.select(
-        *by,
-        "cohort",
-        F.col("t").alias("time"),
-        F.col("s").alias("base_period"),
-        (F.col("var_d") / F.col("n")).alias("_own_var"),
-    )
-    control = own.where(F.col("cohort").isNull()).select(
-        *by, "time", "base_period", F.col("_own_var").alias("_control_var")
+    none = F.lit(None).cast("bigint")
+    rows: list[DataFrame] = []
+    if "all" in views:
+        rows.append(stats.select(
+            *by, "cohort", F.lit("all").alias("view"), F.col("cohort").alias("_k0"), F.col("t").alias("_k1"),
+            F.col("s").alias("_k2"), "t", "s", (F.lit(1.0) / F.col("n")).alias("w"), "mean",
+        ))
+    for view in views:
+        if view == "all":
+            continue
+        used = _weights(effects, view, spec).select(
+            *by, "cohort", "_key", F.col("time").alias("t"), F.col("base_period").alias("s"), "_w"
+        )
+        control = used.groupBy(*by, "_key", "t", "s").agg((-F.sum("_w")).alias("_w")).withColumn("cohort", none)
+        both = used.unionByName(control)
+        sizes = stats.select(*[F.col(c).alias(f"_p_{c}") for c in [*by, "cohort", "t", "s"]], "n", "mean")
+        same = [F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in [*by, "cohort"]]
+        same += [F.col(c) == F.col(f"_p_{c}") for c in ("t", "s")]
+        rows.append(both.join(sizes, same).select(
+            *by, "cohort", F.lit(view).alias("view"), none.alias("_k0"), F.col("_key").alias("_k1"), none.alias("_k2"),
+            "t", "s", (F.col("_w") / F.col("n")).alias("w"), "mean",
+        ))
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _analytic_all(effects: DataFrame, squares: DataFrame, spec: PanelSpec) -> DataFrame:
+    by = list(spec.by)
+    found = squares.where(F.col("view") == "all").select(
+        *by, F.col("_k0").alias("cohort"), F.col("_k1").alias("t"), F.col("_k2").alias("s"), "var"
     )
-    # A universal base compares the base period with itself: no moment, no variance.
+    # A universal base compares the base period with itself: no difference, no variance.
     spread = F.coalesce("_own_var", F.lit(0.0)) + F.coalesce("_control_var", F.lit(0.0))
     return (
-        effects.join(own, [*by, "cohort", "time", "base_period"], "left")
-        .join(control, [*by, "time", "base_period"], "left")
+        effects.join(_own_of(found, spec, {"var": "_own_var"}), [*by, "cohort", "time", "base_period"], "left")
+        .join(_control_of(found, spec, {"var": "_control_var"}), [*by, "time", "base_period"], "left")
         .withColumn("std_error", F.sqrt(spread))
         .drop("_own_var", "_control_var")
     )
 
 
-def _analytic_view(
-    effects: DataFrame, moments: DataFrame, view: str, spec: PanelSpec
-) -> DataFrame:
+def _analytic_view(effects: DataFrame, squares: DataFrame, view: str, spec: PanelSpec) -> DataFrame:
     """Aggregated effects with influence-function errors.
 
-    An aggregate is a contrast `sum a(group, time) * mean(group, time)` whose weights sum to zero
-    in each group, so its variance is `-1/2 sum a(t) a(s) var(y(t) - y(s)) / n` over the groups.
-    Estimated cohort shares add `sum n_k (ATT_k - theta)^2 / (sum n_k)^2`.
+    An aggregate is a weighted sum of differences of group means, so a unit's influence is that sum of its
+    own deviations over the cells it is seen in. Estimated cohort shares add
+    `sum n_k (ATT_k - theta)^2 / (sum n_k)^2`; the two don't covary, as deviations sum to zero in each cell.
     """
     by = list(spec.by)
     weighted = _weights(effects, view, spec)
@@ -300,53 +359,9 @@ def _analytic_view(
     )
     if view == "cohort":
         points = points.withColumn("_share_var", F.lit(0.0))
-    no_cohort = F.lit(None).cast("bigint")
-
-    def load(group: Column, time: str, a: Column) -> Column:
-        return F.struct(group.alias("grp"), F.col(time).alias("t"), a.alias("a"))
-
-    w = F.col("_w")
-    loads = F.array(
-        load(F.col("cohort"), "time", w),
-        load(F.col("cohort"), "base_period", -w),
-        load(no_cohort, "time", -w),
-        load(no_cohort, "base_period", w),
-    )
-    contrast = (
-        weighted.select(*by, "_key", F.inline(loads))
-        .groupBy(*by, "_key", "grp", "t")
-        .agg(F.sum("a").alias("a"))
-    )
-    spread = moments.select(
-        *[F.col(c).alias(f"_m_{c}") for c in by],
-        F.col("cohort").alias("_m_cohort"),
-        F.col("t").alias("_m_t"),
-        "s",
-        (F.col("var_d") / F.col("n")).alias("_v"),
-    )
-    same_group = [
-        *[contrast[c].eqNullSafe(spread[f"_m_{c}"]) for c in by],
-        contrast["grp"].eqNullSafe(spread["_m_cohort"]),
-        contrast["t"] == spread["_m_t"],
-    ]
-    # variance matrix times contrast, then contrast times that
-    half = (
-        contrast.join(spread, same_group)
-        .groupBy(*by, "_key", "grp", "s")
-        .agg(F.sum(F.col("a") * F.col("_v")).alias("_va"))
-    )
-    left, right = contrast.alias("l"), half.alias("r")
-    meet = [
-        *[F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*by, "_key", "grp"]],
-        F.col("l.t") == F.col("r.s"),
-    ]
-    variance = (
-        left.join(right, meet)
-        .groupBy(*[F.col(f"l.{c}").alias(c) for c in [*by, "_key"]])
-        .agg((F.lit(-0.5) * F.sum(F.col("l.a") * F.col("r._va"))).alias("_var"))
-    )
-    total = F.greatest(F.coalesce("_var", F.lit(0.0)), F.lit(0.0)) + F.col("_share_var")
-    return points.join(variance, [*by, "_key"], "left").select(
+    found = squares.where(F.col("view") == view).select(*by, F.col("_k1").alias("_key"), "var")
+    total = F.coalesce("var", F.lit(0.0)) + F.col("_share_var")
+    return points.join(found, [*by, "_key"], "left").select(
         *by, F.col("_key").alias(_KEYS[view]), "ATT", F.sqrt(total).alias("std_error")
     )
 
@@ -375,6 +390,20 @@ def _boot_cells(
     return effects.join(draws, [*by, "cohort", "time"])
 
 
+def _boot_pairs(
+    effects: DataFrame, draws: DataFrame, weights: DataFrame, spec: PanelSpec
+) -> DataFrame:
+    """`_boot_cells` of a panel with gaps, from the draws of its pairs of times and the cohorts' weight sums."""
+    by = list(spec.by)
+    return (
+        effects.join(_own_of(draws, spec, {"z": "_own_z"}), [*by, "cohort", "time", "base_period"])
+        .join(_control_of(draws, spec, {"z": "_control_z"}), [*by, "time", "base_period"])
+        .join(weights.where(F.col("cohort").isNotNull()), [*by, "cohort"])
+        .withColumn("draws", F.zip_with("_own_z", "_control_z", lambda a, b: a - b))
+        .drop("_own_z", "_control_z")
+    )
+
+
 def _boot_view(cells: DataFrame, view: str, spec: PanelSpec) -> DataFrame:
     by = list(spec.by)
     weighted = _weights(cells, view, spec)
@@ -387,7 +416,7 @@ def _boot_view(cells: DataFrame, view: str, spec: PanelSpec) -> DataFrame:
     )
     points = weighted.groupBy(*by, "_key").agg(F.max("_theta").alias("ATT"))
     return (
-        sum_lists(draws, [*by, "_key"], ["draws"])
+        fold_lists(draws, [*by, "_key"], ["draws"])
         .join(points, [*by, "_key"])
         .select(*by, F.col("_key").alias(_KEYS[view]), "ATT", "draws")
     )
@@ -415,17 +444,12 @@ def _boot_band(estimates: DataFrame, spec: PanelSpec, options: EffectOptions) ->
             "_crit", F.lit(normal.inv_cdf(1 - options.alpha / 2))
         )
     with_se = freeze(with_se, "draws")
-    largest = (
-        with_se.where(F.col("std_error") > 0)
-        .select(*by, "std_error", F.posexplode("draws").alias("b", "d"))
-        .groupBy(*by, "b")
-        .agg(F.max(F.abs(F.col("d")) / F.col("std_error")).alias("m"))
-    )
-    crit = F.percentile("m", F.lit(1 - options.alpha))
+    crit = _quantile(F.sort_array("largest"), 1 - options.alpha, size)
+    largest = largest_draws(with_se, by).select(*by, crit.alias("_crit"))
     banded = with_se.drop("draws")
     if by:
-        return banded.join(largest.groupBy(*by).agg(crit.alias("_crit")), by)
-    return banded.withColumn("_crit", largest.agg(crit).scalar())
+        return banded.join(largest, by)
+    return banded.withColumn("_crit", largest.scalar())
 
 
 def _with_band(estimates: DataFrame, crit: Column) -> DataFrame:
@@ -449,49 +473,50 @@ def compute_effects(
 ) -> dict[str, DataFrame]:
     """Effects per view ("all", "cohort", "time", "event") with errors, bands and flags.
 
-    Intermediate tables are written to the shared folder, so the views do not repeat each other's
-    passes over the panel. With `balance="pairwise"` the aggregated views carry no errors.
+    The panel is folded into one row per unit, which is written to the shared folder; every view and
+    error comes from that table. With `balance="pairwise"` each difference uses the units seen at both of
+    its times, and errors, bands and draws follow each unit's own pattern of times.
     """
     by = list(spec.by)
-    cells = freeze(cells_of(panel, spec), "cells")
+    units = freeze(fold_units(panel, spec), "units")
+    cells = freeze(cells_of(units, spec), "cells")
     z = F.lit(NormalDist().inv_cdf(1 - options.alpha / 2))
-    no_error = F.lit(None).cast("double")
     out: dict[str, DataFrame] = {}
 
     def finish(df: DataFrame, view: str, crit: Column) -> None:
         keys = ["cohort", "base_period", "time"] if view == "all" else [_KEYS[view]]
         out[view] = _with_band(df, crit).select(*by, *keys, *_MEASURES)
 
-    if options.balance == "pairwise":
-        effects = freeze(_pairwise(panel, cells, spec, options), "effects")
-        for view in views:
-            if view == "all":
-                finish(effects, view, z)
-            else:
-                points = aggregate_effects(effects, view, spec)
-                finish(points.withColumn("std_error", no_error), view, z)
-        return out
-
-    effects = _att_from_cells(cells, spec, options)
+    gaps = options.balance == "pairwise"
+    if gaps:
+        bases = freeze(_all_bases(cells, spec, options), "bases")
+        stats = freeze(pair_sums(units, _pairs(bases, spec), spec, times_of(cells)), "pairs")
+        effects = _pairwise(units, bases, stats, spec)
+    else:
+        effects = _att_from_cells(cells, spec, options)
     if options.se == "none":
         for view in views:
             points = effects if view == "all" else aggregate_effects(effects, view, spec)
-            finish(points.withColumn("std_error", no_error), view, z)
+            finish(points.withColumn("std_error", F.lit(None).cast("double")), view, z)
         return out
+    effects = freeze(effects, "effects")
     if options.se == "analytic":
+        if not gaps:
+            stats = _stats_of_cells(_pairs(effects, spec), cells, spec)
+        entries = _contrast_rows(effects, stats, views, spec)
+        squares = influence_squares(units, entries, by, ["view", "_k0", "_k1", "_k2"], times_of(cells))
         if len(views) > 1:
-            effects = freeze(effects, "effects")
-        moments = freeze(pair_moments(panel, cells, spec), "moments")
+            squares = freeze(squares, "squares")
         for view in views:
-            if view == "all":
-                finish(_analytic_all(effects, moments, spec), view, z)
-            else:
-                finish(_analytic_view(effects, moments, view, spec), view, z)
+            errors = _analytic_all if view == "all" else partial(_analytic_view, view=view)
+            finish(errors(effects, squares, spec=spec), view, z)
         return out
-    sums = bootstrap_sums(
-        panel, cells, spec, options.boot_iterations, options.seed, options.multiplier
-    )
-    boot = freeze(_boot_cells(effects, sums, cells, spec, options), "boot")
+    drawing = (options.boot_iterations, options.seed, options.multiplier)
+    if gaps:
+        boot = _boot_pairs(effects, *bootstrap_pairs(units, cells, stats, spec, *drawing), spec)
+    else:
+        boot = _boot_cells(effects, bootstrap_sums(units, cells, spec, *drawing), cells, spec, options)
+    boot = freeze(boot, "boot")
     for view in views:
         drawn = boot if view == "all" else _boot_view(boot, view, spec)
         finish(_boot_band(drawn, spec, options), view, F.col("_crit"))

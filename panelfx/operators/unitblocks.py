@@ -1,15 +1,16 @@
-"""Sums over units that Spark's aggregates cannot express: pair moments and bootstrap sums.
+"""Sums over units that Spark's aggregates cannot express: contrast variances and bootstrap sums.
 
-Units are shuffled once to (group, salt); a task then streams through its units in Arrow batches
-and turns each into a small dense matrix product. A group's number of salts follows its row count,
-so a very large group (usually the never-treated one) is spread over many tasks, and what a task
-holds is one batch plus sums whose size depends on the number of times only.
+A panel is folded once into one row per unit. Tasks stream through these rows in Arrow batches and turn
+each group of them into a small dense matrix. What they are multiplied with, the contrasts of the views
+asked for, is brought to the tasks in parts of a bounded number of entries; each further part is one more
+pass over the folded units, so neither the driver nor a task ever holds more than one part.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +19,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelfx.functions import none_if_nan
-from panelfx.operators.ordering import small_side
 from panelfx.operators.panel import PanelSpec
+from panelfx.session import freeze
 
 ROWS_PER_SALT = 500_000
-# Times whose products with all times are held together.
-TIMES_TOGETHER = 512
+# Entries of contrasts, and numbers of bootstrap sums, that a pass over the units works on.
+PART_ENTRIES = 500_000
+PART_NUMBERS = 4_000_000
+# Entries multiplied out together with a block of units.
+ENTRIES_TOGETHER = 1_024
+# Neighbouring sums that travel in one row.
+SEGMENT = 4_096
 _OPEN_BYTES = 256 << 20
 _BLOCK_UNITS = 2_048
 
@@ -33,9 +39,15 @@ def times_of(cells: DataFrame) -> list[int]:
     return sorted(r["time"] for r in cells.select("time").distinct().collect())
 
 
-def unit_rows(panel: DataFrame, cells: DataFrame, spec: PanelSpec) -> DataFrame:
-    """One row per unit with its sorted times and outcomes, spread by (group, salt)."""
-    keys = [*spec.by, "cohort"]
+def fold_units(panel: DataFrame, spec: PanelSpec) -> DataFrame:
+    """One row per unit: by..., cohort, unit (as text), times and ys (lists in order of time).
+
+    Missing outcomes (NULL, NaN) are left out, and units without any. Several rows of one unit at one
+    time raise, and so does a unit with several cohorts. Rows are shuffled once; a unit's repeated rows are
+    counted before they are listed, so a list is never longer than there are times.
+    """
+    spec.check(panel)
+    unit = [*spec.by, "unit"]
     y = panel.select(
         *spec.by,
         F.col(spec.cohort).cast("bigint").alias("cohort"),
@@ -43,37 +55,66 @@ def unit_rows(panel: DataFrame, cells: DataFrame, spec: PanelSpec) -> DataFrame:
         F.col(spec.time).cast("bigint").alias("time"),
         none_if_nan(F.col(spec.target)).alias("y"),
     ).where(F.col("y").isNotNull())
-    rows = cells.groupBy(*keys).agg(F.sum("n").alias("_rows"))
-    large = small_side(
-        rows.where(F.col("_rows") > ROWS_PER_SALT).select(
-            *[F.col(k).alias(f"_k_{k}") for k in keys],
-            F.ceil(F.col("_rows") / ROWS_PER_SALT).cast("bigint").alias("_salts"),
-        )
+    name = F.coalesce(F.col("unit").cast("string"), F.lit("NULL"))
+    repeated = F.concat(
+        F.lit("unbalanced panel: several rows for one unit and time, unit "), name, F.lit("; unbalanced_units lists them")
     )
-    on = [y[k].eqNullSafe(large[f"_k_{k}"]) for k in keys]
-    salt = F.pmod(F.xxhash64("unit"), F.coalesce("_salts", F.lit(1)))
-    salted = y.join(large, on, "left").select(*y.columns, salt.alias("salt"))
-    # The two groupings below are already satisfied by this one exchange.
-    once = F.when(F.count("*") == 1, F.max("y")).otherwise(
-        F.raise_error(F.concat(F.lit("several rows for one unit and time, unit "), F.col("unit").cast("string")))
+    moving = F.concat(F.lit("several cohorts for unit "), name)
+    # The two groupings are already satisfied by this one exchange.
+    once = y.repartition(*unit).groupBy(*unit, "time").agg(
+        F.when(F.count("*") == 1, F.max("y")).otherwise(F.raise_error(repeated)).alias("y"),
+        F.max("cohort").alias("cohort"),
     )
+    steady = (F.count("cohort") == 0) | ((F.count("cohort") == F.count("*")) & (F.min("cohort") == F.max("cohort")))
     return (
-        salted.repartition(*keys, "salt")
-        .groupBy(*keys, "salt", "unit", "time")
-        .agg(once.alias("y"))
-        .groupBy(*keys, "salt", "unit")
-        .agg(F.sort_array(F.collect_list(F.struct("time", "y"))).alias("obs"))
-        .select(*keys, F.col("unit").cast("string").alias("unit"), F.col("obs.time").alias("times"), F.col("obs.y").alias("ys"))
+        once.groupBy(*unit)
+        .agg(
+            F.when(steady, F.max("cohort")).otherwise(F.raise_error(moving)).alias("cohort"),
+            F.sort_array(F.collect_list(F.struct("time", "y"))).alias("obs"),
+        )
+        .select(*spec.by, "cohort", F.col("unit").cast("string").alias("unit"), F.col("obs.time").alias("times"), F.col("obs.y").alias("ys"))
     )
 
 
-def _group_codes(batch: pa.RecordBatch, keys: list[str]) -> tuple[np.ndarray, list[tuple]]:
-    """Group number per row, and the key values of every group number."""
+def unit_observations(units: DataFrame, spec: PanelSpec) -> DataFrame:
+    """by..., cohort, unit, time, y: the rows that folded units were made of."""
+    rows = F.inline(F.arrays_zip(F.col("times").alias("time"), F.col("ys").alias("y")))
+    return units.select(*spec.by, "cohort", "unit", rows)
+
+
+def salted_units(units: DataFrame, cells: DataFrame, spec: PanelSpec) -> DataFrame:
+    """Folded units dealt to (group, salt), so that few groups meet in a task and a large one is many tasks.
+
+    The number of salts follows the group's rows. Groups of more than one salt are written down, so the
+    join knows their size in bytes.
+    """
+    keys = [*spec.by, "cohort"]
+    large = freeze(
+        cells.groupBy(*keys)
+        .agg(F.sum("n").alias("_rows"))
+        .where(F.col("_rows") > ROWS_PER_SALT)
+        .select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.ceil(F.col("_rows") / ROWS_PER_SALT).cast("bigint").alias("_salts")),
+        "salts",
+    )
+    on = [units[k].eqNullSafe(large[f"_k_{k}"]) for k in keys]
+    salt = F.pmod(F.xxhash64("unit"), F.coalesce("_salts", F.lit(1)))
+    return units.join(large, on, "left").select(*units.columns, salt.alias("salt")).repartition(*keys, "salt")
+
+
+def _codes(batch: pa.RecordBatch, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each row's key values, and the first row of every number."""
     codes = np.zeros(batch.num_rows, dtype=np.int64)
     for key in keys:
         encoded = batch.column(key).dictionary_encode(null_encoding="encode")
         codes = codes * len(encoded.dictionary) + encoded.indices.to_numpy()
-    _, first, inverse = np.unique(codes, return_index=True, return_inverse=True)
+        # numbers stay below the number of rows, whatever the number of keys
+        _, first, codes = np.unique(codes, return_index=True, return_inverse=True)
+    return codes, first
+
+
+def _group_codes(batch: pa.RecordBatch, keys: list[str]) -> tuple[np.ndarray, list[tuple]]:
+    """Group number per row, and the key values of every group number."""
+    inverse, first = _codes(batch, keys)
     values = [tuple(batch.column(k)[int(i)].as_py() for k in keys) for i in first]
     return inverse, values
 
@@ -149,61 +190,155 @@ def _arrow_type(dtype: T.DataType) -> pa.DataType:
     return to_arrow_type(dtype)
 
 
-def pair_moments(panel: DataFrame, cells: DataFrame, spec: PanelSpec) -> DataFrame:
-    """Count, mean and population variance of `y(t) - y(s)` over a group's units, for all t != s.
+@dataclass(frozen=True)
+class Contrasts:
+    """One part of a table of contrasts, as tasks use it.
 
-    Differences ignore any per-unit constant, so every unit is centred first, which keeps the
-    products small. Of many times, TIMES_TOGETHER at a time are set against all of them, each such
-    tile for itself, so what a task holds grows with the number of times and not with its square.
-    Output: by..., cohort, t, s, n, mean_d, var_d.
+    `groups` has, for each group of units, arrays over its entries: places of time t and of time s in
+    `grid`, weight, mean difference, and key, in order of the key.
     """
-    keys = [*spec.by, "cohort"]
-    times = times_of(cells)
-    tiles = -(-len(times) // TIMES_TOGETHER)
-
-    def tile_of(group: tuple) -> slice:
-        return slice(group[-1] * TIMES_TOGETHER, (group[-1] + 1) * TIMES_TOGETHER)
-
-    def sums_of(group: tuple, _ids: list[str], block: np.ndarray) -> list[np.ndarray]:
-        own = tile_of(group)
-        seen = ~np.isnan(block)
-        y = np.where(seen, block - np.nanmean(block, axis=1, keepdims=True), 0.0)
-        mask = seen.astype(float)
-        both = mask[:, own].T @ mask
-        # sum of y(t) - y(s) over units seen at t and s
-        first = y[:, own].T @ mask - mask[:, own].T @ y
-        square = (y * y)[:, own].T @ mask + mask[:, own].T @ (y * y)
-        cross = y[:, own].T @ y
-        return [both, first, square - 2 * cross]
-
-    def rows_of(group: tuple, grid: np.ndarray, sums: list[np.ndarray]) -> dict[str, np.ndarray | list]:
-        return {"t": grid[tile_of(group)], "n": list(sums[0]), "sum_d": list(sums[1]), "sum_dd": list(sums[2])}
-
-    lists = ["n", "sum_d", "sum_dd"]
-    fields = [
-        T.StructField("t", T.LongType()),
-        *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in lists],
-    ]
-    units = unit_rows(panel, cells, spec)
-    if tiles > 1:
-        tile = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-        units = units.withColumn("_tile", tile).repartition(*keys, "_tile", F.pmod(F.xxhash64("unit"), F.lit(tiles)))
-    else:
-        units = units.withColumn("_tile", F.lit(0))
-    partial = _summed(units, [*keys, "_tile"], times, sums_of, rows_of, fields)
-    # one row per (group, t) with lists over s; opened up only after everything is added
-    added = sum_lists(partial, [*keys, "t"], lists)
-    over_s = F.arrays_zip(F.lit(times).cast("array<bigint>").alias("s"), *lists)
-    rows = added.select(*keys, "t", F.inline(over_s)).where(
-        (F.col("s") != F.col("t")) & (F.col("n") > 0)
-    )
-    mean = F.col("sum_d") / F.col("n")
-    var = F.greatest(F.col("sum_dd") / F.col("n") - mean * mean, F.lit(0.0))
-    return rows.select(
-        *keys, "t", "s", F.col("n").cast("bigint").alias("n"), mean.alias("mean_d"), var.alias("var_d")
+
+    grid: np.ndarray
+    n_keys: int
+    groups: dict[tuple, tuple[np.ndarray, ...]]
+
+    def chunks(self, group: tuple) -> Iterator[tuple[np.ndarray, ...]]:
+        """Entries of a group, some at a time; those of one key together."""
+        entries = self.groups.get(group)
+        if entries is None:
+            return
+        key = entries[-1]
+        heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        at = 0
+        while at < len(key):
+            later = heads[np.searchsorted(heads, at + ENTRIES_TOGETHER, "right") - 1] if at + ENTRIES_TOGETHER < len(key) else len(key)
+            if later <= at:
+                later = heads[heads > at][0] if (heads > at).any() else len(key)
+            yield tuple(c[at:later] for c in entries)
+            at = later
+
+
+def _contrast_parts(
+    entries: DataFrame, by: list[str], key: list[str], times: list[int], most: int
+) -> Iterator[tuple[Contrasts, DataFrame]]:
+    """Parts of at most about `most` entries, and the keys of each (by..., key..., `_k`: their number there).
+
+    `entries` has by..., cohort, key..., t, s, w and mean; a key is in one part as a whole.
+    """
+    spark = entries.sparkSession
+    written = freeze(entries, "contrasts")
+    parts = max(-(-written.count() // most), 1)
+    grid = np.asarray(times, dtype=np.int64)
+    for part in range(parts):
+        some = written.where(F.pmod(F.xxhash64(*by, *key), F.lit(parts)) == part).toArrow().combine_chunks()
+        if not some.num_rows:
+            continue
+        batch = some.to_batches()[0]
+        codes, first = _codes(batch, [*by, *key])
+        names = batch.take(pa.array(first)).select([*by, *key])
+        numbered = pa.Table.from_batches([names]).append_column("_k", pa.array(np.arange(len(first))))
+        order = np.argsort(codes, kind="stable")
+        members, groups = _group_codes(batch, [*by, "cohort"])
+        columns = [np.searchsorted(grid, batch.column(c).to_numpy(zero_copy_only=False)) for c in ("t", "s")]
+        columns += [batch.column(c).to_numpy(zero_copy_only=False) for c in ("w", "mean")] + [codes]
+        table = {}
+        for code, group in enumerate(groups):
+            rows = order[members[order] == code]
+            table[group] = tuple(c[rows] for c in columns)
+        yield Contrasts(grid, len(first), table), spark.createDataFrame(numbered)
+
+
+def _per_key(
+    units: DataFrame,
+    entries: DataFrame,
+    by: list[str],
+    key: list[str],
+    times: list[int],
+    names: list[str],
+    add: Callable[[list[np.ndarray], np.ndarray, np.ndarray], None],
+) -> DataFrame:
+    """by..., key..., and the sums `names` over all units, as `add` makes them from a block of units.
+
+    `add` gets the sums so far, the keys of some entries and weight * (y(t) - y(s) - mean) of these entries
+    (rows) and units (columns), NaN where a unit lacks one of the times. Each task holds one number per key and
+    name, and sends them on in segments; nothing is made per unit and key outside of a block.
+    """
+    out: DataFrame | None = None
+    groups = [*by, "cohort"]
+    for contrasts, keys in _contrast_parts(entries, by, key, times, PART_ENTRIES):
+        shared = units.sparkSession.sparkContext.broadcast(contrasts)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            part = shared.value
+            # whole segments, as rows that are folded together hold equally long lists
+            padded = -(-part.n_keys // SEGMENT) * SEGMENT
+            sums = [np.zeros(padded) for _ in names]
+            met = np.zeros(padded, bool)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                for group, _, block in _dense_blocks(batch, groups, part.grid):
+                    turned = np.ascontiguousarray(block.T)
+                    for t, s, w, mean, k in part.chunks(group):
+                        add(sums, k, (turned[t] - turned[s] - mean[:, None]) * w[:, None])
+                        met[k] = True
+            for at in range(0, padded, SEGMENT):
+                if met[at : at + SEGMENT].any():
+                    columns = [pa.array([at // SEGMENT], pa.int64())] + [pa.array([a[at : at + SEGMENT]]) for a in sums]
+                    yield pa.RecordBatch.from_arrays(columns, ["seg", *names])
+
+        schema = "seg bigint, " + ", ".join(f"`{n}` array<double>" for n in names)
+        partial = units.select(*groups, "unit", "times", "ys").mapInArrow(run, schema)
+        zipped = F.arrays_zip(F.sequence(F.lit(0), F.size(names[0]) - 1).alias("i"), *names)
+        rows = fold_lists(partial, ["seg"], names).select("seg", F.inline(zipped))
+        found = keys.join(rows.withColumn("_k", F.col("seg") * SEGMENT + F.col("i")), "_k").drop("_k", "seg", "i")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        empty = entries.select(*by, *key).limit(0)
+        return empty.withColumns({n: F.lit(0.0) for n in names})
+    return out
+
+
+def pair_sums(units: DataFrame, pairs: DataFrame, spec: PanelSpec, times: list[int]) -> DataFrame:
+    """by..., cohort, t, s, n, mean: units of the group seen at both times, and their mean of y(t) - y(s).
+
+    Only the pairs asked for are added up. A pair that no unit was seen at is left out.
+    """
+
+    def add(sums: list[np.ndarray], keys: np.ndarray, block: np.ndarray) -> None:
+        sums[0][keys] += np.count_nonzero(~np.isnan(block), axis=1)
+        sums[1][keys] += np.nansum(block, axis=1)
+
+    entries = pairs.select(
+        *spec.by, "cohort", F.col("cohort").alias("_g"), F.col("t").alias("_t"), F.col("s").alias("_s"), "t", "s",
+        F.lit(1.0).alias("w"), F.lit(0.0).alias("mean"),
+    )
+    found = _per_key(units, entries, list(spec.by), ["_g", "_t", "_s"], times, ["_n", "_sum"], add)
+    return found.where("_n > 0").select(
+        *spec.by,
+        F.col("_g").alias("cohort"),
+        F.col("_t").alias("t"),
+        F.col("_s").alias("s"),
+        F.col("_n").cast("bigint").alias("n"),
+        (F.col("_sum") / F.col("_n")).alias("mean"),
     )
 
 
+def influence_squares(units: DataFrame, entries: DataFrame, by: list[str], key: list[str], times: list[int]) -> DataFrame:
+    """by..., key..., var: the sum over units of their squared influence on the key's estimate.
+
+    An entry (by..., cohort, key..., t, s, w, mean) adds w * (y(t) - y(s) - mean) to the influence of each unit of its
+    group that is seen at both times, so every unit's influence follows its own pattern of times.
+    """
+
+    def add(sums: list[np.ndarray], keys: np.ndarray, block: np.ndarray) -> None:
+        heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        influence = np.add.reduceat(np.nan_to_num(block, copy=False), heads, axis=0)
+        sums[0][keys[heads]] += np.einsum("ij,ij->i", influence, influence)
+
+    return _per_key(units, entries, by, key, times, ["var"], add)
+
+
 def unit_signs(ids: list[str], seed: int, draws: int) -> np.ndarray:
     """units x draws matrix of -1/+1 read from the bits of md5(seed:unit:block)."""
     blocks = -(-draws // 128)
@@ -226,7 +361,7 @@ def unit_mammen(ids: list[str], seed: int, draws: int) -> np.ndarray:
 
 
 def bootstrap_sums(
-    panel: DataFrame,
+    units: DataFrame,
     cells: DataFrame,
     spec: PanelSpec,
     draws: int,
@@ -261,16 +396,106 @@ def bootstrap_sums(
         T.StructField("w", T.ArrayType(T.DoubleType())),
         T.StructField("total", T.DoubleType()),
     ]
-    partial = _summed(unit_rows(panel, cells, spec), keys, times, sums_of, rows_of, fields)
-    return sum_lists(partial, [*keys, "time"], ["s", "w"], ["total"])
+    partial = _summed(salted_units(units, cells, spec), keys, times, sums_of, rows_of, fields)
+    return fold_lists(partial, [*keys, "time"], ["s", "w"], ["total"])
+
 
+def bootstrap_pairs(
+    units: DataFrame, cells: DataFrame, stats: DataFrame, spec: PanelSpec, draws: int, seed: int, multiplier: str
+) -> tuple[DataFrame, DataFrame]:
+    """Bootstrap sums of a panel with gaps.
+
+    Returns by..., cohort, t, s, z with `z[b] = sum V_b (y(t) - y(s) - mean) / n` over the units seen at both times (the
+    pairs, sizes and means are those of `stats`), and by..., cohort, w with `w[b] = sum V_b` over all
+    units of the group. Pairs are worked on in parts whose sums fit into a task.
+    """
+    by = list(spec.by)
+    groups = [*by, "cohort"]
+    times = times_of(cells)
+    weights = {"rademacher": unit_signs, "mammen": unit_mammen}[multiplier]
+    dealt = freeze(salted_units(units, cells, spec), "dealt")
+    entries = stats.select(
+        *by, "cohort", F.col("cohort").alias("_g"), F.col("t").alias("_t"), F.col("s").alias("_s"), "t", "s",
+        (F.lit(1.0) / F.col("n")).alias("w"), "mean",
+    )
+    out: DataFrame | None = None
+    for contrasts, keys in _contrast_parts(entries, by, ["_g", "_t", "_s"], times, max(PART_NUMBERS // draws, 1)):
+        shared = units.sparkSession.sparkContext.broadcast(contrasts)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            part = shared.value
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                for group, ids, block in _dense_blocks(batch, groups, part.grid):
+                    v, turned = None, np.ascontiguousarray(block.T)
+                    for t, s, w, mean, k in part.chunks(group):
+                        v = weights(ids, seed, draws) if v is None else v
+                        new = np.nan_to_num((turned[t] - turned[s] - mean[:, None]) * w[:, None]) @ v
+                        for key, row in zip(k.tolist(), new, strict=True):
+                            sums[key] = sums[key] + row if key in sums else row.copy()
+            some = list(sums)
+            for at in range(0, len(some), 256):
+                rows = some[at : at + 256]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([sums[k] for k in rows])], ["_k", "z"])
+
+        partial = dealt.select(*groups, "unit", "times", "ys").mapInArrow(run, "_k bigint, z array<double>")
+        found = keys.join(fold_lists(partial, ["_k"], ["z"]), "_k").drop("_k")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = entries.select(*by, "_g", "_t", "_s").limit(0).withColumn("z", F.array(F.lit(0.0)))
+
+    def sums_of(_group: tuple, ids: list[str], _block: np.ndarray) -> list[np.ndarray]:
+        return [weights(ids, seed, draws).sum(axis=0)]
+
+    def rows_of(_group: tuple, _grid: np.ndarray, sums: list[np.ndarray]) -> dict[str, np.ndarray | list]:
+        return {"w": [sums[0]]}
+
+    whole = _summed(dealt, groups, times, sums_of, rows_of, [T.StructField("w", T.ArrayType(T.DoubleType()))])
+    renamed = out.select(*by, F.col("_g").alias("cohort"), F.col("_t").alias("t"), F.col("_s").alias("s"), "z")
+    return renamed, fold_lists(whole, groups, ["w"])
+
+
+def largest_draws(estimates: DataFrame, by: list[str]) -> DataFrame:
+    """by..., largest: over all rows, the largest |draw| / std_error of each draw, as one list.
+
+    Each task keeps one list a group; maxima merge like sums do. Rows without an error don't take part.
+    """
+    rows = estimates.where("std_error > 0").select(
+        *by, F.transform("draws", lambda d: F.abs(d)).alias("draws"), "std_error"
+    )
+    schema = T.StructType([*[rows.schema[c] for c in by], T.StructField("largest", T.ArrayType(T.DoubleType()))])
+    types = {f.name: _arrow_type(f.dataType) for f in schema.fields}
 
-def sum_lists(
-    df: DataFrame, keys: list[str], lists: list[str], numbers: list[str] | None = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes, groups = _group_codes(batch, by) if by else (np.zeros(batch.num_rows, np.int64), [()])
+            values = batch.column("draws").flatten().to_numpy().reshape(batch.num_rows, -1)
+            values = values / batch.column("std_error").to_numpy()[:, None]
+            for code, group in enumerate(groups):
+                top = values[codes == code].max(axis=0)
+                held[group] = np.maximum(held[group], top) if group in held else top
+        for group, top in held.items():
+            arrays = [pa.array([v], types[c]) for c, v in zip(by, group, strict=True)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([top], types["largest"])], schema.names)
+
+    partial = rows.mapInArrow(run, schema)
+    if by:
+        return fold_lists(partial, by, ["largest"], how=np.maximum)
+    whole = partial.withColumn("_all", F.lit(0))
+    return fold_lists(whole, ["_all"], ["largest"], how=np.maximum).drop("_all")
+
+
+def fold_lists(
+    df: DataFrame, keys: list[str], lists: list[str], numbers: list[str] | None = None, how: np.ufunc = np.add
 ) -> DataFrame:
-    """Element-wise sums of equally long list columns (and sums of number columns) per key.
+    """Element-wise sums (or another fold) of equally long list columns and of number columns per key.
 
-    Rows meet sorted by key, so a task adds them up as they stream by and holds one sum; a key with
+    Rows meet sorted by key, so a task folds them as they stream by and holds one result; a key with
     very many rows is never gathered. Exploding the lists would shuffle a row per element instead.
     """
     numbers = numbers or []
@@ -300,10 +525,10 @@ def sum_lists(
             starts = [0] + [i for i in range(1, n) if row_keys[i] != row_keys[i - 1]]
             values = [batch.column(c).flatten().to_numpy().reshape(n, -1) for c in lists]
             values += [batch.column(c).to_numpy().reshape(n, 1) for c in numbers]
-            sums = [np.add.reduceat(v, starts, axis=0) for v in values]
+            sums = [how.reduceat(v, starts, axis=0) for v in values]
             runs = [(row_keys[at], [s[j] for s in sums]) for j, at in enumerate(starts)]
             if held is not None and held[0] == runs[0][0]:
-                runs[0] = (held[0], [a + b for a, b in zip(held[1], runs[0][1])])
+                runs[0] = (held[0], [how(a, b) for a, b in zip(held[1], runs[0][1])])
             elif held is not None:
                 runs.insert(0, held)
             held = runs.pop()

@@ -228,9 +228,10 @@ def test_large_groups_are_salted(spark, random_panel, monkeypatch):
     import panelfx.operators.unitblocks as ub
 
     panel = frame(spark, random_panel)
-    plain = by_cell(compute_effects(panel, SPEC, views=("all",))["all"])
+    options = EffectOptions(se="bootstrap", boot_iterations=30)
+    plain = by_cell(compute_effects(panel, SPEC, options, ("all",))["all"])
     monkeypatch.setattr(ub, "ROWS_PER_SALT", 20)
-    salted = by_cell(compute_effects(panel, SPEC, views=("all",))["all"])
+    salted = by_cell(compute_effects(panel, SPEC, options, ("all",))["all"])
     for cell in plain:
         assert salted[cell]["std_error"] == pytest.approx(plain[cell]["std_error"], abs=1e-9)
 
@@ -279,18 +280,16 @@ def test_demeaned_sums_vanish(spark, random_panel):
         assert max(abs(r["s"]) for r in sums) < 1e-9
 
 
-def test_demean_matches_pandas_with_holes_and_groups(spark, random_panel):
-    import pandas as pd
-
+def test_demeaning_of_groups_with_holes(spark, random_panel):
     rows = [(*r, "ab"[r[0] % 2]) for r in panel_rows(random_panel) if (r[0] * r[1]) % 7]
     panel = spark.createDataFrame(rows, SCHEMA + ", size string")
-    spec = PanelSpec("u", "t", "g", "y", by=("size",))
-    pdf = pd.DataFrame(rows, columns=["u", "t", "g", "y", "size"])
-    grouped = lambda *keys: pdf.groupby(["size", *keys])["y"].transform("mean")
-    pdf["d"] = pdf["y"] - grouped("t") - grouped("u") + grouped()
-    got = demean_two_way(panel, spec).toPandas().merge(pdf, on=["u", "t"])
+    got = {(r["u"], r["t"]): r["y"] for r in demean_two_way(panel, PanelSpec("u", "t", "g", "y", by=("size",))).collect()}
     assert len(got) == len(rows)
-    assert np.allclose(got["y_x"], got["d"])
+    for size in "ab":
+        u, t, y = (np.array([r[k] for r in rows if r[4] == size]) for k in (0, 1, 3))
+        mean_of = lambda key, y=y: (np.bincount(key, y) / np.maximum(np.bincount(key), 1))[key]
+        residual = y - mean_of(t) - mean_of(u) + y.mean()
+        assert np.allclose([got[k] for k in zip(u.tolist(), t.tolist(), strict=True)], residual)
 
 
 def test_demean_with_many_times_takes_the_shuffle_join(spark, random_panel, monkeypatch):
@@ -315,11 +314,131 @@ def test_nan_outcomes_are_listed(spark, golden):
     assert [r["u"] for r in unbalanced_units(holes, SPEC).collect()] == [2]
 
 
-def test_tiles_of_times_give_the_same_errors(spark, random_panel, monkeypatch):
+# --- panels with gaps ----------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_parts_of_contrasts_give_the_same_errors(spark, random_panel, monkeypatch, small):
+    """Contrasts in many parts, chunks and segments, and pairs in many parts, against the definition."""
+    if small:
+        for name, value in (("PART_ENTRIES", 9), ("ENTRIES_TOGETHER", 4), ("SEGMENT", 3), ("PART_NUMBERS", 150)):
+            monkeypatch.setattr(f"panelfx.operators.unitblocks.{name}", value)
     panel = frame(spark, random_panel)
-    whole = by_cell(compute_effects(panel, SPEC)["all"])
-    monkeypatch.setattr("panelfx.operators.unitblocks.TIMES_TOGETHER", 4)
-    tiled = by_cell(compute_effects(panel, SPEC)["all"])
-    assert whole.keys() == tiled.keys()
-    for cell, row in whole.items():
-        assert tiled[cell]["std_error"] == pytest.approx(row["std_error"])
+    wanted, g = numpy_cells(random_panel)
+    rows = by_cell(compute_effects(panel, SPEC, views=("all", "event"))["all"])
+    for cell, (att, psi) in wanted.items():
+        assert rows[cell]["ATT"] == pytest.approx(att, abs=1e-9)
+        assert rows[cell]["std_error"] == pytest.approx(np.sqrt(np.mean(psi**2) / len(g)), abs=1e-9)
+    options = EffectOptions(se="bootstrap", boot_iterations=30, balance="pairwise")
+    gaps = by_cell(compute_effects(panel, SPEC, options, ("all",))["all"])
+    strict = by_cell(compute_effects(panel, SPEC, EffectOptions(se="bootstrap", boot_iterations=30), ("all",))["all"])
+    for cell, row in strict.items():
+        for measure in ("ATT", "std_error", "lower", "upper"):
+            assert gaps[cell][measure] == pytest.approx(row[measure], abs=1e-9)
+
+
+def gap_influence(rows, view):
+    """Estimate and influence of every unit for each key of a view, unit by unit from the definition."""
+    y, cohort = {}, {}
+    for u, t, g, v in rows:
+        cohort[u] = g
+        y[u, t] = v
+    times = sorted({t for _, t in y})
+    units = sorted(cohort)
+    cells = {}
+    for g in sorted({c for c in cohort.values() if c is not None}):
+        for t in times:
+            before = [s for s in times if s < min(t, g)]
+            if not before:
+                continue
+            base = before[-1]
+            sides = []
+            for group in (g, None):
+                seen = {u: y[u, t] - y[u, base] for u in units if cohort[u] == group and (u, t) in y and (u, base) in y}
+                sides.append(seen)
+            if all(sides):
+                own, control = (np.mean(list(s.values())) for s in sides)
+                psi = {u: (d - own) / len(sides[0]) for u, d in sides[0].items()}
+                psi.update({u: -(d - control) / len(sides[1]) for u, d in sides[1].items()})
+                cells[g, t] = (own - control, psi)
+    size = {g: sum(c == g for c in cohort.values()) for g in set(cohort.values())}
+    key = {"cohort": lambda g, t: g, "time": lambda g, t: t, "event": lambda g, t: t - g}[view]
+    out = {}
+    for k in {key(g, t) for g, t in cells if view == "event" or t >= g}:
+        used = [(g, t) for g, t in cells if key(g, t) == k and (view == "event" or t >= g)]
+        n = np.array([1 if view == "cohort" else size[g] for g, _ in used], float)
+        att = np.array([cells[c][0] for c in used])
+        theta = n @ att / n.sum()
+        influence = dict.fromkeys(units, 0.0)
+        for (g, t), share, a in zip(used, n / n.sum(), att, strict=True):
+            for u, e in cells[g, t][1].items():
+                influence[u] += share * e
+            if view != "cohort":
+                for u in units:
+                    influence[u] += (a - theta) / n.sum() if cohort[u] == g else 0.0
+        out[k] = (theta, influence)
+    return out
+
+
+@pytest.fixture(scope="module")
+def gap_rows(random_panel):
+    return [r for r in panel_rows(random_panel) if (r[0] * 7 + r[1] * 3) % 5 and not (r[0] % 9 == 0 and r[1] > 6)]
+
+
+@pytest.mark.parametrize(("view", "name"), [("cohort", "cohort"), ("time", "time"), ("event", "relative_period")])
+def test_views_of_a_panel_with_gaps(spark, gap_rows, view, name):
+    panel = spark.createDataFrame(gap_rows, SCHEMA)
+    wanted = gap_influence(gap_rows, view)
+    rows = compute_effects(panel, SPEC, EffectOptions(balance="pairwise"), (view,))[view].collect()
+    assert {r[name] for r in rows} == wanted.keys()
+    for r in rows:
+        theta, influence = wanted[r[name]]
+        assert r["ATT"] == pytest.approx(theta, abs=1e-9)
+        error = np.sqrt(sum(i * i for i in influence.values()))
+        assert r["std_error"] == pytest.approx(error, abs=1e-9)
+        assert r["zero_not_in_cband"] == ("*" if abs(theta) > 1.959963984540054 * error else "")
+
+
+def test_bootstrap_of_a_panel_with_gaps(spark, gap_rows):
+    panel = spark.createDataFrame(gap_rows, SCHEMA)
+    options = EffectOptions(se="bootstrap", boot_iterations=60, seed=5, balance="pairwise", band="pointwise")
+    rows = compute_effects(panel, SPEC, options, ("event",))["event"].collect()
+    wanted = gap_influence(gap_rows, "event")
+    for r in rows:
+        theta, influence = wanted[r["relative_period"]]
+        v = unit_signs([str(u) for u in influence], 5, 60)
+        draws = np.array(list(influence.values())) @ v
+        error = (np.quantile(draws, 0.75) - np.quantile(draws, 0.25)) / 1.3489795003921634
+        assert r["ATT"] == pytest.approx(theta, abs=1e-9) and r["std_error"] == pytest.approx(error, abs=1e-9)
+
+
+def test_pairwise_errors_equal_strict_ones_on_a_balanced_panel(spark, random_panel):
+    panel = frame(spark, random_panel)
+    strict = compute_effects(panel, SPEC)
+    pairs = compute_effects(panel, SPEC, EffectOptions(balance="pairwise"))
+    for view, key in (("cohort", "cohort"), ("time", "time"), ("event", "relative_period")):
+        left = {r[key]: r["std_error"] for r in strict[view].collect()}
+        assert left == pytest.approx({r[key]: r["std_error"] for r in pairs[view].collect()})
+
+
+@pytest.mark.parametrize("which", ["unit", "row", "panel"])
+@pytest.mark.parametrize("balance", ["strict", "pairwise"])
+def test_any_repeated_row_raises(golden, which, balance):
+    again = {"unit": golden.where("u = 1"), "row": golden.where("u = 3 AND t = 2"), "panel": golden.unionByName(golden)}[which]
+    with pytest.raises(Exception, match="several rows for one unit and time"):
+        att_gt(golden.unionByName(again), SPEC, EffectOptions(se="none", balance=balance)).collect()
+
+
+def test_a_unit_with_several_cohorts_raises(spark, golden):
+    for other in ("3L", "CAST(NULL AS bigint)"):
+        moved = golden.withColumn("g", F.when((F.col("u") == 1) & (F.col("t") == 2), F.expr(other)).otherwise(F.col("g")))
+        with pytest.raises(Exception, match="several cohorts for unit 1"):
+            att_gt(moved, SPEC).collect()
+
+
+def test_no_draw_is_exploded(spark, random_panel):
+    from panelfx.operators.effects import _boot_band
+
+    draws = spark.createDataFrame([(k, [0.1 * k, -0.3, 0.2], 0.0) for k in range(5)], "cohort int, draws array<double>, ATT double")
+    plan = _boot_band(draws, SPEC, EffectOptions(se="bootstrap", boot_iterations=3))._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "posexplode" not in plan
