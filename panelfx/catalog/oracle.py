@@ -397,11 +397,12 @@ sample AS (
   FROM ks WHERE k <= {rows})"""
 
 
-_SPLITS = rf"""WITH {_WORDS}
-SELECT doc_id AS seq_idx, CAST(len(ws) AS INTEGER) AS n_words, 'train' AS split FROM w0
-UNION ALL
-SELECT -100 - item_id, CAST(len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''))
-  AS INTEGER), 'validation' FROM benchmark"""
+_SPLITS = rf"""WITH {_WORDS},
+b0 AS (
+  SELECT -100 - item_id AS seq_idx, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS ws
+  FROM benchmark),
+s AS (SELECT doc_id AS seq_idx, ws, 'train' AS split FROM w0 UNION ALL SELECT seq_idx, ws, 'validation' FROM b0)
+SELECT seq_idx, CAST(len(ws) AS INTEGER) AS n_words, md5(array_to_string(ws, ' ')) AS md5, split FROM s"""
 
 # --- profiles ------------------------------------------------------------------------------------
 

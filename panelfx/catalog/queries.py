@@ -79,9 +79,11 @@ from panelfx.sources.corpora import (
 )
 from panelfx.sources.effects import read_effect_files, read_effects, write_effect_files, write_effects
 from panelfx.sources.panels import read_panel, read_units, write_panel
+from panelfx.sources.snapshots import newest_of_runs, read_snapshot
 from panelfx.sources.stats import (
     append_stats,
     read_nested_stats,
+    read_stats,
     read_with_step,
     write_nested_stats,
 )
@@ -326,20 +328,20 @@ def _stats_as_text(stats: DataFrame) -> DataFrame:
 def flatten_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics nested into batches, written as JSON lines, read back and flattened."""
     path = f"{scratch_path(spark, 'stats')}.jsonl"
-    write_nested_stats(_nested(spark, sf_dir), path)
+    write_nested_stats(_nested(spark, sf_dir), path, "all")
     return rounded(_stats_as_text(flatten_stats(read_nested_stats(spark, path))))
 
 
 
 @query("append_runs")
 def append_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same statistics appended as two steps, then exported."""
+    """The same statistics appended as two runs, one of them twice, then exported."""
     path = scratch_path(spark, "steps")
     stats = raw_stats(spark, sf_dir)
-    append_stats(stats.withColumn("step", F.lit(0)), path)
-    append_stats(stats.withColumn("step", F.lit(1000)), path)
+    for run, step in (("first", 0), ("second", 1000), ("first", 0)):
+        append_stats(stats.withColumn("step", F.lit(step)), path, run)
     schema = T.StructType([*stats.schema.fields, T.StructField("step", T.IntegerType())])
-    return rounded(panel_export(cast_stats(spark.read.schema(schema).parquet(path))))
+    return rounded(panel_export(cast_stats(read_stats(spark, path, schema).drop("run"))))
 
 
 @query("panel_store")
@@ -487,31 +489,33 @@ def sampled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _two_splits(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    docs = documents(spark, sf_dir)
-    bench = table(spark, sf_dir, "benchmark").select(
-        (-100 - F.col("item_id")).alias("seq_idx"), F.size(words_of(F.col("text"))).alias("n_words")
-    )
-    train = docs.select(
-        F.col("doc_id").alias("seq_idx"), F.size(words_of(F.col("text"))).alias("n_words")
-    )
+    words = words_of(F.col("text")).alias("input_ids")
+    bench = table(spark, sf_dir, "benchmark").select((-100 - F.col("item_id")).alias("seq_idx"), words)
+    train = documents(spark, sf_dir).select(F.col("doc_id").alias("seq_idx"), words)
     return {"train": train, "validation": bench}
 
 
+def _digests(splits: DataFrame) -> DataFrame:
+    """Number of words and digest of the word list of every row."""
+    words = F.array_join("input_ids", " ")
+    return splits.select("seq_idx", F.size("input_ids").alias("n_words"), F.md5(words).alias("md5"), "split")
+
+
 @query("union_splits")
 def both_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return union_splits(**_two_splits(spark, sf_dir))
+    return _digests(union_splits(**_two_splits(spark, sf_dir)))
 
 
 
 @query("split_store")
 def split_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Splits written, and both read back."""
+    """Splits written as word lists, and both read back."""
     path = scratch_path(spark, "splits")
     write_splits(path, **_two_splits(spark, sf_dir))
     schema = T.StructType(
-        [T.StructField("seq_idx", T.LongType()), T.StructField("n_words", T.IntegerType())]
+        [T.StructField("seq_idx", T.LongType()), T.StructField("input_ids", T.ArrayType(T.StringType()))]
     )
-    return read_splits(spark, path, "train", "validation", schema=schema)
+    return _digests(read_splits(spark, path, "train", "validation", schema=schema))
 
 
 @query("read_json_permissive")
@@ -633,8 +637,9 @@ def effect_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_flatten_stats")
 def stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, sink = f"{scratch_path(spark, 'in')}.jsonl", scratch_path(spark, "out")
-    write_nested_stats(_nested(spark, sf_dir), source)
-    stream_flatten_stats(spark, source, sink, scratch_path(spark, "progress")).awaitTermination()
+    write_nested_stats(_nested(spark, sf_dir), source, "all")
+    arrived = newest_of_runs(spark, source)[0]
+    stream_flatten_stats(spark, arrived, sink, scratch_path(spark, "progress")).awaitTermination()
     return rounded(_stats_as_text(spark.read.parquet(sink)))
 
 
@@ -646,7 +651,7 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     words.write.parquet(source)
     progress = scratch_path(spark, "progress")
     stream_token_frequency(spark, source, sink, progress, words.schema).awaitTermination()
-    return spark.read.parquet(sink)
+    return read_snapshot(spark, sink)
 
 
 

@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelfx.functions import inputs_of, labels_of
-from panelfx.operators.ordering import running_total, small_side
+from panelfx.operators.ordering import range_index, running_total
 from panelfx.session import freeze
 
 PACKED_LENGTH = 2049  # fixed value: 2048 predicted positions and the first token
+# Fewest tokens of a part that is packed in one go.
+PART_TOKENS = 1_000_000
 FIRST_PACKED_ID = -100  # fixed value: packed rows are numbered -100, -101, ...
 # Bounds of the broadcast part of a vocabulary, about 100 MB at the very most.
 HEAD_WORDS = 400_000
@@ -160,40 +162,96 @@ def pack_sequences(
     """Join all token lists in document order and cut them into rows of `length`.
 
     Ids must be there and unique, or this raises. Nothing is put between documents; the incomplete
-    last row is left out. The position of each
-    document comes from a distributed running total over (doc_id, number of tokens). Each document
-    is then cut at row borders, and only these pieces are shuffled: a row gathers at most `length`
-    tokens.
+    last row is left out. A distributed running total over (doc_id, number of tokens) gives parts of
+    about equally many tokens and the place at which each begins. Tokens are then shuffled once, to
+    their parts in order; a task cuts whole rows out of its stream of lists as they come, and only the two
+    pieces at a part's borders travel again. A NULL list counts as empty.
     """
-    sizes = tokenized.groupBy(doc_id).agg(
-        F.when(F.col(doc_id).isNotNull() & (F.count("*") == 1), F.max(F.size("input_ids")))
-        .otherwise(F.raise_error(F.concat(F.lit("NULL or repeated id: "), F.coalesce(F.col(doc_id).cast("string"), F.lit("NULL")))))
-        .alias("_n")
+    spark = tokenized.sparkSession
+    known = F.when(F.col(doc_id).isNotNull(), F.coalesce(F.size("input_ids"), F.lit(0))).otherwise(
+        F.raise_error(F.lit("NULL or repeated id: NULL"))
     )
-    starts = running_total(sizes, [doc_id], F.col("_n"), "_start").where(F.col("_n") > 0)
-    placed = tokenized.select(doc_id, "input_ids").join(starts, doc_id)
-    first_row = F.floor(F.col("_start") / length)
-    last_row = F.floor((F.col("_start") + F.col("_n") - 1) / length)
-
-    def piece(row: Column) -> Column:
-        begin = F.greatest(row * length, F.col("_start"))
-        end = F.least((row + 1) * length, F.col("_start") + F.col("_n"))
-        tokens = F.slice(
-            "input_ids",
-            (begin - F.col("_start") + 1).cast("int"),
-            (end - begin).cast("int"),
-        )
-        return F.struct(row.alias("row"), begin.alias("begin"), tokens.alias("tokens"))
+    sizes = tokenized.select(doc_id, F.greatest(known, F.lit(0)).alias("_n"))
+    starts = running_total(sizes, [doc_id], F.col("_n"), "_start")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    total = starts.agg(F.max(F.col("_start") + F.col("_n"))).first()[0] or 0
+    # more parts than tasks, as parts are dealt by hash
+    width = max(total // (4 * tasks), PART_TOKENS)
+    begins = (
+        starts.groupBy(F.floor(F.col("_start") / width).alias("_part"))
+        .agg(F.min(doc_id).alias("id"), F.min("_start").alias("start"))
+        .orderBy("start", "id")
+        .collect()
+    )
+    ids, offsets = [r["id"] for r in begins], [r["start"] for r in begins]
+    placed = (
+        tokenized.select(doc_id, F.coalesce("input_ids", F.array()).alias("input_ids"))
+        .withColumn("_part", range_index(F.col(doc_id), ids[1:]))
+        .repartition(min(max(len(ids), 1), tasks), "_part")
+        .sortWithinPartitions("_part", doc_id)
+    )
+    tokens = tokenized.schema["input_ids"]
+    schema = T.StructType([
+        T.StructField("row", T.LongType()), T.StructField("begin", T.LongType()), T.StructField("input_ids", tokens.dataType),
+    ])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last_id, at, held = None, None, 0, None
+
+        def rows(begin: int, values: pa.Array, ends: np.ndarray) -> pa.RecordBatch:
+            begins = begin + ends[:-1]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+            return pa.RecordBatch.from_arrays([pa.array(begins // length), pa.array(begins), lists], schema.names)
+
+        def whole(values: pa.Array, begin: int, close: bool) -> tuple[pa.RecordBatch | None, pa.Array, int]:
+            """Rows and pieces that end within `values`, and what is left; everything at the end of a part."""
+            first = min(-begin % length, len(values))
+            ends = np.arange(first, len(values) + 1, length, dtype=np.int64)
+            if not close and first < -begin % length:
+                return None, values, begin
+            ends = np.unique(np.concatenate([[0], ends, [len(values)] if close else []]).astype(np.int64))
+            if len(ends) < 2:
+                return None, values, begin
+            done = int(ends[-1])
+            return rows(begin, values.slice(0, done), ends), values.slice(done), begin + done
 
-    # Cut inside the row, so that exploding copies pieces and not the whole document per piece.
-    pieces = placed.select(F.inline(F.transform(F.sequence(first_row, last_row), piece)))
-    rows = pieces.groupBy("row").agg(
-        F.sort_array(F.collect_list(F.struct("begin", "tokens"))).alias("p")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            parts, names = batch.column("_part").to_numpy(), batch.column(doc_id).to_pylist()
+            for before, after in zip([last_id, *names], names, strict=False):
+                if before == after:
+                    raise ValueError(f"NULL or repeated id: {after}")
+            last_id = names[-1]
+            cuts = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(parts)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if parts[a] != part:
+                    if held is not None and len(held):
+                        yield whole(held, at, True)[0]
+                    part, at, held = int(parts[a]), offsets[int(parts[a])], None
+                new = batch.column("input_ids").slice(a, b - a).flatten()
+                held = new if held is None or not len(held) else pa.concat_arrays([held, new])
+                out, held, at = whole(held, at, False)
+                if out is not None:
+                    yield out
+        if held is not None and len(held):
+            yield whole(held, at, True)[0]
+
+    # written down: rows are read twice, and a lost executor costs no part again
+    pieces = freeze(placed.mapInArrow(cut, schema), "pieces")
+    complete = F.size("input_ids") == length
+    joined = (
+        pieces.where(~complete)
+        .groupBy("row")
+        .agg(F.sort_array(F.collect_list(F.struct("begin", "input_ids"))).alias("p"))
+        .select("row", F.flatten("p.input_ids").alias("input_ids"))
+    )
+    return (
+        pieces.select("row", "input_ids")
+        .unionByName(joined)
+        .where(complete)
+        .select((F.lit(FIRST_PACKED_ID) - F.col("row")).cast("bigint").alias("seq_idx"), "input_ids")
     )
-    return rows.select(
-        (F.lit(FIRST_PACKED_ID) - F.col("row")).cast("bigint").alias("seq_idx"),
-        F.flatten(F.col("p.tokens")).alias("input_ids"),
-    ).where(F.size("input_ids") == length)
 
 
 def next_token_pairs(sequences: DataFrame, unit: str = "seq_idx", column: str = "input_ids") -> DataFrame:
@@ -210,7 +268,8 @@ def sequence_lookup(
     sequences: DataFrame, wanted: DataFrame, unit: str = "seq_idx"
 ) -> DataFrame:
     """Rows of `wanted` with their token lists, sorted by id within partitions."""
-    return sequences.join(small_side(wanted), unit).sortWithinPartitions(unit)
+    # written down, so that its size in bytes decides whether the token lists have to move
+    return sequences.join(freeze(wanted, "wanted"), unit).sortWithinPartitions(unit)
 
 
 def union_splits(**splits: DataFrame) -> DataFrame:

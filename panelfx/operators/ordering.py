@@ -1,4 +1,4 @@
-"""Size-checked small sides, and running totals over a global order."""
+"""Ranges of a global order, and running totals over it."""
 
 from __future__ import annotations
 
@@ -10,23 +10,27 @@ from pyspark.sql import functions as F
 
 from panelfx.session import freeze
 
-SMALL_ROWS = 100_000
 # A range of a running total: small enough for one task, large enough to be worth one.
 RANGE_ROWS = 2_000_000
 FEWEST_RANGE_ROWS = 20_000
 
 
-def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """`df` as a local relation marked for broadcast when it has at most `max_rows` rows.
+def range_index(value: Column, starts: Sequence) -> Column:
+    """Number of the range `value` is in: how many of the ascending `starts` are not above it.
 
-    The rows are fetched up to one past the bound, so the check and the build are one job. Beyond
-    the bound the plan is returned without a hint: the join is then a shuffle join that adaptive
-    execution may split where a key is hot.
+    A bisection over a literal list, so the expression stays small however many ranges there are.
     """
-    local = df.limit(max_rows + 1).toArrow()
-    if local.num_rows > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(local, schema=df.schema))
+    if not starts:
+        return F.lit(0)
+    list_of = F.array(*[F.lit(s) for s in starts]) if len(starts) <= 64 else F.lit(list(starts))
+    steps = [1 << k for k in range(len(starts).bit_length() - 1, -1, -1)]
+
+    def narrowed(found: Column, step: Column) -> Column:
+        later = found + step
+        below = (later <= len(starts)) & (F.get(list_of, later - 1) <= value)
+        return F.when(below, later).otherwise(found)
+
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), narrowed)
 
 
 def running_total(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from panelfx.functions import hash_key
 from panelfx.functions.ids import BATCH_SIZE, COHORT_SIZE
+from panelfx.session import freeze
 
 # Seeds and sizes of the published sample.
 TRAIN_SEED = 1994
@@ -15,6 +16,11 @@ VALIDATION_SEED = 1234
 BATCHES_PER_COHORT = 10
 SEQUENCES_PER_BATCH = 10
 VALIDATION_ROWS = 2000
+# Hexadecimal digits of a key, and those counted in one round.
+KEY_DIGITS = 32
+PREFIX_DIGITS = 4
+# Row numbers carry their task above this many bits.
+TASK_SHIFT = 33
 
 
 def sample_two_stage(
@@ -54,22 +60,42 @@ def sample_two_stage(
 
 
 def sample_uniform(df: DataFrame, n: int, seed: int = VALIDATION_SEED, unit: str = "seq_idx") -> DataFrame:
-    """`n` rows without replacement: those with the smallest hashed keys.
+    """`n` rows without replacement: those with the smallest hashed keys (all rows if there are fewer).
 
-    A plain top-n would send n rows of every task to a single one. The counts of 65,536 key
-    prefixes show how far the n-th smallest key can be; only rows up to there are ranked.
+    A radix selection finds the n-th smallest key: counts of 65,536 key prefixes tell in which of them it is,
+    and those of the next four digits, of that prefix alone, tell more, until the count is met exactly;
+    the sample is then a filter, and no row is sorted or gathered. Two rounds are the rule. Where an id
+    occurs in more rows than are left to draw, these are numbered and the first of them taken. Rows without an id
+    share one key.
     """
-    keyed = df.withColumn("_key", hash_key(seed, F.col(unit)))
-    prefix = F.substring("_key", 1, 4)
-    counts = keyed.groupBy(prefix.alias("_prefix")).agg(F.count("*").alias("_rows"))
-    below = F.sum("_rows").over(
-        # one row per prefix: at most 65,536 in all
-        W.partitionBy(F.lit(0)).orderBy("_prefix").rowsBetween(W.unboundedPreceding, -1)
-    )
-    last = (
-        counts.withColumn("_below", F.coalesce(below, F.lit(0)))
-        .where(F.col("_below") < n)
-        .agg(F.max("_prefix"))
-        .scalar()
-    )
-    return keyed.where(prefix <= last).orderBy("_key", unit).limit(n).drop("_key")
+    key = hash_key(seed, F.col(unit))
+    if n <= 0:
+        return df.limit(0)
+    below, left = "", n
+    while len(below) < KEY_DIGITS:
+        digits = F.substring(key, len(below) + 1, PREFIX_DIGITS)
+        of_prefix = df.select(unit).where(key.startswith(below))
+        counts = sorted(tuple(r) for r in of_prefix.groupBy(digits.alias("p")).count().collect())
+        for prefix, rows in counts:
+            if rows > left:
+                break
+            left -= rows
+        else:
+            return df
+        below += prefix
+        if not left:
+            return df.where(key < below)
+    return df.where(key < below).unionByName(_first_rows(df.where(key == below), left))
+
+
+def _first_rows(rows: DataFrame, n: int) -> DataFrame:
+    """`n` of the rows, which are written down with numbers; one count per task is all that is gathered."""
+    numbered = freeze(rows.withColumn("_row", F.monotonically_increasing_id()), "tied")
+    task = F.shiftright("_row", TASK_SHIFT)
+    taken = F.lit(False)
+    for part, count in sorted(tuple(r) for r in numbered.groupBy(task.alias("t")).count().collect()):
+        if n <= 0:
+            break
+        taken = taken | ((task == part) & (F.col("_row") < (part << TASK_SHIFT) + min(n, count)))
+        n -= count
+    return numbered.where(taken).drop("_row")

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from panelfx.operators.panel import flatten_stats
 from panelfx.schemas import STATS_NESTED, TOKENIZED
+from panelfx.sources.snapshots import complete_versions, publish
 
 
 def stream_flatten_stats(
@@ -41,7 +42,12 @@ def stream_token_frequency(
     column: str = "input_ids",
     files_per_batch: int = 1000,
 ) -> StreamingQuery:
-    """Keep a table of token counts up to date; the state is one count per distinct token."""
+    """Keep a table of token counts up to date; the state is one count per distinct token.
+
+    Every batch becomes a version of the table (`sources.snapshots.read_snapshot` reads the newest), so a
+    reader sees the counts after some batch, whole, at any time. A batch that is repeated after a
+    crash finds its version written, or writes it anew.
+    """
     tokens = (
         spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     )
@@ -51,8 +57,12 @@ def stream_token_frequency(
         .agg(F.count("*").alias("count"))
     )
 
-    def replace(batch: DataFrame, _number: int) -> None:
-        batch.write.mode("overwrite").parquet(sink)
+    def replace(batch: DataFrame, number: int) -> None:
+        if number in complete_versions(batch.sparkSession, sink):
+            # its state has to be made again all the same
+            batch.write.format("noop").mode("overwrite").save()
+        else:
+            publish(batch, sink, version=number)
 
     return (
         counts.writeStream.outputMode("complete")

@@ -119,16 +119,25 @@ def test_uniform_is_the_smallest_keys(spark, n):
     assert got == set(keys[:n])
 
 
-def test_lookup_with_and_without_broadcast(spark, monkeypatch):
-    import panelfx.operators.corpus as corpus
-
+@pytest.mark.parametrize("threshold", ["10485760", "-1"])
+def test_lookup_with_and_without_broadcast(spark, threshold):
     rows = spark.createDataFrame([(i, [i, i + 1]) for i in range(50)], SEQUENCES)
     wanted = spark.createDataFrame([(3,), (49,), (77,)], "seq_idx bigint")
-    small = {r["seq_idx"]: r["input_ids"] for r in sequence_lookup(rows, wanted).collect()}
-    real = corpus.small_side
-    monkeypatch.setattr(corpus, "small_side", lambda df: real(df, 1))
-    large = {r["seq_idx"]: r["input_ids"] for r in sequence_lookup(rows, wanted).collect()}
-    assert small == large == {3: [3, 4], 49: [49, 50]}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        found = {r["seq_idx"]: r["input_ids"] for r in sequence_lookup(rows, wanted).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    assert found == {3: [3, 4], 49: [49, 50]}
+
+
+def test_building_a_lookup_reads_no_sequences(spark, tmp_path):
+    """Only the wanted ids are evaluated while the plan is built, and they are broadcast by their size."""
+    path = str(tmp_path / "sequences")
+    spark.createDataFrame([(i, [i]) for i in range(50)], SEQUENCES).write.parquet(path)
+    plan = sequence_lookup(spark.read.parquet(path), spark.range(3).withColumnRenamed("id", "seq_idx"))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text
 
 
 def test_splits(spark, tmp_path):
@@ -179,3 +188,68 @@ def test_packing_refuses_ids_that_lose_tokens(spark, ids):
     rows = spark.createDataFrame([(i, [1, 2, 3]) for i in ids], "doc_id bigint, input_ids array<int>")
     with pytest.raises(Exception, match="NULL or repeated id"):
         pack_sequences(rows, 2).collect()
+
+
+@pytest.mark.parametrize(("part", "length"), [(1, 16), (7, 16), (100, 3), (100, 1), (10_000, 4000)])
+def test_packing_in_many_parts(spark, monkeypatch, part, length):
+    """Parts of any size, rows longer than parts, documents longer than parts, empty and NULL lists, words as tokens."""
+    monkeypatch.setattr("panelfx.operators.corpus.PART_TOKENS", part)
+    rng = random.Random(part * length)
+    docs = [(i * 3 - 50, [f"w{rng.randrange(99)}" for _ in range(rng.choice([0, 0, 1, 2, 9, 60]))]) for i in range(120)]
+    docs[7] = (docs[7][0], None)
+    docs[40] = (docs[40][0], [f"long{k}" for k in range(3000)])
+    df = spark.createDataFrame(docs, "doc_id bigint, input_ids array<string>").repartition(5)
+    stream = [t for _, tokens in sorted(docs) for t in tokens or []]
+    rows = packed(df, length)
+    assert len(rows) == len(stream) // length
+    assert [t for k in sorted(rows, reverse=True) for t in rows[k]] == stream[: len(rows) * length]
+
+
+def test_tokens_are_exchanged_once(spark, tmp_path, monkeypatch):
+    """Lists are moved by one exchange; of what it makes, only incomplete rows are moved again."""
+    import panelfx.operators.corpus as corpus
+
+    frozen = []
+    monkeypatch.setattr(corpus, "freeze", lambda df, label="frozen": frozen.append((label, df)) or df)
+    docs = spark.createDataFrame([(i, list(range(50))) for i in range(100)], TOKENIZED)
+    path = str(tmp_path / "tokens")
+    docs.write.parquet(path)
+    out = pack_sequences(spark.read.parquet(path), 16)
+    (pieces,) = [df for label, df in frozen if label == "pieces"]
+    plan = pieces._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    assert len({r["seq_idx"] for r in out.collect()}) == 5000 // 16
+
+
+def test_packing_of_no_tokens(spark):
+    assert packed(spark.createDataFrame([], TOKENIZED), 4) == {}
+    assert packed(spark.createDataFrame([(1, []), (2, None)], TOKENIZED), 4) == {}
+
+
+def test_uniform_sample_sorts_nothing_and_draws_ties(spark, monkeypatch):
+    import panelfx.operators.sampling as sampling
+
+    ids = spark.range(300).withColumnRenamed("id", "seq_idx")
+    plan = sample_uniform(ids, 50, seed=2)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "Sort" not in plan and "Exchange" not in plan
+    # an id that a third of all rows share: as many of its rows as are left to draw
+    rows = spark.range(900).select((F.col("id") % 3 * F.col("id")).alias("seq_idx"), F.col("id").alias("row"))
+    for n in (1, 200, 299, 300, 301, 450, 899, 900, 1000):
+        drawn = sample_uniform(rows.repartition(7), n, seed=5).collect()
+        assert len(drawn) == min(n, 900) == len({r["row"] for r in drawn})
+    counts = {n: sum(r["seq_idx"] == 0 for r in sample_uniform(rows, n, seed=5).collect()) for n in (100, 500, 900)}
+    assert counts[900] == 300 and counts[100] <= counts[500] <= 300
+    # short prefixes take more rounds and give the same rows
+    wanted = {r["seq_idx"] for r in sample_uniform(ids, 77, seed=4).collect()}
+    monkeypatch.setattr(sampling, "PREFIX_DIGITS", 1)
+    assert {r["seq_idx"] for r in sample_uniform(ids, 77, seed=4).collect()} == wanted
+
+
+def test_ranges_by_bisection(spark):
+    from panelfx.operators.ordering import range_index
+
+    for starts in ([], [5], [2, 4, 8], list(range(0, 2000, 7))):
+        found = spark.range(-3, 2100).select("id", range_index(F.col("id"), starts).alias("r")).collect()
+        assert all(r["r"] == sum(s <= r["id"] for s in starts) for r in found)
+    names = spark.createDataFrame([("a",), ("b",), ("zz",)], "s string").select(range_index(F.col("s"), ["b", "c"])).collect()
+    assert [r[0] for r in names] == [0, 1, 2]

@@ -292,15 +292,17 @@ def test_demeaning_of_groups_with_holes(spark, random_panel):
         assert np.allclose([got[k] for k in zip(u.tolist(), t.tolist(), strict=True)], residual)
 
 
-def test_demean_with_many_times_takes_the_shuffle_join(spark, random_panel, monkeypatch):
-    import panelfx.operators.demean as dm
-    from panelfx.operators.ordering import small_side
-
-    panel = frame(spark, random_panel)
-    plain = {(r["u"], r["t"]): r["y"] for r in demean_two_way(panel, SPEC).collect()}
-    monkeypatch.setattr(dm, "small_side", lambda df: small_side(df, 2))
-    large = {(r["u"], r["t"]): r["y"] for r in demean_two_way(panel, SPEC).collect()}
-    assert plain == pytest.approx(large)
+@pytest.mark.parametrize("threshold", ["10485760", "-1"])
+def test_demeaning_does_not_depend_on_the_kind_of_join(spark, random_panel, threshold):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        got = {(r["u"], r["t"]): r["y"] for r in demean_two_way(frame(spark, random_panel), SPEC).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    y = np.array([v[1] for v in random_panel.values()])
+    residual = y - y.mean(axis=0) - y.mean(axis=1, keepdims=True) + y.mean()
+    for i, u in enumerate(random_panel):
+        assert [got[u, t + 1] for t in range(y.shape[1])] == pytest.approx(residual[i].tolist())
 
 
 def test_doubled_rows_are_no_balanced_panel(golden):

@@ -12,7 +12,8 @@ from panelfx.schemas import SEQUENCES, STATS, TOKENIZED
 from panelfx.sources.corpora import read_splits
 from panelfx.sources.effects import read_effects
 from panelfx.sources.panels import read_panel
-from panelfx.sources.stats import read_nested_stats
+from panelfx.sources.snapshots import complete_versions, newest, publish, read_snapshot
+from panelfx.sources.stats import append_stats, read_nested_stats, read_stats, stats_from_jsonl, write_nested_stats
 from panelfx.streaming.incremental import stream_flatten_stats, stream_token_frequency
 
 STEPS = range(0, 5000, 1000)
@@ -95,7 +96,7 @@ def test_streamed_counts_equal_batch(spark, tmp_path):
         spark.createDataFrame(rows, TOKENIZED).write.mode("append").parquet(source)
         stream_token_frequency(spark, source, sink, progress, files_per_batch=2).awaitTermination()
     wanted = {r["token"]: r["count"] for r in token_frequency(spark.read.parquet(source)).collect()}
-    assert {r["token"]: r["count"] for r in spark.read.parquet(sink).collect()} == wanted
+    assert {r["token"]: r["count"] for r in read_snapshot(spark, sink).collect()} == wanted
 
 
 @pytest.mark.parametrize("range_rows", [7, 2_000_000])
@@ -136,3 +137,85 @@ def test_a_bad_line_stops_the_stream(spark, tmp_path):
     (source / "a.json").write_text(good + "\n" + good[:20] + "\n")
     with pytest.raises(Exception, match="FAILED_READ_FILE|MALFORMED"):
         stream_flatten_stats(spark, str(source), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+
+
+def test_readers_see_whole_versions_only(spark, tmp_path):
+    path = str(tmp_path / "table")
+    with pytest.raises(FileNotFoundError):
+        read_snapshot(spark, path)
+    publish(spark.range(10), path)
+    before = read_snapshot(spark, path)
+    # what a killed run leaves: files, but no mark
+    spark.range(3).write.parquet(f"{path}/version=1")
+    assert read_snapshot(spark, path).count() == 10
+    assert publish(spark.range(20), path, version=1) == 1
+    assert read_snapshot(spark, path).count() == 20
+    # a reader that began earlier still finds its files
+    assert before.count() == 10
+    # a repeated batch changes nothing
+    publish(spark.range(99), path, version=1)
+    assert read_snapshot(spark, path).count() == 20
+    publish(spark.range(5), path)
+    assert complete_versions(spark, path) == [1, 2] and read_snapshot(spark, path).count() == 5
+
+
+def test_a_killed_stream_goes_on(spark, tmp_path):
+    """The last batch is not committed: neither when its version is complete nor when half of it is there."""
+    import os
+
+    source, sink, progress = (str(tmp_path / d) for d in ("in", "out", "progress"))
+
+    def feed(part):
+        rows = [(part * 10 + i, [i % 4, part]) for i in range(8)]
+        spark.createDataFrame(rows, TOKENIZED).write.mode("append").parquet(source)
+
+    def counts():
+        return {r["token"]: r["count"] for r in read_snapshot(spark, sink).collect()}
+
+    for part, damage in ((0, None), (1, "commit"), (2, "version")):
+        feed(part)
+        stream_token_frequency(spark, source, sink, progress).awaitTermination()
+        wanted = {r["token"]: r["count"] for r in token_frequency(spark.read.parquet(source)).collect()}
+        assert counts() == wanted
+        commits = sorted((int(f) for f in os.listdir(f"{progress}/commits") if f.isdigit()))
+        if damage:
+            os.remove(f"{progress}/commits/{commits[-1]}")
+            os.remove(f"{progress}/commits/.{commits[-1]}.crc")
+        if damage == "version":
+            os.remove(f"{newest(spark, sink)}/_complete")
+            before = counts()
+            assert before != wanted and sum(before.values()) == 32
+        if damage:
+            stream_token_frequency(spark, source, sink, progress).awaitTermination()
+            assert counts() == wanted
+
+
+def test_a_run_appended_again_is_there_once(spark, tmp_path):
+    path = str(tmp_path / "stats")
+    assert read_stats(spark, path).count() == 0
+    stats = spark.createDataFrame([(1, [1.0], [0], [0.5]), (2, [2.0], [1], [0.5])], STATS).withColumn("step", F.lit(0))
+    schema = f"{STATS.simpleString()[7:-1]},step:int".replace(":", " ")
+    from pyspark.sql import types as T
+
+    wide = T._parse_datatype_string(schema)
+    for run, rows in (("a", stats), ("b", stats), ("a", stats), ("b", stats.where("seq_idx = 1"))):
+        append_stats(rows, path, run)
+    found = sorted((r["run"], r["seq_idx"], r["step"]) for r in read_stats(spark, path, wide).collect())
+    assert found == [("a", 1, 0), ("a", 2, 0), ("b", 1, 0)]
+    with pytest.raises(ValueError, match="letters"):
+        append_stats(stats, path, "a/b")
+
+
+def test_nested_runs_are_replaced(spark, tmp_path):
+    path, out = f"{tmp_path}/raw.jsonl", str(tmp_path / "flat")
+    nested = spark.createDataFrame(
+        [(0, [[1.0]], [[0]], [[0.5]], [7]), (1, [[2.0]], [[1]], [[0.5]], [8])],
+        "batch int, sup array<array<double>>, rank array<array<int>>, entropy array<array<double>>, seq_idx array<bigint>",
+    )
+    for run in ("x", "y", "x"):
+        write_nested_stats(nested, path, run)
+    assert sorted(r["seq_idx"] for r in flatten_stats(read_nested_stats(spark, path)).collect()) == [7, 7, 8, 8]
+    for _ in range(2):
+        stats_from_jsonl(spark, path, out)
+    rows = read_stats(spark, out).collect()
+    assert sorted(r["seq_idx"] for r in rows) == [7, 7, 8, 8] and {r["run"] for r in rows} == {"raw"}
