@@ -127,7 +127,7 @@ def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, number and checksum of every document's ids, read back from files of ids."""
     with open(public_tokenizers.path("word_bpe_49k.json")) as spec:
-        rows = token_file_rows(table(spark, sf_dir, "documents"), spec.read(), TokenFileOptions(end_id=2, by_words=True))
+        rows = token_file_rows(table(spark, sf_dir, "documents"), spec.read(), TokenFileOptions(end_id=2))
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

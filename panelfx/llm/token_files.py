@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
+import os
+import re
 import struct
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from array import array
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,12 +28,12 @@ SAMPLE = 512
 # Bytes of ids that a reading task holds at a time, a single document excepted.
 READ_BYTES = 4 << 20
 BLOCK_DOCS = 8192
+# Rows whose mean size tells how many shards a table needs.
+SIZED_ROWS = 4096
 # Bounds of the words a task remembers.
-MAX_WORDS = 400_000
+MAX_WORDS = 500_000
 MAX_WORD = 64
 
-Encoder = Callable[[list[str]], list[np.ndarray]]
-
 
 # ---- bits
 
@@ -161,10 +164,11 @@ class TokenWriter:
         self.nulls = 0
         self.n_ids = 0
 
-    def add(self, doc_ids: Sequence[int | None], ids: list[np.ndarray]) -> None:
-        sizes = np.array([len(i) for i in ids], np.int64)
-        flat = np.concatenate([*ids, np.zeros(0, np.int64)])
-        if len(flat) and not 0 <= flat.min() <= flat.max() <= np.iinfo(self.id_type).max:
+    def add(self, doc_ids: Sequence[int | None], ids: list[bytes]) -> None:
+        """Documents whose ids are given as little-endian unsigned 32-bit integers."""
+        sizes = np.array([len(i) for i in ids], np.int64) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        if len(flat) and flat.max() > np.iinfo(self.id_type).max:
             raise ValueError(f"ids do not fit into {self.id_type}")
         self.out.write(flat.astype(self.id_type).tobytes())
         self.ends.append(self.n_ids + np.cumsum(sizes))
@@ -228,43 +232,100 @@ class TokenFile:
 class LibraryEncoder:
     """Ids of whole texts by a tokenizer of the `tokenizers` library, with `end_id` after each.
 
-    With `by_words`, for tokenizers that drop white space and look at nothing across it, each distinct
-    word is encoded once; words are runs without blanks and the controls 9 to 13. Strings of special
-    tokens within texts are ordinary text.
+    Where the tokenizer lower-cases, splits by one pattern and looks at nothing across its matches, each distinct
+    match is encoded once: all new ones of a batch go through the library as one text. That is so for
+    words of ASCII and Latin-1 letters, digits and signs, whose case and classes no version of Unicode changes;
+    a word with any other character goes through the library as a whole. Other tokenizers encode whole
+    texts. Strings of special tokens within texts are ordinary text.
     """
 
-    def __init__(self, spec: str, end_id: int, by_words: bool) -> None:
+    SAFE = re.compile("[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+    SPACE = re.compile("[\t-\r ]+")
+    # What the pattern's classes are among safe characters in lower case.
+    CLASSES = (("\\p{L}", "a-z\u00df-\u00f6\u00f8-\u00ff"), ("\\p{N}", "0-9"))
+
+    def __init__(self, spec: str, end_id: int) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True
         self.end = np.array([end_id], "<u4").tobytes()
-        self.by_words = by_words
-        self.words: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.pattern, self.suffix = self.word_pattern(json.loads(spec))
+        if self.pattern:
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(self.suffix)]] = True
+
+    @staticmethod
+    def word_pattern(spec: dict) -> tuple[re.Pattern | None, str]:
+        """The pattern whose matches are encoded for themselves, for safe words, and the mark of a match's last token."""
+        steps = [s["type"] for s in (spec.get("normalizer") or {}).get("normalizers", [])]
+        split = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        suffix = spec["model"].get("end_of_word_suffix")
+        fits = (
+            steps == ["NFC", "Replace", "Lowercase"]
+            and [s["type"] for s in split] == ["Split", "ByteLevel"]
+            and (split[0]["behavior"], split[0]["invert"]) == ("Removed", True)
+            and not (split[1]["add_prefix_space"] or split[1]["use_regex"])
+            and suffix
+            and spec.get("post_processor") is None
+            and not spec["model"].get("dropout")
+        )
+        if not fits:
+            return None, ""
+        pattern = split[0]["pattern"]["Regex"]
+        for name, members in LibraryEncoder.CLASSES:
+            pattern = pattern.replace(name, members)
+        return (None, "") if "\\p" in pattern else (re.compile(pattern), suffix)
 
     def library(self, texts: list[str]) -> list[bytes]:
         coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(c.ids, "<u4").tobytes() for c in coded]
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.by_words:
-            raw = self.library(texts)
-        else:
-            if len(self.words) > MAX_WORDS:
-                self.words = {}
-            split = [t.encode().split() for t in texts]
-            new = list(set().union(*split) - self.words.keys())
-            table = self.words
-            long = [w for w in new if len(w) > MAX_WORD]
-            short = [w for w in new if len(w) <= MAX_WORD]
-            for at in range(0, len(short), 4096):
-                some = short[at : at + 4096]
-                table.update(zip(some, self.library([w.decode() for w in some]), strict=True))
-            once = {w: self.library([w.decode()])[0] for w in long}
-            if once:
-                table = {**table, **once}
-            raw = [b"".join(map(table.__getitem__, words)) for words in split]
-        return [np.frombuffer(r + self.end, "<u4") for r in raw]
+        return [array("I", c.ids).tobytes() for c in coded]
+
+    def learn(self, pieces: list[str]) -> None:
+        """Ids of new matches, from one text in which blanks part them."""
+        raw = self.library([" ".join(pieces)])[0]
+        ends = ((np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1) * 4).tolist()
+        if len(ends) != len(pieces):
+            self.known.update(zip(pieces, self.library(pieces), strict=True))
+            return
+        self.known.update(zip(pieces, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+
+    def split(self, text: str, unsafe: set[str]) -> list[str]:
+        """The matches of a text, words that are not safe as they are; these are added to `unsafe`."""
+        if self.SAFE.fullmatch(text):
+            return self.pattern.findall(text.lower())
+        out: list[str] = []
+        for word in self.SPACE.split(text):
+            if not self.SAFE.fullmatch(word):
+                unsafe.add(word)
+                out.append(word)
+            elif word:
+                out += self.pattern.findall(word.lower())
+        return out
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        if not self.pattern:
+            return [r + self.end for r in self.library(texts)]
+        if len(self.known) > MAX_WORDS:
+            self.known.clear()
+        unsafe: set[str] = set()
+        split = [self.split(t, unsafe) for t in texts]
+        new = set().union(*split) - self.known.keys() - unsafe
+        short = [w for w in new if len(w) <= MAX_WORD]
+        for at in range(0, len(short), 16_384):
+            self.learn(short[at : at + 16_384])
+        others = [*unsafe, *(w for w in new if len(w) > MAX_WORD)]
+        table = self.known
+        if others:
+            table = dict(table)
+            for at in range(0, len(others), 1024):
+                some = others[at : at + 1024]
+                table.update(zip(some, self.library(some), strict=True))
+        return [b"".join([*map(table.__getitem__, words), self.end]) for words in split]
 
 
 @dataclass(frozen=True)
@@ -272,10 +333,9 @@ class TokenFileOptions:
     """`shard_bytes`: bytes of text a shard should hold (a document is never cut); `id_type`: as numpy names it."""
 
     end_id: int = 2
-    by_words: bool = False
     id_type: str = "<u2"
     shard_bytes: int = 256 << 20
-    least_bytes: int = 4 << 20
+    least_bytes: int = 32 << 20
 
 
 def write_token_files(docs: DataFrame, folder: str, spec: str, options: TokenFileOptions = TokenFileOptions()) -> DataFrame:
@@ -295,15 +355,17 @@ def write_token_files(docs: DataFrame, folder: str, spec: str, options: TokenFil
     narrow = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")
     )
-    rows, size = narrow.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    rows = docs.count()
     if not rows:
         return spark.createDataFrame([], "shard int, file string, n_docs bigint, n_ids bigint, base bigint")
+    # only the number of shards follows from this estimate
+    size = int(rows * narrow.select(F.octet_length("text").alias("n")).limit(SIZED_ROWS).agg(F.avg("n")).first()[0])
     wanted = 2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     shards = max(min(wanted, size // options.least_bytes), size // options.shard_bytes, 1)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, root = open_folder(folder)
-        encode = LibraryEncoder(shared.value, options.end_id, options.by_words)
+        encode = LibraryEncoder(shared.value, options.end_id)
         shard, writer, name = TaskContext.get().partitionId(), None, f"shard-{uuid.uuid4().hex}.ids"
         for batch in batches:
             for part in slices(batch, "text"):
@@ -339,7 +401,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     blocks = manifest.where("n_docs > 0").select(
         "file", "base", "n_docs", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_docs") - 1, F.lit(BLOCK_DOCS).cast("bigint"))).alias("first")
     )
-    parts = 2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source, root = open_folder(folder)
@@ -358,12 +420,12 @@ def read_block(file: TokenFile, base: int, first: int, last: int) -> Iterator[pa
     while at < len(names):
         stop = max(at + 1, int(np.searchsorted(bounds, bounds[at] + limit, "right")) - 1)
         stop = min(stop, len(names))
-        flat = file.ids(int(bounds[at]), int(bounds[stop])).astype("<u4").tobytes()
-        edges = ((bounds[at : stop + 1] - bounds[at]) * 4).tolist()
+        flat = file.ids(int(bounds[at]), int(bounds[stop])).astype("<u4")
+        edges = pa.py_buffer(((bounds[at : stop + 1] - bounds[at]) * 4).astype(np.int32))
         yield pa.RecordBatch.from_arrays(
             [pa.array(names[at:stop], pa.int64()), pa.array(base + bounds[at:stop], pa.int64()),
              pa.array(np.diff(bounds[at : stop + 1]), pa.int64()),
-             pa.array([flat[a:b] for a, b in zip(edges, edges[1:], strict=False)], pa.binary())],
+             pa.Array.from_buffers(pa.binary(), stop - at, [None, edges, pa.py_buffer(flat)])],
             ["doc_id", "start", "n_tokens", "ids"],
         )
         at = stop

@@ -23,7 +23,7 @@ from panelfx.llm.token_files import (
 )
 
 SF = "/root/testdata/sf0.001"
-WORDS = TokenFileOptions(by_words=True)
+WORDS = TokenFileOptions()
 
 
 @pytest.fixture(scope="module")
@@ -38,6 +38,14 @@ def library_ids(spec, texts):
     return [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
 
 
+def plain(coded):
+    return [np.frombuffer(c, "<u4").tolist() for c in coded]
+
+
+def coded(ids):
+    return np.array(ids, "<u4").tobytes()
+
+
 def plain_rows(spec, rows):
     """(doc_id, start, n_tokens, crc32) of rows in the order they should be written in."""
     out, start = [], 0
@@ -91,8 +99,8 @@ def test_a_file_gives_its_documents_back(tmp_path):
     files = fs.LocalFileSystem()
     docs = [np.arange(k) for k in (3, 0, 70_000, 1)]
     writer = TokenWriter(files, f"{tmp_path}/a", "<u4")
-    writer.add([None, None], docs[:2])
-    writer.add([4, 9], docs[2:])
+    writer.add([None, None], [coded(d) for d in docs[:2]])
+    writer.add([4, 9], [coded(d) for d in docs[2:]])
     assert writer.close() == (4, 70_004)
     file = TokenFile(files, f"{tmp_path}/a")
     assert file.doc_ids(0, 4) == [None, None, 4, 9] and file.doc_ids(1, 3) == [None, 4]
@@ -100,7 +108,7 @@ def test_a_file_gives_its_documents_back(tmp_path):
     assert len(file.find(4)) == 70_000 and file.find(5) is None
     narrow = TokenWriter(files, f"{tmp_path}/b", "<u2")
     with pytest.raises(ValueError, match="fit"):
-        narrow.add([1], [np.array([70_000])])
+        narrow.add([1], [coded([70_000])])
     with open(f"{tmp_path}/c", "wb") as out:
         out.write(b"x" * 100)
     with pytest.raises(ValueError, match="not a file"):
@@ -111,9 +119,30 @@ def test_words_encode_as_their_texts_do(spec):
     rng = np.random.default_rng(3)
     pieces = ["Don't", "é", "é", "́x", "\xa0", "\x85", "\x1c", " ", "12", "ΑΣ", "ΣΣ", "İ", "<|endoftext|>", "...", "ﬁ", "한글", "\x00", "😀", " ", "\t", "\n\n", "\x0b"]
     texts = ["".join(rng.choice(pieces, rng.integers(0, 14))) for _ in range(2000)] + ["", " ", "x" * 5000]
-    found = LibraryEncoder(spec, 2, True)(texts)
-    assert [f.tolist() for f in found] == library_ids(spec, texts)
-    assert [f.tolist() for f in LibraryEncoder(spec, 2, False)(texts[:300])] == library_ids(spec, texts[:300])
+    encoder = LibraryEncoder(spec, 2)
+    assert encoder.pattern is not None
+    for some in (texts[:700], texts[700:], texts):
+        assert plain(encoder(some)) == library_ids(spec, some)
+
+
+def test_every_safe_character_encodes_as_in_its_text(spec):
+    encoder = LibraryEncoder(spec, 2)
+    letters = [chr(c) for c in range(0x250) if encoder.SAFE.fullmatch(chr(c))]
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(letters + ["'", " "] * 20, 60)) for _ in range(3000)] + letters
+    texts += [f"{a}'{b}{c} {c}{a}" for a in ".A9é'" for b in "stmdrv" for c in ["", "e", "l", "!", "S"]]
+    assert plain(encoder(texts)) == library_ids(spec, texts)
+
+
+def test_other_tokenizers_encode_whole_texts():
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as file:
+        spec = file.read()
+    encoder = LibraryEncoder(spec, 50256)
+    assert encoder.pattern is None
+    tokenizer = Tokenizer.from_str(spec)
+    texts = ["Don't  stop", "", " é\n"]
+    wanted = [[*tokenizer.encode(t, add_special_tokens=False).ids, 50256] for t in texts]
+    assert plain(encoder(texts)) == wanted
 
 
 def test_every_document_of_the_small_table(spark, spec):
@@ -125,7 +154,7 @@ def test_every_document_of_the_small_table(spark, spec):
 def test_nulls_repeats_and_clashing_columns(spark, spec, tmp_path):
     rows = [(7, "b a", 1), (None, "null id", 2), (7, "b a", 3), (-3, None, 4), (5, "", 5), (None, None, 6), (9, "x " * 60_000, 7)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, file bigint").selectExpr("*", "1 AS _hash", "2 AS base", "3 AS ids")
-    options = TokenFileOptions(by_words=True, least_bytes=1, shard_bytes=50)
+    options = TokenFileOptions(least_bytes=1, shard_bytes=50)
     manifest = write_token_files(docs, f"file:{tmp_path}/out", spec, options)
     assert manifest.count() > 1
     found = sorted(((r.start, r.n_tokens, r.doc_id, bytes(r.ids)) for r in read_token_files(manifest, f"{tmp_path}/out").collect()))
