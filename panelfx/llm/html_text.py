@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,10 +20,9 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike "
     "strong sub sup time tt u var wbr".split()
 )
-BOILERPLATE = frozenset(
-    "nav footer aside form menu dialog button select option input textarea script style noscript template iframe object svg "
-    "canvas head title".split()
-)
+# What they hold is not text of the page, or speaks of other things than its article.
+NO_TEXT = frozenset("head button select option datalist object svg canvas".split())
+BOILERPLATE = frozenset("nav footer aside form menu dialog".split())
 NOT_CONTENT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar form".split())
 NOT_CONTENT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side-bar menu nav navbar "
@@ -49,17 +47,16 @@ CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr main menu nav ol p pre section summary table ul".split()
 )
-TEXT_BLOCKS = frozenset("p li td th pre dd dt h1 h2 h3 h4 h5 h6 blockquote".split())
+TEXT_BLOCKS = frozenset("p li td th pre dd dt h1 h2 h3 h4 h5 h6 blockquote figcaption caption".split())
 # Their ids are anchors made from titles.
 ANCHORS = TEXT_BLOCKS | INLINE | {"section"}
 SCOPES = frozenset("html body table td th ul ol dl div article main section blockquote".split())
 
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S,
-)
-ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"']+))?""")
+# An attribute: its name, and its value in double quotes, in single quotes or without; an open quote goes on to the end.
+ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s>]*)))?""")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+GAP = re.compile(r"[\s/]*")
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 # Names such as with-sidebar speak of the layout and not of the element itself.
 LAYOUT = frozenset("with has no without".split())
@@ -69,38 +66,31 @@ SPACE = re.compile(r"\s+")
 
 @dataclass(frozen=True)
 class RatioOptions:
-    """How tag paths are judged; see content_nodes.
+    """How tag paths are judged; see path_scores.
 
-    `radius` is the number of nodes smoothed over on either side, `share` the part of the page's score
-    that the content element has to hold, `threshold` the part of the scores' standard deviation that
-    a path outside it has to reach, `links` the part of a path's text in links from which it is a list
-    of links.
+    `radius` is the number of nodes smoothed over on either side, `length` and `pauses` the ratios at which
+    they have half of their weight. The priors multiply a path's score: of text within articles (in
+    proportion to their share of the page's text), of text blocks, of elements that a name calls
+    boilerplate or may call it (`doubt`), and of elements whose role says so. A path is content if its score
+    reaches `threshold` of the page's best one.
     """
 
     radius: int = 2
-    share: float = 0.6
-    threshold: float = 1.0
-    links: float = 0.8
-
-
-@dataclass
-class Node:
-    """The text of one block: the path of elements to it, and how many of its characters are links."""
-
-    path: tuple[str, ...]
-    block: int
-    blocked: bool
-    parts: list[str] = field(default_factory=list)
-    linked: int = 0
-    text: str = ""
-    doubts: tuple[int, ...] = ()
+    length: float = 80.0
+    pauses: float = 2.0
+    article: float = 32.0
+    block: float = 16.0
+    doubt: float = 0.3
+    name: float = 1e-3
+    role: float = 1e-6
+    threshold: float = 0.04
 
 
-# What an element's attributes say: nothing, that it is not content unless its text has the ratio of content, or that it is not.
-KEEP, DOUBT, DROP = range(3)
+# What an element's attributes say: nothing, perhaps not content, not content by name, by role, or not shown at all.
+KEEP, DOUBT, DROP, ROLE, HIDE = range(5)
 
 
-def marks(tag: str, attributes: str, within: bool) -> int:
+def marks(tag: str, attributes: list[tuple[str, str]], within: bool) -> int:
     """What an element's class, id, role or visibility says about it.
 
     Within an article, names of page headers do not count. There ids of headings, sections, text blocks
@@ -109,14 +99,13 @@ def marks(tag: str, attributes: str, within: bool) -> int:
     headings are not looked at anywhere.
     """
     said = KEEP
-    for name, value in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
+    for name, value in attributes:
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return DROP
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return DROP
+            return HIDE
+        if name == "style" and HIDDEN.search(value):
+            return HIDE
         if name == "role" and value.lower() in NOT_CONTENT_ROLES:
-            return DROP
+            said = max(said, ROLE)
         if name == "id" and tag in (ANCHORS if within else HEADINGS):
             continue
         if name in ("class", "id"):
@@ -129,89 +118,196 @@ def marks(tag: str, attributes: str, within: bool) -> int:
                     if not named:
                         continue
                     if not within or (name == "class" and (tag not in ANCHORS - INLINE or one.lower() in named)):
-                        return DROP
-                    if tag not in HEADINGS:
-                        said = DOUBT
+                        said = max(said, DROP)
+                    elif tag not in HEADINGS:
+                        said = max(said, DOUBT)
     return said
 
 
-def text_nodes(page: str) -> list[Node]:
-    """Text of the page in order, one node for each block, boilerplate marked.
+@dataclass
+class Paths:
+    """The tag paths of a page, each as its last element and the path above it.
 
-    Inline elements belong to the block around them; line breaks are white space in it. Raw elements
-    (scripts, styles and the like) end at their own end tag and their content is dropped.
+    Elements whose marks differ are different paths, so that a marked element does not share its
+    ratios with an unmarked one of the same tags. Inline elements leave the path as it is.
     """
-    nodes: list[Node] = []
-    stack: list[tuple[str, bool, bool, tuple[int, ...]]] = []  # element, not content, within an article, doubtful elements
-    block, at, n, lowered, doubtful = 0, 0, len(page), "", 0
 
-    def say(text: str) -> None:
-        if not text:
-            return
-        blocked = bool(stack) and stack[-1][1]
-        if not nodes or nodes[-1].block != block or nodes[-1].blocked != blocked:
-            nodes.append(Node(tuple(s[0] for s in stack if s[0] not in INLINE), block, blocked, doubts=stack[-1][3] if stack else ()))
-        nodes[-1].parts.append(text)
-        if any(s[0] == "a" for s in stack):
-            nodes[-1].linked += len(text)
-
-    def close(ends: frozenset[str]) -> None:
-        """End the innermost open element of these kinds, unless the scope around it is reached first."""
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in ends:
-                del stack[k:]
-                return
-            if stack[k][0] in SCOPES:
-                return
+    parent: list[int] = field(default_factory=lambda: [-1])
+    tag: list[str] = field(default_factory=lambda: [""])
+    mark: list[int] = field(default_factory=lambda: [KEEP])
+    within: list[bool] = field(default_factory=lambda: [False])
+    number: dict[tuple[int, str, int], int] = field(default_factory=dict)
 
-    while at < n:
-        found = TAG.search(page, at)
+    def below(self, path: int, tag: str, mark: int) -> int:
+        found = self.number.get((path, tag, mark))
         if found is None:
-            say(page[at:])
-            break
-        say(page[at : found.start()])
-        at = found.end()
-        if found.group(2) is None:
-            continue
-        tag, attributes = found.group(2).lower(), found.group(3)
-        if found.group(1):
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
-            if tag in INLINE:
-                # a misnested inline end does not close the block around it
-                if depth >= 0 and all(s[0] in INLINE for s in stack[depth:]):
-                    del stack[depth:]
-                continue
-            if depth >= 0:
-                del stack[depth:]
-            block += 1
-            continue
+            found = self.number[path, tag, mark] = len(self.tag)
+            self.parent.append(path)
+            self.tag.append(tag)
+            self.mark.append(max(mark, self.mark[path]))
+            self.within.append(self.within[path] or tag in CONTENT)
+        return found
+
+
+@dataclass
+class Node:
+    """The text of one block, its path, and how many of its characters are links."""
+
+    path: int
+    block: int
+    parts: list[str] = field(default_factory=list)
+    linked: int = 0
+    text: str = ""
+
+
+class Page:
+    """Reads a page into text nodes in one pass: every character is looked at a bounded number of times.
+
+    Open elements are a stack; for each tag, for blocks and for scopes their places on it are kept, so an end
+    tag finds its element without a search, however deep the page is nested.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.paths = Paths()
+        self.nodes: list[Node] = []
+        self.stack: list[tuple[str, int]] = []  # element and path
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.scopes: list[int] = []
+        self.hidden = 0
+        self.links = 0
+        self.block = 0
+        self.hiding: list[bool] = []
+        self.read()
+        for node in self.nodes:
+            node.text = SPACE.sub(" ", "".join(node.parts)).strip()
+        self.nodes = [node for node in self.nodes if node.text]
+
+    def say(self, text: str) -> None:
+        if not text or self.hidden:
+            return
+        path = self.stack[-1][1] if self.stack else 0
+        if not self.nodes or self.nodes[-1].block != self.block or self.nodes[-1].path != path:
+            # a marked inline element is a node of its own, and the block goes on after it
+            self.nodes.append(Node(path, self.block))
+        text = html.unescape(text)
+        self.nodes[-1].parts.append(text)
+        if self.links:
+            self.nodes[-1].linked += len(text)
+
+    def push(self, tag: str, path: int, hide: bool) -> None:
+        at = len(self.stack)
+        self.stack.append((tag, path))
+        self.hiding.append(hide)
+        self.places.setdefault(tag, []).append(at)
+        if tag not in INLINE:
+            self.blocks.append(at)
+        if tag in SCOPES:
+            self.scopes.append(at)
+        self.hidden += hide
+        self.links += tag == "a"
+
+    def pop_to(self, depth: int) -> None:
+        """End all open elements from this place of the stack on."""
+        while len(self.stack) > depth:
+            tag, _ = self.stack.pop()
+            self.hidden -= self.hiding.pop()
+            self.places[tag].pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+            if tag in SCOPES:
+                self.scopes.pop()
+            self.links -= tag == "a"
+
+    def last(self, tag: str) -> int:
+        found = self.places.get(tag)
+        return found[-1] if found else -1
+
+    def end(self, tag: str) -> None:
+        depth = self.last(tag)
+        if tag in INLINE:
+            # a misnested inline end does not close the block around it
+            if depth >= 0 and depth > (self.blocks[-1] if self.blocks else -1):
+                self.pop_to(depth)
+            return
+        if depth >= 0:
+            self.pop_to(depth)
+        self.block += 1
+
+    def close(self, ends: frozenset[str]) -> None:
+        """End the innermost open element of these kinds, unless the scope around it is reached first."""
+        depth = max(map(self.last, ends))
+        if depth >= 0 and depth >= (self.scopes[-1] if self.scopes else -1):
+            self.pop_to(depth)
+
+    def attributes(self, at: int) -> tuple[list[tuple[str, str]], int]:
+        """Attributes from here on, and the place after the tag; -1 where the page ends within the tag."""
+        found: list[tuple[str, str]] = []
+        while True:
+            at = GAP.match(self.page, at).end()
+            if at >= len(self.page):
+                return found, -1
+            if self.page[at] == ">":
+                return found, at + 1
+            one = ATTRIBUTE.match(self.page, at)
+            found.append((one[1].lower(), html.unescape(next((v for v in one.groups()[1:] if v is not None), ""))))
+            at = one.end()
+
+    def start(self, tag: str, attributes: list[tuple[str, str]], at: int) -> int:
+        """Open an element; returns the place to go on at, which is after the element if its content is no markup."""
         if tag == "br":
-            say(" ")
-            continue
+            self.say(" ")
+            return at
         if tag in CLOSES:
-            close(CLOSES[tag])
+            self.close(CLOSES[tag])
         elif tag in CLOSES_P:
-            close(frozenset(["p"]))
+            self.close(frozenset(["p"]))
         if tag not in INLINE:
-            block += 1
+            self.block += 1
         if tag in VOID:
-            continue
+            return at
         if tag in RAW:
-            lowered = lowered or re.sub("[A-Z]+", lambda m: m[0].lower(), page)
-            end = lowered.find(f"</{tag}", at)
-            end = page.find(">", end) if end >= 0 else -1
-            at = n if end < 0 else end + 1
-            continue
-        above, within, doubts = stack[-1][1:] if stack else (False, False, ())
-        boilerplate = tag in BOILERPLATE or (tag == "header" and not within)
-        named = marks(tag, attributes, within) if attributes.strip() and tag not in ("html", "body", "main") else KEEP
-        if named == DOUBT:
-            doubtful += 1
-            doubts = (*doubts, doubtful)
-        stack.append((tag, above or boilerplate or named == DROP, within or tag in CONTENT, doubts))
-    for node in nodes:
-        node.text = SPACE.sub(" ", html.unescape("".join(node.parts))).strip()
-    return [node for node in nodes if node.text]
+            found = re.compile(f"</{re.escape(tag)}[^>]*(?:>|\\Z)", re.I | re.A).search(self.page, at)
+            return found.end() if found else len(self.page)
+        path = self.stack[-1][1] if self.stack else 0
+        within = self.paths.within[path]
+        said = marks(tag, attributes, within) if attributes and tag not in ("html", "body", "main") else KEEP
+        if tag in BOILERPLATE or (tag == "header" and not within):
+            said = max(said, ROLE)
+        if tag not in INLINE or said != KEEP:
+            path = self.paths.below(path, tag, said)
+        self.push(tag, path, said == HIDE or tag in NO_TEXT)
+        return at
+
+    def read(self) -> None:
+        page, at, n = self.page, 0, len(self.page)
+        while at < n:
+            begin = page.find("<", at)
+            if begin < 0:
+                self.say(page[at:])
+                return
+            after = page[begin + 1 : begin + 2]
+            closing = after == "/"
+            name = NAME.match(page, begin + 1 + closing)
+            if name is None and after not in ("!", "?", "/"):
+                # a sign, not a tag
+                self.say(page[at : begin + 1])
+                at = begin + 1
+                continue
+            self.say(page[at:begin])
+            if name is None:
+                mark, skip = ("-->", 4) if page.startswith("<!--", begin) else ("]]>", 9) if page.startswith("<![CDATA[", begin) else (">", 1)
+                found = page.find(mark, begin + skip)
+                at = n if found < 0 else found + len(mark)
+                continue
+            attributes, at = self.attributes(name.end())
+            if at < 0:
+                return
+            if closing:
+                self.end(name[0].lower())
+            else:
+                at = self.start(name[0].lower(), attributes, at)
 
 
 def smooth(values: np.ndarray, radius: int) -> np.ndarray:
@@ -224,69 +320,54 @@ def smooth(values: np.ndarray, radius: int) -> np.ndarray:
     return total / np.convolve(np.ones(len(values)), weight, "full")[radius : radius + len(values)]
 
 
-def low_doubts(nodes: list[Node], cut: float) -> set[int]:
-    """The doubtful elements whose own ratios of length and punctuation, fused, are below `cut`."""
-    own: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
-    for node in nodes:
-        for doubt in node.doubts:
-            entry = own[doubt]
-            entry[0] += max(len(node.text) - node.linked, 0)
-            entry[1] += sum(map(node.text.count, PUNCTUATION))
-            entry[2] += 1
-    return {doubt for doubt, (length, pauses, many) in own.items() if length / many * (1.0 + pauses / many) < cut}
-
-
-def content_nodes(nodes: list[Node], options: RatioOptions) -> list[Node]:
-    """The nodes that are content, in page order.
-
-    Length of text outside links and punctuation are added up per tag path over all nodes of the page
-    and divided by the path's nodes. Both ratios, given back to the nodes, are smoothed in page order
-    and fused to one score, whose mean over a path's nodes is the score of the path. Marked nodes take
-    part in the scores but are never content. The content element is the article or main element if
-    there is one, else the deepest element whose paths hold most of the score. Its paths are content,
-    unless they are lists of links below the threshold; a path elsewhere is content if it reaches the
-    threshold and there is no article. A doubtful element goes if its own ratios are below the threshold.
+def path_scores(nodes: list[Node], paths: Paths, options: RatioOptions) -> np.ndarray:
+    """The score of every tag path of a page.
+
+    Length of text outside links and punctuation are added up per path over all its nodes and divided by
+    their number. Both ratios are brought to 0 to 1 (long texts differ little) and fused to
+    `length * (1 + 3 * punctuation)`; given back to the nodes, the fused ratio is smoothed in page order, and
+    the geometric mean of the two, averaged over a path's nodes, is what the path's text says. It is
+    multiplied by the path's priors and by the square of the share of its text outside links.
     """
-    if not nodes:
+    path = np.array([n.path for n in nodes])
+    size = np.array([len(n.text) for n in nodes], float)
+    linked = np.minimum([n.linked for n in nodes], size)
+    pauses = np.array([sum(map(n.text.count, PUNCTUATION)) for n in nodes], float)
+    many = len(paths.tag)
+    count = np.maximum(np.bincount(path, minlength=many), 1)
+    total = np.bincount(path, size, many)
+    plain = np.bincount(path, size - linked, many)
+    length, pause = plain / count, np.bincount(path, pauses, many) / count
+    own = length / (length + options.length) * (1.0 + 3.0 * pause / (pause + options.pauses))
+    spread = smooth(own[path], options.radius)
+    says = np.bincount(path, np.sqrt(own[path] * spread), many) / count
+    within, mark = np.array(paths.within), np.array(paths.mark)
+    seen = total * (mark < DROP)
+    share = seen[within].sum() / max(seen.sum(), 1.0)
+    prior = np.where(within, 1.0 + (options.article - 1.0) * share, 1.0)
+    prior = prior * np.where([t in TEXT_BLOCKS for t in paths.tag], options.block, 1.0)
+    prior = prior * np.array([1.0, options.doubt, options.name, options.role, 0.0])[mark]
+    return says * prior * (plain / np.maximum(total, 1.0)) ** 2
+
+
+def content_nodes(page: Page, options: RatioOptions) -> list[Node]:
+    """The nodes whose path reaches the threshold, in page order."""
+    if not page.nodes:
         return []
-    sums: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])
-    for node in nodes:
-        entry = sums[node.path]
-        entry[0] += max(len(node.text) - node.linked, 0)
-        entry[1] += sum(map(node.text.count, PUNCTUATION))
-        entry[2] += 1
-        entry[3] += len(node.text)
-    length = smooth(np.array([sums[n.path][0] / sums[n.path][2] for n in nodes]), options.radius)
-    pauses = smooth(np.array([sums[n.path][1] / sums[n.path][2] for n in nodes]), options.radius)
-    fused = length * (1.0 + pauses)
-    score: dict[tuple[str, ...], float] = defaultdict(float)
-    mass: dict[tuple[str, ...], float] = defaultdict(float)
-    for node, value in zip(nodes, fused.tolist(), strict=True):
-        score[node.path] += value / sums[node.path][2]
-        if not node.blocked:
-            for depth in range(len(node.path) + 1):
-                mass[node.path[:depth]] += value
-    cut = options.threshold * float(np.std(fused))
-    low = low_doubts(nodes, cut)
-    articles = any(not n.blocked and not CONTENT.isdisjoint(n.path) for n in nodes)
-    home: tuple[str, ...] = ()
-    for prefix, held in mass.items():
-        if len(prefix) > len(home) and held >= options.share * mass[()] and prefix[-1] not in TEXT_BLOCKS:
-            home = prefix
-
-    def content(node: Node) -> bool:
-        path = node.path
-        inside = not CONTENT.isdisjoint(path) if articles else path[: len(home)] == home
-        if inside:
-            return score[path] >= cut or sums[path][0] > (1.0 - options.links) * sums[path][3]
-        return not articles and score[path] >= cut
-
-    return [node for node in nodes if not node.blocked and low.isdisjoint(node.doubts) and content(node)]
+    scores = path_scores(page.nodes, page.paths, options)
+    cut = options.threshold * scores.max()
+    return [node for node in page.nodes if scores[node.path] >= cut and scores[node.path] > 0]
 
 
 def main_text(page: str, options: RatioOptions = RatioOptions()) -> str:
-    """Blocks of the main text, in page order, joined by an empty line."""
-    return "\n\n".join(node.text for node in content_nodes(text_nodes(page), options))
+    """Blocks of the main text, in page order, joined by an empty line.
+
+    What remains of a block around a dropped inline element is one block.
+    """
+    blocks: dict[int, list[str]] = {}
+    for node in content_nodes(Page(page), options):
+        blocks.setdefault(node.block, []).extend(node.parts)
+    return "\n\n".join(SPACE.sub(" ", "".join(parts)).strip() for parts in blocks.values())
 
 
 def extract_text(pages: DataFrame, options: RatioOptions = RatioOptions(), source: str = "html") -> DataFrame:

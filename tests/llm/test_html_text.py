@@ -1,10 +1,11 @@
 import html
 import os
 import re
+import time
 
 import pytest
 
-from panelfx.llm.html_text import extract_text, main_text
+from panelfx.llm.html_text import Page, RatioOptions, extract_text, main_text, path_scores
 
 SF_DIR = "/root/testdata/sf0.001"
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="has-sidebar">
@@ -48,8 +49,9 @@ def test_odd_pages(page, text):
 
 
 def test_long_pages():
-    page = "<article>" + "<p>some words, here.</p>" * 20_000 + "<div>" * 3_000 + "deep</article>"
-    assert main_text(page).count("some words, here.") == 20_000 and main_text(page).endswith("deep")
+    deep = "far below, but with as many words as a paragraph has, and its commas too."
+    page = "<article>" + "<p>some words, here.</p>" * 20_000 + "<div>" * 3_000 + deep + "</article>"
+    assert main_text(page).count("some words, here.") == 20_000 and main_text(page).endswith(deep)
 
 
 def test_rows(spark):
@@ -86,3 +88,86 @@ def test_ids_made_from_titles_stay():
         "Related work", "Others, too, have looked, and found, and written.",
         "Social media", "A long, long text, about what people say, and why.",
     ]
+
+
+LONG = "A paragraph, long enough to be one; with commas, and with a few more words than a button has."
+FRAME = "<body><nav><a href=x>Home</a> <a href=y>News</a></nav>%s<footer>&copy; us, all rights reserved, for ever.</footer></body>"
+
+
+@pytest.mark.parametrize(
+    ("inner", "blocks"),
+    [
+        # names that cover the whole main text
+        (f"<div class='login-guide'><h1>How to log in</h1><p>{LONG}</p><p>{LONG}</p></div>", ["How to log in", LONG, LONG]),
+        (f"<div id='search-results-explained'><p>{LONG}</p><p>{LONG}</p></div>", [LONG, LONG]),
+        # a teaser beside the text
+        (f"<article>A teaser here</article><div><h1>Real title</h1><p>{LONG}</p><p>{LONG}</p></div>", ["Real title", LONG, LONG]),
+        # an advert without a telling class within the article, and a short list
+        (f"<article><h1>Title</h1><p>{LONG}</p><div>Buy now, pay later!</div><p>{LONG}</p><ul><li>one<li>two</ul></article>",
+         ["Title", LONG, LONG, "one", "two"]),
+        # an introduction of some length in a plain block stays
+        (f"<article><div>{LONG} {LONG}</div><p>{LONG}</p></article>", [f"{LONG} {LONG}", LONG]),
+        # quotes within values that have none
+        (f"<article><img alt=it's src=a><p class=x data=it's>{LONG}</p><p>It's so.</p></article>", [LONG, "It's so."]),
+        # comments longer than the article
+        (f"<article><p>{LONG}</p></article><section id=comments>" + f"<article><p>{LONG} {LONG}</p></article>" * 20 + "</section>", [LONG]),
+        # a dropped inline element leaves one block
+        (f"<article><p>{LONG} <span class=ad>Buy!</span> {LONG}</p></article>", [f"{LONG} {LONG}"]),
+        (f"<article><p>{LONG}</p><div role=complementary><p>{LONG}</p></div><div aria-hidden=true><p>{LONG}</p></div></article>", [LONG]),
+    ],
+)
+def test_ratios_and_priors_decide(inner, blocks):
+    assert main_text(FRAME % inner).split("\n\n") == blocks
+
+
+def test_without_the_threshold_results_differ():
+    page = FRAME % f"<article><p>{LONG}</p><div>Buy now, pay later!</div></article><div>Other, short.</div>"
+    assert main_text(page) == LONG
+    everything = main_text(page, RatioOptions(threshold=0.0))
+    assert "Buy now" in everything and "Other, short." in everything and "all rights reserved" in everything
+    # and so they do without smoothing, or without the ratio of punctuation
+    plain, pauses = "words without any sign " * 9, "A, b, c; d, e."
+    page = f"<body><div>{plain}</div><section>{pauses}</section></body>"
+    nodes = Page(page)
+    raw = path_scores(nodes.nodes, nodes.paths, RatioOptions(radius=0))
+    smoothed = path_scores(nodes.nodes, nodes.paths, RatioOptions())
+    assert raw.max() / raw[raw > 0].min() > smoothed.max() / smoothed[smoothed > 0].min() > 1
+
+
+def test_paths_are_shared_by_equal_tags_and_marks():
+    page = Page("<div><p>one</p><p>two <b>bold</b></p></div><div class=ad><p>three</p></div><div><p>four</p></div>")
+    paths = [n.path for n in page.nodes]
+    assert paths[0] == paths[1] == paths[3] != paths[2]
+    assert [n.text for n in page.nodes] == ["one", "two bold", "three", "four"]
+
+
+MEGABYTE = {
+    "nested blocks": "<article>" + "<div>text, here " * 66_000,
+    "nested inline": "<article>" + "<b>x " * 200_000,
+    "unclosed tags": "<a " * 340_000,
+    "unclosed names": "<a" * 500_000,
+    "signs": "< " * 500_000,
+    "ends of others": "<i><div>" + "<b>" * 150_000 + "</i>" * 150_000,
+    "paragraphs in inline": "<b>" * 150_000 + "<p>x" * 150_000,
+    "ends without starts": "<div>" * 90_000 + "</x>" * 120_000,
+    "lists": "<ul>" * 100_000 + "<li>x" * 120_000,
+    "open quotes": "<a b=\"x " * 120_000,
+    "mixed quotes": "<a b='x \" " * 100_000,
+    "comments": "<!-- " * 200_000,
+    "scripts": "<script> " * 110_000,
+    "wrong ends of scripts": "<script></scrip>" * 60_000,
+    "references": "&" * 1_000_000,
+    "gaps": "<p" + " " * 500_000 + "a" + " " * 500_000,
+    "attributes": "<p " + "a= " * 330_000,
+    "marked inline": "<span class=ad>x</span> y " * 40_000,
+    "classes": "<div class='" + "aB " * 330_000 + "'>x",
+    "one word": "x" * 1_000_000,
+}
+
+
+@pytest.mark.parametrize("name", MEGABYTE)
+def test_a_megabyte_takes_no_time(name):
+    start = time.perf_counter()
+    main_text(MEGABYTE[name])
+    # a second or so; a quadratic step would take minutes
+    assert time.perf_counter() - start < 10
