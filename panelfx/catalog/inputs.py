@@ -45,13 +45,29 @@ def orders_panel(spark: SparkSession, sf_dir: str, segments: bool = False) -> Da
             F.col("c_custkey").alias("unit"), F.col("c_mktsegment").alias("model_size")
         )
         units = units.join(customer, "unit")
-    last = orders.agg(F.max("t")).scalar()
+    ends = orders.agg(F.struct(F.min("t").alias("first"), F.max("t").alias("last"))).scalar()
     kept = ["unit", "g", *(["model_size"] if segments else [])]
-    quarters = F.explode(F.sequence(F.lit(1).cast("bigint"), last))
+    quarters = F.explode(F.sequence(ends["first"], ends["last"]))
     spend_then = F.coalesce(F.try_element_at("ys", F.col("t")), F.lit(0.0))
     return units.select(*kept, "ys", quarters.alias("t")).select(*kept, "t", spend_then.alias("y"))
 
 
+def numbered_panel(spark: SparkSession, sf_dir: str, sizes: dict[str, float]) -> DataFrame:
+    """Customer x quarter spend as an exported panel: customers are numbered units, every fifth a control (below zero).
+
+    Each size has the same units; its accuracy is the spend times the size's factor.
+    """
+    panel = orders_panel(spark, sf_dir)
+    unit = F.when(F.col("unit") % 5 == 0, -F.col("unit")).otherwise(F.col("unit"))
+    size = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(f).alias("factor")) for n, f in sizes.items()]))
+    rows = panel.select(unit.alias("seq_idx"), F.col("t").cast("int").alias("step"), "y", size.alias("size"))
+    none = F.lit(0.0)
+    return rows.select(
+        "seq_idx", "step", none.alias("sup_seq"), none.alias("entr_seq"), (F.col("y") * F.col("size.factor")).alias("acc_seq"),
+        none.alias("avg_rank"), F.col("size.name").alias("model_size"),
+    )
+
+
 def events_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User x day summed values in parts of a large prime, days without events left out: an unbalanced panel.
 

@@ -15,7 +15,7 @@ o AS (
   SELECT o_custkey AS unit, CAST((year(o_orderdate) - 1995) * 4 + quarter(o_orderdate) AS BIGINT) AS t,
          CAST(o_totalprice AS DECIMAL(18,2)) AS p, o_orderpriority = '1-URGENT' AS urgent
   FROM orders),
-tm AS (SELECT CAST(unnest(generate_series(1, (SELECT max(t) FROM o))) AS BIGINT) AS t),
+tm AS (SELECT CAST(unnest(generate_series((SELECT min(t) FROM o), (SELECT max(t) FROM o))) AS BIGINT) AS t),
 un AS (SELECT unit, min(CASE WHEN urgent THEN t END) AS g FROM o GROUP BY unit),
 yy AS (SELECT unit, t, CAST(sum(p) AS DOUBLE) / 7919 AS y FROM o GROUP BY unit, t)"""
 
@@ -56,7 +56,7 @@ def _cells(base: str = "least(t, g) - 1") -> str:
     return (
         _MEANS
         + f""",
-b AS (SELECT z, g, t, n, {base} AS b FROM m WHERE g IS NOT NULL AND {base} >= 1),
+b AS (SELECT z, g, t, n, {base} AS b FROM m WHERE g IS NOT NULL AND {base} >= (SELECT min(t) FROM m)),
 att AS (
   SELECT b.z, b.g, b.t, b.b, b.n, (gt.m - gb.m) - (ct.m - cb.m) AS att,
          gt.m - gb.m AS dg, ct.m - cb.m AS dc, ct.n AS nc
@@ -459,6 +459,23 @@ def _profile(where: str, extra: str = "") -> str:
 SELECT cohort, base_period, time, {_AN_COLS}{extra} FROM an WHERE {where}"""
 
 
+# Customers as numbered units, every fifth a control; cohorts by batches of 16, four batches each.
+_NUMBERED_PANEL = (
+    _ORDERS_ROWS
+    + """,
+nu AS (SELECT unit, unit % 5 = 0 AS control, CAST(ceil(ceil(unit / 16.0) / 4.0) AS BIGINT) * 4 AS c FROM un),
+panel AS (
+  SELECT CASE WHEN control THEN -nu.unit ELSE nu.unit END AS unit, tm.t, CASE WHEN NOT control THEN c END AS g, z,
+         coalesce(yy.y, 0.0) * f AS y
+  FROM nu CROSS JOIN tm CROSS JOIN (VALUES ('70M', 1.0), ('12B', 3.0)) s(z, f)
+  LEFT JOIN yy ON yy.unit = nu.unit AND yy.t = tm.t)"""
+)
+# The deviations' second row of a unit is of the same size.
+_NUMBERED_DEVIATIONS = _DEVIATIONS.replace("q.unit = p.unit", "q.unit = p.unit AND q.z = p.z")
+_SIZES = ("70M", "160M", "410M", "1.4B", "6.9B", "12B")
+_PANEL_JOB = f"""WITH {_NUMBERED_PANEL}{_cells()}{_NUMBERED_DEVIATIONS}{_CELL_SE}{_annotated('se', _CELL_KEYS, '', _SIZES)}
+SELECT cohort, base_period, time, {_AN_COLS} FROM an WHERE time >= cohort AND zero_not_in_cband = '*'"""
+
 _PERSISTENT = f"""{_SEGMENT_EVENT}{_annotated('vse', 'k AS relative_period')}
 SELECT relative_period, {_AN_COLS} FROM an
 WHERE relative_period BETWEEN 0 AND 20 AND zero_not_in_cband = '*' AND memorisation > 0"""
@@ -607,6 +624,7 @@ FROM events GROUP BY 1, 2""",
         "profile_correlation": _PEARSON,
         "profile_correlation_spearman": _SPEARMAN,
         "profile_correlation_kendall": _KENDALL,
+        "panel_job": _PANEL_JOB,
         "lr_schedule": _LR,
         "effect_store": _STORE,
         "effect_files": _STORE,

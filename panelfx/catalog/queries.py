@@ -18,6 +18,7 @@ from panelfx.catalog.inputs import (
     SEGMENTS,
     documents,
     events_panel,
+    numbered_panel,
     orders_panel,
     quarter_index,
     raw_stats,
@@ -66,6 +67,7 @@ from panelfx.operators.tokenstats import (
     sequence_surprisal,
     token_statistics,
 )
+from panelfx.plans.jobs import estimate, load_panel, profiles
 from panelfx.schemas import STATS_SHORT
 from panelfx.session import freeze, scratch_path
 from panelfx.sources.corpora import (
@@ -604,6 +606,18 @@ _QUERIES["profile_correlation_spearman"] = _correlation_query("spearman")
 _QUERIES["profile_correlation_kendall"] = _correlation_query("kendall")
 
 
+@query("panel_job")
+def panel_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From an exported panel of two sizes to the full profile, by the whole jobs and through their files."""
+    panel, effects = scratch_path(spark, "panel"), scratch_path(spark, "effects")
+    write_panel(numbered_panel(spark, sf_dir, {"70m": 1.0, "12b": 3.0}), panel)
+    loaded = load_panel(spark, panel, "70m", batch_size=16, cohort_size=4)
+    estimate(loaded, effects, "acc_seq", EffectOptions())
+    full = profiles(spark, effects, "acc_seq", "plain")["full"]
+    measures = ("ATT", "std_error", "lower", "upper", "zero_not_in_cband", "memorisation", "stdlower", "stdupper", "zero_not_in_cf")
+    return rounded(full.select("cohort", "base_period", "time", "model_size", "size_rank", *measures))
+
+
 @query("lr_schedule")
 def schedule_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learning rate on every day with an order, for a run as long as the order history."""
