@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from panelfx.session import freeze
@@ -35,7 +35,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     Self links and repeated links are ignored, rows with a null end too. Every round is two
     aggregations with partial sums and two joins that adaptive execution may split at a hot node;
     the number of links never grows, and rounds are logarithmic in the number of nodes. Each round
-    is written to the shared folder, so a lost executor costs no earlier round.
+    is written to the shared folder, so a lost executor costs no earlier round; what tells that nothing
+    changed any more is counted while it is written.
     """
     now = freeze(
         links.where("a <> b")
@@ -45,8 +46,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     )
     seen = None
     for _ in range(MAX_ROUNDS):
-        now = freeze(hook_parents(hook_to_smallest(now)), "stars")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        seen_now = Observation()
+        links_sum = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+        now = freeze(hook_parents(hook_to_smallest(now)).observe(seen_now, F.count("*").alias("n"), links_sum.alias("sum")), "stars")
+        state = seen_now.get
         if state == seen:
             break
         seen = state

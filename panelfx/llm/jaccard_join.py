@@ -10,6 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelfx.llm.components import connected_components
@@ -19,14 +20,13 @@ from panelfx.session import freeze
 # Sets up to this size may go to the subset side; beyond it the number of subsets explodes.
 MOST_SMALL = 40
 WORDS_OF_BITS = 8
-SHORT_WORDS = 2
-# Shingles counted together in a task; those seen fewer than REPEATS times within that many are dropped
-# from the counts, which only decide in which order a set's shingles are indexed.
-COUNTED_TOGETHER = 2_000_000
-REPEATS = 4
-MOST_HEAVY = 65_536
-# One more indexed shingle, and one more that linked sets must share, for so many in a set.
-PER_SHARED = 64
+# Sizes of one class differ by this factor at most, as numerator and denominator.
+CLASS_NUM, CLASS_DEN = 7, 5
+# A group of shingles of fewer is left out of the lists where a set has enough other groups.
+LIGHT = 3
+# Sets whose list entries a task makes together, in shingles, and the classes it remembers having entered.
+TOGETHER = 500_000
+REMEMBERED = 500_000
 
 
 @dataclass(frozen=True)
@@ -40,14 +40,6 @@ class JaccardOptions:
     def least_overlap(self, a: int, b: int) -> int:
         return -(-self.num * (a + b) // (self.num + self.den))
 
-    def shared(self, n: int) -> int:
-        """How many indexed shingles a set of n and any partner of at least its size share."""
-        return 1 + n // PER_SHARED
-
-    def prefix(self, n: int) -> int:
-        """How many shingles of a set of n are indexed, so that a partner has `shared` of them too."""
-        return min(n - -(-self.num * n // self.den) + self.shared(n), n)
-
     def partner_classes(self, n: int) -> list[tuple[int, int]]:
         """Size pairs (a, b), a <= b, that a set of n can be one side of."""
         low, high = -(-self.num * n // self.den), n * self.den // self.num
@@ -56,6 +48,34 @@ class JaccardOptions:
     def subsets(self, n: int) -> int:
         return sum(math.comb(n, self.least_overlap(*pair)) for pair in self.partner_classes(n))
 
+    @staticmethod
+    def class_edges(n: int) -> list[int]:
+        """Smallest sizes of the classes, up to the one that n is in and the next."""
+        edges = [1]
+        while edges[-1] <= n:
+            edges.append(max(edges[-1] + 1, edges[-1] * CLASS_NUM // CLASS_DEN))
+        return edges
+
+    def most_apart(self, edge: int) -> int:
+        """Most shingles that are in one of two linked sets only, the smaller below size `edge`."""
+        both = edge - 1 + (edge - 1) * self.den // self.num
+        return (self.den - self.num) * both // (self.num + self.den)
+
+    def groups(self, edge: int) -> int:
+        """Groups that shingles are dealt into, for pairs whose smaller set is below `edge`: more than can differ."""
+        apart = self.most_apart(edge)
+        return apart + 5 + apart // 8
+
+    def schemes(self, n: int) -> list[int]:
+        """Edges of the classes that the smaller set of a pair with a set of n can be in."""
+        low = max(-(-self.num * n // self.den), 1)
+        edges = self.class_edges(n)
+        return [high for e, high in zip(edges, edges[1:], strict=False) if high > low and e <= n]
+
+    def entries(self, n: int) -> int:
+        """List entries of a set of n."""
+        return sum(self.groups(edge) for edge in self.schemes(n))
+
 
 def set_key(shingles: np.ndarray) -> int:
     """64-bit digest of a set, as a signed integer; equal sets have equal digests."""
@@ -72,77 +92,95 @@ def parity_bits(shingles: np.ndarray) -> np.ndarray:
 
 
 def set_rows(docs: DataFrame, options: JaccardOptions) -> DataFrame:
-    """One row per document (doc_id, n, key), and rows (shingle, times) of shingles repeated within a task."""
+    """One row per document: doc_id, n, key, the whole set if it is small, parities b0..b7 (0 without shingles)."""
+    bits = [f"b{k}" for k in range(WORDS_OF_BITS)]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        waiting = 0
-
-        def repeated() -> pa.RecordBatch:
-            values = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
-            heads = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, int)
-            times = np.diff(np.r_[heads, len(values)])
-            keep = times >= REPEATS
-            n = int(keep.sum())
-            return pa.RecordBatch.from_arrays(
-                [pa.nulls(n, key_type), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()),
-                 pa.array(values[heads[keep]].view(np.int64)), pa.array(times[keep].astype(np.int64))],
-                ["doc_id", "n", "key", "shingle", "times"],
-            )
-
-        key_type = pa.int64()
         for batch in batches:
-            key_type = batch.schema.field("doc_id").type
             for part in slices(batch, "text"):
                 sets = shingle_sets(split_words(part.column("text")), options.width)
+                parities = np.stack([parity_bits(s) for s in sets])
+                small = [s if len(s) <= MOST_SMALL else s[:0] for s in sets]
+                flat = np.concatenate([*small, np.zeros(0, np.uint64)]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()),
                      pa.array([set_key(s) for s in sets], pa.int64()),
-                     pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.int64())],
-                    ["doc_id", "n", "key", "shingle", "times"],
+                     list_array(flat, [len(s) for s in small], pa.int64()),
+                     *[pa.array(parities[:, k]) for k in range(WORDS_OF_BITS)]],
+                    ["doc_id", "n", "key", "small", *bits],
                 )
-                held.extend(sets)
-                waiting += sum(map(len, sets))
-                if waiting >= COUNTED_TOGETHER:
-                    yield repeated()
-                    held, waiting = [], 0
-        yield repeated()
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(read, f"doc_id {key}, n int, key bigint, shingle bigint, times bigint")
+    parity = ", ".join(f"{b} bigint" for b in bits)
+    return docs.mapInArrow(read, f"doc_id {key}, n int, key bigint, small array<bigint>, {parity}")
 
 
-def signatures(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], options: JaccardOptions) -> DataFrame:
-    """(key, n, prefix, small, b0..b7) of each non-empty set: indexed shingles rare ones first, the whole set if small."""
-    shared = docs.sparkSession.sparkContext.broadcast(heavy)
-    bits = [f"b{k}" for k in range(WORDS_OF_BITS)]
+def group_tokens(sets: list[np.ndarray], options: JaccardOptions) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of the groups that sets are entered under in lists, and the set each is of.
+
+    For a class of sizes, shingles are dealt by hash into more groups than the number of shingles in which two
+    linked sets can differ, so at least one group is the same in both; a set is entered for each class that the
+    smaller set of a pair with it can be in. A token is the sum of the hashes of a group's shingles, together with
+    the class and the group. Of linked sets `spare` groups or more agree. A set with fewer than `spare` groups of less
+    than LIGHT (else 2, else 1) shingles leaves these out: one that agrees remains. Otherwise empty groups are
+    entered as well. Agreeing groups are equally large, so two sets of different bounds still meet.
+    """
+    which = [(k, edge) for k, s in enumerate(sets) for edge in options.schemes(len(s))]
+    owner = np.array([k for k, _ in which], np.int64)
+    edges = np.array([e for _, e in which], np.int64)
+    many = np.array([options.groups(e) for _, e in which], np.int64)
+    spare = many - np.array([options.most_apart(e) for _, e in which], np.int64)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    ends = np.cumsum(sizes)
+    flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    n = sizes[owner]
+    inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    shingle = flat[np.repeat(ends[owner] - n, n) + inner]
+    base = np.cumsum(many) - many
+    at = (mix(shingle ^ np.uint64(0x3C6EF372FE94F82B)) % np.repeat(many, n).astype(np.uint64)).astype(np.int64) + np.repeat(base, n)
+    total = np.zeros(int(many.sum()), np.uint64)
+    np.add.at(total, at, mix(shingle))
+    count = np.bincount(at, minlength=len(total))
+    pair = np.repeat(np.arange(len(which)), many)
+    least = np.zeros(len(which), np.int64)
+    for bound in range(1, LIGHT + 1):
+        lighter = np.bincount(pair[count < bound], minlength=len(which))
+        least[(lighter < spare) & (least == bound - 1)] = bound
+    group = np.arange(len(total)) - base[pair]
+    tokens = mix(total + mix(edges[pair].astype(np.uint64) * np.uint64(1 << 32) + group.astype(np.uint64)))
+    entered = count >= least[pair]
+    return tokens[entered].view(np.int64), owner[pair[entered]]
+
+
+def list_entries(docs: DataFrame, options: JaccardOptions, smallest: int) -> DataFrame:
+    """(token, key, n) of all sets of `smallest` shingles or more; a task enters equal sets once."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, weight = shared.value
+        seen: set[int] = set()
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = [s for s in shingle_sets(split_words(part.column("text")), options.width) if len(s)]
-                prefixes, parities = [], np.zeros((len(sets), WORDS_OF_BITS), np.int64)
-                for row, s in enumerate(sets):
-                    rank = np.zeros(len(s), np.int64)
-                    if len(common):
-                        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                        rank = np.where(common[at] == s, weight[at], 0)
-                    p = options.prefix(len(s))
-                    prefixes.append(s[np.argsort(rank, kind="stable")[:p]])
-                    parities[row] = parity_bits(s)
-                small = [s if len(s) <= MOST_SMALL else s[:0] for s in sets]
-                flat = lambda rows: np.concatenate([*rows, np.zeros(0, np.uint64)]).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
-                     list_array(flat(prefixes), [len(p) for p in prefixes], pa.int64()),
-                     list_array(flat(small), [len(s) for s in small], pa.int64()),
-                     *[pa.array(parities[:, k]) for k in range(WORDS_OF_BITS)]],
-                    ["key", "n", "prefix", "small", *bits],
-                )
-
-    parity = ", ".join(f"{b} bigint" for b in bits)
-    return docs.mapInArrow(read, f"key bigint, n int, prefix array<bigint>, small array<bigint>, {parity}")
+                sets, keys = [], []
+                for found in shingle_sets(split_words(part.column("text")), options.width):
+                    key = set_key(found) if len(found) >= smallest else None
+                    if key is not None and key not in seen:
+                        seen.add(key)
+                        sets.append(found)
+                        keys.append(key)
+                if len(seen) > REMEMBERED:
+                    seen = set()
+                at = 0
+                while at < len(sets):
+                    stop, held = at, 0
+                    while stop < len(sets) and (stop == at or held + len(sets[stop]) <= TOGETHER):
+                        held += len(sets[stop])
+                        stop += 1
+                    tokens, owner = group_tokens(sets[at:stop], options)
+                    names = np.array(keys[at:stop], np.int64)[owner]
+                    sizes = np.array([len(s) for s in sets[at:stop]], np.int32)[owner]
+                    yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(names), pa.array(sizes)], ["token", "key", "n"])
+                    at = stop
+
+    return docs.select("text").mapInArrow(read, "token bigint, key bigint, n int")
 
 
 def subset_tokens(small: DataFrame, options: JaccardOptions) -> DataFrame:
@@ -171,42 +209,28 @@ def subset_tokens(small: DataFrame, options: JaccardOptions) -> DataFrame:
     return small.select("key", "small").mapInArrow(read, "token bigint, key bigint, n int")
 
 
-def choose_boundary(sigs: DataFrame, elements: DataFrame, lists: DataFrame, options: JaccardOptions) -> int:
-    """Largest size that goes to the subset side, so that subsets made plus list entries visited are fewest.
+def choose_boundary(sigs: DataFrame, options: JaccardOptions) -> int:
+    """Largest size that goes to the subset side, so that subsets and list entries made are fewest.
 
-    Both costs are summed per size over all sets (at most MOST_SMALL rows come to the driver). `lists`
-    has the lengths of the lists with more than one entry.
+    Sets are counted per size (at most MOST_SMALL rows come to the driver).
     """
-    few = elements.where(F.col("n") <= MOST_SMALL).join(lists, "token", "left")
-    visits = few.groupBy("n").agg(F.sum(F.coalesce("length", F.lit(1))).alias("visits"))
     sizes = sigs.where(F.col("n") <= MOST_SMALL).groupBy("n").agg(F.count("*").alias("sets"))
-    table = {r["n"]: (r["sets"], r["visits"] or 0) for r in sizes.join(visits, "n", "left").collect()}
-    costs = [sum(visits for _, visits in table.values())]
+    table = {r["n"]: r["sets"] for r in sizes.collect()}
+    costs = [sum(sets * options.entries(n) for n, sets in table.items())]
     for n in range(1, MOST_SMALL + 1):
-        sets, visits = table.get(n, (0, 0))
-        costs.append(costs[-1] - visits + sets * options.subsets(n))
+        costs.append(costs[-1] + table.get(n, 0) * (options.subsets(n) - options.entries(n)))
     return int(np.argmin(costs))
 
 
-def shared_lists(postings: DataFrame) -> DataFrame:
-    """(token, length, pivot) of the lists with more than one entry; the pivot is one of the entries."""
-    return postings.groupBy("token").agg(F.count("*").alias("length"), F.min("key").alias("pivot")).where("length > 1")
-
-
-def bits_apart(suffix: str, words: int) -> Column:
-    return sum(F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"b{k}{suffix}"))) for k in range(words))
-
+def shared_entries(entries: DataFrame) -> DataFrame:
+    """The entries (token, key, n) of lists of several keys, with the list's smallest key as `pivot`; one exchange."""
+    of_list = W.partitionBy("token")
+    marked = entries.withColumn("pivot", F.min("key").over(of_list)).withColumn("_most", F.max("key").over(of_list))
+    return marked.where("pivot <> _most").drop("_most")
 
-def folded(sigs: DataFrame) -> DataFrame:
-    """(key, b0, b1): parities of 128 buckets, each the union of four."""
 
-    def fold(k: int) -> Column:
-        out = F.col(f"b{k}")
-        for other in range(k + SHORT_WORDS, WORDS_OF_BITS, SHORT_WORDS):
-            out = out.bitwiseXOR(F.col(f"b{other}"))
-        return out.alias(f"b{k}")
-
-    return sigs.select("key", *[fold(k) for k in range(SHORT_WORDS)])
+def bits_apart(suffix: str) -> Column:
+    return sum(F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"b{k}{suffix}"))) for k in range(WORDS_OF_BITS))
 
 
 def plausible(pairs: DataFrame, sigs: DataFrame, options: JaccardOptions) -> DataFrame:
@@ -214,24 +238,15 @@ def plausible(pairs: DataFrame, sigs: DataFrame, options: JaccardOptions) -> Dat
     columns = ["n", *[f"b{k}" for k in range(WORDS_OF_BITS)]]
     one = sigs.select(F.col("key").alias("a"), *columns)
     two = sigs.select(F.col("key").alias("b"), *[F.col(c).alias(f"{c}_p") for c in columns])
-    return pairs.join(one, "a").join(two, "b").where(may_link(options, "_p", WORDS_OF_BITS)).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").where(may_link(options, "_p")).select("a", "b")
 
 
-def may_link(options: JaccardOptions, other: str, words: int) -> Column:
+def may_link(options: JaccardOptions, other: str) -> Column:
     """Sizes are close enough and the parities differ in no more bits than linked sets can."""
     n, m = F.col("n"), F.col(f"n{other}")
     need = F.expr(f"({options.num} * (n + n{other}) + {options.num + options.den - 1}) div {options.num + options.den}")
     sizes = options.den * F.least(n, m) >= options.num * F.greatest(n, m)
-    return sizes & (bits_apart(other, words) <= n + m - 2 * need)
-
-
-def sharing_enough(found: DataFrame) -> DataFrame:
-    """The pairs (a, b) among (a, b, n), one row per list they meet in, that meet in as many lists as linked sets do.
-
-    n is the size of either set, of the smaller one where all lists of the pair are there.
-    """
-    met = found.groupBy("a", "b").agg(F.count("*").alias("_lists"), F.min("n").alias("n"))
-    return met.where(F.expr(f"_lists >= 1 + n div {PER_SHARED}")).select("a", "b")
+    return sizes & (bits_apart(other) <= n + m - 2 * need)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, members: DataFrame, options: JaccardOptions) -> DataFrame:
@@ -254,63 +269,45 @@ def jaccard_groups(docs: DataFrame, options: JaccardOptions = JaccardOptions())
     component with another id in it). An empty table gives an empty result.
 
     Equal sets are one class, found by digest (64 bits), so copies are never paired. Classes up to a
-    size chosen by cost meet by subsets of the size that a partner must share, larger ones by the
-    lists of their rarest shingles. A list of many classes is not expanded into pairs: each class is
-    first compared with one class of the list; only classes of a list that are then still in different
-    components are compared with each other, if they meet in as many lists as linked sets must and their
-    parities allow a link. All candidates are confirmed on the whole sets, so the order of shingles and
-    the parities cost no link.
+    size chosen by cost meet by subsets of the size that a partner must share, larger ones in inverted
+    lists, which are kept by groups of shingles (see group_tokens): a passage that many documents share
+    does not make them meet, as it would in lists of single shingles. A list of many classes is not expanded into
+    pairs: each class is first compared with one class of the list; only classes of a list that are then still in
+    different components are compared with each other, if their sizes and parities allow a link. All candidates
+    are confirmed on the whole sets, so parities cost no link.
     """
-    spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
     rows = freeze(set_rows(texts, options), "sets")
-    heavy = (
-        rows.where("shingle IS NOT NULL")
-        .groupBy("shingle")
-        .agg(F.sum("times").alias("times"))
-        .orderBy(F.desc("times"), "shingle")
-        .limit(MOST_HEAVY)
-        .toArrow()
-    )
-    common = heavy["shingle"].to_numpy().astype(np.int64).view(np.uint64)
-    weight = np.floor(np.log2(np.maximum(heavy["times"].to_numpy().astype(float), 1))).astype(np.int64)
-    order = np.argsort(common)
-    members = rows.where("n IS NOT NULL").select("doc_id", "n", "key")
-
-    sigs = freeze(
-        signatures(texts, (common[order], weight[order]), options).dropDuplicates(["key"]), "signatures"
-    )
-    elements = sigs.select("key", "n", F.explode("prefix").alias("token"))
-    lists = freeze(shared_lists(elements), "lists")
-    boundary = choose_boundary(sigs, elements, lists, options)
+    members = rows.select("doc_id", "n", "key")
+    sigs = freeze(rows.where("n > 0").drop("doc_id").dropDuplicates(["key"]), "signatures")
+    boundary = choose_boundary(sigs, options)
     reach = -(-options.num * (boundary + 1) // options.den)
     subsets = subset_tokens(sigs.where(F.col("n") <= boundary), options)
-    entries = elements.where(F.col("n") >= reach).select("token", "key", "n").join(lists.select("token", "pivot"), "token")
-    live = freeze(entries.unionByName(subsets.join(shared_lists(subsets).select("token", "pivot"), "token")), "entries")
+    live = freeze(shared_entries(list_entries(texts, options, reach).unionByName(subsets)), "entries")
 
-    met = live.where("key <> pivot").select(F.greatest("key", "pivot").alias("a"), F.least("key", "pivot").alias("b"), "n")
-    first = freeze(plausible(sharing_enough(met), sigs, options), "pairs")
+    met = live.where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct()
+    first = freeze(plausible(met, sigs, options), "pairs")
     groups = freeze(connected_components(confirmed(first, texts, members, options)), "groups")
 
-    placed = live.drop("pivot").join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn(
+    placed = live.select("token", "key").distinct().join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn(
         "component", F.coalesce("component", "key")
     )
+    of_list = W.partitionBy("token")
     mixed = (
-        placed.groupBy("token")
-        .agg(F.min("component").alias("_least"), F.max("component").alias("_most"))
+        placed.withColumn("_least", F.min("component").over(of_list))
+        .withColumn("_most", F.max("component").over(of_list))
         .where("_least <> _most")
-        .select("token")
+        .select("token", "key", "component")
     )
-    open_lists = freeze(placed.join(mixed, "token"), "open").join(folded(sigs), "key")
+    open_lists = freeze(mixed, "open").join(sigs.drop("small"), "key")
     other = open_lists.select("token", *[F.col(c).alias(f"{c}_p") for c in open_lists.columns if c != "token"])
     apart = (F.col("key") > F.col("key_p")) & (F.col("component") != F.col("component_p"))
     second = (
-        open_lists.join(other, (open_lists["token"] == other["token"]) & apart & may_link(options, "_p", SHORT_WORDS))
-        .select(F.col("key").alias("a"), F.col("key_p").alias("b"), F.least("n", "n_p").alias("n"))
-        .transform(sharing_enough)
+        open_lists.join(other, (open_lists["token"] == other["token"]) & apart & may_link(options, "_p"))
+        .select(F.col("key").alias("a"), F.col("key_p").alias("b"))
+        .distinct()
         .join(first, ["a", "b"], "left_anti")
     )
-    second = plausible(second, sigs, options)
     more = confirmed(freeze(second, "pairs"), texts, members, options)
     merged = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 

@@ -2,9 +2,10 @@ import math
 import os
 import random
 
+import numpy as np
 import pytest
 
-from panelfx.llm.jaccard_join import JaccardOptions, jaccard_groups, keep_one
+from panelfx.llm.jaccard_join import JaccardOptions, group_tokens, jaccard_groups, keep_one
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -95,8 +96,9 @@ def test_size_classes_leave_no_pair_out():
                 need = options.least_overlap(a, b)
                 assert options.den * need >= options.num * (a + b - need)
                 assert options.den * (need - 1) < options.num * (a + b - need + 1)
-                # two sets with that overlap share enough of their indexed shingles in any order
-                assert options.prefix(a) >= min(a - need + options.shared(a), a)
+                # the smaller set's class is one that both are entered for, with more groups than can differ
+                (edge,) = [e for e in options.schemes(a) if e > a]
+                assert edge in options.schemes(b) and a + b - 2 * need <= options.most_apart(edge) < options.groups(edge)
     assert options.subsets(20) == 190 + 20 + 20 + 1 + 1 and math.comb(20, 18) == 190
 
 
@@ -114,3 +116,39 @@ def test_documents_of_the_small_tables(spark):
     options = JaccardOptions(90, 100, 3)
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_groups(docs, options).collect()), key=repr)
     assert got == brute(rows, options)
+
+
+@pytest.mark.parametrize("options", [JaccardOptions(90, 100, 3), JaccardOptions(80, 100, 5), JaccardOptions(1, 2, 2)])
+def test_linked_sets_share_a_list(options):
+    """Sets of all sizes at the threshold, differing wherever they can, meet; sets that share a passage don't."""
+    rng = np.random.default_rng(options.num)
+    draw = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    pairs = []
+    for a in [*range(1, 60), 75, 120, 333, 1000, 4000]:
+        for b in {a, a * options.den // options.num, (a + a * options.den // options.num) // 2}:
+            need = options.least_overlap(a, b)
+            common = draw(need)
+            for _ in range(6):
+                pairs.append((np.unique(np.r_[common, draw(a - need)]), np.unique(np.r_[common, draw(b - need)])))
+    tokens, owner = group_tokens([s for pair in pairs for s in pair], options)
+    of = [set() for _ in range(2 * len(pairs))]
+    for token, k in zip(tokens.tolist(), owner.tolist(), strict=True):
+        of[k].add(token)
+    assert all(of[2 * k] & of[2 * k + 1] for k in range(len(pairs)))
+    if options.num >= 80:
+        passage = draw(60)
+        others = [np.unique(np.r_[passage, draw(400)]) for _ in range(300)]
+        tokens, owner = group_tokens(others, options)
+        _, times = np.unique(tokens, return_counts=True)
+        assert (times > 1).sum() < len(times) / 500
+
+
+def test_lists_of_a_common_passage_stay_closed(spark):
+    """2,000 documents around one passage, a few of them with versions: no pairs are made but those of versions."""
+    rng = random.Random(8)
+    passage = [f"p{k}" for k in range(50)]
+    texts = [passage + [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(80, 200))] for _ in range(2000)]
+    texts += [t[:60] + ["changed"] + t[60:] for t in texts[:20]]
+    options = JaccardOptions(90, 100, 3)
+    rows = {r.doc_id: r.component_id for r in jaccard_groups(table(spark, list(enumerate(map(" ".join, texts)))), options).collect()}
+    assert rows == {k: k if k < 2000 else k - 2000 for k in range(2020)}
