@@ -395,12 +395,19 @@ def near_groups(
         labelled = labelled_points(points, groups)
         sample = audit_sample(labelled, audited, options, search)
         reached, missed = audit(labelled, sample, options)
-        if reached >= options.recall:
+        known = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        if missed.isEmpty():
+            if reached >= options.recall:
+                break
+        else:
+            # links that the audit found are links, whatever the recall is
+            known = freeze(known.unionByName(missed), "known")
+        if options.searches is not None and search + 1 >= options.searches:
+            if reached < options.recall:
+                raise RuntimeError(f"{search + 1} searches found {reached:.4f} of the audited links, less than {options.recall}")
+            groups = freeze(connected_components(known), "groups")
             break
-        if search + 1 == options.searches:
-            raise RuntimeError(f"{search + 1} searches found {reached:.4f} of the audited links, less than {options.recall}")
         # lists are cut again in the next search, what they joined stays
-        known = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(missed)
         audited = audited.unionByName(sample.select("key"))
     counts = freeze(counted_links(groups, points, options), "counts")
     named = rows.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn(

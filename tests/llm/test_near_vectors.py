@@ -114,3 +114,28 @@ def test_audit_sees_small_groups_beside_a_large_one(spark, monkeypatch):
     assert found(spark, rows, options) == brute(rows)
     with pytest.raises(RuntimeError, match="searches found"):
         found(spark, rows, DescentOptions(trees=1, rounds=0, searches=1))
+
+
+@pytest.mark.parametrize("searches", [1, None])
+def test_links_that_the_audit_finds_are_kept(spark, monkeypatch, searches):
+    """The audit reports one link between two groups and a recall that is high enough."""
+    import panelfx.llm.near_vectors as nv
+
+    rng = np.random.default_rng(11)
+    axes = np.eye(16)[:3]
+    rows = [(k, as_float32(near(rng, axes[k % 3], 0.999).tolist())) for k in range(90)]
+    real, calls = nv.audit, []
+
+    def audit(labelled, sample, options):
+        reached, missed = real(labelled, sample, options)
+        calls.append(reached)
+        if len(calls) > 1:
+            return reached, missed
+        labels = sorted(r.label for r in labelled.select("label").distinct().collect())
+        assert len(labels) == 3
+        return 0.9995, spark.createDataFrame([(labels[0], labels[1])], "a bigint, b bigint")
+
+    monkeypatch.setattr(nv, "audit", audit)
+    got = found(spark, rows, DescentOptions(searches=searches))
+    assert len({c for _, _, c, _ in got}) == 2
+    assert len(calls) == (1 if searches else 2)
