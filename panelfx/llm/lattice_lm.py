@@ -26,13 +26,12 @@ CELLS = 1 << 20
 class LatticeOptions:
     """`rounds` fits the piece scores to the training words, `head` is how many of the most frequent words
     are broadcast with their counts (8 + 8 bytes each; the rest meet their counts in a join), `floor`
-    the pseudo-count of every piece, `longest` the longest piece in bytes.
+    the pseudo-count of every piece.
     """
 
     rounds: int = 2
     head: int = 262_144
     floor: float = 0.1
-    longest: int = 16
 
 
 class Pieces:
@@ -281,17 +280,16 @@ def lattice_scores(train: DataFrame, docs: DataFrame, pieces: list[bytes], optio
     ones too. Without training texts all counts are 0 and the pieces' order decides.
     """
     spark = docs.sparkSession
-    usable = [p for p in pieces if len(p) <= options.longest]
     counts = freeze(count_words(train), "words")
     ends = train.count()
     totals = counts.agg(F.count("*"), F.sum("c")).first()
     different, tokens = totals[0] + (ends > 0), (totals[1] or 0) + ends
-    scores = fit_pieces(counts, usable, options)
+    scores = fit_pieces(counts, pieces, options)
     head = counts.groupBy("key").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "key").limit(options.head).toArrow()
     order = np.argsort(head["key"].to_numpy().astype(np.int64).view(np.uint64))
     known_keys = head["key"].to_numpy().astype(np.int64).view(np.uint64)[order]
     known_counts = head["c"].to_numpy().astype(np.int64)[order]
-    shared = spark.sparkContext.broadcast((usable, scores, known_keys, known_counts))
+    shared = spark.sparkContext.broadcast((pieces, scores, known_keys, known_counts))
     divisor = math.log10(tokens + 0.5 * (different + 1))
     end_share = (ends + 0.5) / (tokens + 1.0)
     word_share = math.log(1.0 - end_share) if end_share < 1 else 0.0
@@ -325,7 +323,7 @@ def lattice_scores(train: DataFrame, docs: DataFrame, pieces: list[bytes], optio
                 total = np.bincount(owner, marginal[place] + word_share, minlength=n) + math.log(end_share)
                 ids = part.column("doc_id")
                 texts = part.column("text").to_pylist()
-                rows = [xxhash.xxh64_intdigest(f"{i}\n{t}") for i, t in zip(ids.to_pylist(), texts, strict=True)]
+                rows = [xxhash.xxh64_intdigest(f"{i!r}\n{t or ''}") for i, t in zip(ids.to_pylist(), texts, strict=True)]
                 row_keys = np.array(rows, np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row_keys), ids, pa.array(words.counts + 1), pa.array(known.astype(np.int64)), pa.array(base),

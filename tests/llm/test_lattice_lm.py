@@ -76,3 +76,36 @@ def test_training_makes_seen_words_likelier(spark):
     other = spark.createDataFrame([(1, "the thane and an anthem"), (2, "zzq qqz xxw vv kqjkqj")], "doc_id bigint, text string")
     score = {r.doc_id: r.score for r in lattice_scores(docs, other, BYTES).collect()}
     assert score[1] > score[2]
+
+
+def test_long_pieces_take_part_in_all_segmentations(spark):
+    """Rulers and other pieces of a hundred bytes, against every segmentation by recursion."""
+    long = [b" " + b"=" * 99, b"=" * 64, b"=" * 17, b"-" * 100, b" " + b"x" * 40]
+    pieces = BYTES + [b"==", b"====", *long]
+    share = np.log(np.arange(1, len(pieces) + 1) / sum(range(1, len(pieces) + 1)))
+    score = dict(zip(pieces, share, strict=True))
+
+    def marginal(word):
+        total = [0.0] + [-math.inf] * len(word)
+        for end in range(1, len(word) + 1):
+            ways = [total[end - n] + score[word[end - n : end]] for n in range(1, end + 1) if word[end - n : end] in score]
+            total[end] = max(ways) + math.log(sum(math.exp(w - max(ways)) for w in ways))
+        return total[-1]
+
+    words = [b"=" * n for n in (16, 17, 56, 99, 200)] + [b"-" * 100, b"x" * 40, b"x" * 41]
+    found = word_log_probabilities(Pieces(pieces, share), words)
+    assert found == pytest.approx([marginal(b" " + w) for w in words])
+    docs = spark.createDataFrame([(1, "=" * 56), (2, "-" * 100), (3, "")], "doc_id bigint, text string")
+    few = {r.doc_id: r.score for r in lattice_scores(docs.limit(0), docs, pieces, LatticeOptions(rounds=0)).collect()}
+    plain = {r.doc_id: r.score for r in lattice_scores(docs.limit(0), docs, pieces[:-5], LatticeOptions(rounds=0)).collect()}
+    # more segmentations by long pieces outweigh the smaller shares of the others
+    assert few[1] > plain[1] + 1 and few[2] > plain[2] + 100
+
+
+def test_a_null_text_is_no_text_named_none(spark):
+    rows = [(5, None), (5, "None"), (5, "None"), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r.n_tokens, r.n_known, round(r.base_score, 9)) for r in lattice_scores(docs, docs, BYTES, LatticeOptions(head=0)).collect())
+    # four ends and two words in training
+    base = lambda counts: sum(math.log10((c + 0.5) / (6 + 0.5 * 3)) for c in counts)
+    assert got == [(1, 1, round(base([4]), 9))] * 2 + [(2, 2, round(base([4, 2]), 9))] * 2
