@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from panelfx.llm.texts import unused
 from panelfx.operators.ordering import running_total
 from panelfx.session import freeze
 
@@ -20,20 +21,26 @@ SALTS = 64
 class MixOptions:
     """Target of the mixture and how it is realised.
 
-    The exponent is the largest in [0, 1] at which the weights' entropy is at least `entropy` times
-    that of equal weights; with `entropy` None, the smallest at which no source is repeated more than
-    `repeats` times. If both are given the entropy decides, but never beyond the repetition limit.
-    `budget` is the number of tokens of the mixture (None: as many as the input has), block_tokens
-    the size of a block, about.
+    The exponent is the one at which the weights' entropy meets a target: `entropy` times that of equal weights, or,
+    where that is None, the part `toward` of the way from the sources' own entropy to that of equal
+    weights. Targets below the sources' own entropy take an exponent above 1. No source is repeated more than
+    `repeats` times (None: no limit): the exponent is raised until that holds; with both targets None it
+    is the smallest at which it does. `budget` is the number of tokens of the mixture (None: as many
+    as the input has), block_tokens the size of a block, about.
     """
 
-    entropy: float | None = 0.95
+    entropy: float | None = None
+    toward: float | None = 0.5
     repeats: float | None = 4.0
     budget: int | None = None
     block_tokens: int = 65_536
     seed: int = 0
 
 
+# Beyond this exponent the largest source has all the weight there is.
+SHARPEST = 64.0
+
+
 def tempered(shares: list[float], exponent: float) -> list[float]:
     """Shares raised to the exponent and normalised; empty sources stay empty."""
     raised = [p**exponent if p > 0 else 0.0 for p in shares]
@@ -58,28 +65,33 @@ def largest_passing(passes, low: float = 0.0, high: float = 1.0, steps: int = 60
 def choose_exponent(tokens: list[int], options: MixOptions) -> float:
     """Exponent of the temperature for sources of so many tokens.
 
-    Entropy falls and the smallest source's repetition falls as the exponent grows. Without tokens, or
-    with a single source, it is 1.
+    Entropy falls and the smallest source's repetition falls as the exponent grows. Without tokens, with a
+    single source or with equal ones, it is 1.
     """
     total = sum(tokens)
     full = [t for t in tokens if t > 0]
-    if len(full) < 2:
+    if len(set(full)) < 2:
         return 1.0
     shares = [t / total for t in full]
     budget = total if options.budget is None else options.budget
-    most = math.log(len(full))
-    mixed = 1.0
+    most, own = math.log(len(full)), entropy(shares)
+    target = None
     if options.entropy is not None:
-        mixed = largest_passing(lambda e: entropy(tempered(shares, e)) >= options.entropy * most)
-    elif options.repeats is not None:
-        mixed = 0.0
+        target = options.entropy * most
+    elif options.toward is not None:
+        target = own + options.toward * (most - own)
+    mixed = 0.0
+    if target is not None:
+        low, high = (0.0, 1.0) if target >= own else (1.0, SHARPEST)
+        mixed = largest_passing(lambda e: entropy(tempered(shares, e)) >= target, low, high)
     if options.repeats is not None:
 
         def within(e: float) -> bool:
             return all(w * budget <= options.repeats * t for w, t in zip(tempered(shares, e), full, strict=True))
 
         if not within(mixed):
-            mixed = 1.0 - largest_passing(lambda d: within(1.0 - d), 0.0, 1.0 - mixed)
+            top = max(1.0, mixed)
+            mixed = top - largest_passing(lambda d: within(top - d), 0.0, top - mixed)
     return mixed
 
 
@@ -166,23 +178,23 @@ def mix(docs: DataFrame, options: MixOptions = MixOptions()) -> DataFrame:
     Plans meet documents by hashes of id and text, so planning does not shuffle texts. Rows equal in id,
     text and source count as one with all their copies.
     """
-    key = F.xxhash64(F.lit(options.seed), F.xxhash64("doc_id", "text"))
+    names = docs.columns
+    order, copy = unused("order_key", names), unused("copy", names)
     plan = planned_copies(docs, options).groupBy("_order", F.col("source").alias("_named")).agg(
         F.sum("copies").alias("_copies"), F.count("*").alias("_rows")
     )
-    plan = freeze(plan, "plan")
-    odd = freeze(plan.where("_rows > 1 AND _copies > 0"), "odd")
-    names = docs.columns
-    keyed = docs.withColumn("_order", key)
-    same = keyed["source"].eqNullSafe(plan["_named"]) & (keyed["_order"] == plan["_order"])
-    single = keyed.join(plan.where("_rows = 1 AND _copies > 0"), same).select(
-        *[keyed[c] for c in names], F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")
-    )
+    plan = freeze(plan, "plan").select(*[F.col(c).alias(unused(c, names)) for c in ("_order", "_named", "_copies", "_rows")])
+    key, named, copies, many = plan.columns
+    odd = freeze(plan.where((F.col(many) > 1) & (F.col(copies) > 0)), "odd")
+    keyed = docs.withColumn(order, F.xxhash64(F.lit(options.seed), F.xxhash64("doc_id", "text")))
+
+    def repeated(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*names)
+
+    def meeting(side: DataFrame) -> DataFrame:
+        return keyed.join(side, F.col("source").eqNullSafe(F.col(named)) & (F.col(order) == F.col(key)))
+
+    single = repeated(meeting(plan.where((F.col(many) == 1) & (F.col(copies) > 0))))
     if odd.isEmpty():
-        return single.select(*names)
-    same = keyed["source"].eqNullSafe(odd["_named"]) & (keyed["_order"] == odd["_order"])
-    first = keyed.join(odd, same).select(*[keyed[c] for c in names], keyed["_order"], "_copies", "_rows")
-    several = first.dropDuplicates(["_order", "source"]).select(
-        *names, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")
-    )
-    return single.unionByName(several).select(*names)
+        return single
+    return single.unionByName(repeated(meeting(odd).dropDuplicates([order, "source"])))

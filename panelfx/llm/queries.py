@@ -71,7 +71,7 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each document occurs in a mixture of as many tokens at 0.95 of the largest entropy."""
+    """How often each document occurs in a mixture of as many tokens, its entropy half way to that of equal weights."""
     plan = planned_copies(table(spark, sf_dir, "documents"), MixOptions())
     return plan.select("doc_id", "source", "n_tokens", "source_tokens", "weight", "budget", "copies")
 

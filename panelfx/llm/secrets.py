@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelfx.llm.texts import unused
 from panelfx.session import freeze
 
 # The three base patterns. Matches are leftmost and do not overlap within a kind.
@@ -339,13 +340,6 @@ def _without(text: Column, spans: Column, mark: str) -> Column:
     return let(state, replaced)
 
 
-def unused(stem: str, names: list[str]) -> str:
-    """A column name that is not among `names`."""
-    while stem.lower() in {n.lower() for n in names}:
-        stem += "_"
-    return stem
-
-
 def redact(docs: DataFrame, mark: str = "[secret]", options: MarkovOptions = MarkovOptions()) -> DataFrame:
     """`docs` with every span of its text replaced by `mark`, overlapping ones by one.
 
