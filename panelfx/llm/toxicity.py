@@ -87,11 +87,12 @@ def sample_key(doc_id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, options: FtrlOptions) -> DataFrame:
-    """At most max_train_docs labelled documents (text, label), chosen by a hash of the id.
+    """At most max_train_docs labelled documents (text, label), chosen by a hash of the id, then of the text.
 
     Labels are reduced to one row per id (a repeated id with differing labels counts as positive) and
-    to the bound before they meet the documents, so the broadcast side is at most that many ids.
-    Null ids and null labels are left out; a repeated document is used as often as it occurs.
+    to the bound before they meet the documents, so the broadcast side is at most that many ids. An id may
+    occur in many rows: different texts of it are different documents, equal ones count once, and the
+    bound holds for these. Null ids and null labels are left out; a null text is empty.
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
@@ -100,8 +101,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, options: Ftr
         .orderBy(sample_key(F.col("doc_id")), "doc_id")
         .limit(options.max_train_docs)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
-        "text", "_label", sample_key(F.col("doc_id")).alias("_key")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keyed = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("_text"))
+    named = keyed.select("doc_id", "_text").join(F.broadcast(chosen), "doc_id").distinct()
+    order = sample_key(F.col("doc_id"))
+    few = freeze(named.orderBy(order, "doc_id", "_text").limit(options.max_train_docs), "chosen")
+    return (
+        keyed.join(F.broadcast(few), ["doc_id", "_text"])
+        .dropDuplicates(["doc_id", "_text"])
+        .select("text", "_label", order.alias("_key"))
     )
 
 
@@ -110,42 +118,54 @@ def train(sample: DataFrame, options: FtrlOptions) -> SparseWeights:
 
     FTRL is sequential: averaging models trained on parts shrinks them below the L1 threshold. So the
     sample is written once and every round streams through it in one task, batch by batch, in a
-    hashed order of its own. Between rounds the state (2**bits coordinates at most, those that
-    moved) passes through the driver. Without documents the score is 0.5 everywhere.
+    hashed order of its own. The state, the coordinates that moved (2**bits at most), is written down after a
+    round and comes first in the next one's stream; only non-zero weights reach the driver. Without
+    documents the score is 0.5 everywhere.
     """
-    spark = sample.sparkSession
-    size = (1 << options.bits) + 1
-    z, n = np.zeros(size), np.zeros(size)
-    sample = freeze(sample, "labelled")
+    nothing = F.lit(None)
+    sample = freeze(sample, "labelled").select(
+        "text", "_label", "_key", nothing.cast("bigint").alias("i"), nothing.cast("double").alias("z"), nothing.cast("double").alias("n")
+    )
+    state: DataFrame | None = None
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Ftrl(options)
+        for batch in batches:
+            known = np.flatnonzero(batch.column("i").is_valid().to_numpy(zero_copy_only=False))
+            if len(known):
+                old = batch.take(pa.array(known))
+                at = old.column("i").to_numpy()
+                model.z[at], model.n[at] = old.column("z").to_numpy(), old.column("n").to_numpy()
+                batch = batch.slice(int(known[-1]) + 1)
+            for part in slices(batch, "text"):
+                at, owner = features(part.column("text"), options.bits)
+                order = np.argsort(owner, kind="stable")
+                bounds = np.searchsorted(owner[order], np.arange(part.num_rows + 1))
+                at = at[order]
+                for row, label in enumerate(part.column("_label").to_pylist()):
+                    model.update(np.unique(at[bounds[row] : bounds[row + 1]]), label)
+        moved = np.flatnonzero(model.n)
+        weights = model.weights(moved)
+        for k in range(0, len(moved), 50_000):
+            i = moved[k : k + 50_000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(i, pa.int64()), pa.array(model.z[i]), pa.array(model.n[i]), pa.array(weights[k : k + 50_000])], ["i", "z", "n", "w"]
+            )
+
     for turn in range(options.rounds):
-        state = spark.sparkContext.broadcast((z, n))
-
-        def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            start = state.value
-            model = Ftrl(options, start[0].copy(), start[1].copy())
-            for batch in batches:
-                for part in slices(batch, "text"):
-                    at, owner = features(part.column("text"), options.bits)
-                    order = np.argsort(owner, kind="stable")
-                    bounds = np.searchsorted(owner[order], np.arange(part.num_rows + 1))
-                    at = at[order]
-                    for row, label in enumerate(part.column("_label").to_pylist()):
-                        model.update(np.unique(at[bounds[row] : bounds[row + 1]]), label)
-            moved = np.flatnonzero(model.n != start[1])
-            for k in range(0, len(moved), 50_000):
-                i = moved[k : k + 50_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(i, pa.int64()), pa.array(model.z[i]), pa.array(model.n[i])], ["i", "z", "n"]
-                )
-
-        ordered = sample.repartition(1).sortWithinPartitions(F.xxhash64(F.lit(turn), "_key"), "_key", "text")
-        moved = ordered.mapInArrow(fit, "i bigint, z double, n double").toArrow()
-        at = moved["i"].to_numpy()
-        z[at], n[at] = moved["z"].to_numpy(), moved["n"].to_numpy()
-        state.unpersist()
-    weights = Ftrl(options, z, n).weights(np.arange(size))
-    index = np.flatnonzero(weights[:-1])
-    return SparseWeights(options.bits, index, weights[index], float(weights[-1]))
+        rows = sample
+        if state is not None:
+            before = state.select(
+                nothing.cast("string").alias("text"), nothing.cast("double").alias("_label"), nothing.cast("bigint").alias("_key"), "i", "z", "n"
+            )
+            rows = before.unionByName(sample)
+        ordered = rows.repartition(1).sortWithinPartitions(F.col("i").isNull(), F.xxhash64(F.lit(turn), "_key"), "_key", "text")
+        state = freeze(ordered.mapInArrow(fit, "i bigint, z double, n double, w double"), "state")
+    bias = 1 << options.bits
+    found = state.where(f"w <> 0 OR i = {bias}").select("i", "w").toArrow() if state is not None else pa.table({"i": [], "w": []})
+    index, value = found["i"].to_numpy().astype(np.int64), found["w"].to_numpy().astype(float)
+    plain = index < bias
+    return SparseWeights(options.bits, index[plain], value[plain], float(value[~plain].sum()))
 
 
 def score_texts(docs: DataFrame, weights: SparseWeights, name: str = "score") -> DataFrame:
@@ -181,5 +201,12 @@ def toxicity_scores(
     options: FtrlOptions = FtrlOptions(),
     name: str = "score",
 ) -> DataFrame:
-    """Train on the labelled documents and score all of them (column `name`)."""
+    """Train on the labelled documents and score all of them: `docs` with a column `name`, 0 to 1.
+
+    `docs` has doc_id and text, `labels` doc_id and the column `label`. Null and empty texts have the score of no
+    words; null ids, ids without a label and null labels do not train; ids repeated in `labels` count once,
+    as positive if any row is; of documents repeated with id and text one trains and all are scored. A column
+    of the name of the result is replaced, all others stay. An empty table gives an empty result, and without
+    labelled documents every score is 0.5.
+    """
     return score_texts(docs, train(labelled_sample(docs, labels, label, options), options), name)

@@ -61,3 +61,73 @@ def test_sample_is_bounded(spark):
     from panelfx.llm.toxicity import labelled_sample
 
     assert labelled_sample(docs, table, "toxic", FtrlOptions(max_train_docs=20)).count() == 20
+
+
+def plain_ftrl(texts, labels, orders, options):
+    """FTRL-proximal as published, coordinate by coordinate, over dictionaries."""
+    import math
+
+    import pyarrow as pa
+
+    z, n = {}, {}
+    bias = 1 << options.bits
+
+    def weight(i):
+        l1 = 0.0 if i == bias else options.l1
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        sign = -1.0 if z[i] < 0 else 1.0
+        return -(z[i] - sign * l1) / ((options.beta + math.sqrt(n.get(i, 0.0))) / options.alpha + options.l2)
+
+    for order in orders:
+        for k in order:
+            at = sorted(set(features(pa.array([texts[k]]), options.bits)[0].tolist())) + [bias]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(w.values()))))) - labels[k]
+            for i in at:
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / options.alpha
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z if weight(i)}
+
+
+def test_weights_are_those_of_plain_ftrl(spark):
+    from pyspark.sql import functions as F
+
+    from panelfx.llm.toxicity import labelled_sample, train
+
+    rng = np.random.default_rng(7)
+    words = [f"w{k}" for k in range(60)]
+    texts = {k: " ".join([*rng.choice(words, 25), *(["vile"] if k % 4 == 0 else [])]) for k in range(150)}
+    labels = {k: float(k % 4 == 0) for k in texts}
+    options = FtrlOptions(bits=12, rounds=3)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    table = spark.createDataFrame(list(labels.items()), "doc_id bigint, toxic double")
+    sample = labelled_sample(docs, table, "toxic", options)
+    assert sample.count() == len(texts)
+    # the hashed order of each round
+    place = {t: k for k, t in texts.items()}
+    keyed = sample.select("text", *[F.xxhash64(F.lit(t), "_key").alias(f"o{t}") for t in range(options.rounds)]).collect()
+    orders = [[place[r.text] for r in sorted(keyed, key=lambda r, t=t: r[f"o{t}"])] for t in range(options.rounds)]
+    wanted = plain_ftrl(texts, labels, orders, options)
+    found = train(sample, options)
+    got = {**dict(zip(found.index.tolist(), found.value.tolist(), strict=True)), 1 << options.bits: found.bias}
+    assert got.keys() == wanted.keys() and all(abs(got[i] - wanted[i]) < 1e-9 for i in got)
+
+
+def test_the_sample_is_bounded_in_rows(spark):
+    from pyspark.sql import functions as F
+
+    from panelfx.llm.toxicity import labelled_sample
+
+    options = FtrlOptions(max_train_docs=50)
+    # one id holds a third of all rows, with many texts; others are repeated as they are
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 40 + 100).alias("doc_id"),
+        F.when(F.col("id") % 3 == 0, F.concat(F.lit("text "), F.col("id").cast("string"))).otherwise(F.lit("same")).alias("text"),
+    )
+    labels = spark.createDataFrame([(k, k % 2) for k in [7, *range(100, 140)]], "doc_id bigint, toxic int")
+    sample = labelled_sample(rows, labels, "toxic", options)
+    assert sample.count() == 50
+    few = labelled_sample(rows.where("doc_id <> 7"), labels, "toxic", options)
+    assert few.count() == 40
