@@ -12,6 +12,7 @@ from panelfx.llm.byte_bpe import read_ranks, token_digests
 from panelfx.llm.jaccard_join import JaccardOptions, keep_one
 from panelfx.llm.mixing import MixOptions, mix
 from panelfx.llm.secrets import redact
+from panelfx.llm.texts import unused
 from panelfx.llm.toxicity import toxicity_scores
 from panelfx.session import freeze
 
@@ -23,7 +24,8 @@ TOXIC_FROM = 0.3
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity, learnt from the labels table, is below TOXIC_FROM."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity_scores(docs, labels, name="_toxicity").where(F.col("_toxicity") < TOXIC_FROM).select(docs.columns)
+    name = unused("toxicity", docs.columns)
+    return toxicity_scores(docs, labels, name=name).where(F.col(name) < TOXIC_FROM).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
