@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -160,7 +159,6 @@ def llm_queries() -> dict[str, Query]:
         "op11_prefix_trie": conversation_trie,
         "op12_token_files": token_files,
         "op13_fill_middle": fill_middle,
-        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -1,17 +1,29 @@
+import base64
+import hashlib
+import importlib
+import math
 import os
 
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
+from panelfx.llm.jaccard_join import JaccardOptions
+from panelfx.llm.mixing import MixOptions
 from panelfx.llm.queries import llm_oracles, llm_queries
+from panelfx.llm.toxicity import FtrlOptions, features
 
 SF_DIR = "/root/testdata/sf0.001"
 
 
 def test_queries_are_named_by_operator():
     names = list(llm_queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert llm_oracles().keys() <= llm_queries().keys()
+    entry = importlib.import_module("__spark_entry__")
+    assert entry.queries()["pipeline"] is corpus_pipeline.run and set(names) <= entry.queries().keys()
 
 
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
@@ -69,3 +81,74 @@ def test_what_op4_predicts_as_toxic_goes(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "toxicity_scores", lambda docs, labels, name: docs.withColumn(name, docs["kept"]))
     left = corpus_pipeline.drop_toxic(spark, docs, SF_DIR)
     assert sorted(r.doc_id for r in left.collect()) == [0, 1]
+
+
+def plain_toxic(docs, labels, options):
+    """Scores by FTRL-proximal over dictionaries, one labelled document after the other, in the hashed order."""
+    z, n, bias = {}, {}, 1 << options.bits
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= (0.0 if i == bias else options.l1):
+            return 0.0
+        shrunk = z[i] - math.copysign(0.0 if i == bias else options.l1, z[i])
+        return -shrunk / ((options.beta + math.sqrt(n.get(i, 0.0))) / options.alpha + options.l2)
+
+    def at(text):
+        return sorted(set(features(pa.array([text or ""]), options.bits)[0].tolist())) + [bias]
+
+    def sigmoid(x):
+        return 1 / (1 + math.exp(-max(-35.0, min(35.0, x))))
+
+    found = {k: at(t) for k, t in docs.items()}
+    for order in labels:
+        for k, label in order:
+            w = {i: weight(i) for i in found[k]}
+            g = sigmoid(sum(w.values())) - label
+            for i in found[k]:
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / options.alpha * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return {k: sigmoid(sum(weight(i) for i in f)) for k, f in found.items()}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
+def test_run_against_a_plain_version(spark):
+    """Every stage by plain loops: FTRL, all pairs of shingle sets, patterns, the mixture's plan, a library's ids."""
+    import tiktoken
+    from pyspark.sql import functions as F
+
+    from test_jaccard_join import brute as near_groups_of
+    from test_mixing import plain_plan
+    from test_secrets import brute as secrets_of
+
+    options = FtrlOptions()
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
+    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet").where("toxic IS NOT NULL")
+    keyed = labels.select("doc_id", "toxic", *[F.xxhash64(F.lit(t), F.xxhash64(F.lit(20), "doc_id")).alias(f"o{t}") for t in range(options.rounds)]).collect()
+    assert len({r.doc_id for r in keyed}) == len(keyed) < options.max_train_docs
+    orders = [[(r.doc_id, float(r.toxic)) for r in sorted(keyed, key=lambda r, t=t: r[f"o{t}"]) if r.doc_id in docs] for t in range(options.rounds)]
+    scores = plain_toxic({k: r.text for k, r in docs.items()}, orders, options)
+    kept = {k: r for k, r in docs.items() if scores[k] < corpus_pipeline.TOXIC_FROM}
+    assert 0 < len(kept) < len(docs)
+
+    groups = near_groups_of([(k, r.text) for k, r in kept.items()], JaccardOptions(80, 100, 5))
+    kept = {k: kept[k] for k, n, c in groups if not n or k == c}
+
+    def clean(text):
+        out, end = [], 0
+        for a, _, b in secrets_of(text):
+            if a >= end:
+                out += [text[end:a], "[secret]"]
+            end = max(end, b)
+        return "".join(out) + text[end:]
+
+    texts = {k: clean(r.text) for k, r in kept.items()}
+    copies = plain_plan(spark, [(k, kept[k].source, t) for k, t in texts.items()], MixOptions())
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    wanted = []
+    for (k, _), times in copies.items():
+        ids = np.array(library.encode_ordinary(texts[k]), "<u4")
+        row = (k, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(texts[k].encode()).hexdigest())
+        wanted += [row] * times
+    assert sorted(wanted) == sorted(tuple(r) for r in corpus_pipeline.run(spark, SF_DIR).collect())
