@@ -14,7 +14,7 @@ from panelfx.llm.mixing import MixOptions, mix
 from panelfx.llm.secrets import redact
 from panelfx.llm.texts import unused
 from panelfx.llm.toxicity import toxicity_scores
-from panelfx.session import freeze
+from panelfx.session import freeze, small_batches
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 # As op4_toxicity predicts.
@@ -62,6 +62,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn; each one's rows are written to the shared folder and read by the next."""
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = freeze(stage(spark, docs, sf_dir), f"stage-{name}")

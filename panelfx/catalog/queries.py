@@ -402,7 +402,7 @@ _QUERIES["vocabulary"] = _vocabulary
 
 
 def _tokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenize(documents(spark, sf_dir), freeze(_vocabulary(spark, sf_dir), "vocabulary"))
+    return tokenize(documents(spark, sf_dir), _vocabulary(spark, sf_dir))
 
 
 def _ids_as_text(df: DataFrame) -> DataFrame:

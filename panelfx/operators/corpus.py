@@ -20,9 +20,9 @@ PACKED_LENGTH = 2049  # fixed value: 2048 predicted positions and the first toke
 # Fewest tokens of a part that is packed in one go.
 PART_TOKENS = 1_000_000
 FIRST_PACKED_ID = -100  # fixed value: packed rows are numbered -100, -101, ...
-# Bounds of the broadcast part of a vocabulary, about 100 MB at the very most.
-HEAD_WORDS = 400_000
-HEAD_WORD_CHARS = 64
+# Bounds of the broadcast part of a vocabulary, some tens of megabytes at the very most.
+HEAD_WORDS = 1_000_000
+HEAD_WORD_CHARS = 32
 
 
 def words_of(text: Column) -> Column:
@@ -40,8 +40,8 @@ def token_frequency(tokens: DataFrame, column: str = "input_ids") -> DataFrame:
 def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
     """(token, token_id, count): ids count from 0 by falling frequency, then by token."""
     counts = token_frequency(docs.select(words_of(F.col(text)).alias("words")), "words")
-    order = [F.col("count").desc(), F.col("token").asc()]
-    ranked = running_total(counts, order, F.lit(1), "token_id")
+    falling = counts.withColumn("_falling", -F.col("count"))
+    ranked = running_total(falling, ["_falling", "token"], F.lit(1), "token_id")
     return ranked.select("token", F.col("token_id").cast("int").alias("token_id"), "count")
 
 
@@ -114,7 +114,8 @@ def tokenize(
         return docs.select(doc_id, as_ids(text).alias("input_ids"))
     if vocab is None:
         raise ValueError("give a vocabulary or a tokenizer")
-    ids = vocab.select("token", F.col("token_id").cast("int").alias("token_id")).where("token_id IS NOT NULL")
+    # written down once: the broadcast part, the rest and the join read it
+    ids = freeze(vocab.select("token", F.col("token_id").cast("int").alias("token_id")).where("token_id IS NOT NULL"), "vocabulary")
     in_head = (F.col("token_id") < HEAD_WORDS) & (F.length("token") <= HEAD_WORD_CHARS)
     head, tail = ids.where(in_head).toArrow(), ids.where(~in_head)
     words = docs.select(doc_id, F.coalesce(words_of(F.col(text)), F.array()).alias("words"))

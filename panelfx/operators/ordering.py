@@ -7,22 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelfx.session import freeze
 
 # A range of a running total: small enough for one task, large enough to be worth one.
 RANGE_ROWS = 2_000_000
 FEWEST_RANGE_ROWS = 20_000
+# Rows that a range's borders are drawn from.
+SAMPLED = 200
 
 
-def range_index(value: Column, starts: Sequence) -> Column:
+def range_index(value: Column, starts: Sequence, kind: T.DataType | None = None) -> Column:
     """Number of the range `value` is in: how many of the ascending `starts` are not above it.
 
-    A bisection over a literal list, so the expression stays small however many ranges there are.
+    A bisection over a literal list, so the expression stays small however many ranges there are. A start
+    may be a tuple for a struct of several columns, whose type then is `kind`; a NULL is in the first range.
     """
     if not starts:
         return F.lit(0)
-    list_of = F.array(*[F.lit(s) for s in starts]) if len(starts) <= 64 else F.lit(list(starts))
+    list_of = F.array(*[F.struct(*map(F.lit, s)) if isinstance(s, tuple) else F.lit(s) for s in starts])
+    if kind is not None:
+        list_of = list_of.cast(T.ArrayType(kind))
     steps = [1 << k for k in range(len(starts).bit_length() - 1, -1, -1)]
 
     def narrowed(found: Column, step: Column) -> Column:
@@ -33,31 +39,39 @@ def range_index(value: Column, starts: Sequence) -> Column:
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), narrowed)
 
 
+def range_starts(df: DataFrame, keys: Sequence[str], ranges: int, rows: int) -> list[tuple]:
+    """Smallest keys of about equally long ranges of an order, from a sample of some hundred rows a range."""
+    if ranges < 2:
+        return []
+    drawn = df.select(*keys).sample(min(1.0, SAMPLED * ranges / rows), seed=0).collect()
+    found = sorted(tuple(r) for r in drawn if None not in tuple(r))
+    places = sorted({found[len(found) * k // ranges] for k in range(1, ranges)}) if found else []
+    return places
+
+
 def running_total(
     df: DataFrame,
-    order_by: Sequence[str | Column],
+    order_by: Sequence[str],
     weight: Column,
     name: str,
     within: Sequence[str] = (),
 ) -> DataFrame:
-    """Add `name`: the sum of `weight` over all rows before this one in the order `order_by`.
+    """Add `name`: the sum of `weight` over all rows before this one in the ascending order of `order_by`.
 
-    The order has to be total (unique keys), and `df` narrow. It is written down first, as sampling
-    the range bounds would evaluate it a second time; then it is split into ranges of the order, and
-    the split is written down too, because bounds are sampled anew on every run. One number per
-    range travels to the driver, and no task sees more than one range. With `within`, which must
-    lead the order, totals restart for every value of these columns.
+    The order has to be total (unique keys), and `df` narrow. It is written down once; ranges of the order,
+    whose borders are fixed from a sample, are added up, one number per range travels to the driver,
+    and no task sees more than its ranges. Fixed borders give the same ranges again wherever the result is
+    evaluated. With `within`, which must lead the order, totals restart for every value of these columns.
     """
     spark = df.sparkSession
-    narrow = freeze(df, "unsplit")
-    rows = narrow.count()
+    rows_written = freeze(df, "unsplit")
+    rows = rows_written.count()
     wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = max(min(wanted, rows // FEWEST_RANGE_ROWS), rows // RANGE_ROWS, 1)
-    split = freeze(
-        narrow.repartitionByRange(ranges, *order_by)
-        .withColumn("_rt_range", F.spark_partition_id()),
-        "ranges",
-    )
+    starts_at = range_starts(rows_written, order_by, ranges, rows)
+    key = F.struct(*order_by)
+    kind = rows_written.select(key.alias("k")).schema["k"].dataType
+    split = rows_written.withColumn("_rt_range", range_index(key, starts_at, kind))
     sums = split.groupBy("_rt_range").agg(F.sum(weight).cast("bigint").alias("_rt_sum")).collect()
     offsets, total = [], 0
     for row in sorted(sums, key=lambda r: r["_rt_range"]):

@@ -30,6 +30,15 @@ def build_session(app: str = "panelfx", master: str | None = None, conf: dict[st
     return builder.getOrCreate()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let whole texts go to Python in Arrow batches of a few megabytes, unless the session has its own setting.
+
+    Spark's default is 64 MB a batch, of which a task holds several outside of its heap.
+    """
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, "8m")
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for cut lineage, as the cluster names it in `spark.checkpoint.dir`.
 
@@ -46,6 +55,9 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+ROW_GROUP_BYTES = 16 << 20
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 # Paths made since each of the open owned_scratch blocks began.
 _owners: list[list[str]] = []
 
@@ -79,5 +91,6 @@ def freeze(df: DataFrame, label: str = "frozen") -> DataFrame:
     small results are broadcast by Spark's own threshold and large ones are not.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    # small row groups: a task that writes long texts holds one group only
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
