@@ -25,8 +25,8 @@ CLASS_NUM, CLASS_DEN = 7, 5
 # A group of shingles of fewer is left out of the lists where a set has enough other groups.
 LIGHT = 3
 # Sets whose list entries a task makes together, in shingles, and the classes it remembers having entered.
-TOGETHER = 500_000
-REMEMBERED = 500_000
+TOGETHER = 200_000
+REMEMBERED = 200_000
 
 
 @dataclass(frozen=True)
@@ -223,10 +223,41 @@ def choose_boundary(sigs: DataFrame, options: JaccardOptions) -> int:
 
 
 def shared_entries(entries: DataFrame) -> DataFrame:
-    """The entries (token, key, n) of lists of several keys, with the list's smallest key as `pivot`; one exchange."""
-    of_list = W.partitionBy("token")
-    marked = entries.withColumn("pivot", F.min("key").over(of_list)).withColumn("_most", F.max("key").over(of_list))
-    return marked.where("pivot <> _most").drop("_most")
+    """The entries (token, key, n) of lists of several keys, each once, with the list's smallest key as `pivot`.
+
+    One exchange: lists stream through their tasks in order of token and key. Of a list that goes on in the next
+    batch only its first key and the last one are held, so a list of any length costs no memory.
+    """
+    names = ["token", "key", "n", "pivot"]
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_list: tuple[int, int, int, int, bool] | None = None  # token, first key, its n, last key, told
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            token, key, n = (batch.column(c).to_numpy() for c in ("token", "key", "n"))
+            new = np.r_[True, token[1:] != token[:-1]]
+            again = np.r_[False, (token[1:] == token[:-1]) & (key[1:] == key[:-1])]
+            heads = np.flatnonzero(new)
+            run = np.cumsum(new) - 1
+            pivot, size = key[heads], n[heads]
+            told = np.zeros(len(heads), bool)
+            if open_list is not None and open_list[0] == token[0]:
+                _, pivot[0], size[0], last, told[0] = open_list
+                again[0] = key[0] == last
+            later = (key != pivot[run]) & ~again
+            several = np.zeros(len(heads), bool)
+            several[run[later]] = True
+            first = several & ~told
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.r_[token[heads[first]], token[later]]), pa.array(np.r_[pivot[first], key[later]]),
+                 pa.array(np.r_[size[first], n[later]].astype(np.int32)), pa.array(np.r_[pivot[first], pivot[run[later]]])],
+                names,
+            )
+            open_list = (int(token[-1]), int(pivot[-1]), int(size[-1]), int(key[-1]), bool(told[-1] or several[-1]))
+
+    ordered = entries.repartition("token").sortWithinPartitions("token", "key")
+    return ordered.mapInArrow(mark, "token bigint, key bigint, n int, pivot bigint")
 
 
 def bits_apart(suffix: str) -> Column:
@@ -289,7 +320,7 @@ def jaccard_groups(docs: DataFrame, options: JaccardOptions = JaccardOptions())
     first = freeze(plausible(met, sigs, options), "pairs")
     groups = freeze(connected_components(confirmed(first, texts, members, options)), "groups")
 
-    placed = live.select("token", "key").distinct().join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn(
+    placed = live.select("token", "key").join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn(
         "component", F.coalesce("component", "key")
     )
     of_list = W.partitionBy("token")

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from panelfx.llm.jaccard_join import JaccardOptions, group_tokens, jaccard_groups, keep_one
+from panelfx.llm.jaccard_join import JaccardOptions, group_tokens, jaccard_groups, keep_one, shared_entries
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -152,3 +152,22 @@ def test_lists_of_a_common_passage_stay_closed(spark):
     options = JaccardOptions(90, 100, 3)
     rows = {r.doc_id: r.component_id for r in jaccard_groups(table(spark, list(enumerate(map(" ".join, texts)))), options).collect()}
     assert rows == {k: k if k < 2000 else k - 2000 for k in range(2020)}
+
+
+@pytest.mark.parametrize("rows_a_batch", ["3", "10000"])
+def test_entries_of_shared_lists(spark, rows_a_batch):
+    """Lists of one key, of a key repeated, and of many, cut by batches anywhere."""
+    rng = random.Random(4)
+    entries = [(t, rng.randrange(6) if t % 3 else 7) for t in range(60) for _ in range(rng.randrange(1, 9))]
+    entries += [(1000, k % 40) for k in range(200)]
+    table = spark.createDataFrame([(t, k, k * 10) for t, k in entries], "token bigint, key bigint, n int")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_a_batch)
+    try:
+        found = sorted(tuple(r) for r in shared_entries(table).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    lists = {}
+    for t, k in entries:
+        lists.setdefault(t, set()).add(k)
+    assert found == sorted((t, k, k * 10, min(ks)) for t, ks in lists.items() if len(ks) > 1 for k in ks)
