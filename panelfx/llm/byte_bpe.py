@@ -13,7 +13,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from panelfx.llm.texts import slices
+from panelfx.llm.texts import give_back, slices
 
 # Bounds of what one task remembers between texts; beyond them it starts anew.
 MAX_STATES = 400_000
@@ -43,6 +43,9 @@ def merge_plain(text: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
+NO_EDGES: dict = {}
+
+
 class State:
     """What the transducer knows after some bytes of a match.
 
@@ -51,13 +54,15 @@ class State:
     start, as (bytes back, last token before it, tokens before it that have not been emitted).
     """
 
-    __slots__ = ("edges", "final", "live", "suffix")
+    __slots__ = ("edges", "final", "live", "suffix", "visited")
 
     def __init__(self, suffix: bytes, live: tuple) -> None:
         self.suffix = suffix
         self.live = live
-        self.edges: dict[int, tuple[State, tuple[int, ...]]] = {}
+        # most states are ends of words, which nothing follows
+        self.edges: dict[int, tuple[State, tuple[int, ...]]] = NO_EDGES
         self.final: tuple[int, ...] = live[-1][2]
+        self.visited = False
 
 
 class Transducer:
@@ -76,13 +81,24 @@ class Transducer:
         self.prefixes = {text[:n] for text in tokens for n in range(len(text) + 1)}
         self.halves: dict[int, tuple[int, int]] = {}
         self.neighbours: dict[tuple[int, int], bool] = {}
+        self.start: State | None = None
+        self.states: dict[tuple, State] = {}
         self.restart()
 
     def restart(self) -> None:
         # States live until the next restart: looking for garbage among them every 2,000 objects is in vain.
         gc.set_threshold(200_000, 50, 50)
+        self.close()
         self.start = State(b"", ((0, -1, ()),))
-        self.states: dict[tuple, State] = {}
+        self.start.visited = True
+
+    def close(self) -> None:
+        """Forget all states. They refer to each other in circles, and would else wait for the garbage collector."""
+        for state in self.states.values():
+            state.edges = NO_EDGES
+        if self.start is not None:
+            self.start.edges = NO_EDGES
+        self.states.clear()
         self.neighbours.clear()
 
     def split(self, token: int) -> tuple[int, int]:
@@ -128,7 +144,10 @@ class Transducer:
         return known
 
     def step(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
-        """Determinise one transition and keep it."""
+        """Determinise one transition; it is kept from the second time on that the state lacks one.
+
+        Most states belong to a single rare word: what follows them is not worth remembering.
+        """
         read = state.suffix + bytes([byte])
         for back, last, waiting in state.live:
             text = read[len(read) - back - 1 :]
@@ -149,8 +168,13 @@ class Transducer:
         out = first[:agreed]
         key = suffix, tuple(live) if not agreed else tuple((back, last, waiting[agreed:]) for back, last, waiting in live)
         target = self.states.get(key)
+        if not state.visited:
+            state.visited = True
+            return target or State(*key), out
         if target is None:
             target = self.states[key] = State(*key)
+        if state.edges is NO_EDGES:
+            state.edges = {}
         state.edges[byte] = target, out
         return target, out
 
@@ -258,6 +282,9 @@ def with_token_ids(docs: DataFrame, tokens: list[bytes], pattern: str, text: str
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [*names, ids]
                 )
+        packed.transducer.close()
+        packed.clear()
+        give_back()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
     return kept.mapInArrow(encode, f"{schema}, `{ids}` array<int>")
@@ -315,6 +342,9 @@ def token_digests(docs: DataFrame, tokens: list[bytes], pattern: str, doc_id: st
                     [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(coded), pa.array(decoded)],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        packed.transducer.close()
+        packed.clear()
+        give_back()
 
     narrow = docs.selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS text")
     key = narrow.schema["doc_id"].dataType.simpleString()

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelfx.llm.texts import hash_spans, mix, space_table
-from panelfx.operators.ordering import running_total
+from panelfx.operators.ordering import range_index, running_total
 
 HASHES = 3
 # Texts handled together in a task, in bytes.
@@ -186,15 +186,6 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - third] + following[:third]
 
 
-def part_tree(starts: list[int], low: int, high: int) -> str:
-    """SQL that finds by bisection which part, of low to high, a doc_id belongs to (starts descend)."""
-    if low == high:
-        return str(low)
-    middle = (low + high + 1) // 2
-    below, above = part_tree(starts, low, middle - 1), part_tree(starts, middle, high)
-    return f"CASE WHEN doc_id > {starts[middle]} THEN {below} ELSE {above} END"
-
-
 def in_order(docs: DataFrame, parts: int) -> DataFrame:
     """(part, guest, doc_id, text) by descending doc_id, each part followed by the first rows of the next.
 
@@ -211,7 +202,8 @@ def in_order(docs: DataFrame, parts: int) -> DataFrame:
     starts = sorted((r["doc_id"] for r in chosen_ids), reverse=True)
     last = max(len(starts) - 1, 0)
     if starts:
-        part = F.expr(f"CASE WHEN doc_id IS NULL THEN {last} ELSE {part_tree(starts, 0, last)} END")
+        # starts descend, their complements ascend
+        part = F.when(F.col("doc_id").isNull(), last).otherwise(range_index(F.bitwise_not("doc_id"), [~s for s in starts[1:]]))
         first = F.element_at(F.split(F.lit(",".join(map(str, starts))), ",").cast("array<bigint>"), F.col("_part") + 1)
         guest = F.when(F.col("doc_id") == first, F.when(F.col("_part") > 0, F.col("_part") - 1).otherwise(last))
     else:

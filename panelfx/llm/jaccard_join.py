@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelfx.llm.components import connected_components
-from panelfx.llm.texts import list_array, mix, shingle_sets, slices, split_words
+from panelfx.llm.texts import give_back, list_array, mix, shingle_sets, slices, split_words
 from panelfx.session import freeze
 
 # Sets up to this size may go to the subset side; beyond it the number of subsets explodes.
@@ -109,6 +109,7 @@ def set_rows(docs: DataFrame, options: JaccardOptions) -> DataFrame:
                      *[pa.array(parities[:, k]) for k in range(WORDS_OF_BITS)]],
                     ["doc_id", "n", "key", "small", *bits],
                 )
+        give_back()
 
     key = docs.schema["doc_id"].dataType.simpleString()
     parity = ", ".join(f"{b} bigint" for b in bits)
@@ -179,6 +180,8 @@ def list_entries(docs: DataFrame, options: JaccardOptions, smallest: int) -> Dat
                     sizes = np.array([len(s) for s in sets[at:stop]], np.int32)[owner]
                     yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(names), pa.array(sizes)], ["token", "key", "n"])
                     at = stop
+        del seen
+        give_back()
 
     return docs.select("text").mapInArrow(read, "token bigint, key bigint, n int")
 

@@ -21,6 +21,7 @@ from panelfx.llm.secrets import secret_spans, spelled
 from panelfx.llm.token_files import TokenFileOptions, token_file_rows
 from panelfx.llm.toxicity import toxicity_scores
 from panelfx.llm.url_filter import filter_urls
+from panelfx.session import small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +35,7 @@ URL_RULES = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

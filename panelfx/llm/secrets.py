@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelfx.llm.texts import unused
-from panelfx.session import freeze
 
 # The three base patterns. Matches are leftmost and do not overlap within a kind.
 KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
@@ -303,8 +302,6 @@ def secret_spans(docs: DataFrame, options: MarkovOptions = MarkovOptions(), samp
     text = F.coalesce(F.col("text"), F.lit(""))
     with_base = read.withColumn("base", base_spans(text))
     if samples is None:
-        # training looks at the base spans of all documents, and the scan at those and the texts again
-        with_base = freeze(with_base, "base-spans")
         samples = labelled_strings(with_base, options)
     ratios = train_markov(samples, options)
     return with_base.withColumn(

@@ -6,6 +6,7 @@ not depend on how many rows Spark puts into a batch; a single text is never cut.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -172,3 +173,11 @@ def unused(stem: str, names: list[str]) -> str:
     while stem.lower() in taken:
         stem += "_"
     return stem
+
+
+def give_back() -> None:
+    """Return what a finished task has freed to the system: workers go on living, and their heaps would add up."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelfx.llm.texts import letter_gap_table, mix, slices, split_words
+from panelfx.llm.texts import give_back, letter_gap_table, mix, slices, split_words
 from panelfx.session import freeze
 
 
@@ -189,6 +189,7 @@ def score_texts(docs: DataFrame, weights: SparseWeights, name: str = "score") ->
                 once = np.unique(owner[used] * (1 << w.bits) + at[used])
                 sums = np.bincount(once >> w.bits, dense[once & ((1 << w.bits) - 1)], minlength=part.num_rows)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sigmoid(sums + w.bias))], [*names, name])
+        give_back()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
     return kept.mapInArrow(score, f"{schema}, `{name}` double")
