@@ -26,7 +26,10 @@ def range_index(value: Column, starts: Sequence, kind: T.DataType | None = None)
     """
     if not starts:
         return F.lit(0)
-    list_of = F.array(*[F.struct(*map(F.lit, s)) if isinstance(s, tuple) else F.lit(s) for s in starts])
+    if all(type(s) is int for s in starts):
+        list_of = F.split(F.lit(",".join(map(str, starts))), ",").cast("array<bigint>")
+    else:
+        list_of = F.array(*[F.struct(*map(F.lit, s)) if isinstance(s, tuple) else F.lit(s) for s in starts])
     if kind is not None:
         list_of = list_of.cast(T.ArrayType(kind))
     steps = [1 << k for k in range(len(starts).bit_length() - 1, -1, -1)]
