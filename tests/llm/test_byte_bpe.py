@@ -8,7 +8,7 @@ import pytest
 import regex
 import tiktoken
 
-from panelfx.llm.byte_bpe import Transducer, Utf8Stream, merge_plain, read_ranks, token_digests, with_texts, with_token_ids
+from panelfx.llm.byte_bpe import Matcher, Transducer, Utf8Stream, merge_plain, read_ranks, token_digests, with_texts, with_token_ids
 
 PATTERN = public_tokenizers.PATTERN
 FILES = ["byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"]
@@ -87,3 +87,44 @@ def test_digests_and_round_trip(spark):
     back = with_texts(coded.withColumnRenamed("text", "was"), tokens)
     assert all(r.text == (r.was or "") for r in back.collect())
     assert token_digests(docs.limit(0), tokens, PATTERN).count() == 0
+
+
+def test_plain_texts_have_the_same_matches():
+    """Texts of every safe character, against the other library; patterns with other classes go to it at once."""
+    import random
+
+    matcher, library = Matcher(PATTERN), regex.compile(PATTERN)
+    assert matcher.findall_safe is not None
+    rng = random.Random(1)
+    letters = [chr(k) for k in range(256) if Matcher.SAFE.fullmatch(chr(k))] + [" "] * 20 + ["'"] * 9 + list("sdmtlvre") * 3
+    texts = ["".join(rng.choice(letters) for _ in range(80)) for _ in range(3000)]
+    texts += ["\x1c a\x85b\xa0c", "ª²µº½", "ΑΣ 12 ½", "a\r\n \n b  ", "", "\t\t"]
+    assert all(matcher.findall(t) == library.findall(t) for t in texts)
+    for other in (r"\p{Lu}+", r"(?i:a)\p{L}", r"[[:alpha:]]+"):
+        assert Matcher(other).findall_safe is None
+
+
+def test_states_are_forgotten_with_their_task():
+    """No circle of states waits for the garbage collector."""
+    import gc
+    import weakref
+
+    class Probe(dict):
+        pass
+
+    transducer = Transducer([bytes([k]) for k in range(256)] + [b"ab", b"abc"])
+    probes = []
+    for word in (b"abcab", b"xyzabc"):
+        transducer.encode(word)
+    for state in transducer.states.values():
+        if state.edges:
+            state.edges = Probe(state.edges)
+            probes.append(weakref.ref(state.edges))
+    assert probes
+    gc.disable()
+    try:
+        del state
+        transducer.close()
+        assert all(p() is None for p in probes) and not transducer.states
+    finally:
+        gc.enable()
