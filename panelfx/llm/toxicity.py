@@ -122,10 +122,8 @@ def train(sample: DataFrame, options: FtrlOptions) -> SparseWeights:
     round and comes first in the next one's stream; only non-zero weights reach the driver. Without
     documents the score is 0.5 everywhere.
     """
-    nothing = F.lit(None)
-    sample = freeze(sample, "labelled").select(
-        "text", "_label", "_key", nothing.cast("bigint").alias("i"), nothing.cast("double").alias("z"), nothing.cast("double").alias("n")
-    )
+    packed = ["i", "z", "n"]
+    sample = freeze(sample, "labelled").select("text", "_label", "_key", *[F.lit(None).cast("binary").alias(c) for c in packed])
     state: DataFrame | None = None
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,9 +131,9 @@ def train(sample: DataFrame, options: FtrlOptions) -> SparseWeights:
         for batch in batches:
             known = np.flatnonzero(batch.column("i").is_valid().to_numpy(zero_copy_only=False))
             if len(known):
-                old = batch.take(pa.array(known))
-                at = old.column("i").to_numpy()
-                model.z[at], model.n[at] = old.column("z").to_numpy(), old.column("n").to_numpy()
+                for row in batch.select(packed).take(pa.array(known)).to_pylist():
+                    at = np.frombuffer(row["i"], np.int64)
+                    model.z[at], model.n[at] = np.frombuffer(row["z"]), np.frombuffer(row["n"])
                 batch = batch.slice(int(known[-1]) + 1)
             for part in slices(batch, "text"):
                 at, owner = features(part.column("text"), options.bits)
@@ -146,25 +144,27 @@ def train(sample: DataFrame, options: FtrlOptions) -> SparseWeights:
                     model.update(np.unique(at[bounds[row] : bounds[row + 1]]), label)
         moved = np.flatnonzero(model.n)
         weights = model.weights(moved)
+        # many coordinates a row: Spark moves some dozen rows, not a million
         for k in range(0, len(moved), 50_000):
             i = moved[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(i, pa.int64()), pa.array(model.z[i]), pa.array(model.n[i]), pa.array(weights[k : k + 50_000])], ["i", "z", "n", "w"]
-            )
+            w = weights[k : k + 50_000]
+            used = np.flatnonzero(w)
+            arrays = [i, model.z[i], model.n[i], i[used], w[used]]
+            yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in arrays], [*packed, "used", "w"])
 
     for turn in range(options.rounds):
         rows = sample
         if state is not None:
             before = state.select(
-                nothing.cast("string").alias("text"), nothing.cast("double").alias("_label"), nothing.cast("bigint").alias("_key"), "i", "z", "n"
+                F.lit(None).cast("string").alias("text"), F.lit(None).cast("double").alias("_label"), F.lit(None).cast("bigint").alias("_key"), *packed
             )
             rows = before.unionByName(sample)
         ordered = rows.repartition(1).sortWithinPartitions(F.col("i").isNull(), F.xxhash64(F.lit(turn), "_key"), "_key", "text")
-        state = freeze(ordered.mapInArrow(fit, "i bigint, z double, n double, w double"), "state")
-    bias = 1 << options.bits
-    found = state.where(f"w <> 0 OR i = {bias}").select("i", "w").toArrow() if state is not None else pa.table({"i": [], "w": []})
-    index, value = found["i"].to_numpy().astype(np.int64), found["w"].to_numpy().astype(float)
-    plain = index < bias
+        state = freeze(ordered.mapInArrow(fit, "i binary, z binary, n binary, used binary, w binary"), "state")
+    found = state.select("used", "w").collect() if state is not None else []
+    index = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["used"], np.int64) for r in found)])
+    value = np.concatenate([np.zeros(0), *(np.frombuffer(r["w"]) for r in found)])
+    plain = index < 1 << options.bits
     return SparseWeights(options.bits, index[plain], value[plain], float(value[~plain].sum()))
 
 
