@@ -32,7 +32,8 @@ class DescentOptions:
     and counts beyond it come from comparing whole groups. `trees` random orders give the first graph,
     `rounds` is the number of refinements. `audit` vectors are compared with all others; as long as less
     than `recall` of their links was found, the search goes on with new orders and audits further vectors,
-    at the latest until all were audited. With `searches`, more of them raise.
+    at the latest until all were audited. With `searches`, more of them raise. Links between groups that an
+    audit finds are kept, and up to `audits` more audits follow while they find any.
     """
 
     threshold: float = 0.95
@@ -42,6 +43,7 @@ class DescentOptions:
     rounds: int = 2
     audit: int = 512
     recall: float = 0.999
+    audits: int = 4
     searches: int | None = None
     seed: int = 0
 
@@ -395,18 +397,24 @@ def near_groups(
         labelled = labelled_points(points, groups)
         sample = audit_sample(labelled, audited, options, search)
         reached, missed = audit(labelled, sample, options)
-        known = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        if missed.isEmpty():
-            if reached >= options.recall:
+        for _ in range(options.audits):
+            if missed.isEmpty():
                 break
-        else:
-            # links that the audit found are links, whatever the recall is
-            known = freeze(known.unionByName(missed), "known")
-        if options.searches is not None and search + 1 >= options.searches:
-            if reached < options.recall:
-                raise RuntimeError(f"{search + 1} searches found {reached:.4f} of the audited links, less than {options.recall}")
+            # links that the audit found are links, whatever the recall is; others are looked for with new vectors
+            known = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(missed)
             groups = freeze(connected_components(known), "groups")
+            if reached < options.recall:
+                break
+            audited = audited.unionByName(sample.select("key"))
+            labelled = labelled_points(points, groups)
+            sample = audit_sample(labelled, audited, options, search)
+            reached, missed = audit(labelled, sample, options)
+        known = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        if reached >= options.recall:
+            groups = freeze(connected_components(known.unionByName(missed)), "groups")
             break
+        if options.searches is not None and search + 1 >= options.searches:
+            raise RuntimeError(f"{search + 1} searches found {reached:.4f} of the audited links, less than {options.recall}")
         # lists are cut again in the next search, what they joined stays
         audited = audited.unionByName(sample.select("key"))
     counts = freeze(counted_links(groups, points, options), "counts")

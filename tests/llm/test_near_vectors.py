@@ -138,4 +138,4 @@ def test_links_that_the_audit_finds_are_kept(spark, monkeypatch, searches):
     monkeypatch.setattr(nv, "audit", audit)
     got = found(spark, rows, DescentOptions(searches=searches))
     assert len({c for _, _, c, _ in got}) == 2
-    assert len(calls) == (1 if searches else 2)
+    assert len(calls) == 2
