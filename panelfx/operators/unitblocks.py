@@ -266,10 +266,10 @@ def _per_key(
     out: DataFrame | None = None
     groups = [*by, "cohort"]
     for contrasts, keys in _contrast_parts(entries, by, key, times, PART_ENTRIES):
-        shared = units.sparkSession.sparkContext.broadcast(contrasts)
+        shared = units.sparkSession.sparkContext.broadcast((contrasts.grid, contrasts.n_keys, contrasts.groups))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            part = shared.value
+            part = Contrasts(*shared.value)
             # whole segments, as rows that are folded together hold equally long lists
             padded = -(-part.n_keys // SEGMENT) * SEGMENT
             sums = [np.zeros(padded) for _ in names]
@@ -420,10 +420,10 @@ def bootstrap_pairs(
     )
     out: DataFrame | None = None
     for contrasts, keys in _contrast_parts(entries, by, ["_g", "_t", "_s"], times, max(PART_NUMBERS // draws, 1)):
-        shared = units.sparkSession.sparkContext.broadcast(contrasts)
+        shared = units.sparkSession.sparkContext.broadcast((contrasts.grid, contrasts.n_keys, contrasts.groups))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            part = shared.value
+            part = Contrasts(*shared.value)
             sums: dict[int, np.ndarray] = {}
             for batch in batches:
                 if not batch.num_rows:
