@@ -176,10 +176,10 @@ def score_texts(docs: DataFrame, weights: SparseWeights, name: str = "score") ->
     """
     kept = docs.drop(name)
     names = kept.columns
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    shared = docs.sparkSession.sparkContext.broadcast((weights.bits, weights.index, weights.value, weights.bias))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
+        w = SparseWeights(*shared.value)
         dense = np.zeros(1 << w.bits)
         dense[w.index] = w.value
         for batch in batches:
