@@ -6,7 +6,8 @@ passes over the panel:
 
 * folded units: one row per unit with its outcomes in order of time, the only shuffle of the panel;
 * `cells`: mean and size per (cohort, time);
-* `influence_squares`: squared influence of each unit on each estimate, for analytic errors of all views;
+* `contrast_squares`, `influence_squares`: squared influence of units on each estimate, for analytic errors of
+  all views, of panels without and with gaps;
 * `bootstrap_sums`, `bootstrap_pairs`: weighted sums per group, for the multiplier bootstrap.
 """
 
@@ -24,6 +25,7 @@ from panelfx.operators.panel import PanelSpec
 from panelfx.operators.unitblocks import (
     bootstrap_pairs,
     bootstrap_sums,
+    contrast_squares,
     fold_lists,
     fold_units,
     influence_squares,
@@ -502,9 +504,13 @@ def compute_effects(
     effects = freeze(effects, "effects")
     if options.se == "analytic":
         if not gaps:
-            stats = _stats_of_cells(_pairs(effects, spec), cells, spec)
+            stats = freeze(_stats_of_cells(_pairs(effects, spec), cells, spec), "pairs")
         entries = _contrast_rows(effects, stats, views, spec)
-        squares = influence_squares(units, entries, by, ["view", "_k0", "_k1", "_k2"], times_of(cells))
+        key = ["view", "_k0", "_k1", "_k2"]
+        if gaps:
+            squares = influence_squares(units, entries, by, key, times_of(cells))
+        else:
+            squares = contrast_squares(units, cells, entries, spec, key, times_of(cells))
         if len(views) > 1:
             squares = freeze(squares, "squares")
         for view in views:

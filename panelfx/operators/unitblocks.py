@@ -1,9 +1,10 @@
 """Sums over units that Spark's aggregates cannot express: contrast variances and bootstrap sums.
 
 A panel is folded once into one row per unit. Tasks stream through these rows in Arrow batches and turn
-each group of them into a small dense matrix. What they are multiplied with, the contrasts of the views
-asked for, is brought to the tasks in parts of a bounded number of entries; each further part is one more
-pass over the folded units, so neither the driver nor a task ever holds more than one part.
+each group of them into a small dense matrix. For a balanced panel that is all: a group's matrix of squared
+deviations is joined with the contrasts of the views asked for. With gaps, contrasts are brought to the tasks in
+parts of a bounded number of entries; each further part is one more pass over the folded units, so neither
+the driver nor a task ever holds more than one part.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -339,6 +340,82 @@ def influence_squares(units: DataFrame, entries: DataFrame, by: list[str], key:
     return _per_key(units, entries, by, key, times, ["var"], add)
 
 
+def gram_matrices(units: DataFrame, cells: DataFrame, spec: PanelSpec, times: list[int]) -> DataFrame:
+    """by..., cohort, gram: sums over a balanced group's units of products of deviations at two times.
+
+    Deviations are from the group's means in `cells`; the list has a row of `times` for each of `times`. One
+    pass over the units, however many groups there are.
+    """
+    keys = [*spec.by, "cohort"]
+    in_order = F.sort_array(F.collect_list(F.struct("time", "mean")))
+    means = freeze(
+        cells.groupBy(*[F.col(k).alias(f"_m_{k}") for k in keys]).agg(F.transform(in_order, lambda c: c["mean"]).alias("_means")), "means"
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"_m_{k}")) for k in keys]
+    deviations = F.zip_with("ys", "_means", lambda y, mean: y - mean)
+    centred = units.join(means, same).select(*keys, "unit", "times", deviations.alias("ys"))
+
+    def sums_of(_group: tuple, _ids: list[str], block: np.ndarray) -> list[np.ndarray]:
+        seen = np.nan_to_num(block, copy=False)
+        return [(seen.T @ seen).ravel()]
+
+    def rows_of(_group: tuple, _grid: np.ndarray, sums: list[np.ndarray]) -> dict[str, np.ndarray | list]:
+        return {"gram": [sums[0]]}
+
+    fields = [T.StructField("gram", T.ArrayType(T.DoubleType()))]
+    partial = _summed(salted_units(centred, cells, spec), keys, times, sums_of, rows_of, fields)
+    return fold_lists(partial, keys, ["gram"])
+
+
+def contrast_squares(
+    units: DataFrame, cells: DataFrame, entries: DataFrame, spec: PanelSpec, key: list[str], times: list[int]
+) -> DataFrame:
+    """`influence_squares` of a balanced panel, whose cost grows with units and entries but not with their product.
+
+    Every unit of a group is seen at the same times, so its influence on a key is a sum of its deviations with
+    weights that the group shares, and the sum of squares is the quadratic form of the weights in the group's
+    matrix. A cohort has at most a few keys a time; the controls have all keys but few matrices, so that these
+    are a join of their own.
+    """
+    by = list(spec.by)
+    groups = [*by, "cohort"]
+    grid = F.array(*[F.lit(t) for t in times]).cast("array<bigint>")
+
+    def weight_at(time: str, weight: Column) -> Column:
+        return F.struct((F.array_position(grid, F.col(time).cast("bigint")) - 1).cast("int").alias("i"), weight.alias("w"))
+
+    both = F.inline(F.array(weight_at("t", F.col("w")), weight_at("s", -F.col("w"))))
+    weights = freeze(
+        # the two groupings are already satisfied by this one exchange
+        entries.select(*groups, *key, both)
+        .repartition(*groups, *key)
+        .groupBy(*groups, *key, "i")
+        .agg(F.sum("w").alias("w"))
+        .groupBy(*groups, *key)
+        .agg(F.collect_list(F.struct("i", "w")).alias("_weights")),
+        "weights",
+    )
+    grams = freeze(gram_matrices(units, cells, spec, times), "grams")
+
+    def row(x: Column) -> Column:
+        return F.aggregate(
+            "_weights", F.lit(0.0), lambda total, y: total + y["w"] * F.get("gram", x["i"] * len(times) + y["i"])
+        )
+
+    form = F.aggregate("_weights", F.lit(0.0), lambda total, x: total + x["w"] * row(x)).alias("_square")
+    treated = F.col("cohort").isNotNull()
+    found = weights.where(treated).join(grams.where(treated), groups).select(*by, *key, form)
+    # written down, so that few matrices are broadcast
+    control = freeze(grams.where(~treated).drop("cohort"), "control")
+    never = weights.where(~treated)
+    never = never.join(control, by) if by else never.crossJoin(control)
+    return (
+        found.unionByName(never.select(*by, *key, form))
+        .groupBy(*by, *key)
+        .agg(F.greatest(F.sum("_square"), F.lit(0.0)).alias("var"))
+    )
+
+
 def unit_signs(ids: list[str], seed: int, draws: int) -> np.ndarray:
     """units x draws matrix of -1/+1 read from the bits of md5(seed:unit:block)."""
     blocks = -(-draws // 128)

@@ -444,3 +444,21 @@ def test_no_draw_is_exploded(spark, random_panel):
     draws = spark.createDataFrame([(k, [0.1 * k, -0.3, 0.2], 0.0) for k in range(5)], "cohort int, draws array<double>, ATT double")
     plan = _boot_band(draws, SPEC, EffectOptions(se="bootstrap", boot_iterations=3))._jdf.queryExecution().toString()
     assert "Generate" not in plan and "posexplode" not in plan
+
+
+def test_many_cohorts_need_no_pass_per_part_of_contrasts(spark, monkeypatch):
+    """Cohorts that grow with the units: errors without gaps come from one matrix a cohort, as the definition has them."""
+    rng = np.random.default_rng(3)
+    units = {u: ([None, *range(4, 84, 4)][u % 21], [float(y) for y in rng.normal(size=7)]) for u in range(126)}
+    wanted = compute_effects(frame(spark, units), SPEC, EffectOptions(balance="pairwise"))
+    wanted = {view: {tuple(r)[: len(r) - 5]: r["std_error"] for r in df.collect()} for view, df in wanted.items()}
+
+    def no_parts(*_args):
+        raise AssertionError("contrasts were cut into parts, each of them a pass over all units")
+
+    monkeypatch.setattr("panelfx.operators.unitblocks._contrast_parts", no_parts)
+    for view, df in compute_effects(frame(spark, units), SPEC).items():
+        found = {tuple(r)[: len(r) - 5]: r["std_error"] for r in df.collect()}
+        assert found.keys() == wanted[view].keys()
+        for cell, error in found.items():
+            assert error == pytest.approx(wanted[view][cell], abs=1e-9)
