@@ -92,7 +92,7 @@ def parity_bits(shingles: np.ndarray) -> np.ndarray:
 
 
 def set_rows(docs: DataFrame, options: JaccardOptions) -> DataFrame:
-    """One row per document: doc_id, n, key, the whole set if it is small, parities b0..b7 (0 without shingles)."""
+    """One row per document: doc_id, n, key, the whole set if it is small, parities b0, b1, ... (0 without shingles)."""
     bits = [f"b{k}" for k in range(WORDS_OF_BITS)]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,6 +263,23 @@ def shared_entries(entries: DataFrame) -> DataFrame:
     return ordered.mapInArrow(mark, "token bigint, key bigint, n int, pivot bigint")
 
 
+def different_lists(placed: DataFrame) -> DataFrame:
+    """(token, key, component) of the lists whose classes are in several components, one of each set of classes.
+
+    `placed` has an entry once. Classes that agree in one group mostly do in many, and all these lists pair the same
+    classes. A set of classes is known by two 64-bit digests and its size; its smallest token stands for it.
+    """
+    of_list = W.partitionBy("token")
+    digests = [F.bit_xor(F.xxhash64(F.lit(seed), "key")).over(of_list).alias(f"_set{seed}") for seed in (1, 2)]
+    listed = placed.select(
+        "token", "key", "component", *digests, F.count("*").over(of_list).alias("_many"),
+        F.min("component").over(of_list).alias("_least"), F.max("component").over(of_list).alias("_most"),
+    ).where("_least <> _most")
+    return listed.groupBy("_set1", "_set2", "_many", "key").agg(F.min("token").alias("token"), F.min("component").alias("component")).select(
+        "token", "key", "component"
+    )
+
+
 def bits_apart(suffix: str) -> Column:
     return sum(F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"b{k}{suffix}"))) for k in range(WORDS_OF_BITS))
 
@@ -307,7 +324,8 @@ def jaccard_groups(docs: DataFrame, options: JaccardOptions = JaccardOptions())
     lists, which are kept by groups of shingles (see group_tokens): a passage that many documents share
     does not make them meet, as it would in lists of single shingles. A list of many classes is not expanded into
     pairs: each class is first compared with one class of the list; only classes of a list that are then still in
-    different components are compared with each other, if their sizes and parities allow a link. All candidates
+    different components are compared with each other, if their sizes and parities allow a link, and lists of the same
+    classes once. All candidates
     are confirmed on the whole sets, so parities cost no link.
     """
     texts = docs.select("doc_id", "text")
@@ -326,14 +344,7 @@ def jaccard_groups(docs: DataFrame, options: JaccardOptions = JaccardOptions())
     placed = live.select("token", "key").join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn(
         "component", F.coalesce("component", "key")
     )
-    of_list = W.partitionBy("token")
-    mixed = (
-        placed.withColumn("_least", F.min("component").over(of_list))
-        .withColumn("_most", F.max("component").over(of_list))
-        .where("_least <> _most")
-        .select("token", "key", "component")
-    )
-    open_lists = freeze(mixed, "open").join(sigs.drop("small"), "key")
+    open_lists = freeze(different_lists(placed), "open").join(sigs.drop("small"), "key")
     other = open_lists.select("token", *[F.col(c).alias(f"{c}_p") for c in open_lists.columns if c != "token"])
     apart = (F.col("key") > F.col("key_p")) & (F.col("component") != F.col("component_p"))
     second = (

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from panelfx.llm.jaccard_join import JaccardOptions, group_tokens, jaccard_groups, keep_one, shared_entries
+from panelfx.llm.jaccard_join import JaccardOptions, different_lists, group_tokens, jaccard_groups, keep_one, shared_entries
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -171,3 +171,12 @@ def test_entries_of_shared_lists(spark, rows_a_batch):
     for t, k in entries:
         lists.setdefault(t, set()).add(k)
     assert found == sorted((t, k, k * 10, min(ks)) for t, ks in lists.items() if len(ks) > 1 for k in ks)
+
+
+def test_lists_of_the_same_classes_are_compared_once(spark):
+    lists = {1: [10, 11], 2: [10, 11], 3: [10, 11, 12], 4: [12, 13], 5: [10, 14]}
+    component = {10: 10, 11: 11, 12: 12, 13: 12, 14: 14}
+    rows = [(t, k, component[k]) for t, keys in lists.items() for k in keys]
+    found = different_lists(spark.createDataFrame(rows, "token bigint, key bigint, component bigint")).collect()
+    kept = {t: sorted(r["key"] for r in found if r["token"] == t) for t in {r["token"] for r in found}}
+    assert kept == {1: [10, 11], 3: [10, 11, 12], 5: [10, 14]}
