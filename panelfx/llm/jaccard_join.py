@@ -22,8 +22,6 @@ MOST_SMALL = 40
 WORDS_OF_BITS = 8
 # Sizes of one class differ by this factor at most, as numerator and denominator.
 CLASS_NUM, CLASS_DEN = 7, 5
-# A group of shingles of fewer is left out of the lists where a set has enough other groups.
-LIGHT = 3
 # Sets whose list entries a task makes together, in shingles, and the classes it remembers having entered.
 TOGETHER = 200_000
 REMEMBERED = 200_000
@@ -66,6 +64,11 @@ class JaccardOptions:
         apart = self.most_apart(edge)
         return apart + 5 + apart // 8
 
+    def spare(self, n: int, edge: int) -> int:
+        """Groups that a set of n has in common, at least, with any set it links with for the class below `edge`."""
+        both = n + (n * self.den // self.num if n < edge else edge - 1)
+        return self.groups(edge) - (self.den - self.num) * both // (self.num + self.den)
+
     def schemes(self, n: int) -> list[int]:
         """Edges of the classes that the smaller set of a pair with a set of n can be in."""
         low = max(-(-self.num * n // self.den), 1)
@@ -116,21 +119,22 @@ def set_rows(docs: DataFrame, options: JaccardOptions) -> DataFrame:
     return docs.mapInArrow(read, f"doc_id {key}, n int, key bigint, small array<bigint>, {parity}")
 
 
-def group_tokens(sets: list[np.ndarray], options: JaccardOptions) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of the groups that sets are entered under in lists, and the set each is of.
+def group_entries(sets: list[np.ndarray], options: JaccardOptions) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of the groups that sets are entered under in lists, the set each is of, its class and what may yet go.
 
     For a class of sizes, shingles are dealt by hash into more groups than the number of shingles in which two
     linked sets can differ, so at least one group is the same in both; a set is entered for each class that the
     smaller set of a pair with it can be in. A token is the sum of the hashes of a group's shingles, together with
-    the class and the group. Of linked sets `spare` groups or more agree. A set with fewer than `spare` groups of less
-    than LIGHT (else 2, else 1) shingles leaves these out: one that agrees remains. Otherwise empty groups are
-    entered as well. Agreeing groups are equally large, so two sets of different bounds still meet.
+    the class and the group. Of linked sets `spare` groups or more agree, so each may leave out all but one of so
+    many, if all sets leave out what comes first in one order of the tokens: the last of those that agree stays in
+    both. Empty groups come first, by token, and are left out here; then the longest lists (see `rare_entries`), by
+    the number told last.
     """
     which = [(k, edge) for k, s in enumerate(sets) for edge in options.schemes(len(s))]
     owner = np.array([k for k, _ in which], np.int64)
     edges = np.array([e for _, e in which], np.int64)
     many = np.array([options.groups(e) for _, e in which], np.int64)
-    spare = many - np.array([options.most_apart(e) for _, e in which], np.int64)
+    spare = np.array([options.spare(len(sets[k]), e) - 1 for k, e in which], np.int64)
     sizes = np.array([len(s) for s in sets], np.int64)
     ends = np.cumsum(sizes)
     flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
@@ -141,20 +145,28 @@ def group_tokens(sets: list[np.ndarray], options: JaccardOptions) -> tuple[np.nd
     at = (mix(shingle ^ np.uint64(0x3C6EF372FE94F82B)) % np.repeat(many, n).astype(np.uint64)).astype(np.int64) + np.repeat(base, n)
     total = np.zeros(int(many.sum()), np.uint64)
     np.add.at(total, at, mix(shingle))
-    count = np.bincount(at, minlength=len(total))
     pair = np.repeat(np.arange(len(which)), many)
-    least = np.zeros(len(which), np.int64)
-    for bound in range(1, LIGHT + 1):
-        lighter = np.bincount(pair[count < bound], minlength=len(which))
-        least[(lighter < spare) & (least == bound - 1)] = bound
     group = np.arange(len(total)) - base[pair]
     tokens = mix(total + mix(edges[pair].astype(np.uint64) * np.uint64(1 << 32) + group.astype(np.uint64)))
-    entered = count >= least[pair]
-    return tokens[entered].view(np.int64), owner[pair[entered]]
+    empty = np.flatnonzero(np.bincount(at, minlength=len(total)) == 0)
+    empty = empty[np.lexsort((tokens[empty], pair[empty]))]
+    of_pair = np.bincount(pair[empty], minlength=len(which))
+    before = np.arange(len(empty)) - (np.cumsum(of_pair) - of_pair)[pair[empty]]
+    entered = np.ones(len(total), bool)
+    entered[empty[before < spare[pair[empty]]]] = False
+    spare = spare - np.minimum(of_pair, spare)
+    kept = pair[entered]
+    return tokens[entered].view(np.int64), owner[kept], edges[kept], spare[kept]
+
+
+def group_tokens(sets: list[np.ndarray], options: JaccardOptions) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that sets are entered under in lists, and the set each is of."""
+    return group_entries(sets, options)[:2]
 
 
 def list_entries(docs: DataFrame, options: JaccardOptions, smallest: int) -> DataFrame:
-    """(token, key, n) of all sets of `smallest` shingles or more; a task enters equal sets once."""
+    """(token, key, edge, spare) of all sets of `smallest` shingles or more; a task enters equal sets once."""
+    names = ["token", "key", "edge", "spare"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -175,23 +187,23 @@ def list_entries(docs: DataFrame, options: JaccardOptions, smallest: int) -> Dat
                     while stop < len(sets) and (stop == at or held + len(sets[stop]) <= TOGETHER):
                         held += len(sets[stop])
                         stop += 1
-                    tokens, owner = group_tokens(sets[at:stop], options)
-                    names = np.array(keys[at:stop], np.int64)[owner]
-                    sizes = np.array([len(s) for s in sets[at:stop]], np.int32)[owner]
-                    yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(names), pa.array(sizes)], ["token", "key", "n"])
+                    tokens, owner, edges, spare = group_entries(sets[at:stop], options)
+                    columns = [tokens, np.array(keys[at:stop], np.int64)[owner], edges.astype(np.int32), spare.astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
                     at = stop
         del seen
         give_back()
 
-    return docs.select("text").mapInArrow(read, "token bigint, key bigint, n int")
+    return docs.select("text").mapInArrow(read, "token bigint, key bigint, edge int, spare int")
 
 
 def subset_tokens(small: DataFrame, options: JaccardOptions) -> DataFrame:
-    """(token, key, n) for every subset of every size class of small sets.
+    """(token, key, edge, spare) for every subset of every size class of small sets; edge and spare are 0.
 
     A subset's token is the sum of its hashes, made from the sum of all by taking away what is left
     out, together with the pair of sizes it is for.
     """
+    names = ["token", "key", "edge", "spare"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,10 +218,10 @@ def subset_tokens(small: DataFrame, options: JaccardOptions) -> DataFrame:
                     sums = whole - s[picks].sum(axis=1, dtype=np.uint64)
                     tokens.append(mix(sums + mix(np.array([a * 1_000_003 + b], np.uint64))))
                 tokens = np.concatenate(tokens).view(np.int64)
-                columns = [tokens, np.full(len(tokens), key), np.full(len(tokens), n, np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "key", "n"])
+                none = np.zeros(len(tokens), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (tokens, np.full(len(tokens), key), none, none)], names)
 
-    return small.select("key", "small").mapInArrow(read, "token bigint, key bigint, n int")
+    return small.select("key", "small").mapInArrow(read, "token bigint, key bigint, edge int, spare int")
 
 
 def choose_boundary(sigs: DataFrame, options: JaccardOptions) -> int:
@@ -226,41 +238,63 @@ def choose_boundary(sigs: DataFrame, options: JaccardOptions) -> int:
 
 
 def shared_entries(entries: DataFrame) -> DataFrame:
-    """The entries (token, key, n) of lists of several keys, each once, with the list's smallest key as `pivot`.
+    """The entries (token, key, others) of lists of several keys, each once, with the list's smallest key as `pivot`.
 
     One exchange: lists stream through their tasks in order of token and key. Of a list that goes on in the next
-    batch only its first key and the last one are held, so a list of any length costs no memory.
+    batch only its first entry and the last key are held, so a list of any length costs no memory.
     """
-    names = ["token", "key", "n", "pivot"]
+    others = [c for c in entries.columns if c not in ("token", "key")]
+    names = ["token", "key", *others, "pivot"]
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_list: tuple[int, int, int, int, bool] | None = None  # token, first key, its n, last key, told
+        open_list: tuple[int, int, list, int, bool] | None = None  # token, first key, its others, last key, told
         for batch in batches:
             if not batch.num_rows:
                 continue
-            token, key, n = (batch.column(c).to_numpy() for c in ("token", "key", "n"))
+            token, key = (batch.column(c).to_numpy() for c in ("token", "key"))
+            rest = [batch.column(c).to_numpy() for c in others]
             new = np.r_[True, token[1:] != token[:-1]]
             again = np.r_[False, (token[1:] == token[:-1]) & (key[1:] == key[:-1])]
             heads = np.flatnonzero(new)
             run = np.cumsum(new) - 1
-            pivot, size = key[heads], n[heads]
+            pivot, of_pivot = key[heads], [c[heads] for c in rest]
             told = np.zeros(len(heads), bool)
             if open_list is not None and open_list[0] == token[0]:
-                _, pivot[0], size[0], last, told[0] = open_list
+                _, pivot[0], held, last, told[0] = open_list
                 again[0] = key[0] == last
+                for column, value in zip(of_pivot, held, strict=True):
+                    column[0] = value
             later = (key != pivot[run]) & ~again
             several = np.zeros(len(heads), bool)
             several[run[later]] = True
             first = several & ~told
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.r_[token[heads[first]], token[later]]), pa.array(np.r_[pivot[first], key[later]]),
-                 pa.array(np.r_[size[first], n[later]].astype(np.int32)), pa.array(np.r_[pivot[first], pivot[run[later]]])],
+                 *[pa.array(np.r_[p[first], c[later]]) for p, c in zip(of_pivot, rest, strict=True)],
+                 pa.array(np.r_[pivot[first], pivot[run[later]]])],
                 names,
             )
-            open_list = (int(token[-1]), int(pivot[-1]), int(size[-1]), int(key[-1]), bool(told[-1] or several[-1]))
+            open_list = (int(token[-1]), int(pivot[-1]), [c[-1] for c in of_pivot], int(key[-1]), bool(told[-1] or several[-1]))
 
     ordered = entries.repartition("token").sortWithinPartitions("token", "key")
-    return ordered.mapInArrow(mark, "token bigint, key bigint, n int, pivot bigint")
+    kinds = "".join(f"{c} {entries.schema[c].dataType.simpleString()}, " for c in others)
+    return ordered.mapInArrow(mark, f"token bigint, key bigint, {kinds}pivot bigint")
+
+
+def rare_entries(shared: DataFrame) -> DataFrame:
+    """(token, key, pivot, strength) of `shared` without the `spare` longest lists of each class and edge.
+
+    Lists are ordered by length and token, the same for all classes, so linked sets keep a list in common (see
+    `group_entries`); a passage that many sets have in common makes few groups of its own, and these go. `strength` is
+    the length of all lists that the class has for the edge: the most central of several versions has the most.
+    """
+    length = shared.groupBy("token").agg(F.count("*").alias("_long"))
+    of_set = W.partitionBy("key", "edge")
+    ranked = shared.join(length, "token").select(
+        "token", "key", "pivot", "spare", F.row_number().over(of_set.orderBy(F.desc("_long"), "token")).alias("_rank"),
+        F.sum("_long").over(of_set).alias("strength"),
+    )
+    return ranked.where("_rank > spare").select("token", "key", "pivot", "strength")
 
 
 def different_lists(placed: DataFrame) -> DataFrame:
@@ -335,13 +369,18 @@ def jaccard_groups(docs: DataFrame, options: JaccardOptions = JaccardOptions())
     boundary = choose_boundary(sigs, options)
     reach = -(-options.num * (boundary + 1) // options.den)
     subsets = subset_tokens(sigs.where(F.col("n") <= boundary), options)
-    live = freeze(shared_entries(list_entries(texts, options, reach).unionByName(subsets)), "entries")
+    shared = freeze(shared_entries(list_entries(texts, options, reach).unionByName(subsets)), "shared")
+    rare = freeze(rare_entries(shared), "rare")
+    strongest = rare.groupBy("token").agg(F.max_by("key", F.struct("strength", "key")).alias("strongest"))
+    live = freeze(rare.join(strongest, "token").select("token", "key", "pivot", "strongest"), "entries")
 
-    met = live.where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct()
+    met = live.select(F.col("key").alias("a"), F.explode(F.array("pivot", "strongest")).alias("b")).where("a <> b").distinct()
     first = freeze(plausible(met, sigs, options), "pairs")
     groups = freeze(connected_components(confirmed(first, texts, members, options)), "groups")
 
-    placed = live.select("token", "key").join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn(
+    # of a list's pairs, those with the two classes that all others were compared with are done
+    rest = live.where("key <> pivot AND key <> strongest").select("token", "key")
+    placed = rest.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn(
         "component", F.coalesce("component", "key")
     )
     open_lists = freeze(different_lists(placed), "open").join(sigs.drop("small"), "key")

@@ -5,7 +5,16 @@ import random
 import numpy as np
 import pytest
 
-from panelfx.llm.jaccard_join import JaccardOptions, different_lists, group_tokens, jaccard_groups, keep_one, shared_entries
+from panelfx.llm import jaccard_join
+from panelfx.llm.jaccard_join import (
+    JaccardOptions,
+    different_lists,
+    group_tokens,
+    jaccard_groups,
+    keep_one,
+    rare_entries,
+    shared_entries,
+)
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -180,3 +189,55 @@ def test_lists_of_the_same_classes_are_compared_once(spark):
     found = different_lists(spark.createDataFrame(rows, "token bigint, key bigint, component bigint")).collect()
     kept = {t: sorted(r["key"] for r in found if r["token"] == t) for t in {r["token"] for r in found}}
     assert kept == {1: [10, 11], 3: [10, 11, 12], 5: [10, 14]}
+
+
+def around_a_passage(count, rng):
+    """Texts of 310 words around one passage, a tenth of them with a version."""
+    passage = [f"p{k}" for k in range(60)]
+    texts = [passage + [f"w{rng.randrange(10**6)}" for _ in range(250)] for _ in range(count)]
+    return texts + [t[:70] + ["changed"] + t[70:] for t in texts[: count // 10]]
+
+
+def around_a_text(count, rng):
+    """One text and versions of it that link with it alone."""
+    base = [f"b{k}" for k in range(300)]
+    versions = [list(base) for _ in range(count)]
+    for v in versions:
+        for k in rng.sample(range(5, 295, 11), 6):
+            v[k] = f"x{rng.randrange(10**6)}"
+    return [base, *versions]
+
+
+@pytest.mark.parametrize("made", [around_a_passage, around_a_text])
+def test_pairs_in_open_lists_do_not_grow_with_the_square(spark, monkeypatch, made):
+    met = []
+
+    def counted(placed):
+        lists = different_lists(placed).localCheckpoint()
+        met.append(sum(r["count"] * (r["count"] - 1) // 2 for r in lists.groupBy("token").count().collect()))
+        return lists
+
+    monkeypatch.setattr(jaccard_join, "different_lists", counted)
+    for count in (40, 160):
+        rows = list(enumerate(" ".join(t) for t in made(count, random.Random(count))))
+        assert found(spark, rows, JaccardOptions()) == brute(rows, JaccardOptions())
+    assert met[1] <= 6 * max(met[0], 20)
+
+
+def test_longest_lists_go_first(spark):
+    """Of a class and edge the longest lists go, as many as may; what is strongest is in the longest lists."""
+    lists = {1: [10, 11, 12, 13], 2: [10, 11, 12], 3: [10, 11], 4: [12, 13], 5: [10, 14]}
+    spare = {10: 2, 11: 1, 12: 0, 13: 1, 14: 0}
+    rows = [(t, k, 0 if t == 5 else 7, 0 if t == 5 else spare[k], min(keys)) for t, keys in lists.items() for k in keys]
+    shared = spark.createDataFrame(rows, "token bigint, key bigint, edge int, spare int, pivot bigint")
+    left = sorted(tuple(r) for r in rare_entries(shared).select("token", "key", "strength").collect())
+    assert left == [(1, 12, 9), (2, 11, 9), (2, 12, 9), (3, 10, 9), (3, 11, 9), (4, 12, 9), (4, 13, 6), (5, 10, 2), (5, 14, 2)]
+
+
+@pytest.mark.parametrize("options", [JaccardOptions(90, 100, 3), JaccardOptions(80, 100, 5), JaccardOptions(1, 2, 2)])
+def test_linked_sets_have_spare_groups_in_common(options):
+    for a in range(1, 250):
+        for b in range(a, a * options.den // options.num + 1):
+            apart = a + b - 2 * options.least_overlap(a, b)
+            (edge,) = [e for e in options.schemes(a) if e > a]
+            assert options.groups(edge) - apart >= max(options.spare(a, edge), options.spare(b, edge)) >= 1
